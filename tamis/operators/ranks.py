@@ -20,6 +20,13 @@ def hash_order(seed: str | int | Column, key: Column) -> Column:
     return F.md5(F.concat(s.cast("string"), F.lit("|"), key.cast("string")))
 
 
+def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Null-safe equality join on `keys`, kept from the left side; the right side may derive from the left."""
+    renamed = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    cond = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
+    return left.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
+
+
 def hash_rank(df: DataFrame, order: Column, by: Sequence[str] = (), tie: str | None = None, rank: str = "rn",
               total: str | None = None, digits: int = 3) -> DataFrame:
     """Row numbers 1..n per `by` in the order of an md5 text. The leading hex digits spread even a key that holds a
@@ -31,10 +38,7 @@ def hash_rank(df: DataFrame, order: Column, by: Sequence[str] = (), tie: str | N
     before = scope.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*by, "_p", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_o"),
                            F.sum("_c").over(scope).alias("_t"))
-    same = keyed["_p"] == offsets["_p"]
-    for c in by:
-        same = same & keyed[c].eqNullSafe(offsets[c])
-    joined = keyed.join(offsets, same).select(*[keyed[c] for c in keyed.columns], offsets["_o"], offsets["_t"])
+    joined = join_on(keyed, offsets, [*by, "_p"])
     inner = Window.partitionBy(*by, "_p").orderBy("_h", *([tie] if tie else []))
     out = joined.withColumn(rank, F.row_number().over(inner).cast("bigint") + F.col("_o"))
     if total:
@@ -107,19 +111,20 @@ def exact_quantiles(df: DataFrame, value: Column, probs: Sequence[float], by: Se
     base = base.select(*by, "_v") if by else base.select(F.lit(0).alias("_g"), "_v")
     slack = 5.0 / accuracy
     lows, highs = [max(0.0, p - slack) for p in probs], [min(1.0, p + slack) for p in probs]
+    few = F.col("_n") < 4.0 / slack  # the bracket of a small group is the group
     bracket = (
         base.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", lows, accuracy).alias("_lo"),
-             F.percentile_approx("_v", highs, accuracy).alias("_hi"))
-        .select(*keys, "_n", F.posexplode(F.arrays_zip("_lo", "_hi")).alias("_i", "_r"))
-        .select(*keys, "_n", "_i", F.col("_r._lo").alias("_lo"), F.col("_r._hi").alias("_hi"))
+        .agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
+             F.percentile_approx("_v", lows, accuracy).alias("_lo"), F.percentile_approx("_v", highs, accuracy).alias("_hi"))
+        .select(*keys, "_n", "_min", "_max", F.posexplode(F.arrays_zip("_lo", "_hi")).alias("_i", "_r"))
+        .select(*keys, "_n", "_i", F.when(few, F.col("_min")).otherwise(F.col("_r._lo")).alias("_lo"),
+                F.when(few, F.col("_max")).otherwise(F.col("_r._hi")).alias("_hi"))
     )
     # without keys the bracket has one row per requested quantile
-    cond = [base[k].eqNullSafe(bracket[k]) for k in keys]
-    joined = base.join(bracket if by else F.broadcast(bracket), cond)
+    joined = join_on(base, bracket if by else F.broadcast(bracket), keys)
     slots = (
         joined.where(F.col("_v") <= F.col("_hi"))
-        .groupBy(*[base[k] for k in keys], "_i", "_n", F.when(F.col("_v") >= F.col("_lo"), F.col("_v")).alias("_x"))
+        .groupBy(*keys, "_i", "_n", F.when(F.col("_v") >= F.col("_lo"), F.col("_v")).alias("_x"))
         .agg(F.count(F.lit(1)).alias("_c"))
     )
     upto = Window.partitionBy(*keys, "_i").orderBy(F.asc_nulls_first("_x")).rowsBetween(Window.unboundedPreceding, 0)
