@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import DoubleType
 
 from tamis.functions.numeric import beta_cdf, lgamma
 
@@ -84,7 +85,7 @@ def fit_prior(groups: DataFrame, flagged: str = "x", answered: str = "n") -> Pri
     return Prior(float(row.alpha), float(row.beta), row.source, bool(row.capped))
 
 
-@arrow_udf("double")
+@arrow_udf(DoubleType())
 def share_above(a: pa.Array, b: pa.Array, q: pa.Array) -> pa.Array:
     """P(share > q) under Beta(a, b)."""
     x, y, z = (np.asarray(v.to_numpy(zero_copy_only=False), dtype=np.float64) for v in (a, b, q))

@@ -236,8 +236,8 @@ def labels_met(df: DataFrame, tau: float, label: str, item_id: str = "item_id",
     keyed = reps.select("rep", vector, F.col(label).cast("string").alias(label))
     met = _block_join(keyed, "rep", vector, label, tau, strict, _labels_met, "id ID, label string, other string",
                       cell_rows, block_rows, max_pivots).distinct()
-    hit = met.join(keyed, (met["id"] == keyed["rep"]) & (met["label"] == keyed[label])).select(
-        keyed[vector].alias("_v"), met["label"].alias("_l"), "other")
+    vectors = keyed.select(F.col("rep").alias("id"), F.col(label).alias("label"), F.col(vector).alias("_v"))
+    hit = met.join(vectors, ["id", "label"]).select("_v", F.col("label").alias("_l"), "other")
     rows = df.select(F.col(item_id).alias("id"), F.col(vector).alias("_v"), F.col(label).cast("string").alias("_l"))
     return rows.join(hit, ["_v", "_l"]).select("id", F.col("_l").alias("label"), "other")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tamis.plans import scalar_queries  # noqa: F401
+from tamis.plans import aggregate_queries, join_queries, scalar_queries  # noqa: F401
 from tamis.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]
