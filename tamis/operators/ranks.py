@@ -32,18 +32,18 @@ def hash_rank(df: DataFrame, order: Column, by: Sequence[str] = (), tie: str | N
     """Row numbers 1..n per `by` in the order of an md5 text. The leading hex digits spread even a key that holds a
     third of the rows over 16^digits ranges."""
     by = list(by)
-    keyed = df.withColumn("_h", order).withColumn("_p", F.substring("_h", 1, digits))
-    sizes = keyed.groupBy(*by, "_p").agg(F.count(F.lit(1)).alias("_c"))
+    keyed = df.withColumn("_hr_h", order).withColumn("_hr_p", F.substring("_hr_h", 1, digits))
+    sizes = keyed.groupBy(*by, "_hr_p").agg(F.count(F.lit(1)).alias("_hr_c"))
     scope = Window.partitionBy(*(by or [F.lit(0)]))
-    before = scope.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*by, "_p", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_o"),
-                           F.sum("_c").over(scope).alias("_t"))
-    joined = join_on(keyed, offsets, [*by, "_p"])
-    inner = Window.partitionBy(*by, "_p").orderBy("_h", *([tie] if tie else []))
-    out = joined.withColumn(rank, F.row_number().over(inner).cast("bigint") + F.col("_o"))
+    before = scope.orderBy("_hr_p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*by, "_hr_p", F.coalesce(F.sum("_hr_c").over(before), F.lit(0)).alias("_hr_o"),
+                           F.sum("_hr_c").over(scope).alias("_hr_t"))
+    joined = join_on(keyed, offsets, [*by, "_hr_p"])
+    inner = Window.partitionBy(*by, "_hr_p").orderBy("_hr_h", *([tie] if tie else []))
+    out = joined.withColumn(rank, F.row_number().over(inner).cast("bigint") + F.col("_hr_o"))
     if total:
-        out = out.withColumn(total, F.col("_t"))
-    return out.drop("_h", "_p", "_o", "_t")
+        out = out.withColumn(total, F.col("_hr_t"))
+    return out.drop("_hr_h", "_hr_p", "_hr_o", "_hr_t")
 
 
 def _splits(points: Sequence[float]) -> tuple[list[float], list[int]]:

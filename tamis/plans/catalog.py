@@ -4,7 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tamis.plans import aggregate_queries, join_queries, order_queries, scalar_queries  # noqa: F401
+from tamis.plans import (  # noqa: F401
+    aggregate_queries,
+    calibration_queries,
+    join_queries,
+    order_queries,
+    scalar_queries,
+    source_queries,
+)
 from tamis.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 INDEX_SCHEMA = "item_id bigint, source string, label string, detail string, `group` string, path string"
 EMBEDDING_SCHEMA = "item_id bigint, embedding array<float>"
 MANIFEST_SCHEMA = "cls string, filename string, id string, size bigint, sha256 string, url string"
-ANNOTATION_SCHEMA = T.StructType([T.StructField("objects", T.ArrayType(T.StructType([
+ANNOTATION_SCHEMA = T.StructType([T.StructField("name", T.StringType()), T.StructField("objects", T.ArrayType(T.StructType([
     T.StructField("classTitle", T.StringType())])))])
 
 
@@ -45,11 +45,13 @@ def annotation_label(detail: Column) -> Column:
     return (F.when(detail.startswith("rust"), "rust").when(detail == "healthy", "healthy").when(detail.isNotNull(), "mite"))
 
 
-def read_annotations(spark: SparkSession, path: str, generic: str = "unhealthy") -> DataFrame:
-    """(file, detail, label) of the annotations with exactly one specific class."""
-    raw = spark.read.schema(ANNOTATION_SCHEMA).option("multiLine", True).json(path)
+def read_annotations(spark: SparkSession, path: str, generic: str = "unhealthy", multi_line: bool = True) -> DataFrame:
+    """(file, detail, label) of the annotations with exactly one specific class. One document per file by default; many
+    documents per file, one per line with their name, when `multi_line` is off."""
+    raw = spark.read.schema(ANNOTATION_SCHEMA).option("multiLine", multi_line).json(path)
     titles = F.transform("objects", lambda o: o["classTitle"])
-    return (raw.select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1).alias("file"),
+    file = F.coalesce("name", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1))
+    return (raw.select(file.alias("file"),
                        single_class(titles, generic).alias("detail"))
             .where("detail is not null").withColumn("label", annotation_label(F.col("detail"))))
 
