@@ -44,7 +44,7 @@ _SHARP = f"""AND sharp AS (SELECT item_id, class_idx, split, distance <= cutoff
     SELECT item_id, class_idx, split, distance, cutoff, list_transform(x, lambda v: v / list_sum(x)) AS p FROM (
     SELECT item_id, class_idx, split, distance, cutoff, list_transform(z, lambda v: exp((v - list_max(z)) / {T_SHARP}::DOUBLE)) AS x FROM scored CROSS JOIN cut))),
   curve AS (SELECT split, i::INT AS t_idx, 0.3::DOUBLE + i * 0.69::DOUBLE / 69 AS t, count(*) AS answered, count(*) FILTER (WHERE top = class_idx) AS correct
-    FROM sharp, range(0, 70) r(i) WHERE familiar AND top <> 9 AND conf >= 0.3::DOUBLE + i * 0.69::DOUBLE / 69 GROUP BY 1, 2)"""
+    FROM sharp, range(0, 70) r(i) WHERE familiar AND top <> 9 AND conf >= 0.3::DOUBLE + i * 0.69::DOUBLE / 69 GROUP BY 1, 2, 3)"""
 
 
 def sharp(spark, sf):

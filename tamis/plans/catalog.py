@@ -7,10 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from tamis.plans import (  # noqa: F401
     aggregate_queries,
     calibration_queries,
+    experiment_queries,
     join_queries,
     order_queries,
     scalar_queries,
     source_queries,
+    stream_queries,
 )
 from tamis.plans.registry import ORACLES, QUERIES
 
