@@ -106,41 +106,53 @@ def exact_quantiles(df: DataFrame, value: Column, probs: Sequence[float], by: Se
     inside it are ranked after being combined by value.
     """
     by = list(by)
-    keys = by or ["_g"]
-    base = df.withColumn("_v", value.cast("double")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    base = base.select(*by, "_v") if by else base.select(F.lit(0).alias("_g"), "_v")
+    base = df.select(*by, value.cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
     slack = 5.0 / accuracy
+    small = 4.0 / slack  # the bracket of a group below this size is the whole group
     lows, highs = [max(0.0, p - slack) for p in probs], [min(1.0, p + slack) for p in probs]
-    few = F.col("_n") < 4.0 / slack  # the bracket of a small group is the group
-    bracket = (
-        base.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
-             F.percentile_approx("_v", lows, accuracy).alias("_lo"), F.percentile_approx("_v", highs, accuracy).alias("_hi"))
-        .select(*keys, "_n", "_min", "_max", F.posexplode(F.arrays_zip("_lo", "_hi")).alias("_i", "_r"))
-        .select(*keys, "_n", "_i", F.when(few, F.col("_min")).otherwise(F.col("_r._lo")).alias("_lo"),
-                F.when(few, F.col("_max")).otherwise(F.col("_r._hi")).alias("_hi"))
-    )
-    # without keys the bracket has one row per requested quantile
-    joined = join_on(base, bracket if by else F.broadcast(bracket), keys)
+    ends = [F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
+            F.percentile_approx("_v", lows, accuracy).alias("_lo"), F.percentile_approx("_v", highs, accuracy).alias("_hi")]
+    if by:
+        few = F.col("_n") < small
+        bracket = (
+            base.groupBy(*by).agg(*ends)
+            .select(*by, "_n", "_min", "_max", F.posexplode(F.arrays_zip("_lo", "_hi")).alias("_i", "_r"))
+            .select(*by, "_n", "_i", F.when(few, F.col("_min")).otherwise(F.col("_r._lo")).alias("_lo"),
+                    F.when(few, F.col("_max")).otherwise(F.col("_r._hi")).alias("_hi"))
+        )
+        keys, joined = by, join_on(base, bracket, by)
+    else:
+        row = base.agg(*ends).first()  # one row
+        if row._n < small:
+            exact = base.agg(F.count(F.lit(1)).alias("n"), F.percentile("_v", [float(p) for p in probs]).alias("_q"))
+            return exact.select("n", *[F.get("_q", F.lit(i)).alias(f"q{i}") for i in range(len(probs))])
+        spans = F.array(*[F.struct(F.lit(lo).alias("_lo"), F.lit(hi).alias("_hi")) for lo, hi in zip(row._lo, row._hi)])
+        keys = ["_g"]
+        joined = base.select(F.lit(0).alias("_g"), "_v", F.lit(row._n).alias("_n"), F.posexplode(spans).alias("_i", "_r")).select(
+            "_g", "_v", "_n", "_i", "_r.*")
     slots = (
         joined.where(F.col("_v") <= F.col("_hi"))
         .groupBy(*keys, "_i", "_n", F.when(F.col("_v") >= F.col("_lo"), F.col("_v")).alias("_x"))
         .agg(F.count(F.lit(1)).alias("_c"))
     )
+    # one more shuffle by key serves the running counts and the final pick
     upto = Window.partitionBy(*keys, "_i").orderBy(F.asc_nulls_first("_x")).rowsBetween(Window.unboundedPreceding, 0)
-    position = F.get(F.array(*[F.lit(float(p)) for p in probs]), F.col("_i")) * (F.col("_n") - 1)
-    ranked = slots.withColumn("_cum", F.sum("_c").over(upto)).withColumn("_pos", position)
-    below, reach = F.max(F.when(F.col("_x").isNull(), F.col("_c")).otherwise(0)), F.max("_cum")
-    pick = ranked.groupBy(*keys, "_i", "_n", "_pos").agg(
-        F.min(F.when(F.col("_cum") > F.floor("_pos"), F.col("_x"))).alias("_a"),
-        F.min(F.when(F.col("_cum") > F.ceil("_pos"), F.col("_x"))).alias("_b"),
-        ((below <= F.floor("_pos")) & (reach > F.ceil("_pos"))).alias("_ok"))
-    exact = F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_pos") - F.floor("_pos"))
-    pick = pick.withColumn("_q", F.when(F.col("_ok"), exact)
-                           .otherwise(F.raise_error(F.lit("quantile bracket missed its rank")).cast("double")))
-    return pick.groupBy(*keys).agg(F.max("_n").alias("n"), *[
-        F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(f"q{i}") for i in range(len(probs))]).select(
-        *by, "n", *[f"q{i}" for i in range(len(probs))])
+    ranked = slots.repartition(*keys).withColumn("_cum", F.sum("_c").over(upto))
+    picks = [F.max("_n").alias("n")]
+    for i, p in enumerate(probs):
+        mine, pos = F.col("_i") == i, F.lit(float(p)) * (F.col("_n") - 1)
+        picks += [F.min(F.when(mine & (F.col("_cum") > F.floor(pos)), F.col("_x"))).alias(f"_a{i}"),
+                  F.min(F.when(mine & (F.col("_cum") > F.ceil(pos)), F.col("_x"))).alias(f"_b{i}"),
+                  F.max(F.when(mine & F.col("_x").isNull(), F.col("_c")).otherwise(0)).alias(f"_w{i}"),
+                  F.max(F.when(mine, F.col("_cum"))).alias(f"_r{i}")]
+    found = ranked.groupBy(*keys).agg(*picks)
+    out = []
+    for i, p in enumerate(probs):
+        pos = F.lit(float(p)) * (F.col("n") - 1)
+        inside = (F.col(f"_w{i}") <= F.floor(pos)) & (F.col(f"_r{i}") > F.ceil(pos))
+        exact = F.col(f"_a{i}") + (F.col(f"_b{i}") - F.col(f"_a{i}")) * (pos - F.floor(pos))
+        out.append(F.when(inside, exact).otherwise(F.raise_error(F.lit("quantile bracket missed its rank")).cast("double")).alias(f"q{i}"))
+    return found.select(*by, "n", *out)
 
 
 def quantile(df: DataFrame, value: Column, p: float) -> float | None:

@@ -42,7 +42,7 @@ class Head:
 
 
 def class_sums(df: DataFrame, vector: str = "e", by: str = "class_idx") -> DataFrame:
-    """(by, n, s): number of rows and sum vector per class. Batches are summed before the shuffle."""
+    """(by, i, n, x): number of rows and sum per class and dimension. Batches are summed before the shuffle."""
 
     def partial(batches):
         for b in batches:
@@ -59,15 +59,14 @@ def class_sums(df: DataFrame, vector: str = "e", by: str = "class_idx") -> DataF
 
     parts = df.select(F.col(by).cast("int").alias(by), vector).mapInArrow(partial, f"{by} int, n bigint, s array<double>")
     long = parts.select(by, "n", F.posexplode("s").alias("i", "x"))
-    per_dim = long.groupBy(by, "i").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
-    # one value per dimension and class
-    return per_dim.groupBy(by).agg(
-        F.max("n").alias("n"),
-        F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda t: t["x"]).alias("s"))
+    return long.groupBy(by, "i").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
 
 
 def class_centroids(df: DataFrame, vector: str = "e", by: str = "class_idx") -> DataFrame:
-    return class_sums(df, vector, by).select(by, "n", F.transform("s", lambda x: x / F.col("n")).alias("centroid"))
+    """(by, n, centroid): one value per dimension and class is gathered."""
+    return class_sums(df, vector, by).groupBy(by).agg(
+        F.max("n").alias("n"),
+        F.transform(F.array_sort(F.collect_list(F.struct("i", "x", "n"))), lambda t: t["x"] / t["n"]).alias("centroid"))
 
 
 def dimension_stats(df: DataFrame, vector: str = "e") -> DataFrame:
@@ -95,13 +94,12 @@ def dimension_stats(df: DataFrame, vector: str = "e") -> DataFrame:
 
 def centroid_head(df: DataFrame, classes: Sequence[str], scale: float = 8.0, vector: str = "e", by: str = "class_idx",
                   **settings) -> Head:
-    """A head whose weights are scaled class centroids; absent classes are zero rows. One row per class reaches the
-    driver."""
-    rows = class_centroids(df, vector, by).collect()
-    dim = len(rows[0].centroid)
-    w = np.zeros((len(classes), dim))
-    for row in rows:
-        w[row[by]] = scale * np.asarray(row.centroid)
+    """A head whose weights are scaled class centroids; absent classes are zero rows. Classes x dimensions numbers reach
+    the driver."""
+    cells = class_sums(df, vector, by).toArrow()
+    at = cells.column(by).to_numpy(), cells.column("i").to_numpy()
+    w = np.zeros((len(classes), int(at[1].max()) + 1))
+    w[at] = scale * cells.column("x").to_numpy() / cells.column("n").to_numpy()
     return Head(tuple(classes), w, np.zeros(len(classes)), **settings)
 
 

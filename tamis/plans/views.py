@@ -129,10 +129,10 @@ def scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, S.Head]:
     """All items with scores and distances, and the head with its cutoff from the calibration rows."""
     from tamis.operators.calibration import familiarity_cutoff
 
-    h = head(spark, sf_dir)
-    out = S.score(items(spark, sf_dir), h, reference(spark, sf_dir))
-    cut = familiarity_cutoff(out.where(f"split = 'calib' and class_idx <> {OTHER}"))
-    return out, h.with_settings(cutoff=cut)
+    h, ref = head(spark, sf_dir), reference(spark, sf_dir)
+    known = items(spark, sf_dir).where(f"split = 'calib' and class_idx <> {OTHER}")
+    cut = familiarity_cutoff(S.score(known, h, ref))  # only the calibration rows are scored for it
+    return S.score(items(spark, sf_dir), h, ref), h.with_settings(cutoff=cut)
 
 
 def decided(spark: SparkSession, sf_dir: str, exclusive: bool = False) -> DataFrame:
