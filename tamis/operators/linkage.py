@@ -87,17 +87,32 @@ def _nearest_clusters(clusters: DataFrame, block_rows: int) -> DataFrame:
         "c", (-F.col("t.o")).alias("other"), F.col("t.similarity").alias("similarity"))
 
 
-def _merge_rounds(points: DataFrame, cut: float, block_rows: int, max_rounds: int) -> DataFrame:
-    """(id, cluster) for points (id, component, s, size) of components too large for one task."""
+def _solver(cut: float):
+    """Finish the clusters of one component, at most the local limit of them, in one task: (id, cluster)."""
+
+    def solve(table: pa.Table) -> pa.Table:
+        table = table.sort_by("id")
+        ids = table.column("id").to_numpy()
+        owner = linkage_labels(matrix(table.column("s")), table.column("size").to_numpy(), cut)
+        return pa.table({"id": pa.array(ids), "cluster": pa.array(ids[owner])})
+
+    return solve
+
+
+def _merge_rounds(points: DataFrame, cut: float, local_limit: int, block_rows: int, max_rounds: int) -> DataFrame:
+    """(id, cluster) for points (id, component, s, size) of components too large for one task. Rounds go on until few
+    enough clusters are left in a component for one task to finish it."""
     clusters = cut_lineage(points.select(F.col("id").alias("c"), "component", "s", "size"))
-    merges = None
+    merges = points.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
     for _ in range(max_rounds):
-        near = cut_lineage(_nearest_clusters(clusters, block_rows).where(F.col("similarity") >= cut))
+        counts = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("k"))
+        large = clusters.join(counts.where(F.col("k") > local_limit), "component", "left_semi")
+        near = cut_lineage(_nearest_clusters(large, block_rows).where(F.col("similarity") >= cut))
         back = near.select(F.col("c").alias("other"), F.col("other").alias("c"))
         mutual = cut_lineage(near.join(back, ["c", "other"]).where("c < other").select("c", "other"))
         if mutual.isEmpty():
             break
-        merges = mutual if merges is None else merges.unionByName(mutual)
+        merges = merges.unionByName(mutual.select(F.col("c").alias("a"), F.col("other").alias("b")))
         gone = mutual.select(F.col("other").alias("c"), F.col("c").alias("into"))
         absorbed = clusters.join(gone, "c").select(F.col("into").alias("c"), F.col("s").alias("s2"), F.col("size").alias("n2"))
         rest = clusters.join(gone, "c", "left_anti").join(absorbed, "c", "left")
@@ -107,12 +122,12 @@ def _merge_rounds(points: DataFrame, cut: float, block_rows: int, max_rounds: in
             (F.col("size") + F.coalesce("n2", F.lit(0))).alias("size")))
     else:
         raise RuntimeError("linkage did not settle; raise max_rounds")
-    base = points.select("id")
-    if merges is None:
-        return base.select("id", F.col("id").alias("cluster"))
-    parts = connected_components(merges.select(F.col("c").alias("a"), F.col("other").alias("b")))
-    return base.join(parts, base["id"] == parts["node"], "left").select(
-        "id", F.coalesce("component", "id").alias("cluster"))
+    counts = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("k"))
+    few = clusters.join(counts.where(F.col("k") <= local_limit), "component", "left_semi").withColumnRenamed("c", "id")
+    last = few.groupBy("component").applyInArrow(_solver(cut), "id bigint, cluster bigint")
+    merges = merges.unionByName(last.select(F.col("id").alias("a"), F.col("cluster").alias("b")))
+    parts = connected_components(merges)
+    return points.select("id").join(parts, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("cluster"))
 
 
 def average_linkage_groups(df: DataFrame, cut: float, item_id: str = "item_id", vector: str = "e",
@@ -131,14 +146,8 @@ def average_linkage_groups(df: DataFrame, cut: float, item_id: str = "item_id",
     small = members.join(counts.where((F.col("n") > 1) & (F.col("n") <= local_limit)), "component", "left_semi")
     large = members.join(counts.where(F.col("n") > local_limit), "component", "left_semi")
 
-    def solve(table: pa.Table) -> pa.Table:
-        table = table.sort_by("id")
-        ids = table.column("id").to_numpy()
-        owner = linkage_labels(matrix(table.column("s")), table.column("size").to_numpy(), cut)
-        return pa.table({"id": pa.array(ids), "cluster": pa.array(ids[owner])})
-
-    local = small.groupBy("component").applyInArrow(solve, "id bigint, cluster bigint")
+    local = small.groupBy("component").applyInArrow(_solver(cut), "id bigint, cluster bigint")
     found = single.unionByName(local)
     if not large.isEmpty():
-        found = found.unionByName(_merge_rounds(large, cut, block_rows, max_rounds))
+        found = found.unionByName(_merge_rounds(large, cut, local_limit, block_rows, max_rounds))
     return same.join(found, same["rep"] == found["id"]).select(item_id, F.col("cluster").alias("unit"))

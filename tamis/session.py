@@ -45,9 +45,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise `df` in the reliable checkpoint folder, so that a lost executor does not replay a whole loop."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
+    """Write `df` as a table in the shared folder and read it back, so that a lost executor does not replay a whole loop.
+
+    A written table also drops the constraints that a checkpointed plan carries along; over many rounds of a loop their
+    inference costs more than the work itself."""
+    path = scratch_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -159,7 +159,7 @@ def average_linkage(s, cut):
 
 
 @pytest.mark.parametrize("cut", [0.7, 0.9])
-@pytest.mark.parametrize("limit", [1500, 3])
+@pytest.mark.parametrize("limit", [1500, 12])
 def test_average_linkage(spark, cut, limit):
     v = vectors(n=60, seed=8)
     got = {}
