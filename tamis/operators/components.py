@@ -40,10 +40,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 def copy_groups(df: DataFrame, tau: float, item_id: str = "item_id", vector: str = "e", strict: bool = True,
-                cell_rows: int = CELL_ROWS, block_rows: int = BLOCK_ROWS, max_pivots: int = MAX_PIVOTS) -> DataFrame:
+                cell_rows: int = CELL_ROWS, block_rows: int = BLOCK_ROWS, max_pivots: int = MAX_PIVOTS,
+                same: DataFrame | None = None) -> DataFrame:
     """(item_id, copy_group): rows linked by a chain of near copies share a group, named by its smallest id; a row
-    without copies keeps its own."""
-    same = cut_lineage(copy_map(df.select(item_id, vector), item_id, vector))
+    without copies keeps its own. `same`: the map of identical copies, when the caller already has it."""
+    if same is None:
+        same = cut_lineage(copy_map(df.select(item_id, vector), item_id, vector))
     reps = df.join(same.where(F.col(item_id) == F.col("rep")).select(item_id), item_id, "left_semi").select(item_id, vector)
     found = connected_components(connected_blocks(reps, tau, item_id, vector, strict, cell_rows, block_rows, max_pivots))
     return same.join(found, same["rep"] == found["node"], "left").select(

@@ -135,7 +135,7 @@ def average_linkage_groups(df: DataFrame, cut: float, item_id: str = "item_id",
     """(item_id, unit): the average-linkage cluster of each row at similarity >= cut, named by its smallest id."""
     same = cut_lineage(copy_map(df.select(item_id, vector), item_id, vector))
     copies = same.groupBy("rep").agg(F.count(F.lit(1)).alias("size"))
-    groups = copy_groups(df, cut, item_id, vector, strict=False)
+    groups = copy_groups(df, cut, item_id, vector, strict=False, same=same)
     unit = V.l2_normalise(F.col(vector))
     points = (df.select(F.col(item_id).alias("rep"), unit.alias("u")).join(copies, "rep")
               .join(groups.select(F.col(item_id).alias("rep"), F.col("copy_group").alias("component")), "rep")

@@ -186,6 +186,14 @@ def blocked_neighbours(queries: DataFrame, reference: DataFrame, k: int, item_id
     have = F.create_map(*[F.lit(x) for c, p in parts.items() for x in (c, p)])
     first = asked.withColumn("part", F.pmod(F.xxhash64("id", F.lit(37)), F.coalesce(F.try_element_at(have, "cell"), F.lit(1)))
                              .cast("int"))
+    order = Window.partitionBy("id").orderBy(F.desc("similarity"), "ref_id")
+
+    def ranked(found: DataFrame) -> DataFrame:
+        return (found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+                .select(F.col("id").cast(kind).alias(item_id), "ref_id", "similarity", "rank"))
+
+    if sum(parts.values()) == 1:
+        return ranked(meet(first))  # the home block is the whole reference
     seed = cut_lineage(meet(first))
     bound = seed.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("similarity").alias("low")).select(
         "id", F.when(F.col("n") >= k, F.col("low")).alias("low"))
@@ -222,10 +230,7 @@ def blocked_neighbours(queries: DataFrame, reference: DataFrame, k: int, item_id
     wanted = open_q.mapInArrow(spread, ask_schema)
     done = first.select("id", "cell", "part")
     rest = wanted.join(done, ["id", "cell", "part"], "left_anti")
-    every = seed.unionByName(meet(rest))
-    order = Window.partitionBy("id").orderBy(F.desc("similarity"), "ref_id")
-    return (every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-            .select(F.col("id").cast(kind).alias(item_id), "ref_id", "similarity", "rank"))
+    return ranked(seed.unionByName(meet(rest)))
 
 
 def knn_join(queries: DataFrame, reference: DataFrame, k: int, item_id: str = "item_id", vector: str = "e",
