@@ -14,12 +14,13 @@ from tamis.operators.ranks import exact_quantiles
 def answers_with_key(answers: DataFrame, key: DataFrame, rater: str = "rater", item: str = "item_id") -> DataFrame:
     """Every rater with every item of the key, null where an answer is missing. Items outside the key are dropped.
 
-    The answers that exist are joined on the item; the missing ones are then made up from the list of raters, which is
-    small, and found by an anti-join."""
+    The answers that exist are joined on the item. The result holds every rater with every item by definition; the
+    combinations are made by an equality join over slots, each rater in one slot and each item in all of them."""
     have = answers.join(key, item)
-    raters = answers.select(rater).distinct().agg(F.collect_set(rater).alias("_all"))
-    # one row: the list of raters
-    wanted = key.join(F.broadcast(raters)).select(*key.columns, F.explode("_all").alias(rater))
+    slots = 16
+    raters = answers.select(rater).distinct().withColumn("_slot", F.pmod(F.xxhash64(rater), F.lit(slots)).cast("int"))
+    offered = key.withColumn("_slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
+    wanted = offered.join(raters, "_slot").select(*key.columns, rater)
     missing = wanted.join(have.select(rater, item), [rater, item], "left_anti")
     return have.select(rater, *key.columns, "answer").unionByName(
         missing.select(rater, *key.columns, F.lit(None).cast("string").alias("answer")))

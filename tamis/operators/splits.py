@@ -78,8 +78,12 @@ def one_per_group(df: DataFrame, group: str, item_id: str, seed: str, by: Sequen
 
 def nested_prefixes(df: DataFrame, order: Column, sizes: Sequence[int], by: Sequence[str] = (), tie: str | None = None) -> DataFrame:
     """For each size k the first k rows of one order, so the sets nest: rows with columns k and rn."""
-    scope = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_h", *([tie] if tie else []))
-    top = df.withColumn("_h", order).withColumn("rn", F.row_number().over(scope)).where(F.col("rn") <= max(sizes))
+    keyed = df.withColumn("_h", order)
+    place = ["_h", *([tie] if tie else [])]
+    if not by:
+        keyed = keyed.orderBy(*place).limit(max(sizes))  # the k first rows are the feature
+    scope = Window.partitionBy(*(by or [F.lit(0)])).orderBy(*place)
+    top = keyed.withColumn("rn", F.row_number().over(scope)).where(F.col("rn") <= max(sizes))
     wanted = F.array(*[F.lit(int(k)) for k in sizes])
     return top.drop("_h").withColumn("k", F.explode(F.filter(wanted, lambda k: k >= F.col("rn"))))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tamis.functions import vectors as V
 from tamis.operators import shrinkage as SH
 from tamis.operators import validation as VAL
+from tamis.operators.scoring import stratified_reference
 from tamis.plans import views as W
 from tamis.plans.aggregate_queries import CLASSES, ROLLUP_SQL, VISIT_SQL, rounded
 from tamis.plans.calibration_queries import POSTERIOR_SQL, PRIOR_SQL
@@ -65,7 +66,7 @@ def s04(spark, sf):
 def s04_folders(spark, sf):
     """Files below folders named by language; the number of files is the writer's choice, so folders are counted."""
     path = scratch_path(spark, "folders")
-    W.table(spark, sf, "documents").select("text", "lang").repartition("lang").write.partitionBy("lang").text(path)
+    W.table(spark, sf, "documents").select("text", "lang").write.partitionBy("lang").text(path)
     names = {"lang=en": "healthy", "lang=fr": "rust", "lang=de": "rust"}
     found = I.read_labelled_folders(spark, path, names, suffixes=("txt",))
     return found.groupBy("label").agg(F.count_distinct(F.regexp_extract("path", "([^/]+)/[^/]+$", 1)).alias("folders"))
@@ -94,12 +95,12 @@ def s07(spark, sf):
 
 
 def _updates(spark, sf):
-    """One good update and two that must be refused, from the calibration rows."""
+    """One good update and two that must be refused, from up to 50 calibration rows per class: an update is small."""
     head = W.head(spark, sf)
-    rows = W.items(spark, sf).where("split = 'calib'")
+    rows = stratified_reference(W.items(spark, sf).where("split = 'calib'"), 50, seed="update")
     added = H.build_reference(rows)
     labels = rows.select(F.col("item_id").alias("ref_id"), F.col("class_idx").cast("string").alias("label"))
-    notes = W.table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("id"), F.lit("en").alias("lang"))
+    notes = W.table(spark, sf, "benchmark").orderBy("item_id").limit(50).select(F.col("item_id").cast("string").alias("id"), F.lit("en").alias("lang"))
     root = scratch_path(spark, "updates")
     H.export_update(spark, head, head, added, labels, notes, f"{root}/good")
     H.export_update(spark, head.with_settings(version="older"), head, added.limit(1), labels.limit(1), None, f"{root}/stale")
@@ -108,8 +109,8 @@ def _updates(spark, sf):
 
 
 @query("s08_export_update", W.with_views("unit", _QUANT + """
-  SELECT count(*)::INT AS n_labels, count(*)::INT AS n_rows, round(sum(list_sum(q) * scale::DOUBLE), 4) AS total, (SELECT count(*)::INT FROM benchmark) AS corrections
-  FROM qt JOIN (SELECT item_id FROM items WHERE split = 'calib') USING (item_id)"""))
+  SELECT count(*)::INT AS n_labels, count(*)::INT AS n_rows, round(sum(list_sum(q) * scale::DOUBLE), 4) AS total, (SELECT least(50, count(*))::INT FROM benchmark) AS corrections
+  FROM qt JOIN (SELECT item_id FROM (SELECT item_id, row_number() OVER (PARTITION BY class_idx ORDER BY md5('update|' || item_id), item_id) AS rn FROM items WHERE split = 'calib') WHERE rn <= 50) USING (item_id)"""))
 def s08(spark, sf):
     head, updates = _updates(spark, sf)
     good, _ = H.check_updates(updates, head.version, head.classes, head.dim)
@@ -118,7 +119,7 @@ def s08(spark, sf):
                        F.size("wording_corrections").alias("corrections"))
 
 
-@query("s09_import_updates", W.with_views("unit", _QUANT + """, ok AS (SELECT count(*) AS n, round(sum(list_sum(e)), 4) AS total FROM dq JOIN (SELECT item_id FROM items WHERE split = 'calib') USING (item_id))
+@query("s09_import_updates", W.with_views("unit", _QUANT + """, ok AS (SELECT count(*) AS n, round(sum(list_sum(e)), 4) AS total FROM dq JOIN (SELECT item_id FROM (SELECT item_id, row_number() OVER (PARTITION BY class_idx ORDER BY md5('update|' || item_id), item_id) AS rn FROM items WHERE split = 'calib') WHERE rn <= 50) USING (item_id))
   SELECT 'accepted' AS outcome, n, total FROM ok UNION ALL VALUES ('made for another head', 1, NULL), ('weights do not match', 1, NULL)"""))
 def s09(spark, sf):
     head, updates = _updates(spark, sf)
@@ -128,37 +129,24 @@ def s09(spark, sf):
         bad.groupBy(F.col("reason").alias("outcome")).agg(F.count(F.lit(1)).alias("n")), allowMissingColumns=True)
 
 
-@query("s10_rater_files", W.with_views("answers", """SELECT lower(rater) AS rater, item_id::VARCHAR AS item_id, answer, round(seconds, 6) AS seconds FROM answers"""))
+@query("s10_rater_files", W.with_views("answers", """SELECT lower(rater) || ' ' || (item_id // 100) AS rater, item_id::VARCHAR AS item_id, answer,
+  round(seconds, 6) AS seconds FROM answers"""))
 def s10(spark, sf):
-    """Newest valid file per rater: the older copy holds other answers and must not show."""
+    """Newest valid document per rater. A rater answers up to 100 items; the older copy holds fewer answers and must not show."""
     root = scratch_path(spark, "raters")
-    rows = W.answers(spark, sf)
     entry = F.struct(F.col("item_id").cast("string").alias("id"), "answer", "seconds", "changed")
-    whole = rows.groupBy("rater").agg(F.collect_list(entry).alias("answers"))  # a file holds one rater's answers by definition
-    for stamp, keep in (("20240101-000000", F.slice("answers", 1, 1)), ("20240201-000000", F.col("answers"))):
-        for rater in ("A", "B"):
-            doc = whole.where(F.col("rater") == rater).select(F.lit("set1").alias("set"), F.concat(F.lit("  "), F.col("rater"), F.lit(" ")).alias("name"),
-                                                              F.lit("x").alias("user_agent"), keep.alias("answers"))
-            _one_file(spark, doc.select(F.to_json(F.struct("*")).alias("value")), root, f"r{rater}--{stamp}.json")
-    _one_file(spark, spark.createDataFrame([("{not json",)], "value string"), root, "broken--20240301-000000.json")
+    whole = W.answers(spark, sf).groupBy("rater", F.floor(F.col("item_id") / 100).alias("k")).agg(F.collect_list(entry).alias("answers"))
+    name = F.concat(F.lit("  "), F.col("rater"), F.lit("  "), F.col("k"), F.lit(" "))
+    for stamp, keep in (("2024-01-01T00:00:00", F.slice("answers", 1, 1)), ("2024-02-01T00:00:00", F.col("answers"))):
+        doc = whole.select(F.lit("set1").alias("set"), name.alias("name"), F.lit(stamp).alias("sent_at"), keep.alias("answers"))
+        doc.select(F.to_json(F.struct("*")).alias("value")).write.mode("append").text(root)
+    spark.createDataFrame([("{not json",), ('{"set": "set2", "name": "x"}',), ('{"set": "set1", "name": " "}',)], "value string").write.mode("append").text(root)
     answers, skipped = RS.read_rater_files(spark, root, "set1")
-    if skipped.count() != 1:
-        raise ValueError("the unreadable file must be skipped")
+    if {r.reason for r in skipped.collect()} != {"unreadable", "another set", "no name"}:  # the three bad documents above
+        raise ValueError("bad documents must be skipped with their reason")
     return rounded(answers.select("rater", "item_id", "answer", "seconds"))
 
 
-def _one_file(spark, df, root, name):
-    """Write one line of text under a given file name, through the file system of the session."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    part = scratch_path(spark, "part")
-    df.coalesce(1).write.text(part)
-    src = hadoop.Path(part)
-    fs = src.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.mkdirs(hadoop.Path(root))
-    found = fs.globStatus(hadoop.Path(part + "/part-*"))[0].getPath()
-    fs.rename(found, hadoop.Path(f"{root}/{name}"))
-
-
 @query("s11_visit_export", W.with_views("plots finals", VISIT_SQL + """,
   g AS (SELECT *, CASE WHEN plot_id % 13 = 0 THEN '=1+' || village ELSE village END AS v2, TIMESTAMP '2024-01-01' + to_days((plot_id % 50)::INT) AS created FROM plots WHERE NOT synthetic)
   SELECT g.plot_id::VARCHAR AS plot_id, regexp_replace(v2, '^([=+@\\t\\r-])', '''\\1') AS village, strftime(created, '%Y-%m-%d') AS visit_date, g.status,

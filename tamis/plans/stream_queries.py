@@ -16,7 +16,7 @@ from tamis.streaming import jobs as J
 def t01(spark, sf):
     _, head = W.scored(spark, sf)
     items = W.items(spark, sf)
-    stream = J.read_stream(spark, J.split_files(items, 4, "item_id"), items.schema, 2)
+    stream = J.arrivals(items, "item_id")
     out = scratch_path(spark, "scored")
     J.run_available(J.score_and_route(stream, head, W.reference(spark, sf)).select("item_id", "top", "answered", "reason"), out, scratch_path(spark, "cp"))
     return spark.read.schema("item_id bigint, top int, answered boolean, reason string").parquet(out)
@@ -30,7 +30,7 @@ def t02(spark, sf):
     first = photos.withColumn("officer_label", F.lit(None).cast("string"))
     second = photos.where("officer_label is not null").withColumn("seq", F.col("seq") + 40 * 86400)
     changes = first.unionByName(second)
-    stream = J.read_stream(spark, J.split_files(changes, 4, "seq"), changes.schema, 2)
+    stream = J.arrivals(changes, "seq")
     out = scratch_path(spark, "log")
     J.run_batches(stream, J.batch_log(out), scratch_path(spark, "cp"), "append")
     log = spark.read.schema(changes.schema).parquet(out)
@@ -45,7 +45,7 @@ _WINDOWS = """AND b AS (SELECT grp, time_bucket(INTERVAL 7 DAY, ts, TIMESTAMP '1
 @query("t03_stream_group_rollup", W.with_views("ev", _WINDOWS))
 def t03(spark, sf):
     ev = W.ev(spark, sf).select("ts", "grp", "flagged")
-    stream = J.read_stream(spark, J.split_files(ev, 4, "ts"), ev.schema, 2)
+    stream = J.arrivals(ev, "ts")
     out = scratch_path(spark, "windows")
     J.run_available(J.group_windows(stream, "ts", "grp", F.col("flagged")), out, scratch_path(spark, "cp"))
     return spark.read.schema("grp bigint, start timestamp, end timestamp, n bigint, x bigint").parquet(out)
@@ -55,7 +55,7 @@ def t03(spark, sf):
   PARTITION BY grp ORDER BY date_trunc('hour', ts) DESC, event_id) AS rn FROM ev) WHERE rn = 1"""))
 def t04(spark, sf):
     ev = W.ev(spark, sf).select("grp", "event_id", "event_type", F.unix_seconds(F.date_trunc("hour", "ts")).alias("stamp"))
-    stream = J.read_stream(spark, J.split_files(ev, 4, "event_id"), ev.schema, 2)
+    stream = J.arrivals(ev, "event_id")
     out = scratch_path(spark, "latest")
     newest = J.latest_submission(stream, "grp", "stamp", "event_id").select("_r.*")
     J.run_batches(newest, J.batch_log(out), scratch_path(spark, "cp"))
@@ -68,7 +68,7 @@ def t05(spark, sf):
     """The same records arrive twice; each is kept once."""
     ev = W.ev(spark, sf).select("grp", "event_type", F.date_trunc("hour", "ts").alias("created"), "event_id")
     twice = ev.unionByName(ev.withColumn("event_id", F.col("event_id") + 1_000_000_000))
-    stream = J.read_stream(spark, J.split_files(twice, 4, "event_id"), twice.schema, 1)
+    stream = J.arrivals(twice, "event_id")
     out = scratch_path(spark, "corrections")
     once = J.merge_once(stream, ["grp", "event_type", "created"], "created").select("grp", "event_type", "created")
     J.run_available(once, out, scratch_path(spark, "cp"))
@@ -83,7 +83,7 @@ def t06(spark, sf):
         "photo_id", "officer_label", (F.col("created") + F.expr("interval 400 days")).alias("ts"))
     kept = []
     for rows in (photos, labels):
-        stream = J.read_stream(spark, J.split_files(rows, 4, "ts"), rows.schema, 2)
+        stream = J.arrivals(rows, "ts")
         out = scratch_path(spark, "log")
         J.run_batches(stream, J.batch_log(out), scratch_path(spark, "cp"), "append")
         kept.append(spark.read.schema(rows.schema).parquet(out))

@@ -91,9 +91,10 @@ def export_update(spark: SparkSession, base: Head, adapted: Head, added: DataFra
     """One update document: adapted weights, added reference rows, labels, corrections.
 
     The document is one JSON value by definition, so the number of rows it may carry is checked first."""
-    n = added.count()
-    if n > max_rows:
-        raise ValueError(f"{n} reference rows do not fit one update document; send the reference table instead")
+    for part in (added, labels, corrections):
+        n = 0 if part is None else part.count()
+        if n > max_rows:
+            raise ValueError(f"{n} rows do not fit one update document; send them as a table instead")
     head = spark.createDataFrame([(UPDATE_KIND, base.version, source, [[round(float(x), 6) for x in r] for r in adapted.weights],
                                    [round(float(x), 6) for x in adapted.bias])],
                                  "kind string, base_version string, source string, W array<array<double>>, b array<double>")

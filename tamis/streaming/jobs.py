@@ -72,8 +72,10 @@ def merge_once(stream: DataFrame, keys: list[str], ts: str, late: str = "60 days
     return stream.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
 
 
-def split_files(df: DataFrame, files: int, order: str) -> str:
-    """Write a table as several files in arrival order and return the folder: the source of a streaming run."""
+def arrivals(df: DataFrame, order: str, least: int = 4) -> DataFrame:
+    """A table replayed as a stream: written in arrival order as several files and read back in about two batches. There
+    are as many files as the table has scan partitions, and at least `least`."""
+    files = max(least, df.rdd.getNumPartitions())
     path = scratch_path(df.sparkSession, "arrivals")
     df.repartitionByRange(files, order).sortWithinPartitions(order).write.parquet(path)
-    return path
+    return read_stream(df.sparkSession, path, df.schema, -(-files // 2))
