@@ -264,25 +264,28 @@ def a18(spark, sf):
     return rounded(RT.pairwise_agreement(RT.rater_pairs(keyed(spark, sf))))
 
 
-def error_rates(pairs, by):
-    """Character and word errors per pair. The pairs are spread by their own key first: each is costly and small."""
-    edits = pairs.repartition("conv_id", "turn").select(*by, F.levenshtein("ref", "hyp").alias("ce"), F.length("ref").alias("cl"),
-                          T.word_distance(T.words(F.col("ref")), T.words(F.col("hyp"))).alias("we"), F.size(T.words(F.col("ref"))).alias("wl"))
-    return edits
+def spread_pairs(spark, sf):
+    """The pairs over all shuffle partitions: each pair is small but costly, so they must not be packed by size."""
+    return W.pairs(spark, sf).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "conv_id", "turn")
+
+
+def error_rates(pairs):
+    """Character and word errors per pair."""
+    return pairs.select(F.levenshtein("ref", "hyp").alias("ce"), F.length("ref").alias("cl"),
+                        T.word_distance(T.words(F.col("ref")), T.words(F.col("hyp"))).alias("we"), F.size(T.words(F.col("ref"))).alias("wl"))
 
 
 @query("a19_character_errors", W.with_views("pairs", """SELECT conv_id, count(*) AS n, sum(length(ref))::BIGINT AS n_chars,
   round(sum(levenshtein(ref, hyp)) / sum(length(ref)), 6) AS cer FROM pairs GROUP BY 1"""))
 def a19(spark, sf):
-    pairs = W.pairs(spark, sf).repartition("conv_id", "turn")
-    edits = pairs.select("conv_id", F.levenshtein("ref", "hyp").alias("d"), F.length("ref").alias("l"))
+    edits = spread_pairs(spark, sf).select("conv_id", F.levenshtein("ref", "hyp").alias("d"), F.length("ref").alias("l"))
     return rounded(edits.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.sum("l").alias("n_chars"),
                                                (F.sum("d") / F.sum("l")).alias("cer")))
 
 
 @query("a19_word_errors")
 def a19_words(spark, sf):
-    edits = error_rates(W.pairs(spark, sf), ["conv_id"])
+    edits = error_rates(spread_pairs(spark, sf))
     return rounded(edits.agg(F.count(F.lit(1)).alias("n"), F.sum("wl").alias("n_words"), (F.sum("we") / F.sum("wl")).alias("wer"),
                              (F.sum("ce") / F.sum("cl")).alias("cer")))
 

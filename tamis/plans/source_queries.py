@@ -163,10 +163,11 @@ def s11(spark, sf):
 
 @query("s12_group_ranking_export", W.with_views("plots finals", ROLLUP_SQL + "," + PRIOR_SQL.format(g="roll")[4:]
        + POSTERIOR_SQL.format(key="village_key", g="roll") + """
-  SELECT village, roll.n::VARCHAR AS answered, roll.x::VARCHAR AS flagged, coalesce(printf('%.4f', roll.x / nullif(roll.n, 0)), '') AS raw,
-    coalesce(printf('%.4f', pa / (pa + pb)), '') AS adjusted, coalesce(p_above > 0.5, false)::VARCHAR AS alert, 'fitted' AS prior_source
+  SELECT village, roll.n::VARCHAR AS answered, roll.x::VARCHAR AS flagged, coalesce(printf('%.4f', round(roll.x / nullif(roll.n, 0), 4)), '') AS raw,
+    coalesce(printf('%.4f', round(pa / (pa + pb), 4)), '') AS adjusted, coalesce(p_above > 0.5, false)::VARCHAR AS alert, 'fitted' AS prior_source
   FROM roll LEFT JOIN post USING (village_key) LEFT JOIN above USING (pa, pb)"""))
 def s12(spark, sf):
+    """Four places, a tie at the fifth going up as in the original export; `printf` alone would take the even digit."""
     from tamis.operators import review as R
 
     roll = R.group_rollup(W.plots(spark, sf), W.photos(spark, sf))
