@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tamis.llm import budget, idfiles, packing, pieces
+from tamis.llm import budget, idfiles, linedup, neardup, packing, pieces
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -19,6 +19,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@_query
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near-duplicate documents by a chosen-path similarity join."""
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 @_query
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every document by merge rounds and decode its ids."""
@@ -31,6 +37,12 @@ def op3_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
 
+@_query
+def op4_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near-equal lines over all documents, and which line of each stays."""
+    return linedup.line_groups(_table(spark, sf_dir, "documents"))
+
+
 @_query
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document from the counts at its prefixes, and where to cut it for 2048."""
