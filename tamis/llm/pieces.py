@@ -60,6 +60,8 @@ class PieceTokens:
         if unknown is not None:
             outs[unknown] = " ⁇ ".encode()
         self.is_byte = byte
+        self.is_foreign = np.zeros(n, bool)  # bytes of characters outside ASCII
+        self.is_foreign[self.of_byte[128:]] = True
         self.is_control = np.array([model.is_control(i) for i in range(n)])
         self.out_flat = np.frombuffer(b"".join(outs), np.uint8)
         self.out_length = np.fromiter(map(len, outs), np.int64, n)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tamis.llm import budget, idfiles, linedup, neardup, packing, pieces
+from tamis.llm import budget, codes, idfiles, linedup, neardup, packing, pieces, quality, secrets, warc
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -49,7 +50,42 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return budget.token_budget(_table(spark, sf_dir, "documents"))
 
 
+@_query
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document, with the ownership frequency of their values."""
+    return secrets.span_report(secrets.scan(_table(spark, sf_dir, "documents")))
+
+
 @_query
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write the token ids of all documents with Elias-Fano boundaries and read them back."""
     return idfiles.read_documents(spark, idfiles.write_ids(_table(spark, sf_dir, "documents")))
+
+
+@_query
+def op8_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest sign codes to every hundredth vector, among all vectors."""
+    rows = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), codes.sign_code(F.col("embedding")).alias("code"))
+    return codes.nearest_codes(rows, rows.where("id % 100 = 0"))
+
+
+ORACLES["op8_hamming_topk"] = """
+WITH c AS (SELECT vec_id, array_to_string(list_transform(embedding, lambda x: CASE WHEN x > 0 AND NOT isnan(x) THEN '1' ELSE '0' END), '')::BIT AS code
+           FROM embeddings WHERE embedding IS NOT NULL),
+     d AS (SELECT q.vec_id AS query_id, r.vec_id AS id, CAST(bit_count(xor(q.code, r.code)) AS INTEGER) AS distance
+           FROM c q JOIN c r ON q.vec_id % 100 = 0 AND q.vec_id <> r.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS INTEGER) AS rank, id, distance
+FROM d QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, id) <= 10
+"""
+
+
+@_query
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts, tokeniser fertility and verdict for every document."""
+    return quality.quality(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write every page as a WARC record, equal payloads as revisits, and read the archives back."""
+    return warc.page_records(warc.read_warc(spark, warc.write_warc(_table(spark, sf_dir, "pages"))))
