@@ -169,3 +169,14 @@ def _band_rows(items: DataFrame, wanted: KeyFilter | None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids)], ["node", "id"])
 
     return items.mapInArrow(run, "node bigint, id bigint")
+
+
+def without_repeats(docs: DataFrame, groups: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """`docs` without the lines that `groups` (from `line_groups`) doesn't keep. A document whose every line with content goes is left
+    out: all of it stands elsewhere. Documents that lose no line stay as they are, rows with a null id as well."""
+    lost = groups.where("not kept and doc_id is not null").groupBy("doc_id").agg(F.collect_set("line").alias("_lost")).withColumnRenamed(
+        "doc_id", "_doc")
+    rows = docs.join(lost, F.col(doc_id) == F.col("_doc"), "left")
+    rest = F.array_join(F.filter(F.split(F.col(text), "\n", -1), lambda x, i: ~F.array_contains("_lost", i)), "\n")
+    cut = rows.withColumn(text, F.when(F.col("_lost").isNull(), F.col(text)).otherwise(rest))
+    return cut.where(F.col("_lost").isNull() | F.col(text).rlike("[^\\x20\\x09-\\x0D]")).select(docs.columns)

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tamis.llm.flat import plain_words, slices, spans_outside, sums, text_bytes
 from tamis.llm.hashing import mix, span_hashes, windows
@@ -106,35 +107,56 @@ def fertility(ids: np.ndarray, offsets: np.ndarray, characters: np.ndarray, is_b
     return characters / safe, sums(is_byte[ids], offsets) / safe, np.maximum(entropy, 0.0)
 
 
-def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", model: str = MODEL,
-            languages: dict[str, Band] = LANGUAGES, scripts: dict[str, Band] = SCRIPTS, least_words: int = LEAST_WORDS,
-            repeat_percent: int = REPEAT_PERCENT) -> DataFrame:
-    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, chars_per_token, byte_share, entropy,
-    band) of every whole text; all are measured, those that fail the base rules as well.
+@dataclass(frozen=True)
+class Rules:
+    """Limits and bands of the verdict."""
+
+    model: str = MODEL
+    least_words: int = LEAST_WORDS
+    repeat_percent: int = REPEAT_PERCENT
+    languages: tuple[tuple[str, Band], ...] = tuple(LANGUAGES.items())
+    scripts: tuple[tuple[str, Band], ...] = tuple(SCRIPTS.items())
+
+    def judge(self, text: pa.Array, lang: pa.Array) -> pa.StructArray:
+        """The fields of VERDICT for each text."""
+        coder, languages, scripts = piece_tokens(self.model), dict(self.languages), dict(self.scripts)
+        body, offsets = text_bytes(text)
+        out = base_counts(body, offsets)
+        n = out["n_words"]
+        failed = (n < self.least_words) | (100 * out["n_repeat_words"] > self.repeat_percent * n)
+        ids, at = coder.encode(body, offsets)
+        characters, share, entropy = fertility(ids, at, sums((body & 0xC0) != 0x80, offsets), coder.is_foreign)
+        names = list(scripts)
+        labels = [x if x in languages else names[s] for x, s in zip(lang.to_pylist(), _script(body, offsets).tolist(), strict=True)]
+        bands = [languages.get(x) or scripts[x] for x in labels]
+        low, high, most, least = np.array([(*b.characters, b.most_bytes, b.least_entropy) for b in bands]).T.reshape(4, -1)
+        fits = (characters >= low) & (characters <= high) & (share <= most) & (entropy >= least)
+        columns = [*[pa.array(out[k].astype(np.int64)) for k in _FIELDS], pa.array(failed), pa.array(fits & ~failed), pa.array(characters),
+                   pa.array(share), pa.array(entropy), pa.array(labels, pa.string())]
+        return pa.StructArray.from_arrays(columns, [*_FIELDS, "base_failed", "kept", "chars_per_token", "byte_share", "entropy", "band"])
+
+
+VERDICT = ", ".join(f"{k}: bigint" for k in _FIELDS) + (
+    ", base_failed: boolean, kept: boolean, chars_per_token: double, byte_share: double, entropy: double, band: string")
+
 
-    A null or empty text has no words and fails. A language without a band (null too) takes the band of the text's script. Repeated
-    rows come once each. Other columns are left out."""
+def judged(docs: DataFrame, verdict: str = "verdict", text: str = "text", lang: str = "lang", rules: Rules = Rules()) -> DataFrame:
+    """`docs` with a struct column `verdict` (fields of VERDICT); no row or column is lost and nothing is shuffled. An earlier column of
+    that name is replaced.
+
+    A null or empty text has no words and fails. A language without a band (null too) takes the band of the text's script."""
+    kept = [c for c in docs.columns if c != verdict]
 
     def run(batches):
-        coder = piece_tokens(model)
-        names = list(scripts)
-        for part in slices(batches):
-            body, offsets = text_bytes(part.column("text"))
-            out = base_counts(body, offsets)
-            n = out["n_words"]
-            failed = (n < least_words) | (100 * out["n_repeat_words"] > repeat_percent * n)
-            ids, at = coder.encode(body, offsets)
-            characters, share, entropy = fertility(ids, at, sums((body & 0xC0) != 0x80, offsets), coder.is_foreign)
-            of_script = _script(body, offsets)
-            labels = [x if x in languages else names[s] for x, s in zip(part.column("lang").to_pylist(), of_script.tolist(), strict=True)]
-            bands = [languages.get(x) or scripts[x] for x in labels]
-            low, high, most, least = (np.array(x) for x in zip(*[(*b.characters, b.most_bytes, b.least_entropy) for b in bands], strict=True))
-            fits = (characters >= low) & (characters <= high) & (share <= most) & (entropy >= least)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[pa.array(out[k].astype(np.int64)) for k in _FIELDS], pa.array(failed), pa.array(
-                fits & ~failed), pa.array(characters), pa.array(share), pa.array(entropy), pa.array(labels, pa.string())], names_out)
+        for part in slices(batches, text):
+            yield pa.RecordBatch.from_arrays([*part.columns, rules.judge(part.column(text), part.column(lang))], [*part.schema.names, verdict])
+
+    rows = docs.select(*kept)
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *T.StructType.fromDDL(f"{verdict} struct<{VERDICT}>").fields]))
+
 
+def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", rules: Rules = Rules()) -> DataFrame:
+    """(doc_id and the fields of VERDICT) for every whole text; all are measured, those that fail the base rules as well. Repeated rows
+    come once each. Other columns are left out."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
-    names_out = ["doc_id", *_FIELDS, "base_failed", "kept", "chars_per_token", "byte_share", "entropy", "band"]
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{k} bigint" for k in _FIELDS)
-                           + ", base_failed boolean, kept boolean, chars_per_token double, byte_share double, entropy double, band string")
+    return judged(rows, rules=rules).select("doc_id", "verdict.*")

@@ -139,3 +139,11 @@ def redacted(text: Column, secrets: Column, mark: str = "[SECRET]") -> Column:
 
     return F.when(F.size(live) == 0, text).otherwise(F.aggregate(live, start, step, lambda s: F.concat(
         s["out"], F.substring(text, s["at"] + 1, F.length(text)))))
+
+
+def without_secrets(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text", mark: str = "[SECRET]") -> DataFrame:
+    """`docs` with the live secrets of `found` (from `scan`) marked over in the text. All rows stay; copied examples stay as they are."""
+    live = found.where(F.exists("secrets", lambda s: s["live"])).select(F.col("row").alias("_row"), F.col("secrets").alias("_secrets")).dropDuplicates(["_row"])
+    row = F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.lit(":"), F.col(text)))
+    rows = docs.withColumn("_key", row).join(live, F.col("_key") == F.col("_row"), "left")
+    return rows.withColumn(text, F.when(F.col("_secrets").isNull(), F.col(text)).otherwise(redacted(F.col(text), F.col("_secrets"), mark))).select(docs.columns)
