@@ -62,7 +62,8 @@ def in_queue(not_sure: Column, spot_check: Column, disputed: Column, human: Colu
 def spot_check(item_id: Column, is_answered: Column, rate: float = SPOT_CHECK_RATE, seed: int = 0) -> Column:
     """A repeatable share of the answered rows, drawn by hash so that retries choose the same rows."""
     buckets = 1_000_000
-    return is_answered & (F.pmod(F.xxhash64(item_id, F.lit(seed)), F.lit(buckets)) < int(rate * buckets))
+    digest = F.md5(F.concat(F.lit(f"{seed}|"), item_id.cast("string")))
+    return is_answered & (F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") % buckets < int(rate * buckets))
 
 
 def decode_codes(code: Column, names: Mapping[str, str]) -> Column:

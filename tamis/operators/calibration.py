@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tamis.functions.numeric import matrix
 from tamis.operators.metrics import share
-from tamis.operators.ranks import exact_quantiles, quantile
+from tamis.operators.ranks import exact_quantiles, join_on, quantile
 
 THRESHOLDS = [0.3 + i * 0.69 / 69 for i in range(70)]
 TARGET_ACCURACY = 0.90
@@ -95,7 +95,12 @@ def select_threshold(decided: DataFrame, truth: str, target: float = TARGET_ACCU
     """(by..., threshold): the smallest grid point with enough answers and accuracy, 0.0 when none passes."""
     curve = threshold_curve(decided, truth, by=by, mask=mask)
     ok = (F.col("answered") >= least) & (F.col("correct") / F.col("answered") >= target)
-    return curve.groupBy(*by).agg(F.coalesce(F.min(F.when(ok, F.col("t"))), F.lit(0.0)).alias("threshold"))
+    found = curve.groupBy(*by).agg(F.coalesce(F.min(F.when(ok, F.col("t"))), F.lit(0.0)).alias("threshold"))
+    if not by:
+        return found
+    # a key without a usable row has no curve and takes 0.0 as well
+    every = decided.groupBy(*by).agg(F.lit(0.0).alias("_least"))
+    return join_on(every, found, by, "left").select(*by, F.coalesce("threshold", "_least").alias("threshold"))
 
 
 def other_margin(logits: Column, other: int) -> Column:

@@ -34,6 +34,8 @@ def fit_head(df: DataFrame, c: float, classes: Sequence[str], vector: str = "e",
     total = sum(weight[k] * m for k, m in counts.items())
     model = LogisticRegression(family="multinomial", weightCol="w", standardization=False, elasticNetParam=0.0,
                                regParam=1.0 / (c * total), tol=tol, maxIter=max_iter).fit(rows)
+    if model.summary.totalIterations >= max_iter:
+        raise RuntimeError(f"the fit has not converged in {max_iter} steps; raise max_iter or tol")
     found_w, found_b = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
     w, b = np.zeros((len(classes), found_w.shape[1])), np.zeros(len(classes))
     for k, i in code.items():
@@ -42,7 +44,7 @@ def fit_head(df: DataFrame, c: float, classes: Sequence[str], vector: str = "e",
 
 
 def minimise(objective: Callable[[np.ndarray], tuple[float, np.ndarray]], start: np.ndarray, tol: float = 1e-8,
-             max_iter: int = 300, memory: int = 12) -> np.ndarray:
+             max_iter: int = 2000, memory: int = 12) -> np.ndarray:
     """Limited-memory quasi-Newton steps with a backtracking line search, for smooth convex objectives."""
     x = start.copy()
     value, grad = objective(x)
@@ -79,6 +81,8 @@ def minimise(objective: Callable[[np.ndarray], tuple[float, np.ndarray]], start:
         if s @ y > 1e-14:
             history = [*history, (s, y, 1.0 / float(s @ y))][-memory:]
         x, value, grad = trial, new_value, new_grad
+    else:
+        raise RuntimeError(f"the fit has not converged in {max_iter} steps; raise max_iter or tol")
     return x
 
 
@@ -124,7 +128,7 @@ def adapt_rows(start: Head, e: np.ndarray, y: np.ndarray, strength: float | None
 
 
 def adapt_head(start: Head, labelled: DataFrame, vector: str = "e", label: str = "class_idx",
-               strength: float | None = None, tol: float = 1e-7, max_iter: int = 100) -> Head:
+               strength: float | None = None, tol: float = 1e-7, max_iter: int = 500) -> Head:
     """min mean CE((W e + b) / T) + strength/2 (|W - W0|^2 + |b - b0|^2) over a table of labels of any size.
 
     Each evaluation is one job: every task sums loss and gradient over its Arrow batches and sends one row; only classes

@@ -36,17 +36,24 @@ class ReferenceSet:
         return len(self.ids)
 
 
+class ReferenceTooLarge(ValueError):
+    """The reference rows don't fit in a task; use `knn_join`, `knn_distance` or `scoring.score_against`."""
+
+
+def fits_in_task(df: DataFrame, vector: str = "e", max_rows: int = MAX_REFERENCE_ROWS, max_bytes: int = MAX_REFERENCE_BYTES) -> bool:
+    """Whether the vectors keep both bounds. Only two numbers reach the driver."""
+    size = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size(vector).cast("long")).alias("numbers")).first()
+    return size.n <= max_rows and 8 * (size.numbers or 0) <= max_bytes
+
+
 def bounded_reference(df: DataFrame, item_id: str = "ref_id", vector: str = "e", group: str | None = None,
-                      max_rows: int = MAX_REFERENCE_ROWS, max_bytes: int = MAX_REFERENCE_BYTES) -> ReferenceSet | None:
-    """The rows as one matrix, or None when there are more than the bound; then use the blocked join."""
+                      max_rows: int = MAX_REFERENCE_ROWS, max_bytes: int = MAX_REFERENCE_BYTES) -> ReferenceSet:
+    """The rows as one matrix. They are counted and measured first; beyond the bounds it raises ReferenceTooLarge."""
+    if not fits_in_task(df, vector, max_rows, max_bytes):
+        raise ReferenceTooLarge(f"more than {max_rows} rows or {max_bytes} bytes")
     columns = [item_id, vector] + ([group] if group else [])
-    table = df.select(*columns).limit(max_rows + 1).toArrow()
-    if table.num_rows > max_rows:
-        return None
-    table = table.sort_by(item_id)
+    table = df.select(*columns).toArrow().sort_by(item_id)
     rows = unit_rows(matrix(table.column(vector)))
-    if rows.nbytes > max_bytes:
-        return None
     labels = np.array(table.column(group).to_pylist(), dtype=object) if group else None
     return ReferenceSet(table.column(item_id).to_numpy(), rows, labels)
 
@@ -236,9 +243,8 @@ def blocked_neighbours(queries: DataFrame, reference: DataFrame, k: int, item_id
 def knn_join(queries: DataFrame, reference: DataFrame, k: int, item_id: str = "item_id", vector: str = "e",
              ref_id: str = "ref_id", group: str | None = None, max_rows: int = MAX_REFERENCE_ROWS) -> DataFrame:
     """(item_id, ref_id, similarity, rank): the shipped form when the reference is checked to be small, else blocked."""
-    small = bounded_reference(reference, ref_id, vector, group, max_rows=max_rows)
-    if small is not None:
-        return neighbours(queries, small, k, item_id, vector, group)
+    if fits_in_task(reference, vector, max_rows):
+        return neighbours(queries, bounded_reference(reference, ref_id, vector, group, max_rows), k, item_id, vector, group)
     return blocked_neighbours(queries, reference, k, item_id, vector, ref_id, group)
 
 
@@ -246,7 +252,7 @@ def knn_distance(queries: DataFrame, reference: DataFrame, k: int, item_id: str
                  ref_id: str = "ref_id", group: str | None = None, out: str = "distance",
                  max_rows: int = MAX_REFERENCE_ROWS) -> DataFrame:
     """(item_id, distance): 1 - mean of the k largest similarities; a query without any reference row is left out."""
-    small = bounded_reference(reference, ref_id, vector, group, max_rows=max_rows)
+    small = bounded_reference(reference, ref_id, vector, group, max_rows) if fits_in_task(reference, vector, max_rows) else None
     if small is not None and group is None:
         shared = queries.sparkSession.sparkContext.broadcast(small)
         kind = queries.schema[item_id].dataType.simpleString()

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tamis.functions import decisions as D
 from tamis.functions import vectors as V
 from tamis.functions.numeric import lists, matrix, softmax_rows
-from tamis.operators.neighbours import ReferenceSet, distances
+from tamis.operators.neighbours import MAX_REFERENCE_ROWS, ReferenceSet, bounded_reference, distances, fits_in_task, knn_distance
 
 
 @dataclass(frozen=True)
@@ -134,6 +134,21 @@ def score(df: DataFrame, head: Head, reference: ReferenceSet | None = None, loca
     return df.mapInArrow(run, schema)
 
 
+def score_against(df: DataFrame, head: Head, reference: DataFrame, local: DataFrame | None = None, item_id: str = "item_id", vector: str = "e",
+                  ref_id: str = "ref_id", max_rows: int = MAX_REFERENCE_ROWS) -> DataFrame:
+    """`score` against tables of reference rows of any size: shipped to the tasks where they are checked to be small, else by the
+    blocked neighbour join. The columns are the same and so are the distances. `item_id` must be unique."""
+    near = local if local is not None else None
+    if all(fits_in_task(r, vector, max_rows) for r in (reference, near) if r is not None):
+        return score(df, head, bounded_reference(reference, ref_id, vector, max_rows=max_rows),
+                     bounded_reference(near, ref_id, vector, max_rows=max_rows) if near is not None else None, vector)
+    out = score(df, head, vector=vector).drop("distance", "local_distance")
+    out = out.join(knn_distance(df, reference, head.k, item_id, vector, ref_id, max_rows=max_rows), item_id, "left")
+    if near is None:
+        return out.withColumn("local_distance", F.lit(None).cast("double"))
+    return out.join(knn_distance(df, near, 1, item_id, vector, ref_id, out="local_distance", max_rows=max_rows), item_id, "left")
+
+
 def decide(scored: DataFrame, head: Head, exclusive: bool = False) -> DataFrame:
     """Adds confident, familiar, routed, answered, reason, forced, band and familiar_by; an unknown distance means that
     no familiarity check applies."""
@@ -158,8 +173,8 @@ def decide(scored: DataFrame, head: Head, exclusive: bool = False) -> DataFrame:
 
 
 def stratified_reference(df: DataFrame, per_class: int, by: str = "class_idx", item_id: str = "item_id", seed: str = "ref",
-                         strict: bool = False) -> DataFrame:
-    """Exactly `per_class` rows of each class in hash order; `strict` fails when a class is short."""
+                         strict: bool = True) -> DataFrame:
+    """Exactly `per_class` rows of each class in hash order; it fails when a class is short, unless `strict` is switched off."""
     from tamis.operators.splits import sample_cap_per_class
 
     picked = sample_cap_per_class(df, per_class, by, item_id, seed)

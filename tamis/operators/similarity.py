@@ -210,17 +210,21 @@ def _block_join(df: DataFrame, item_id: str, vector: str, label: str | None, tau
 def similarity_self_join(df: DataFrame, tau: float, item_id: str = "item_id", vector: str = "e", strict: bool = True,
                          cell_rows: int = CELL_ROWS, block_rows: int = BLOCK_ROWS,
                          max_pivots: int = MAX_PIVOTS) -> DataFrame:
-    """Every unordered pair of distinct vectors above the threshold: (a, b, similarity, copies_a, copies_b).
+    """Every unordered pair of vectors above the threshold: (a, b, similarity, copies_a, copies_b).
 
-    Identical vectors are one row here, with the number of copies beside it; `copy_map` names them. So the result stays
-    whole without listing the square of a group of identical rows.
+    Identical vectors are one row here, with the number of copies beside it; `copy_map` names them. n of them are pairs among
+    themselves as well: one row (a, a, 1.0, n, n) stands for these n (n - 1) / 2. So the result stays whole without listing the
+    square of a group of identical rows.
     """
     reps = copy_representatives(df, item_id, vector)
     pairs = _block_join(reps, "rep", vector, None, tau, strict, _pairs, "a ID, b ID, similarity double",
                         cell_rows, block_rows, max_pivots)
     left = reps.select(F.col("rep").alias("a"), F.col("copies").alias("copies_a"))
     right = reps.select(F.col("rep").alias("b"), F.col("copies").alias("copies_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "similarity", "copies_a", "copies_b")
+    found = pairs.join(left, "a").join(right, "b").select("a", "b", "similarity", "copies_a", "copies_b")
+    own = reps.where("copies > 1").select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.lit(1.0).alias("similarity"),
+                                          F.col("copies").alias("copies_a"), F.col("copies").alias("copies_b"))
+    return found.unionByName(own) if tau < 1.0 or not strict else found
 
 
 def connected_blocks(df: DataFrame, tau: float, item_id: str = "item_id", vector: str = "e", strict: bool = True,

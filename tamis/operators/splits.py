@@ -70,10 +70,12 @@ def development_sealed_split(df: DataFrame, unit: str, share: float, seed: str,
     return df.join(part, unit)
 
 
-def one_per_group(df: DataFrame, group: str, item_id: str, seed: str, by: Sequence[str] = ()) -> DataFrame:
-    """One member per group, the first in hash order, with the place of its group in another hash order."""
-    first = df.groupBy(*by, group).agg(F.min_by(item_id, hash_order(f"{seed}-member", F.col(item_id))).alias(item_id))
-    return hash_rank(first, hash_order(f"{seed}-group", F.col(group)), by, group, "place")
+def one_per_group(df: DataFrame, group: str, item_id: str, seed: str | Column, by: Sequence[str] = ()) -> DataFrame:
+    """One member per group, the first in hash order, with the place of its group in another hash order. A seed that is a column of
+    `by` gives each of its values an order of its own."""
+    s = seed if isinstance(seed, Column) else F.lit(seed)
+    first = df.groupBy(*by, group).agg(F.min_by(item_id, hash_order(F.concat(s, F.lit("-member")), F.col(item_id))).alias(item_id))
+    return hash_rank(first, hash_order(F.concat(s, F.lit("-group")), F.col(group)), by, group, "place")
 
 
 def nested_prefixes(df: DataFrame, order: Column, sizes: Sequence[int], by: Sequence[str] = (), tie: str | None = None) -> DataFrame:

@@ -62,7 +62,8 @@ def c05_curve(spark, sf):
 
 
 @query("c05_select_threshold", W.with_views("scored cut", _SHARP + """
-  SELECT split, round(coalesce(min(t) FILTER (WHERE answered >= 20 AND correct / answered >= 0.6), 0.0), 6) AS threshold FROM curve GROUP BY 1"""))
+  SELECT split, round(coalesce(t, 0.0), 6) AS threshold FROM (SELECT DISTINCT split FROM sharp)
+    LEFT JOIN (SELECT split, min(t) AS t FROM curve WHERE answered >= 20 AND correct / answered >= 0.6 GROUP BY 1) USING (split)"""))
 def c05(spark, sf):
     return rounded(C.select_threshold(sharp(spark, sf), "class_idx", target=0.6, by=["split"]))
 

@@ -60,7 +60,7 @@ def e02(spark, sf):
     pool = W.items_aug(spark, sf).where(f"split <> 'train' and class_idx <> {W.OTHER}").withColumn("unit", F.col("item_id") % 1000000).withColumn(
         "grp", F.concat_ws("-", F.col("class_idx").cast("string"), F.col("unit").cast("string")))
     return rounded(E.learning_curve(pool, head.with_settings(local_cutoff=0.62, prior_strength=0.3), W.reference(spark, sf), "unit", "grp",
-                                    (2000, 2001, 2002), (0, 10, 20, 50)), 4)
+                                    (2000, 2001, 2002, 2003, 2004), (0, 10, 20, 50, 100)), 4)
 
 
 @query("e03_external_test")
@@ -70,7 +70,7 @@ def e03(spark, sf):
     for name, h in (("shipped", head), ("strict", head.with_settings(threshold=0.135))):
         test = S.decide(rows.where("split <> 'train'"), h, exclusive=True).withColumn(
             "grp", F.concat_ws("-", F.col("class_idx").cast("string"), (F.col("item_id") % 7).cast("string")))
-        weighted, plain, interval = E.external_test(test, "grp", F.col("class_idx"), reps=400)
+        weighted, plain, interval = E.external_test(test, "grp", F.col("class_idx"), reps=1000)
         pick = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("v")) for m in ("answered_share", "correct_of_answered", "target_named", "healthy_flagged")]))
         w = weighted.select(pick.alias("r")).select("r.measure", F.col("r.v").alias("weighted"))
         p = plain.select(pick.alias("r")).select("r.measure", F.col("r.v").alias("unweighted"))
@@ -91,9 +91,7 @@ def _update(spark, sf):
     head = head.with_settings(prior_strength=0.3, local_cutoff=0.62)
     labelled = W.items(spark, sf).where(f"split = 'calib' and class_idx <> {W.OTHER}")
     adapted = FT.adapt_head(head, labelled)
-    # the labels of one update: a capped sample, as an update document holds
-    sample = S.stratified_reference(labelled, 50, seed="update").select(F.col("item_id").alias("ref_id"), "e")
-    return rows, head, adapted, N.bounded_reference(sample)
+    return rows, head, adapted, N.bounded_reference(labelled.select(F.col("item_id").alias("ref_id"), "e"))
 
 
 @query("e06_out_of_scope_after_update")

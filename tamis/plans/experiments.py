@@ -17,7 +17,7 @@ from tamis.operators import metrics as M
 from tamis.operators import scoring as S
 from tamis.operators import splits as X
 from tamis.operators.bootstrap import group_bootstrap
-from tamis.operators.neighbours import ReferenceSet, bounded_reference, distances
+from tamis.operators.neighbours import ReferenceSet, distances
 from tamis.operators.ranks import hash_order
 
 
@@ -57,11 +57,11 @@ def cross_validate(lab: DataFrame, field: DataFrame, calib: DataFrame, lab_refer
     heads, out_of_fold, references = {}, None, {}
     for f in folds:
         rest = field.where(F.col("fold") != f)
-        heads[f] = FT.fit_head(lab.unionByName(rest), c, classes, other_weight=None, tol=1e-6, max_iter=100)
+        heads[f] = FT.fit_head(lab.unionByName(rest), c, classes, other_weight=None, tol=1e-6)
         refs = lab_reference.unionByName(X.sample_cap_per_class(rest, per_class, "class_idx", "item_id", f"fold{f}").select(
             F.col("item_id").alias("ref_id"), "e"))
-        references[f] = bounded_reference(refs)
-        scored = S.score(field.where(F.col("fold") == f), heads[f], references[f])
+        references[f] = refs
+        scored = S.score_against(field.where(F.col("fold") == f), heads[f], references[f])
         out_of_fold = scored if out_of_fold is None else out_of_fold.unionByName(scored)
     out_of_fold = out_of_fold.persist()
     metrics, scalars = None, []
@@ -76,7 +76,7 @@ def cross_validate(lab: DataFrame, field: DataFrame, calib: DataFrame, lab_refer
             shift[other] += bias
         head = heads[f].with_settings(bias=shift, routed=routed)
         keep = ["item_id", "class_idx", "fold", "logits", "distance"]
-        pool = S.score(calib, head, references[f]).select(*keep).unionByName(_shifted(rest, other, bias).select(*keep))
+        pool = S.score_against(calib, head, references[f]).select(*keep).unionByName(_shifted(rest, other, bias).select(*keep))
         head = head.with_settings(temperature=C.fit_temperature(pool, "class_idx"), cutoff=C.familiarity_cutoff(pool.where(known)))
         ready = S.decide(_probabilities(pool, head.temperature), head)
         head = head.with_settings(threshold=float(C.select_threshold(ready, "class_idx", target, least, mask=known).first()[0]))
@@ -121,7 +121,7 @@ def learning_outcomes(rows: DataFrame, head: S.Head, reference: ReferenceSet, un
     half is scored. The labels of a seed are a fixed number k, so the refits and the added rows are shipped to the tasks.
     """
     split = X.seeded_pool_split(rows, unit, seeds)
-    chosen = X.one_per_group(split.where("in_pool"), group, "item_id", "curve", by=["seed"])
+    chosen = X.one_per_group(split.where("in_pool"), group, "item_id", F.concat(F.lit("curve"), F.col("seed").cast("string")), by=["seed"])
     top = max(sizes)
     first = chosen.where(F.col("place") <= top).select("seed", "item_id", "place")
     # at most seeds x max(sizes) rows, by the definition of the experiment
@@ -158,7 +158,7 @@ def learning_outcomes(rows: DataFrame, head: S.Head, reference: ReferenceSet, un
                 p = softmax_rows((e[at] @ w.T + bias) / h.temperature)
                 best = p.argmax(axis=1)
                 d = distances(e[at], np.vstack([ref, near]) if k else ref, h.k)
-                fam = d <= h.cutoff if h.cutoff is not None else np.ones(len(at), bool)
+                fam = (d <= h.cutoff) | np.isnan(d) if h.cutoff is not None else np.ones(len(at), bool)  # unknown: no check applies
                 wide = fam.copy()
                 if k and h.local_cutoff is not None:
                     wide |= distances(e[at], near, 1) <= h.local_cutoff
@@ -198,7 +198,7 @@ def external_test(decided: DataFrame, group: str, truth: Column, reps: int = 100
 
 
 def cross_source_accuracy(train: DataFrame, test: DataFrame, c: float, classes: Sequence[str]) -> DataFrame:
-    head = FT.fit_head(train, c, classes, tol=1e-6, max_iter=100)
+    head = FT.fit_head(train, c, classes, tol=1e-6)
     return S.score(test, head).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("top") == F.col("class_idx")).cast("double")).alias("accuracy"))
 
 

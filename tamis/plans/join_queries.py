@@ -58,11 +58,15 @@ def knn_other_groups(spark, sf):
     return _rounded(N.knn_distance(rows, ref, W.K, group="unit"), "distance")
 
 
-@query("j04_similarity_pairs", W.with_views("unit_aug", f"""SELECT a.item_id AS a, b.item_id AS b, round(list_dot_product(a.u, b.u), 6) AS similarity,
-  1::BIGINT AS copies_a, 1::BIGINT AS copies_b FROM unit_aug a JOIN unit_aug b ON a.item_id < b.item_id
-  WHERE list_dot_product(a.u, b.u) > {TAU}"""))
+@query("j04_similarity_pairs", W.with_views("unit_aug", f"""AND d AS (SELECT item_id, u FROM unit_aug UNION ALL SELECT item_id + t.k * 10000000, u FROM unit_aug, range(1, 3) t(k)
+    WHERE item_id % 25 = 0), r AS (SELECT min(item_id) AS id, count(*) AS n, u FROM d GROUP BY u)
+  SELECT a.id AS a, b.id AS b, round(list_dot_product(a.u, b.u), 6) AS similarity, a.n AS copies_a, b.n AS copies_b FROM r a JOIN r b ON a.id < b.id
+  WHERE list_dot_product(a.u, b.u) > {TAU} UNION ALL SELECT id, id, 1.0, n, n FROM r WHERE n > 1"""))
 def similarity_pairs(spark, sf):
-    return _rounded(SIM.similarity_self_join(W.items_aug(spark, sf), TAU), "similarity")
+    """With two identical copies of every twenty-fifth row."""
+    rows = W.items_aug(spark, sf).select("item_id", "e")
+    same = rows.where("item_id % 25 = 0").withColumn("item_id", F.explode(F.array(*[F.col("item_id") + k * 10_000_000 for k in (1, 2)])))
+    return _rounded(SIM.similarity_self_join(rows.unionByName(same), TAU), "similarity")
 
 
 @query("j05_near_copy_anti_join", W.with_views("unit_aug", f"""SELECT item_id FROM unit_aug a WHERE split <> 'train' OR item_id >= 1000000
@@ -209,13 +213,13 @@ def apply_fold_scalars(spark, sf):
                       ((F.col("max_prob") >= F.col("threshold")) & (F.col("distance") <= F.col("cutoff"))).alias("passes"))
 
 
-@query("j18_mentions_join", r"""WITH k AS (SELECT DISTINCT lower(string_split_regex(text, '[^\p{L}\p{N}_]+')[1]) AS key FROM benchmark),
+@query("j18_mentions_join", r"""WITH k AS (SELECT DISTINCT unnest(string_split_regex(lower(text), '[^\p{L}\p{N}_]+')) AS key FROM benchmark),
   w AS (SELECT DISTINCT doc_id, unnest(string_split_regex(lower(text), '[^\p{L}\p{N}_]+')) AS word FROM documents)
   SELECT doc_id, key FROM w JOIN k ON key = word WHERE key <> ''""")
 def mentions_join(spark, sf):
     """Texts linked to the keys they name as a whole word. Words are matched by equality, not text by text and key by key."""
     pattern = r"[^\p{L}\p{N}_]+"
-    keys = W.table(spark, sf, "benchmark").select(F.lower(F.get(F.split("text", pattern), F.lit(0))).alias("key")).where("key <> ''").distinct()
+    keys = W.table(spark, sf, "benchmark").select(F.explode(F.array_distinct(F.split(F.lower("text"), pattern))).alias("key")).where("key <> ''").distinct()
     words = W.table(spark, sf, "documents").select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), pattern))).alias("key"))
     return words.join(keys, "key").select("doc_id", "key")
 

@@ -145,16 +145,10 @@ def in_queue(spark, sf):
     return R.queue(W.photos(spark, sf)).select("photo_id", "plot_id")
 
 
-@query("p16_spot_check", W.with_views("finals", """SELECT photo_id, NOT not_sure AND photo_id % 10 = 0 AS by_rule, spot_check FROM finals"""))
+@query("p16_spot_check", W.with_views("photos", f"""SELECT photo_id, NOT not_sure AND ('0x' || substr(md5('0|' || photo_id), 1, 12))::BIGINT % 1000000 < {int(D.SPOT_CHECK_RATE * 1_000_000)}
+  AS picked FROM photos"""))
 def spot_check(spark, sf):
-    """The comparison uses the stored flag and its modulo form; the hash form is checked for its rate in the tests."""
-    return W.photos(spark, sf).select("photo_id", (~F.col("not_sure") & (F.col("photo_id") % 10 == 0)).alias("by_rule"), "spot_check")
-
-
-@query("p16_spot_check_hash")
-def spot_check_hash(spark, sf):
-    picked = D.spot_check(F.col("photo_id"), ~F.col("not_sure"))
-    return W.photos(spark, sf).groupBy("not_sure").agg(F.count(F.lit(1)).alias("n"), F.count_if(picked).alias("picked"))
+    return W.photos(spark, sf).select("photo_id", D.spot_check(F.col("photo_id"), ~F.col("not_sure")).alias("picked"))
 
 
 @query("p17_set_disputed", W.with_views("photos", """SELECT p.photo_id, CASE WHEN a.flag IS NOT NULL AND officer_label IS NULL
@@ -166,10 +160,10 @@ def set_disputed(spark, sf):
     return R.set_disputed(W.photos(spark, sf), actions).select("photo_id", "disputed")
 
 
-@query("p18_decode_codes", W.with_views("plots", """SELECT plot_id, CASE variety WHEN 'AUTOMOBILE' THEN 'SL28/SL34'
-  WHEN 'BUILDING' THEN 'Ruiru 11' WHEN 'MACHINERY' THEN 'Batian' END AS variety FROM plots"""))
+@query("p18_decode_codes", W.with_views("plots", """SELECT plot_id, CASE variety WHEN 'AUTOMOBILE' THEN 'kind one'
+  WHEN 'BUILDING' THEN 'kind two' WHEN 'MACHINERY' THEN 'kind three' END AS variety FROM plots"""))
 def decode_codes(spark, sf):
-    names = {"AUTOMOBILE": "SL28/SL34", "BUILDING": "Ruiru 11", "MACHINERY": "Batian"}
+    names = {"AUTOMOBILE": "kind one", "BUILDING": "kind two", "MACHINERY": "kind three"}
     return W.plots(spark, sf).select("plot_id", D.decode_codes(F.col("variety"), names).alias("variety"))
 
 

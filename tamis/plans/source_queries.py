@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from tamis.functions import vectors as V
 from tamis.operators import shrinkage as SH
 from tamis.operators import validation as VAL
-from tamis.operators.scoring import stratified_reference
 from tamis.plans import views as W
 from tamis.plans.aggregate_queries import CLASSES, ROLLUP_SQL, VISIT_SQL, rounded
 from tamis.plans.calibration_queries import POSTERIOR_SQL, PRIOR_SQL
@@ -95,22 +94,22 @@ def s07(spark, sf):
 
 
 def _updates(spark, sf):
-    """One good update and two that must be refused, from up to 50 calibration rows per class: an update is small."""
+    """One good update with all calibration rows and all corrections, and two that must be refused."""
     head = W.head(spark, sf)
-    rows = stratified_reference(W.items(spark, sf).where("split = 'calib'"), 50, seed="update")
+    rows = W.items(spark, sf).where("split = 'calib'")
     added = H.build_reference(rows)
     labels = rows.select(F.col("item_id").alias("ref_id"), F.col("class_idx").cast("string").alias("label"))
-    notes = W.table(spark, sf, "benchmark").orderBy("item_id").limit(50).select(F.col("item_id").cast("string").alias("id"), F.lit("en").alias("lang"))
+    notes = W.table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("id"), F.lit("en").alias("lang"))
     root = scratch_path(spark, "updates")
     H.export_update(spark, head, head, added, labels, notes, f"{root}/good")
-    H.export_update(spark, head.with_settings(version="older"), head, added.limit(1), labels.limit(1), None, f"{root}/stale")
-    H.export_update(spark, head, head.with_settings(weights=head.weights[:2]), added.limit(1), labels.limit(1), None, f"{root}/shape")
+    H.export_update(spark, head.with_settings(version="older"), head, added, labels, None, f"{root}/stale")
+    H.export_update(spark, head, head.with_settings(weights=head.weights[:2]), added, labels, None, f"{root}/shape")
     return head, H.read_updates(spark, f"{root}/*")
 
 
 @query("s08_export_update", W.with_views("unit", _QUANT + """
-  SELECT count(*)::INT AS n_labels, count(*)::INT AS n_rows, round(sum(list_sum(q) * scale::DOUBLE), 4) AS total, (SELECT least(50, count(*))::INT FROM benchmark) AS corrections
-  FROM qt JOIN (SELECT item_id FROM (SELECT item_id, row_number() OVER (PARTITION BY class_idx ORDER BY md5('update|' || item_id), item_id) AS rn FROM items WHERE split = 'calib') WHERE rn <= 50) USING (item_id)"""))
+  SELECT count(*)::INT AS n_labels, count(*)::INT AS n_rows, round(sum(list_sum(q) * scale::DOUBLE), 4) AS total, (SELECT count(*)::INT FROM benchmark) AS corrections
+  FROM qt JOIN (SELECT item_id FROM items WHERE split = 'calib') USING (item_id)"""))
 def s08(spark, sf):
     head, updates = _updates(spark, sf)
     good, _ = H.check_updates(updates, head.version, head.classes, head.dim)
@@ -119,7 +118,7 @@ def s08(spark, sf):
                        F.size("wording_corrections").alias("corrections"))
 
 
-@query("s09_import_updates", W.with_views("unit", _QUANT + """, ok AS (SELECT count(*) AS n, round(sum(list_sum(e)), 4) AS total FROM dq JOIN (SELECT item_id FROM (SELECT item_id, row_number() OVER (PARTITION BY class_idx ORDER BY md5('update|' || item_id), item_id) AS rn FROM items WHERE split = 'calib') WHERE rn <= 50) USING (item_id))
+@query("s09_import_updates", W.with_views("unit", _QUANT + """, ok AS (SELECT count(*) AS n, round(sum(list_sum(e)), 4) AS total FROM dq JOIN (SELECT item_id FROM items WHERE split = 'calib') USING (item_id))
   SELECT 'accepted' AS outcome, n, total FROM ok UNION ALL VALUES ('made for another head', 1, NULL), ('weights do not match', 1, NULL)"""))
 def s09(spark, sf):
     head, updates = _updates(spark, sf)

@@ -70,9 +70,8 @@ def t05(spark, sf):
     twice = ev.unionByName(ev.withColumn("event_id", F.col("event_id") + 1_000_000_000))
     stream = J.arrivals(twice, "event_id")
     out = scratch_path(spark, "corrections")
-    once = J.merge_once(stream, ["grp", "event_type", "created"], "created").select("grp", "event_type", "created")
-    J.run_available(once, out, scratch_path(spark, "cp"))
-    return spark.read.schema("grp bigint, event_type string, created timestamp").parquet(out)
+    J.run_batches(stream, J.merge_once(spark, twice.schema, ["grp", "event_type", "created"], out), scratch_path(spark, "cp"), "append")
+    return spark.read.schema("grp bigint, event_type string, created timestamp").parquet(out).select("grp", "event_type", "created")
 
 
 @query("t06_late_labels", W.with_views("finals", """SELECT final_label, count(*) AS n FROM finals GROUP BY 1"""))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,7 +26,21 @@ def build_session(app: str = "tamis", master: str | None = None, shuffle_partiti
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for key, value in conf.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship_package(builder.getOrCreate())
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Hand this package to the executors once per context, so that jobs started from any folder find it."""
+    context = spark.sparkContext
+    if not getattr(context, "_tamis_shipped", False):
+        home = Path(__file__).resolve().parent
+        packed = Path(tempfile.mkdtemp(prefix="tamis-code-")) / "tamis-code.zip"  # the driver serves it from here
+        with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as out:
+            for file in sorted(home.rglob("*.py")):
+                out.write(file, str(file.relative_to(home.parent)))
+        context.addPyFile(str(packed))
+        context._tamis_shipped = True
+    return spark
 
 
 def shared_folder(spark: SparkSession) -> str:

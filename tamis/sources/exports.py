@@ -62,4 +62,7 @@ def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
                 first = False
             yield pa.RecordBatch.from_arrays([values], names=["value"])
 
+    if df.isEmpty():  # the header alone
+        df.sparkSession.createDataFrame([(header,)], "value string").coalesce(1).write.mode("overwrite").option("lineSep", "\r\n").text(path)
+        return
     lines.mapInArrow(with_header, "value string").write.mode("overwrite").option("lineSep", "\r\n").text(path)

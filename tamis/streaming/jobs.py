@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tamis.operators.neighbours import ReferenceSet
 from tamis.operators.scoring import Head, decide, score
@@ -67,9 +68,19 @@ def latest_submission(stream: DataFrame, key: str, stamp: str, tie: str) -> Data
     return stream.groupBy(key).agg(F.max_by(F.struct(*stream.columns), F.struct(F.col(stamp), (-F.col(tie)).alias("t"))).alias("_r"))
 
 
-def merge_once(stream: DataFrame, keys: list[str], ts: str, late: str = "60 days") -> DataFrame:
-    """Each record once by key, replays within the watermark included."""
-    return stream.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
+def merge_once(spark: SparkSession, schema: T.StructType, keys: list[str], path: str) -> Callable[[DataFrame, int], None]:
+    """A sink that appends each record once by key to the table at `path` (null keys are equal), however late it or its replay comes.
+    A batch that is tried again leaves its own part of the table out of account and replaces it."""
+    spark.createDataFrame([], schema).write.mode("append").parquet(f"{path}/batch=-1")
+    kept = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        known = batch.sparkSession.read.schema(kept).parquet(path).where(F.col("batch") != batch_id).select(*keys)
+        same = [F.col(f"n.{k}").eqNullSafe(F.col(f"k.{k}")) for k in keys]
+        rows = batch.dropDuplicates(keys).alias("n").join(known.alias("k"), same, "left_anti").select("n.*")
+        rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return write
 
 
 def arrivals(df: DataFrame, order: str, least: int = 4) -> DataFrame:
