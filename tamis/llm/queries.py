@@ -89,3 +89,56 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write every page as a WARC record, equal payloads as revisits, and read the archives back."""
     return warc.page_records(warc.read_warc(spark, warc.write_warc(_table(spark, sf_dir, "pages"))))
+
+ORACLES["op10_warc"] = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+     d AS (SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, sha1(b) AS payload_digest, max(page_id) OVER (PARTITION BY b) AS keeper FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND keeper <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND keeper <> page_id THEN keeper END AS refers_to
+FROM d
+"""
+
+ORACLES["op1_minhash_near_dedup"] = r"""
+WITH RECURSIVE
+  w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                          '[^\x20\x09-\x0D]+') AS ws FROM documents),
+  s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+          ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS g FROM w),
+  n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+  p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+  e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+  both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+  reach(doc_id, root) AS (SELECT doc_id, doc_id FROM documents UNION
+          SELECT b, root FROM reach JOIN both_ways ON a = doc_id WHERE root < b),
+  c AS (SELECT doc_id, min(root) AS component_id FROM reach GROUP BY 1)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)
+"""
+
+ORACLES["op6_secret_scan"] = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') AS owner FROM documents),
+  runs AS (
+    SELECT doc_id, owner, 0 AS kind, regexp_extract_all(text, '{assign}', 0) AS ms, regexp_extract_all(text, '{assign}', 1) AS vs,
+           string_split_regex(text, '{assign}') AS ss FROM t WHERE regexp_matches(text, '{assign}')
+    UNION ALL SELECT doc_id, owner, 1, regexp_extract_all(text, 'AKIA[A-Z0-9]+', 0), regexp_extract_all(text, 'AKIA[A-Z0-9]+', 0),
+           string_split_regex(text, 'AKIA[A-Z0-9]+') FROM t WHERE contains(text, 'AKIA')
+    UNION ALL SELECT doc_id, owner, 2, regexp_extract_all(text, '[0-9a-f]+', 0), regexp_extract_all(text, '[0-9a-f]+', 0),
+           string_split_regex(text, '[0-9a-f]+') FROM t WHERE regexp_matches(text, '[0-9a-f]{{32}}')
+    UNION ALL SELECT doc_id, owner, 3, regexp_extract_all(text, '[A-Za-z0-9_-]+', 0), regexp_extract_all(text, '[A-Za-z0-9_-]+', 0),
+           string_split_regex(text, '[A-Za-z0-9_-]+') FROM t WHERE regexp_matches(text, '[A-Za-z0-9_-]{{20}}')),
+  flat AS (SELECT doc_id, owner, kind, unnest(ss[1:len(ms)]) AS seg, unnest(ms) AS m, unnest(vs) AS value, generate_subscripts(ms, 1) AS i FROM runs),
+  placed AS (SELECT doc_id, owner, kind, value, sum(length(seg) + length(m)) OVER (PARTITION BY doc_id, kind ORDER BY i) AS stop, length(m) AS size FROM flat),
+  base AS (SELECT *, stop - size AS start FROM placed WHERE kind < 3 AND length(value) >= CASE kind WHEN 0 THEN 8 WHEN 1 THEN 16 ELSE 32 END),
+  more AS (SELECT *, stop - size AS start FROM placed p WHERE kind = 3 AND length(value) BETWEEN 20 AND 128
+      AND length(regexp_replace(value, '[^0-9]', '', 'g')) >= 3 AND regexp_matches(value, '[A-Za-z]') AND len(list_distinct(string_split(value, ''))) >= 10
+      AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = p.doc_id AND b.start < p.stop AND p.stop - p.size < b.stop)),
+  spans AS (SELECT * FROM base UNION ALL SELECT * FROM more),
+  owners AS (SELECT value, count(DISTINCT owner) AS owners FROM spans GROUP BY 1),
+  kept AS (SELECT doc_id, kind, start, owners, ['assign', 'access', 'hex', 'owned'][kind + 1] || ':' || start::BIGINT || ':' || stop::BIGINT AS name
+           FROM spans JOIN owners USING (value) WHERE kind < 3 OR owners = 1),
+  found AS (SELECT doc_id, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex,
+      count(*) FILTER (WHERE kind = 3) AS n_owned, count(*) FILTER (WHERE owners < 3) AS n_live,
+      string_agg(name, ',' ORDER BY start, kind) FILTER (WHERE kind < 3) AS base, string_agg(name, ',' ORDER BY start, kind) AS spans FROM kept GROUP BY 1)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
+       coalesce(spans, '') AS spans, coalesce(n_owned, 0) AS n_owned, coalesce(n_live, 0) AS n_live
+FROM t LEFT JOIN found USING (doc_id)
+""".format(assign=secrets.ASSIGN.replace("'", "''"))
