@@ -11,17 +11,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tamis.llm.flat import free_name
 from tamis.llm.linking import salted_join
 from tamis.session import cut_lineage
 
 #: Base kinds in the order of ties; pattern, group of the value, least length of the value.
 ASSIGN = r"""(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
-ACCESS = r"AKIA[A-Z0-9]+"
-HEX = r"[0-9a-f]+"
+ACCESS = r"AKIA[A-Z0-9]{12,}"  # AKIA[A-Z0-9]+ of 16 characters or more: a match takes its whole run, so a shorter one holds no other
+HEX = r"[0-9a-f]{32,}"  # [0-9a-f]+ of 32 characters or more
 KINDS = ("assign", "access", "hex", "owned")
 #: What a text must hold for a pattern to be worth its cost: the same matches with the least length.
 _MAY = {"assign": r"""(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]""", "access": r"AKIA[A-Z0-9]{12}", "hex": r"[0-9a-f]{32}"}
-WORD = r"[A-Za-z0-9_-]+"
+WORD = r"[A-Za-z0-9_-]{20,}"
 _MAY_WORD = r"[A-Za-z0-9_-]{20}"
 EXAMPLE_OWNERS = 3
 OWNED_LENGTH = (20, 128)
@@ -143,7 +144,8 @@ def redacted(text: Column, secrets: Column, mark: str = "[SECRET]") -> Column:
 
 def without_secrets(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """`docs` with the live secrets of `found` (from `scan`) marked over in the text. All rows stay; copied examples stay as they are."""
-    live = found.where(F.exists("secrets", lambda s: s["live"])).select(F.col("row").alias("_row"), F.col("secrets").alias("_secrets")).dropDuplicates(["_row"])
-    row = F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.lit(":"), F.col(text)))
-    rows = docs.withColumn("_key", row).join(live, F.col("_key") == F.col("_row"), "left")
-    return rows.withColumn(text, F.when(F.col("_secrets").isNull(), F.col(text)).otherwise(redacted(F.col(text), F.col("_secrets"), mark))).select(docs.columns)
+    row, key, spans = (free_name(docs.columns, n) for n in ("_row", "_key", "_spans"))
+    live = found.where(F.exists("secrets", lambda s: s["live"])).select(F.col("row").alias(key), F.col("secrets").alias(spans)).dropDuplicates([key])
+    digest = F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.lit(":"), F.col(text)))
+    rows = docs.withColumn(row, digest).join(live, F.col(row) == F.col(key), "left")
+    return rows.withColumn(text, F.when(F.col(spans).isNull(), F.col(text)).otherwise(redacted(F.col(text), F.col(spans), mark))).select(docs.columns)
