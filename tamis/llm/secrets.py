@@ -103,8 +103,10 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str
     kept = counted.where("kind < 3 or owners = 1").select("row", F.struct("start", "kind", "end", "value", "owners", "repositories", (
         F.col("owners") < example_owners).alias("live")).alias("s"))
     by_row = kept.groupBy("row").agg(F.sort_array(F.collect_set("s")).alias("secrets"))  # the spans of one text
-    out = found.select("doc_id", "row").join(by_row, "row", "left")
-    return out.select("doc_id", "row", F.coalesce("secrets", F.array().cast(by_row.schema["secrets"].dataType)).alias("secrets"))
+    none = F.array().cast(by_row.schema["secrets"].dataType)
+    some = found.where("row is not null").select("doc_id", "row").join(by_row, "row", "left").select(
+        "doc_id", "row", F.coalesce("secrets", none).alias("secrets"))
+    return some.unionByName(found.where("row is null").select("doc_id", "row", none.alias("secrets")))  # most rows: not through the join
 
 
 def _named(spans: Column) -> Column:
