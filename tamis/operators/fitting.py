@@ -16,6 +16,9 @@ from tamis.operators.calibration import nll_curve
 from tamis.operators.scoring import Head, score
 
 
+STRENGTHS = (0.001, 0.003, 0.01, 0.03, 0.1, 0.3, 1.0)
+
+
 def fit_head(df: DataFrame, c: float, classes: Sequence[str], vector: str = "e", label: str = "class_idx",
              other_weight: float | None = None, tol: float = 1e-9, max_iter: int = 3000) -> Head:
     """Multinomial logistic regression with balanced class weights; the intercept is free, absent classes are zero."""

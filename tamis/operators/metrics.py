@@ -154,13 +154,17 @@ def summarise_runs(df: DataFrame, measures: Sequence[str], by: Sequence[str] = (
 
 def group_size_profile(df: DataFrame, group: str) -> DataFrame:
     """Groups, singletons, median, p90, largest. Sizes are counted first, so the quantiles see few distinct values."""
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("size")).groupBy("size").agg(F.count(F.lit(1)).alias("groups"))
-    return sizes.agg(
+    return group_size_counts(df, group).agg(
         F.sum("groups").alias("n_groups"), F.sum(F.when(F.col("size") == 1, F.col("groups")).otherwise(0)).alias("singletons"),
         F.percentile("size", 0.5, F.col("groups")).alias("median_size"),
         F.percentile("size", 0.9, F.col("groups")).alias("p90_size"), F.max("size").alias("max_size"))
 
 
+def group_size_counts(df: DataFrame, group: str) -> DataFrame:
+    """(size, groups): how many groups have each size."""
+    return df.groupBy(group).agg(F.count(F.lit(1)).alias("size")).groupBy("size").agg(F.count(F.lit(1)).alias("groups"))
+
+
 def near_copy_summary(nearest: DataFrame, distance: str = "distance", threshold: float = 0.98) -> DataFrame:
     """Largest and median nearest cosine, and how many lie above the copy threshold."""
     cos = F.lit(1.0) - F.col(distance)

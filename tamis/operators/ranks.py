@@ -6,13 +6,13 @@ turn the counts into offsets, and rank inside each range.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tamis.session import cut_lineage
+
 
 def hash_order(seed: str | int | Column, key: Column) -> Column:
     """A repeatable random order: md5 of seed and key."""
@@ -46,56 +46,34 @@ def hash_rank(df: DataFrame, order: Column, by: Sequence[str] = (), tie: str | N
     return out.drop("_hr_h", "_hr_p", "_hr_o", "_hr_t")
 
 
-def _splits(points: Sequence[float]) -> tuple[list[float], list[int]]:
-    """Strictly increasing split points, and the buckets that hold one single heavy value."""
-    heavy = {a for a, b in zip(points, points[1:]) if a == b}
-    cuts = sorted({float(p) for p in points} | {math.nextafter(h, math.inf) for h in heavy})
-    splits = [-math.inf, *cuts, math.inf]
-    return splits, [i for i, s in enumerate(splits) if s in heavy]
-
-
-def _bucket(df: DataFrame, column: str, out: str, splits: Sequence[float]) -> DataFrame:
-    tool = Bucketizer(splits=list(splits), inputCol=column, outputCol=out, handleInvalid="keep")
-    return tool.transform(df).withColumn(out, F.col(out).cast("int"))
-
-
-def ordered_prefix(df: DataFrame, value: str, tie: str, sums: Mapping[str, Column], rank: str = "rank",
-                   buckets: int = 256) -> DataFrame:
-    """Rank (1 = largest value, ties by the smaller `tie`) and inclusive running sums over the whole table.
-
-    Ranges come from approximate quantiles; a value shared by very many rows gets a range of its own, which is cut
-    again by the tie column.
-    """
-    probs = [i / buckets for i in range(1, buckets)]
-    work = df.withColumn("_v", -F.col(value).cast("double")).withColumn("_t", F.col(tie).cast("double"))
-    for name, term in sums.items():
-        work = work.withColumn(f"_s_{name}", term)
-    points = work.agg(F.percentile_approx("_v", probs, 10_000).alias("v"),
-                      F.percentile_approx("_t", probs, 10_000).alias("t")).first()
-    if points is None or points.v is None:
-        empty = df.withColumn(rank, F.lit(None).cast("bigint"))
-        for name in sums:
-            empty = empty.withColumn(name, F.lit(None).cast("double"))
-        return empty
-    splits, heavy = _splits(points.v)
-    work = _bucket(work, "_v", "_b", splits)
-    if heavy:
-        work = _bucket(work, "_t", "_tb", _splits(points.t)[0])
-        work = work.withColumn("_tb", F.when(F.col("_b").isin(heavy), F.col("_tb")).otherwise(0))
-    else:
-        work = work.withColumn("_tb", F.lit(0))
-    per = work.groupBy("_b", "_tb").agg(F.count(F.lit(1)).alias("_n"),
-                                        *[F.sum(f"_s_{n}").alias(f"_q_{n}") for n in sums])
-    before = Window.partitionBy(F.lit(0)).orderBy("_b", "_tb").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per.select("_b", "_tb", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"),
-                         *[F.coalesce(F.sum(f"_q_{n}").over(before), F.lit(0)).alias(f"_q0_{n}") for n in sums])
-    # at most one row per range: bounded by the number of buckets, never by the data
-    joined = work.join(F.broadcast(offsets), ["_b", "_tb"])
-    inner = Window.partitionBy("_b", "_tb").orderBy("_v", "_t").rowsBetween(Window.unboundedPreceding, 0)
-    out = joined.withColumn(rank, F.count(F.lit(1)).over(inner) + F.col("_n0"))
-    for name in sums:
-        out = out.withColumn(name, F.sum(f"_s_{name}").over(inner) + F.col(f"_q0_{name}"))
-    return out.select(*df.columns, rank, *sums)
+def _placed(df: DataFrame, order: Sequence[Column], sums: Mapping[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """(rows in order with their part `_op_part` and place `_op_place`, offsets of the parts). Spark cuts the order into ranges by a sample of the
+    rows; as the last column tells rows apart, a value that very many share is several ranges. The ordered rows are stored, so
+    that ranges and offsets are of one run."""
+    terms = {f"_op_{n}": t for n, t in sums.items()}
+    ordered = df.withColumns(terms) if terms else df
+    rows = cut_lineage(ordered.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_op_place", F.monotonically_increasing_id()))
+    rows = rows.withColumns({"_op_part": F.shiftright("_op_place", 33), "_op_place": F.col("_op_place").bitwiseAND(F.lit((1 << 33) - 1))})
+    per = rows.groupBy("_op_part").agg(F.count(F.lit(1)).alias("_op_n"), *[F.sum(c).alias(f"_sum{c}") for c in terms])
+    before = Window.partitionBy(F.lit(0)).orderBy("_op_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per.select("_op_part", F.coalesce(F.sum("_op_n").over(before), F.lit(0)).alias("_op_before"),
+                         *[F.coalesce(F.sum(f"_sum{c}").over(before), F.lit(0)).alias(f"_before{c}") for c in terms])
+    return rows, offsets  # one row per part
+
+
+def global_rank(df: DataFrame, order: Sequence[Column], rank: str = "rank") -> DataFrame:
+    """Adds the place 1..n in the whole order; the last column of the order should tell the rows apart."""
+    rows, offsets = _placed(df, order, {})
+    return rows.join(F.broadcast(offsets), "_op_part").select(*df.columns, (F.col("_op_before") + F.col("_op_place") + 1).alias(rank))
+
+
+def ordered_prefix(df: DataFrame, value: str, tie: str, sums: Mapping[str, Column], rank: str = "rank") -> DataFrame:
+    """Rank (1 = largest value, ties by the smaller `tie`, compared in its own type) and inclusive running sums over the whole table."""
+    rows, offsets = _placed(df, [F.col(value).desc(), F.col(tie).asc()], sums)
+    inner = Window.partitionBy("_op_part").orderBy("_op_place").rowsBetween(Window.unboundedPreceding, 0)
+    joined = rows.join(F.broadcast(offsets), "_op_part")
+    return joined.select(*df.columns, (F.col("_op_before") + F.col("_op_place") + 1).alias(rank),
+                         *[(F.sum(f"_op_{n}").over(inner) + F.col(f"_before_op_{n}")).alias(n) for n in sums])
 
 
 def exact_quantiles(df: DataFrame, value: Column, probs: Sequence[float], by: Sequence[str] = (),

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tamis.operators.metrics import share
-from tamis.operators.ranks import exact_quantiles
+from tamis.operators.ranks import exact_quantiles, join_on
 
 
 def answers_with_key(answers: DataFrame, key: DataFrame, rater: str = "rater", item: str = "item_id") -> DataFrame:
@@ -30,25 +29,52 @@ def _is_answered():
     return F.col("answer").isNotNull() & (F.col("answer") != "not_sure")
 
 
-def rater_score(keyed: DataFrame, rater: str = "rater") -> DataFrame:
+def answer_cells(answers: DataFrame, key: DataFrame, rater: str = "rater", item: str = "item_id") -> DataFrame:
+    """(rater, the columns of the key but the item, answer, n): how many items of each kind got each answer; a null answer counts the
+    items without one. The measures need no more than this, so the product of raters and items is never built: what a rater
+    hasn't answered is the size of the kind less what is answered. The kinds (levels x truths) reach the driver."""
+    kinds = [c for c in key.columns if c != item]
+    given = answers.select(rater, item, "answer").join(key, item).groupBy(rater, *kinds, "answer").agg(F.count(F.lit(1)).alias("n"))
+    sizes = key.groupBy(*kinds).agg(F.count(F.lit(1)).alias("n"))
+    rows = sizes.collect()  # one row per kind
+    shape = sizes.schema.simpleString()
+    offered = answers.select(rater).distinct().withColumn("_k", F.explode(F.array(*[F.struct(*[
+        F.lit(v).cast(sizes.schema[c].dataType).alias(c) for c, v in r.asDict().items()]) for r in rows]) if rows else F.array().cast(f"array<{shape}>")))
+    had = given.groupBy(rater, *kinds).agg(F.sum("n").alias("_had"))
+    missing = join_on(offered.select(rater, "_k.*"), had, [rater, *kinds], "left").withColumn(
+        "n", F.col("n") - F.coalesce("_had", F.lit(0))).where("n > 0")
+    return given.unionByName(missing.select(rater, *kinds, F.lit(None).cast("string").alias("answer"), "n"))
+
+
+def _items(test: Column | None = None) -> Column:
+    """Items in the cells that pass."""
+    return F.sum(F.when(test, F.col("n")).otherwise(0) if test is not None else F.col("n"))
+
+
+def _share(test: Column, among: Column | None = None) -> Column:
+    whole = among if among is not None else F.lit(True)
+    return _items(whole & test) / F.nullif(_items(whole), F.lit(0))
+
+
+def rater_score(cells: DataFrame, rater: str = "rater") -> DataFrame:
+    """Measures per rater from `answer_cells`."""
     ok, right = _is_answered(), F.coalesce(F.col("answer") == F.col("truth"), F.lit(False))
     same_side = F.coalesce(F.col("answer") == "healthy", F.lit(False)) == (F.col("truth") == "healthy")
-    return keyed.groupBy(rater).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(ok).alias("n_answered"), share(ok).alias("share_answered"),
-        share(right, ok).alias("acc_answered"), share(same_side, ok).alias("healthy_vs_problem_answered"),
-        share(ok & right).alias("correct_of_all"))
+    return cells.groupBy(rater).agg(
+        _items().alias("n"), _items(ok).alias("n_answered"), _share(ok).alias("share_answered"), _share(right, ok).alias("acc_answered"),
+        _share(same_side, ok).alias("healthy_vs_problem_answered"), _share(ok & right).alias("correct_of_all"))
 
 
-def score_by_level(keyed: DataFrame, rater: str = "rater", level: str = "level") -> DataFrame:
+def score_by_level(cells: DataFrame, rater: str = "rater", level: str = "level") -> DataFrame:
     ok, right = _is_answered(), F.coalesce(F.col("answer") == F.col("truth"), F.lit(False))
     problem = F.coalesce(~F.col("answer").isin("healthy", "not_sure"), F.lit(False))
-    return keyed.groupBy(rater, level).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(ok).alias("n_answered"), share(ok & right).alias("correct_of_all"),
-        share(right, ok).alias("acc_answered"), share(problem).alias("called_a_problem"))
+    return cells.groupBy(rater, level).agg(
+        _items().alias("n"), _items(ok).alias("n_answered"), _share(ok & right).alias("correct_of_all"),
+        _share(right, ok).alias("acc_answered"), _share(problem).alias("called_a_problem"))
 
 
-def answer_counts(keyed: DataFrame, rater: str = "rater") -> DataFrame:
-    return keyed.groupBy(rater, F.coalesce("answer", F.lit("missing")).alias("answer")).agg(F.count(F.lit(1)).alias("n"))
+def answer_counts(cells: DataFrame, rater: str = "rater") -> DataFrame:
+    return cells.groupBy(rater, F.coalesce("answer", F.lit("missing")).alias("answer")).agg(_items().alias("n"))
 
 
 def rater_effort(answers: DataFrame, rater: str = "rater") -> DataFrame:

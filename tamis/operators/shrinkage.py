@@ -106,14 +106,11 @@ def posterior_alert(groups: DataFrame, prior: Prior, flagged: str = "x", answere
 
 
 def rank_groups(scored: DataFrame, key: str, answered: str = "n") -> DataFrame:
-    """Adds rank: largest posterior first, groups without answers last, then more answers, then the key. The order is cut
-    into ranges of the posterior, so no task sorts all groups."""
-    from tamis.operators.ranks import hash_rank
-
-    # descending order as text: posterior, then answers, both as fixed-width complements
-    p = F.format_string("%.12f", F.lit(2.0) - F.coalesce("p_above", F.lit(-1.0)))
-    n = F.lpad((F.lit(10**15) - F.col(answered)).cast("string"), 16, "0")
-    return hash_rank(scored, F.concat(p, n), (), key, "rank", digits=7)
+    """Adds rank: largest posterior (to 12 places) first, groups without answers last, then more answers, then the key."""
+    from tamis.operators.ranks import global_rank
+
+    posterior = F.round(F.coalesce("p_above", F.lit(-1.0)), 12)
+    return global_rank(scored, [posterior.desc(), F.col(answered).desc(), F.col(key).asc()])
 
 
 def shortlist(scored: DataFrame, score: str, key: str, size: int = 5) -> DataFrame:

@@ -225,17 +225,21 @@ def keyed(spark, sf):
     return RT.answers_with_key(W.answers(spark, sf), W.answer_key(spark, sf))
 
 
+def cells(spark, sf):
+    return RT.answer_cells(W.answers(spark, sf), W.answer_key(spark, sf))
+
+
 @query("a15_rater_score", W.with_views("keyed", """SELECT rater, count(*) AS n, count(*) FILTER (WHERE answered) AS n_answered,
   round(avg(answered::INT), 6) AS share_answered, round(avg(correct::INT) FILTER (WHERE answered), 6) AS acc_answered,
   round(avg(((answer = 'healthy') = (truth = 'healthy'))::INT) FILTER (WHERE answered), 6) AS healthy_vs_problem_answered,
   round(avg((answered AND correct)::INT), 6) AS correct_of_all FROM keyed GROUP BY 1"""))
 def a15(spark, sf):
-    return rounded(RT.rater_score(keyed(spark, sf)))
+    return rounded(RT.rater_score(cells(spark, sf)))
 
 
 @query("a15_answer_counts", W.with_views("keyed", "SELECT rater, coalesce(answer, 'missing') AS answer, count(*) AS n FROM keyed GROUP BY 1, 2"))
 def a15_counts(spark, sf):
-    return RT.answer_counts(keyed(spark, sf))
+    return RT.answer_counts(cells(spark, sf))
 
 
 LEVEL_SQL = """AND lv AS (SELECT rater, level, count(*) AS n, count(*) FILTER (WHERE answered) AS n_answered,
@@ -247,7 +251,7 @@ LEVEL_SQL = """AND lv AS (SELECT rater, level, count(*) AS n, count(*) FILTER (W
   SELECT rater, level, n, n_answered, round(correct_of_all, 6) AS correct_of_all, round(acc_answered, 6) AS acc_answered,
     round(called_a_problem, 6) AS called_a_problem FROM lv"""))
 def a16(spark, sf):
-    return rounded(RT.score_by_level(keyed(spark, sf)))
+    return rounded(RT.score_by_level(cells(spark, sf)))
 
 
 @query("a17_rater_effort", W.with_views("answers", """SELECT rater, round(sum(seconds) / 60, 6) AS total_minutes, count(*) FILTER (WHERE changed) AS n_changed,
@@ -303,6 +307,12 @@ def a20(spark, sf):
     return rounded(M.group_size_profile(CC.copy_groups(W.items_aug(spark, sf), 0.98), "copy_group"))
 
 
+@query("a20_group_size_counts", W.with_views("unit_aug", COMPONENTS_SQL.format(tau=0.98) + """
+  SELECT s AS size, count(*) AS groups FROM (SELECT copy_group, count(*) AS s FROM grp GROUP BY 1) GROUP BY 1""", recursive=True))
+def a20_counts(spark, sf):
+    return M.group_size_counts(CC.copy_groups(W.items_aug(spark, sf), 0.98), "copy_group")
+
+
 AUROC_SQL = """SELECT count(*) FILTER (WHERE y) AS n_pos, count(*) FILTER (WHERE NOT y) AS n_neg,
     round((sum(rk) FILTER (WHERE y) - count(*) FILTER (WHERE y) * (count(*) FILTER (WHERE y) + 1) / 2)
       / (count(*) FILTER (WHERE y) * count(*) FILTER (WHERE NOT y)), 6) AS auroc FROM (
@@ -424,7 +434,7 @@ def a30(spark, sf):
   SELECT rater, sum(round(correct_of_all * n)::BIGINT)::BIGINT AS correct, sum(round(called_a_problem * n)::BIGINT)::BIGINT AS called
   FROM lv WHERE level <> 0 GROUP BY 1"""))
 def a31(spark, sf):
-    lv = RT.score_by_level(keyed(spark, sf)).where("level <> 0")
+    lv = RT.score_by_level(cells(spark, sf)).where("level <> 0")
     return lv.groupBy("rater").agg(F.sum(F.bround(F.col("correct_of_all") * F.col("n")).cast("bigint")).alias("correct"),
                                    F.sum(F.bround(F.col("called_a_problem") * F.col("n")).cast("bigint")).alias("called"))
 
@@ -433,7 +443,7 @@ def a31(spark, sf):
   SELECT 'share_answered' AS measure, round(min(a), 6) AS low, round(max(a), 6) AS high FROM s
   UNION ALL SELECT 'acc_answered', round(min(c), 6), round(max(c), 6) FROM s"""))
 def a32(spark, sf):
-    s = RT.rater_score(keyed(spark, sf))
+    s = RT.rater_score(cells(spark, sf))
     long = s.select(F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("v")) for m in ("share_answered", "acc_answered")])).alias("r"))
     return rounded(long.groupBy("r.measure").agg(F.min("r.v").alias("low"), F.max("r.v").alias("high")))
 

@@ -206,7 +206,7 @@ def c01(spark, sf):
 
 @query("c02_select_c")
 def c02(spark, sf):
-    return rounded(FT.select_c(_train(spark, sf).withColumn("fold", F.col("fold") % 2), [0.01, 1.0], W.CLASSES), 4)
+    return rounded(FT.select_c(_train(spark, sf), FT.STRENGTHS, W.CLASSES), 4)
 
 
 @query("c08_adapt_head")

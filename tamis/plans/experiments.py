@@ -4,6 +4,7 @@ only over the handful of fits."""
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,7 @@ from tamis.operators import splits as X
 from tamis.operators.bootstrap import group_bootstrap
 from tamis.operators.neighbours import ReferenceSet, distances
 from tamis.operators.ranks import hash_order
+from tamis.session import cut_lineage
 
 
 def local_heads(rows: DataFrame, seeds: Sequence[int], sizes: Sequence[int], classes: Sequence[str]) -> DataFrame:
@@ -44,47 +46,60 @@ def first_labels(rows: DataFrame, seeds: Sequence[int], sizes: Sequence[int]) ->
     return rows.select("item_id", "e").join(F.broadcast(top), "item_id").select("seed", F.col("k").cast("int").alias("k"), "item_id", "e", "class_idx")
 
 
-def cross_validate(lab: DataFrame, field: DataFrame, calib: DataFrame, lab_reference: DataFrame, classes: Sequence[str],
-                   other: int | None, c: float, per_class: int, folds: Sequence[int], budget: float | None = 0.05,
-                   target: float = C.TARGET_ACCURACY, least: int = C.MIN_ANSWERED) -> tuple[DataFrame, DataFrame]:
-    """(metrics per fold, scalars per fold) of the whole rule.
+@dataclass
+class FoldModels:
+    """Heads and reference rows by fold, and the scored rows of all folds, each by the head that hasn't seen it."""
 
-    Fold f: head from the lab rows and the other field folds; reference from the fixed lab rows and `per_class` field rows
-    of the other folds; temperature, cutoff, threshold and the bias of the routed class from the calibration rows and the
-    out-of-fold rows of the other folds; scored on the rows of fold f.
-    """
-    routed = (other,) if other is not None else ()
-    heads, out_of_fold, references = {}, None, {}
+    heads: dict[int, S.Head]
+    references: dict[int, DataFrame]
+    out_of_fold: DataFrame
+
+
+def fold_models(lab: DataFrame, field: DataFrame, lab_reference: DataFrame, classes: Sequence[str], c: float, per_class: int,
+                folds: Sequence[int]) -> FoldModels:
+    """Fold f: head from the lab rows and the other field folds; reference from the fixed lab rows and `per_class` field rows of the
+    other folds. The scored rows are stored, so that every setting reads them."""
+    heads, references, out_of_fold = {}, {}, None
     for f in folds:
         rest = field.where(F.col("fold") != f)
         heads[f] = FT.fit_head(lab.unionByName(rest), c, classes, other_weight=None, tol=1e-6)
-        refs = lab_reference.unionByName(X.sample_cap_per_class(rest, per_class, "class_idx", "item_id", f"fold{f}").select(
+        references[f] = lab_reference.unionByName(X.sample_cap_per_class(rest, per_class, "class_idx", "item_id", f"fold{f}").select(
             F.col("item_id").alias("ref_id"), "e"))
-        references[f] = refs
         scored = S.score_against(field.where(F.col("fold") == f), heads[f], references[f])
         out_of_fold = scored if out_of_fold is None else out_of_fold.unionByName(scored)
-    out_of_fold = out_of_fold.persist()
-    metrics, scalars = None, []
-    for f in folds:
+    return FoldModels(heads, references, cut_lineage(out_of_fold))
+
+
+def evaluate_folds(models: FoldModels, calib: DataFrame, other: int | None, budget: float | None = 0.05, known_only: bool = True,
+                   target: float = C.TARGET_ACCURACY, least: int = C.MIN_ANSWERED) -> tuple[DataFrame, DataFrame]:
+    """(metrics per fold, scalars per fold) of the whole rule.
+
+    Temperature, cutoff, threshold and the bias of the routed class come from the calibration rows and the out-of-fold rows of the
+    other folds; the rule is scored on the rows of its fold. `known_only`: the threshold is chosen on rows of known classes."""
+    routed = (other,) if other is not None else ()
+    out_of_fold, metrics, scalars = models.out_of_fold, None, []
+    for f, head in models.heads.items():
         known = F.col("class_idx") != other if other is not None else F.lit(True)
         rest = out_of_fold.where(F.col("fold") != f)
         bias = 0.0
         if other is not None and budget is not None:
             bias = C.other_bias(rest.where(known), other, budget).first()[0] or 0.0
-        shift = heads[f].bias.copy()
+        shift = head.bias.copy()
         if other is not None:
             shift[other] += bias
-        head = heads[f].with_settings(bias=shift, routed=routed)
+        head = head.with_settings(bias=shift, routed=routed)
         keep = ["item_id", "class_idx", "fold", "logits", "distance"]
-        pool = S.score_against(calib, head, references[f]).select(*keep).unionByName(_shifted(rest, other, bias).select(*keep))
+        pool = cut_lineage(S.score_against(calib, head, models.references[f]).select(*keep).unionByName(
+            _shifted(rest, other, bias).select(*keep)))
         head = head.with_settings(temperature=C.fit_temperature(pool, "class_idx"), cutoff=C.familiarity_cutoff(pool.where(known)))
         ready = S.decide(_probabilities(pool, head.temperature), head)
-        head = head.with_settings(threshold=float(C.select_threshold(ready, "class_idx", target, least, mask=known).first()[0]))
+        mask = known if known_only else None
+        head = head.with_settings(threshold=float(C.select_threshold(ready, "class_idx", target, least, mask=mask).first()[0]))
         scalars.append((int(f), head.temperature, head.threshold, head.cutoff, float(bias)))
         test = S.decide(_probabilities(_shifted(out_of_fold.where(F.col("fold") == f), other, bias).select(*keep), head.temperature), head)
         row = M.rule_metrics(test.where(known), by=["fold"])
         metrics = row if metrics is None else metrics.unionByName(row)
-    table = field.sparkSession.createDataFrame(scalars, "fold int, temperature double, threshold double, cutoff double, other_bias double")
+    table = out_of_fold.sparkSession.createDataFrame(scalars, "fold int, temperature double, threshold double, cutoff double, other_bias double")
     return metrics, table
 
 

@@ -158,17 +158,17 @@ _QUANT = """AND sc AS (SELECT item_id, u, list_max(list_transform(u, lambda x: a
     SELECT item_id, u, list_transform(q, lambda x: x::DOUBLE * scale::DOUBLE) AS v FROM qt))"""
 
 
-@query("j14_paired_rows_check", W.with_views("unit", _QUANT + """
+@query("j14_paired_rows_check", W.with_views("unit cent", _QUANT + """, tops AS (
+    SELECT item_id, arg_max(class_idx, list_dot_product(u, c)) = arg_max(class_idx, list_dot_product(e, c)) AS same FROM dq CROSS JOIN cent GROUP BY 1)
   SELECT count(*) AS n, round(min(list_dot_product(u, e) / sqrt(list_dot_product(u, u) * list_dot_product(e, e))), 6) AS min_cosine,
-    round(max(list_max(list_transform(list_zip(u, e), lambda p: abs(p[1] - p[2])))), 6) AS max_abs_difference, count(*) AS same_decision FROM dq"""))
+    round(max(list_max(list_transform(list_zip(u, e), lambda p: abs(p[1] - p[2])))), 6) AS max_abs_difference, count(*) FILTER (WHERE same) AS same_decision FROM dq JOIN tops USING (item_id)"""))
 def paired_rows_check(spark, sf):
     from tamis.functions import vectors as V
 
-    first = W.items(spark, sf).select("item_id", V.l2_normalise(F.col("e")).alias("e"), F.lit("same").alias("d"))
-    second = _quantised(spark, sf).withColumn("d", F.lit("same"))
-    return _rounded(VAL.paired_rows_check(first, second, "item_id", "e", "d"), "min_cosine", "max_abs_difference")
-
-
+    head = W.head(spark, sf)
+    first = S.score(W.items(spark, sf).select("item_id", V.l2_normalise(F.col("e")).alias("e")), head)
+    second = S.score(_quantised(spark, sf), head)
+    return _rounded(VAL.paired_rows_check(first, second, "item_id", "e", "top"), "min_cosine", "max_abs_difference")
 
 
 @query("j15_paired_folds", W.with_views("decided", """AND t AS (SELECT *, max_prob >= 0.135 AND familiar AND NOT routed AS answered2 FROM decided WHERE split = 'field'),

@@ -255,9 +255,7 @@ def x10_loose(spark, sf):
 
 @query("x11_average_linkage")
 def x11(spark, sf):
-    fine = LK.average_linkage_groups(W.items_aug(spark, sf), 0.85).withColumnRenamed("unit", "unit_fine")
-    coarse = LK.average_linkage_groups(W.items_aug(spark, sf), 0.70).withColumnRenamed("unit", "unit_coarse")
-    return fine.join(coarse, "item_id")
+    return LK.average_linkage_cuts(W.items_aug(spark, sf), {"unit_fine": 0.85, "unit_coarse": 0.70})
 
 
 @query("x12_conflict_groups", W.with_views("unit_aug", COMPONENTS_SQL.format(tau=0.98) + """

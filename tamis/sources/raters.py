@@ -16,8 +16,8 @@ RATER_SCHEMA = """kind string, version string, `set` string, name string, sent_a
 def read_rater_files(spark: SparkSession, path: str, set_name: str) -> tuple[DataFrame, DataFrame]:
     """(one row per answer of the newest file of each rater, skipped files with a reason).
 
-    A document is one line; a file may hold one or many. Its stamp is `sent_at`, or else the part of the file name between
-    the last `--` and `.json`."""
+    A document is one line; a file may hold one or many. Its stamp is the part of the file name between the last `--` and `.json`,
+    which the receiver wrote, or else `sent_at` by the rater's clock."""
     raw = (spark.read.schema(RATER_SCHEMA).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt")
            .json(path).withColumn("file", F.col("_metadata.file_name")))
     named = raw.withColumn("rater", T.normalise_name(F.coalesce("name", F.lit(""))))
@@ -25,7 +25,7 @@ def read_rater_files(spark: SparkSession, path: str, set_name: str) -> tuple[Dat
               .when(F.col("rater") == "", "no name"))
     marked = named.withColumn("reason", reason)
     good = marked.where("reason is null").withColumn(
-        "stamp", F.regexp_replace(F.coalesce("sent_at", F.regexp_extract("file", r"--(.*)\.json$", 1)), "[^0-9]", "").try_cast("decimal(30,0)"))
+        "stamp", F.regexp_replace(F.coalesce(F.nullif(F.regexp_extract("file", r"--(.*)\.json$", 1), F.lit("")), "sent_at"), "[^0-9]", "").try_cast("decimal(30,0)"))
     newest = latest_per_key(good.drop("_corrupt", "reason"), "rater", "stamp", "file")
     answers = newest.select("rater", "file", "user_agent", "sent_at", F.explode("answers").alias("a")).select(
         "rater", "file", "user_agent", "sent_at", F.col("a.id").alias("item_id"), "a.position", "a.answer", "a.seconds", "a.changed")

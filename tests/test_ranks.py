@@ -3,7 +3,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tamis.operators import metrics as M
-from tamis.operators.ranks import exact_quantiles, hash_order, hash_rank, ordered_prefix
+from tamis.operators.ranks import exact_quantiles, global_rank, hash_order, hash_rank, ordered_prefix
+from tamis.operators.shrinkage import rank_groups
 
 
 @pytest.mark.parametrize("n", [1, 2, 5, 300, 40_000])
@@ -36,7 +37,7 @@ def test_ordered_prefix(spark, heavy):
     if heavy:
         v[: n // 3] = 0.5
     df = spark.createDataFrame([(i, float(a), int(b)) for i, (a, b) in enumerate(zip(v, c))], "id bigint, v double, c int")
-    got = sorted((r.rank, r.id, r.hits) for r in ordered_prefix(df, "v", "id", {"hits": F.col("c")}, buckets=16).collect())
+    got = sorted((r.rank, r.id, r.hits) for r in ordered_prefix(df, "v", "id", {"hits": F.col("c")}).collect())
     order = np.lexsort((np.arange(n), -v))
     want = [(k + 1, int(i), int(h)) for k, (i, h) in enumerate(zip(order, np.cumsum(c[order])))]
     assert got == want
@@ -67,3 +68,22 @@ def test_weights_sum_to_groups(spark):
 def test_calibration_error_ignores_zero_confidence(spark):
     df = spark.createDataFrame([(0.0, True), (0.95, True), (0.85, False), (0.30000000000000004, True)], "max_prob double, ok boolean")
     assert M.ece(df, F.col("ok")).first().ece == pytest.approx((0.05 + 0.85 + 0.7) / 4)
+
+
+def test_ties_keep_their_own_type(spark):
+    """Text ids, and numbers beyond 2^53, order ties as they are."""
+    for ids, kind in ((["b10", "b9", "a", None], "string"), ([2**53 + 1, 2**53, 2**53 + 2, 5], "bigint")):
+        df = spark.createDataFrame([(i, 0.5) for i in ids], f"id {kind}, v double")
+        got = [r.id for r in ordered_prefix(df, "v", "id", {"n": F.lit(1)}).orderBy("rank").collect()]
+        assert got == sorted(ids, key=lambda x: (x is not None, x))
+
+
+def test_a_third_of_the_groups_at_zero(spark):
+    """Groups that share one posterior are ranked in several parts, by their answers and keys."""
+    rows = spark.range(30_000).select(F.col("id").alias("g"), (F.col("id") % 5).alias("n"), F.when(F.col("id") % 3 == 0, F.lit(0.0)).when(
+        F.col("id") % 3 == 1, F.col("id") / 30_000).alias("p_above"))
+    got = rank_groups(rows, "g")
+    assert [(r.g, r.rank) for r in got.orderBy("rank").limit(2).collect()] == [(29_998, 1), (29_995, 2)]
+    want = rows.toPandas().assign(p=lambda d: -d.p_above.fillna(-1), m=lambda d: -d.n).sort_values(["p", "m", "g"]).g.tolist()
+    assert [r.g for r in got.orderBy("rank").collect()] == want
+    assert global_rank(rows.limit(0), [F.col("g")]).count() == 0

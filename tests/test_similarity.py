@@ -167,3 +167,26 @@ def test_average_linkage(spark, cut, limit):
         got.setdefault(r.unit, set()).add(r.item_id)
     assert {frozenset(g) for g in got.values()} == average_linkage(cosines(v), cut)
     assert all(min(g) == u for u, g in got.items())
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_linkage_on_ties(spark, seed):
+    """Many equal similarities: the plan for large components and the one for small ones give the same tree at every cut."""
+    draw = np.random.default_rng(seed)
+    v = draw.integers(-1, 2, size=(40, 3)) + np.array([3, 0, 0])
+    v = np.vstack([v, 2 * v[:5]])  # equal directions
+    cuts = {"fine": 0.95, "coarse": 0.8}
+    runs = [{r.item_id: (r.fine, r.coarse) for r in LK.average_linkage_cuts(frame(spark, v), cuts, local_limit=limit, block_rows=6).collect()}
+            for limit in (1500, 4)]
+    assert runs[0] == runs[1]
+    assert all(len({runs[0][j][1] for j in runs[0] if runs[0][j][0] == f}) == 1 for f, _ in runs[0].values())  # the fine cut refines the coarse
+
+
+def test_linkage_in_one_task_equals_one_merge_at_a_time():
+    draw = np.random.default_rng(5)
+    u = draw.normal(size=(40, 4))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    merges = LK.linkage_merges(u, np.ones(40), 0.3)
+    for cut in (0.3, 0.6, 0.9):
+        numbers = LK.cluster_numbers(40, merges, cut)
+        assert {frozenset(np.flatnonzero(numbers == k).tolist()) for k in set(numbers.tolist())} == average_linkage(u @ u.T, cut)
