@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import base64
 import gzip
-import io
 import zlib
 
 import pyarrow as pa
@@ -30,6 +29,8 @@ from tamis.session import cut_lineage, scratch_path
 LEAST_BYTES = 1000
 FILE_BYTES = 512 << 20
 RUN_BYTES = 64 << 20
+READ_BYTES = 256 << 10
+ROWS = 256  # made into Python values at a time
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ID_PREFIX = "urn:page:"
 DATE = "1970-01-01T00:00:00Z"  # pages carry no time of capture
@@ -85,7 +86,8 @@ def write_warc(pages: DataFrame, folder: str | None = None, page_id: str = "page
         context = TaskContext.get()
         stem = f"{folder}/pages-{context.partitionId():06d}-{context.taskAttemptId()}"
         out, at, number, runs = None, 0, 0, []
-        for batch in batches:
+        parts = (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS))
+        for batch in parts:
             for row in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "digest", "refers_to")), strict=True):
                 if out is None or at >= file_bytes:
                     if out is not None:
@@ -123,61 +125,53 @@ def _header(lines: bytes) -> dict[str, str]:
     return out
 
 
-class _Stream(io.RawIOBase):
-    """The bytes first..last of a file, unpacked where they are gzip members, with `skip`."""
+class _Stream:
+    """The bytes first..last of a file, unpacked where they are gzip members. Holds one read and what a record needs beyond it."""
 
     def __init__(self, path: str, first: int, last: int):
         store, place = _files(path)
         self.file = store.open_input_file(place)
         self.last = self.file.size() if last < 0 else last
         self.file.seek(first)
-        self.at, self.held, self.packed = first, b"", None
-        self.unzip = None
+        self.at, self.packed, self.unzip = first, None, None
+        self.held, self.place = b"", 0  # bytes, and how many of them are used up
 
     def _more(self) -> bool:
-        if self.at >= self.last:
+        raw = self.file.read(min(READ_BYTES, self.last - self.at))
+        if not raw:
             return False
-        raw = self.file.read(min(1 << 20, self.last - self.at))
         self.at += len(raw)
         if self.packed is None:
             self.packed = raw[:2] == b"\x1f\x8b"
-        if not self.packed:
-            self.held += raw
-            return bool(raw)
-        parts = []
-        while raw:
+        parts = [self.held[self.place:]]
+        while raw and self.packed:
             self.unzip = self.unzip or zlib.decompressobj(31)
             parts.append(self.unzip.decompress(raw))
             raw = self.unzip.unused_data
             if self.unzip.eof:
                 self.unzip = None
-        self.held += b"".join(parts)
+        self.held, self.place = b"".join([*parts, raw]), 0
         return True
 
     def until(self, mark: bytes) -> bytes | None:
-        while (k := self.held.find(mark)) < 0:
+        while (k := self.held.find(mark, self.place)) < 0:
             if not self._more():
                 return None
-        out, self.held = self.held[:k], self.held[k + len(mark):]
+        out, self.place = self.held[self.place:k], k + len(mark)
         return out
 
     def take(self, n: int, keep: bool) -> bytes:
-        if keep:
-            parts = [self.held[:n]]
-            n -= len(parts[0])
-            self.held = self.held[len(parts[0]):]
-            while n and self._more():
-                part, self.held = self.held[:n], self.held[n:]
-                parts.append(part)
-                n -= len(part)
-            return b"".join(parts)
-        while n > len(self.held):
-            n -= len(self.held)
-            self.held = b""
-            if not self._more():
-                return b""
-        self.held = self.held[n:]
-        return b""
+        """The next n bytes, or nothing where they aren't wanted."""
+        parts = []
+        while n:
+            here = min(n, len(self.held) - self.place)
+            if keep:
+                parts.append(self.held[self.place:self.place + here])
+            self.place += here
+            n -= here
+            if n and not self._more():
+                break
+        return b"".join(parts)
 
 
 class WarcReader(DataSourceReader):
@@ -240,7 +234,7 @@ class WarcReader(DataSourceReader):
                 values["payload"] = None if values["record_type"] == "revisit" else payload
             rows.append([values[c] for c in self.columns])
             held += len(block)
-            if held > 4 << 20 or len(rows) >= 5000:
+            if held > 1 << 20 or len(rows) >= 5000:
                 yield self._batch(rows, schema)
                 rows, held = [], 0
         if rows:
