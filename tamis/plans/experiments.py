@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +19,7 @@ from tamis.operators import metrics as M
 from tamis.operators import scoring as S
 from tamis.operators import splits as X
 from tamis.operators.bootstrap import group_bootstrap
-from tamis.operators.neighbours import ReferenceSet, distances
+from tamis.operators.neighbours import ReferenceSet
 from tamis.operators.ranks import hash_order
 from tamis.session import cut_lineage
 
@@ -128,6 +129,35 @@ def _probabilities(rows: DataFrame, temperature: float) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
+def largest(s: np.ndarray, k: int) -> np.ndarray:
+    """The k largest entries of each row, all where there are fewer."""
+    return s if s.shape[1] <= k else np.partition(s, s.shape[1] - k, axis=1)[:, -k:]
+
+
+def curve_heads(labelled: DataFrame, head: S.Head, seeds: Sequence[int], sizes: Sequence[int], methods: Sequence[str]) -> DataFrame:
+    """(seed, k, method, w, b): the refit of every case from the first k of the labels (seed, place, e, y) of its seed, one task a case."""
+    cases = [(int(s), int(k), m) for s in seeds for k in sizes for m in methods]
+    table = labelled.sparkSession.createDataFrame(cases, "seed int, k int, method string")
+    # a case without labels has a row of nulls
+    rows = table.join(labelled, (table["seed"] == labelled["seed"]) & (labelled["place"] <= table["k"]), "left").select(
+        table["seed"], "k", "method", "place", "e", "y")
+
+    def run(key, t):
+        seed, k, m = (x.as_py() for x in key)
+        t = t.sort_by("place")
+        t = t.filter(pc.is_valid(t.column("y")))
+        e, y = matrix(t.column("e")), t.column("y").to_numpy().astype(int)
+        if m == "prior":
+            h = FT.adapt_rows(head, e, y)
+        else:
+            found = FT.local_only_rows(head.classes, e, y) if len(y) else None
+            h = head if found is None else head.with_settings(weights=found[0], bias=found[1])
+        return pa.table({"seed": pa.array([seed], pa.int32()), "k": pa.array([k], pa.int32()), "method": [m],
+                         "w": pa.array([h.weights.ravel().tolist()], pa.list_(pa.float64())), "b": pa.array([h.bias.tolist()], pa.list_(pa.float64()))})
+
+    return rows.groupBy("seed", "k", "method").applyInArrow(run, "seed int, k int, method string, w array<double>, b array<double>")
+
+
 def learning_outcomes(rows: DataFrame, head: S.Head, reference: ReferenceSet, unit: str, group: str, seeds: Sequence[int],
                       sizes: Sequence[int], methods: Sequence[str] = ("prior", "local_only")) -> DataFrame:
     """(seed, k, method, rule, item_id, group, class_idx, top, answered, forced...): every test row under every refit.
@@ -140,55 +170,53 @@ def learning_outcomes(rows: DataFrame, head: S.Head, reference: ReferenceSet, un
     top = max(sizes)
     first = chosen.where(F.col("place") <= top).select("seed", "item_id", "place")
     # at most seeds x max(sizes) rows, by the definition of the experiment
-    labelled = rows.join(F.broadcast(first), "item_id").select("seed", "place", "item_id", "e", "class_idx").toArrow().sort_by(
-        [("seed", "ascending"), ("place", "ascending")])
-    seed_of, e_all, y_all = labelled.column("seed").to_numpy(), matrix(labelled.column("e")), labelled.column("class_idx").to_numpy()
-    cases = []
-    for s in seeds:
-        e, y = e_all[seed_of == s], y_all[seed_of == s]
-        for k in sizes:
-            ek, yk = e[:k], y[:k].astype(int)
-            near = unit_rows(ek)
-            for m in methods:
-                h = head
-                if m == "prior":
-                    h = FT.adapt_rows(head, ek, yk)
-                else:
-                    found = FT.local_only_rows(head.classes, ek, yk) if k else None
-                    h = head if found is None else head.with_settings(weights=found[0], bias=found[1])
-                cases.append((int(s), int(k), m, h.weights, h.bias, near))
-    shared = rows.sparkSession.sparkContext.broadcast((cases, reference.unit, head))
+    labelled = rows.join(F.broadcast(first), "item_id").select(F.col("seed").cast("int").alias("seed"), "place", "e", F.col("class_idx").cast("int").alias("y"))
+    picked = labelled.toArrow().sort_by([("seed", "ascending"), ("place", "ascending")])
+    seed_of, e_all = picked.column("seed").to_numpy(), matrix(picked.column("e"))
+    near = {int(s): unit_rows(e_all[seed_of == s]) if (seed_of == s).any() else np.zeros((0, head.weights.shape[1])) for s in seeds}
+    spark = rows.sparkSession
+    fitted = {(r.seed, r.k, r.method): (np.array(r.w).reshape(head.weights.shape), np.array(r.b))
+              for r in curve_heads(spark.createDataFrame(picked.to_pandas(), labelled.schema), head, seeds, sizes, methods).collect()}
+    shared = spark.sparkContext.broadcast((fitted, near, reference.unit, head))
     test = split.where(~F.col("in_pool")).select("seed", "item_id", F.col(group).cast("string").alias("grp"), "class_idx", "e")
 
     def run(batches):
-        todo, ref, h = shared.value
+        heads, labels, ref, h = shared.value
         for b in batches:
             if b.num_rows == 0:
                 continue
-            seeds_in, e = b.column("seed").to_numpy(zero_copy_only=False), matrix(b.column("e"))
-            for s, k, m, w, bias, near in todo:
+            seeds_in, e_batch = b.column("seed").to_numpy(zero_copy_only=False), matrix(b.column("e"))
+            for s in seeds:
                 at = np.nonzero(seeds_in == s)[0]
                 if not len(at):
                     continue
-                p = softmax_rows((e[at] @ w.T + bias) / h.temperature)
-                best = p.argmax(axis=1)
-                d = distances(e[at], np.vstack([ref, near]) if k else ref, h.k)
-                fam = (d <= h.cutoff) | np.isnan(d) if h.cutoff is not None else np.ones(len(at), bool)  # unknown: no check applies
-                wide = fam.copy()
-                if k and h.local_cutoff is not None:
-                    wide |= distances(e[at], near, 1) <= h.local_cutoff
-                q = p.copy()
-                q[:, list(h.routed)] = -1
-                sure = (p[np.arange(len(at)), best] >= h.threshold) & ~np.isin(best, list(h.routed))
+                e, n = e_batch[at], len(at)
+                u = unit_rows(e)
+                shipped = largest(u @ ref.T, h.k)  # once for all sizes and methods
+                local = u @ labels[s].T
                 sub = b.select(["item_id", "grp", "class_idx"]).take(pa.array(at))
-                for rule, f in (("app", wide), ("previous", fam)):
-                    n = len(at)
-                    reason = np.where(~f, "unfamiliar", np.where(p[np.arange(n), best] < h.threshold, "low_confidence",
-                                                                 np.where(np.isin(best, list(h.routed)), "other", "")))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(n, s, np.int32)), pa.array(np.full(n, k, np.int32)), pa.array([m] * n), pa.array([rule] * n), *sub.columns,
-                         pa.array(best.astype(np.int32)), pa.array(q.argmax(axis=1).astype(np.int32)), pa.array(sure & f), pa.array(reason.tolist())],
-                        names=["seed", "k", "method", "rule", "item_id", "grp", "class_idx", "top", "forced", "answered", "reason"])
+                for k in sizes:
+                    best_k = largest(np.hstack([shipped, local[:, :k]]), h.k)
+                    # without any reference row no familiarity check applies
+                    fam = 1.0 - best_k.mean(axis=1) <= h.cutoff if h.cutoff is not None and best_k.shape[1] else np.ones(n, bool)
+                    wide = fam.copy()
+                    if local[:, :k].shape[1] and h.local_cutoff is not None:
+                        wide |= 1.0 - local[:, :k].max(axis=1) <= h.local_cutoff
+                    for m in methods:
+                        w, bias = heads[s, k, m]
+                        p = softmax_rows((e @ w.T + bias) / h.temperature)
+                        best = p.argmax(axis=1)
+                        peak = p[np.arange(n), best]
+                        q = p.copy()
+                        q[:, list(h.routed)] = -1
+                        away = np.isin(best, list(h.routed))
+                        for rule, f in (("app", wide), ("previous", fam)):
+                            reason = np.where(~f, "unfamiliar", np.where(peak < h.threshold, "low_confidence", np.where(away, "other", "")))
+                            yield pa.RecordBatch.from_arrays(
+                                [pa.array(np.full(n, s, np.int32)), pa.array(np.full(n, k, np.int32)), pa.array([m] * n), pa.array([rule] * n), *sub.columns,
+                                 pa.array(best.astype(np.int32)), pa.array(q.argmax(axis=1).astype(np.int32)), pa.array((peak >= h.threshold) & ~away & f),
+                                 pa.array(reason.tolist())],
+                                names=["seed", "k", "method", "rule", "item_id", "grp", "class_idx", "top", "forced", "answered", "reason"])
 
     return test.mapInArrow(run, """seed int, k int, method string, rule string, item_id bigint, grp string, class_idx int, top int, forced int,
                                    answered boolean, reason string""")

@@ -145,12 +145,20 @@ def in_queue(spark, sf):
     return R.queue(W.photos(spark, sf)).select("photo_id", "plot_id")
 
 
-@query("p16_spot_check", W.with_views("photos", f"""SELECT photo_id, NOT not_sure AND ('0x' || substr(md5('0|' || photo_id), 1, 12))::BIGINT % 1000000 < {int(D.SPOT_CHECK_RATE * 1_000_000)}
-  AS picked FROM photos"""))
+PICKED_SQL = f"NOT not_sure AND ('0x' || substr(md5('0|' || photo_id), 1, 12))::BIGINT % 1000000 < {int(D.SPOT_CHECK_RATE * 1_000_000)}"
+
+
+@query("p16_spot_check", W.with_views("photos", f"SELECT photo_id, {PICKED_SQL} AS picked FROM photos"))
 def spot_check(spark, sf):
     return W.photos(spark, sf).select("photo_id", D.spot_check(F.col("photo_id"), ~F.col("not_sure")).alias("picked"))
 
 
+@query("p16_spot_check_hash", W.with_views("photos", f"SELECT not_sure, count(*) AS n, count(*) FILTER (WHERE {PICKED_SQL}) AS picked FROM photos GROUP BY 1"))
+def spot_check_hash(spark, sf):
+    picked = D.spot_check(F.col("photo_id"), ~F.col("not_sure"))
+    return W.photos(spark, sf).groupBy("not_sure").agg(F.count(F.lit(1)).alias("n"), F.count_if(picked).alias("picked"))
+
+
 @query("p17_set_disputed", W.with_views("photos", """SELECT p.photo_id, CASE WHEN a.flag IS NOT NULL AND officer_label IS NULL
   THEN a.flag ELSE disputed END AS disputed FROM photos p LEFT JOIN (SELECT o_orderkey AS photo_id, o_orderkey % 2 = 0 AS flag
   FROM orders WHERE o_totalprice > 200000) a USING (photo_id)"""))
