@@ -27,6 +27,13 @@ def token_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def free_name(taken: list[str], name: str) -> str:
+    """`name`, with underscores before it until no column is called so."""
+    while name.lower() in {c.lower() for c in taken}:
+        name = "_" + name
+    return name
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a text column; a null counts as an empty text."""
     if column.null_count:

@@ -8,6 +8,7 @@ from tamis.llm.flat import plain_words
 
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 _BACK = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
+_WEIGHTS = np.random.default_rng(20240307).integers(1 << 62, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _power_cache: dict[int, np.ndarray] = {}
 
 
@@ -42,15 +43,20 @@ def windows(values: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.nda
     lengths = np.diff(offsets)
     counts = np.where(lengths >= width, lengths - width + 1, (lengths > 0).astype(np.int64))
     out_offsets = np.concatenate(([0], np.cumsum(counts)))
+    # weighted sums of neighbours; windows that would reach beyond a short run are summed apart
+    total = np.zeros(max(0, len(values) - width + 1), np.uint64)
+    for k in range(width):
+        total += values[k:k + len(total)] * _WEIGHTS[k]
     first = np.repeat(offsets[:-1], counts) + np.arange(out_offsets[-1]) - np.repeat(out_offsets[:-1], counts)
-    last = np.repeat(offsets[1:], counts)
+    short = np.repeat(lengths < width, counts)
     out = np.zeros(len(first), np.uint64)
+    out[~short] = total[first[~short]]
+    last = np.repeat(offsets[1:], counts)[short]
     for k in range(width):
-        here = first + k
+        here = first[short] + k
         inside = here < last
-        part = values[np.where(inside, here, 0)] * np.uint64(2 * k + 3)
-        out = mix(out + part) if inside.all() else np.where(inside, mix(out + part), out)
-    return out, out_offsets
+        out[short] += np.where(inside, values[np.where(inside, here, 0)] * _WEIGHTS[k], np.uint64(0))
+    return mix(out), out_offsets
 
 
 def lower_ascii(body: np.ndarray) -> np.ndarray:

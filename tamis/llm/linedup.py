@@ -13,51 +13,51 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamis.llm.flat import slices, spans_outside, text_bytes
-from tamis.llm.hashing import minwise, mix, span_hashes, unique_runs, windows
-from tamis.llm.linking import KeyFilter, link, salted_join
+from tamis.llm.flat import free_name, slices
+from tamis.llm.hashing import minwise, mix, unique_runs, windows
+from tamis.llm.linking import KeyFilter, Sketches, link, salted_join
 from tamis.session import cut_lineage
 
 CHARACTERS = 5
 SHARE = 80
 BANDS, ROWS = 16, 5
-_BLANK = np.zeros(256, bool)
-_BLANK[[9, 11, 12, 13, 32]] = True
-
-
-def _lines(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(start, end, text, number in its text, hash) of all lines that aren't blank."""
-    feed = body == 10
-    before = np.concatenate(([0], np.cumsum(feed)))
-    starts, ends, by_text = spans_outside(body, offsets, feed)
-    text = np.searchsorted(by_text, np.arange(len(starts)), "right") - 1
-    number = before[starts] - before[offsets[text]]
-    # trim: the next and the last byte that isn't blank
-    solid = np.flatnonzero(~(_BLANK[body] | feed))
-    first = np.searchsorted(solid, starts)
-    last = np.searchsorted(solid, ends) - 1
-    some = first <= last
-    first, last, text, number = first[some], last[some], text[some], number[some]
-    starts, ends = solid[first], solid[last] + 1
-    return starts, ends, text, number, span_hashes(body, starts, ends)
-
-
-def _shingles(body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+#: A pair is read in full when it has so many equal values of 80: 5 standard deviations below the mean of similarity 0.8.
+SKETCH_LEAST = 46
+_BLANK = b" \t\v\f\r"
+
+
+def _lines(column: pa.Array):
+    """(row, number in its text, line) of all lines that aren't blank."""
+    for row, text in enumerate(column.cast(pa.binary()).to_pylist()):
+        if text:
+            for number, line in enumerate(text.split(b"\n")):
+                line = line.strip(_BLANK)
+                if line:
+                    yield row, number, line
+
+
+def _name(line: bytes) -> int:
+    """64-bit hash as a signed number."""
+    h = xxhash.xxh3_64_intdigest(line)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def _shingles(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, offsets) of the character shingles of each line, with repeats."""
-    flags = np.zeros(len(body) + 1, np.int64)
-    flags[starts] += 1
-    flags[ends] -= 1
-    kept = body[np.cumsum(flags)[:-1] > 0]
-    points = np.frombuffer(kept.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-    heads = np.concatenate(([0], np.cumsum((kept & 0xC0) != 0x80)))
-    sizes = ends - starts
-    at = heads[np.concatenate(([0], np.cumsum(sizes)))]
-    if at[-1] != len(points):  # bytes that are no UTF-8: take them one by one
-        points, at = kept, np.concatenate(([0], np.cumsum(sizes)))
-    return windows(points.astype(np.uint64) + np.uint64(1), at, CHARACTERS)
+    texts = [x.decode("utf-8", "replace") for x in lines]
+    points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    offsets = np.concatenate(([0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))))
+    return windows(points.astype(np.uint64) + np.uint64(1), offsets, CHARACTERS)
+
+
+def shingle_sets(lines: pa.Array) -> list[np.ndarray]:
+    """The set of each line."""
+    hashes, at = unique_runs(*_shingles(lines.to_pylist()))
+    return [hashes[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
 def line_places(docs: DataFrame) -> DataFrame:
@@ -65,62 +65,58 @@ def line_places(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for part in slices(batches):
-            _, _, text, number, names = _lines(*text_bytes(part.column("text")))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(text)), pa.array(number.astype(np.int32)),
-                                              pa.array(names.view(np.int64))], ["doc_id", "line", "id"])
+            found = [(row, number, _name(line)) for row, number, line in _lines(part.column("text"))]
+            rows, numbers, names = zip(*found, strict=True) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(numbers, pa.int32()),
+                                              pa.array(names, pa.int64())], ["doc_id", "line", "id"])
 
     return docs.mapInArrow(run, "doc_id bigint, line int, id bigint")
 
 
 def line_items(docs: DataFrame) -> DataFrame:
-    """(doc_id, line, id, copies, bands) of (doc_id, text): one row per distinct line of a slice of texts, at its first place there by
-    (doc_id, line). `bands` has BANDS 64-bit keys."""
+    """(doc_id, line, id, copies, signature) of (doc_id, text): one row per distinct line of a slice of texts, at its first place there by
+    (doc_id, line). The signature has the low 16 bits of BANDS x ROWS minwise values."""
 
     def run(batches):
-        for part in slices(batches, max_bytes=2 << 20):
-            body, offsets = text_bytes(part.column("text"))
-            starts, ends, text, number, names = _lines(body, offsets)
-            ids = part.column("doc_id").fill_null(np.iinfo(np.int64).min).to_numpy()[text]
-            order = np.lexsort((number, ids, names))  # by name, and within a name by place
-            head = np.flatnonzero(np.append(True, names[order][1:] != names[order][:-1])[:len(order)])
-            copies = np.diff(np.append(head, len(order)))
-            by_place = np.argsort(order[head])
-            one, copies = order[head][by_place], copies[by_place]
-            tokens = minwise(*_shingles(body, starts[one], ends[one]), BANDS * ROWS).astype(np.uint64)
-            keys = np.zeros((len(one), BANDS), np.uint64)
-            for b in range(BANDS):
-                key = np.full(len(one), b + 1, np.uint64)
-                for r in range(ROWS):
-                    key = mix(key + tokens[:, b * ROWS + r] * np.uint64(2 * r + 3))
-                keys[:, b] = key
-            bands = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * BANDS), len(one), [None, pa.py_buffer(keys)])
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(text[one])), pa.array(number[one].astype(np.int32)),
-                                              pa.array(names[one].view(np.int64)), pa.array(copies), bands.cast(pa.binary())],
-                                             ["doc_id", "line", "id", "copies", "bands"])
-
-    return docs.mapInArrow(run, "doc_id bigint, line int, id bigint, copies bigint, bands binary")
-
-
-def line_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, set) of the lines named in `ids`, read again from the texts."""
+        for part in slices(batches):
+            ids = part.column("doc_id").to_pylist()
+            first: dict[int, tuple] = {}  # by name: place, with null ids first
+            count: dict[int, int] = {}
+            text: dict[int, bytes] = {}
+            for row, number, line in _lines(part.column("text")):
+                name, place = _name(line), (ids[row] is not None, ids[row] or 0, number)
+                if name not in first:
+                    first[name], count[name], text[name] = place, 1, line
+                else:
+                    count[name] += 1
+                    first[name] = min(first[name], place)
+            if not first:
+                continue
+            tokens = minwise(*_shingles(list(text.values())), BANDS * ROWS).astype(np.uint16)
+            signs = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * BANDS * ROWS), len(first), [None, pa.py_buffer(tokens)])
+            yield pa.RecordBatch.from_arrays([
+                pa.array([p[1] if p[0] else None for p in first.values()], pa.int64()), pa.array([p[2] for p in first.values()], pa.int32()),
+                pa.array(list(first), pa.int64()), pa.array(list(count.values()), pa.int64()), signs.cast(pa.binary())],
+                ["doc_id", "line", "id", "copies", "signature"])
+
+    return docs.mapInArrow(run, "doc_id bigint, line int, id bigint, copies bigint, signature binary")
+
+
+def line_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, set) of the lines named in `ids`, read again from the texts; `set` is the line itself, see `shingle_sets`."""
     wanted = KeyFilter(ids, "id", hashed=True)
     shared, bits = wanted.shared, wanted.bits
 
     def run(batches):
         for part in slices(batches):
-            body, offsets = text_bytes(part.column("text"))
-            starts, ends, _, _, names = _lines(body, offsets)
-            _, one = np.unique(names, return_index=True)
-            one = np.sort(one)
-            one = one[KeyFilter.passes(shared, names[one].view(np.int64) % bits)]
-            if len(one):
-                hashes, at = unique_runs(*_shingles(body, starts[one], ends[one]))
-                raw = hashes.tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array(names[one].view(np.int64)), pa.array([raw[8 * a:8 * b] for a, b in zip(
-                    at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())], ["id", "set"])
+            seen = {_name(line): line for _, _, line in _lines(part.column("text"))}
+            names = np.fromiter(seen, np.int64, len(seen))
+            ok = KeyFilter.passes(shared, names % bits)
+            yield pa.RecordBatch.from_arrays([pa.array(names[ok]), pa.array([x for x, k in zip(seen.values(), ok.tolist(), strict=True) if k], pa.binary())],
+                                             ["id", "set"])
 
     found = docs.mapInArrow(run, "id bigint, set binary")
-    return found.join(ids.hint("shuffle_hash"), "id", "left_semi").groupBy("id").agg(F.first("set").alias("set"))
+    return found.join(ids.hint("shuffle_hash"), "id", "left_semi").dropDuplicates(["id"])
 
 
 def line_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", share: int = SHARE) -> DataFrame:
@@ -133,9 +129,10 @@ def line_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sha
     place = F.struct("doc_id", "line")
     # one row per distinct line; a line of a third of all rows is combined before the shuffle
     items = cut_lineage(line_items(rows).groupBy("id").agg(F.min(place).alias("first"), F.sum("copies").alias("copies"),
-                                                           F.first("bands").alias("bands")))
+                                                           F.first("signature").alias("signature")))
     members = cut_lineage(_candidates(items))
-    components = link(members, lambda ids: line_sets(rows, ids), share)
+    components = link(members, lambda ids: line_texts(rows, ids), share, sketches=Sketches(items.select("id", "signature"), SKETCH_LEAST, "u2"),
+                      sets_of=shingle_sets)
     named = items.select("id", "first", "copies").join(components.select(F.col("node").alias("id"), "component"), "id", "left")
     linked = named.where("component is not null")
     first = linked.groupBy("component").agg(F.min("first").alias("first"))
@@ -149,9 +146,9 @@ def line_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sha
 def _candidates(items: DataFrame) -> DataFrame:
     """(node, id): the bands that two or more items share. Band keys are counted first, which needs no ids; then only the rows of
     shared keys are dealt out."""
-    keys = _band_rows(items.select("id", "bands"), None)
+    keys = _band_rows(items.select("id", "signature"), None)
     shared = cut_lineage(keys.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node"))
-    some = _band_rows(items.select("id", "bands"), KeyFilter(shared, "node", hashed=True))
+    some = _band_rows(items.select("id", "signature"), KeyFilter(shared, "node", hashed=True))
     return some.join(shared.hint("shuffle_hash"), "node", "left_semi")
 
 
@@ -161,7 +158,11 @@ def _band_rows(items: DataFrame, wanted: KeyFilter | None) -> DataFrame:
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                keys = np.frombuffer(b"".join(batch.column("bands").to_pylist()), np.int64)
+                tokens = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint16).reshape(-1, BANDS, ROWS).astype(np.uint64)
+                keys = np.zeros(tokens.shape[:2], np.uint64) + np.arange(BANDS, dtype=np.uint64)
+                for r in range(ROWS):
+                    keys = keys << np.uint64(1) ^ mix(tokens[:, :, r] + np.uint64(r << 16 | 1 << 32))
+                keys = mix(keys).reshape(-1).view(np.int64)
                 ids = np.repeat(batch.column("id").to_numpy(), BANDS)
                 if shared is not None:
                     ok = KeyFilter.passes(shared, keys % bits)
@@ -174,9 +175,9 @@ def _band_rows(items: DataFrame, wanted: KeyFilter | None) -> DataFrame:
 def without_repeats(docs: DataFrame, groups: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """`docs` without the lines that `groups` (from `line_groups`) doesn't keep. A document whose every line with content goes is left
     out: all of it stands elsewhere. Documents that lose no line stay as they are, rows with a null id as well."""
-    lost = groups.where("not kept and doc_id is not null").groupBy("doc_id").agg(F.collect_set("line").alias("_lost")).withColumnRenamed(
-        "doc_id", "_doc")
-    rows = docs.join(lost, F.col(doc_id) == F.col("_doc"), "left")
-    rest = F.array_join(F.filter(F.split(F.col(text), "\n", -1), lambda x, i: ~F.array_contains("_lost", i)), "\n")
-    cut = rows.withColumn(text, F.when(F.col("_lost").isNull(), F.col(text)).otherwise(rest))
-    return cut.where(F.col("_lost").isNull() | F.col(text).rlike("[^\\x20\\x09-\\x0D]")).select(docs.columns)
+    key, gone = free_name(docs.columns, "_doc"), free_name(docs.columns, "_gone")
+    lost = groups.where("not kept and doc_id is not null").groupBy(F.col("doc_id").alias(key)).agg(F.collect_set("line").alias(gone))
+    rows = docs.join(lost, F.col(doc_id) == F.col(key), "left")
+    rest = F.array_join(F.filter(F.split(F.col(text), "\n", -1), lambda x, i: ~F.array_contains(gone, i)), "\n")
+    cut = rows.withColumn(text, F.when(F.col(gone).isNull(), F.col(text)).otherwise(rest))
+    return cut.where(F.col(gone).isNull() | F.col(text).rlike("[^\\x20\\x09-\\x0D]")).select(docs.columns)

@@ -1,14 +1,15 @@
 """Links inside candidate nodes, verified on full sets, and the components they make.
 
 A node is a group of items that share a key. Comparing all pairs of a node would grow with the square of its size, so a node is
-first compared with its smallest member only, and what links is merged into components. A node whose members all lie in one
-component can add nothing. Only members of different components of the nodes that are left are compared with each other, in
-blocks of bounded size and inside tasks; pairs are never listed.
+first compared with its smallest member (a large one with a few more), and what links is merged into components. A node whose
+members all lie in one component can add nothing. In the nodes that are left, only members outside the node's major component
+are compared with the others, in blocks of bounded size and inside tasks; pairs are never listed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,8 @@ from tamis.session import cut_lineage
 
 FILTER_BITS = 1 << 25
 BLOCK = 256
+PIVOTS = 3
+SetsOf = Callable[[pa.Array], list[np.ndarray]]
 SALTS = 16
 _BUCKET = 32768  # bits of one row that bitmap_construct_agg makes
 
@@ -63,15 +66,20 @@ def similar(a: np.ndarray, b: np.ndarray, share: int) -> bool:
     return both > 0 and 100 * both >= share * (len(a) + len(b) - both)
 
 
-def verify(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
-    """Those of `pairs` (a, b) whose sets (id, set: sorted 64-bit hashes) are similar."""
+def stored_sets(column: pa.Array) -> list[np.ndarray]:
+    """Sets that are stored as sorted 64-bit hashes."""
+    return [np.frombuffer(x.as_buffer(), np.uint64) for x in column]
+
+
+def verify(pairs: DataFrame, sets: DataFrame, share: int, sets_of: SetsOf = stored_sets) -> DataFrame:
+    """Those of `pairs` (a, b) whose sets (id, set) are similar."""
 
     def check(batches):
-        for batch in batches:
-            x, y = batch.column("sa"), batch.column("sb")
-            ok = [similar(np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64), share)
-                  for p, q in zip(x, y, strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        for whole in batches:
+            for first in range(0, whole.num_rows, 1000):
+                batch = whole.slice(first, 1000)
+                ok = [similar(p, q, share) for p, q in zip(sets_of(batch.column("sa")), sets_of(batch.column("sb")), strict=True)]
+                yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     kind = pairs.schema["a"].dataType.simpleString()
     both = (pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
@@ -79,10 +87,17 @@ def verify(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     return both.mapInArrow(check, f"a {kind}, b {kind}")
 
 
-def node_stars(members: DataFrame) -> DataFrame:
-    """Distinct (a, b): each member (node, id) of a node with the node's smallest one."""
-    least = members.groupBy("node").agg(F.min("id").alias("b"))
-    return salted_join(members, least, "node", "id").where("id <> b").select(F.col("id").alias("a"), "b").distinct()
+def node_stars(members: DataFrame, small: int, pivots: int = PIVOTS) -> DataFrame:
+    """Distinct (a, b), a > b: each member (node, id, component) of a node with the node's smallest one, and in nodes above `small` with
+    a few others drawn by hash, where their components differ."""
+    row = F.struct("id", "component")
+    least = members.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min(row).alias("m"), *[
+        F.min_by(row, F.xxhash64("id", F.lit(k))).alias(f"m{k}") for k in range(pivots)])
+    chosen = F.array_distinct(F.when(F.col("n") > small, F.array("m", *[f"m{k}" for k in range(pivots)])).otherwise(F.array("m")))
+    stars = least.where("n > 1").select("node", chosen.alias("pivots"))
+    pairs = salted_join(members, stars, "node", "id").select("id", "component", F.explode("pivots").alias("p")).where(
+        "component <> p.component")
+    return pairs.select(F.greatest("id", "p.id").alias("a"), F.least("id", "p.id").alias("b")).distinct()
 
 
 def with_components(members: DataFrame, components: DataFrame) -> DataFrame:
@@ -92,26 +107,81 @@ def with_components(members: DataFrame, components: DataFrame) -> DataFrame:
 
 
 def open_nodes(members: DataFrame) -> DataFrame:
-    """(node, size) of the nodes whose members (node, id, component) lie in more than one component."""
-    sizes = members.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
-    return sizes.where("low <> high").select("node", "size")
-
-
-def compare_blocks(members: DataFrame, sets: DataFrame, share: int, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) between members (node, size, id, component) of different components of a node, verified on their sets.
-
-    A node is cut into blocks by hash; a task sees two blocks at a time. Of all links between two components one is enough, so a
-    pair that the task has already joined isn't compared."""
+    """(node, size, major, minors) of the nodes whose members (node, id, component) lie in more than one component: the component with
+    most members, and how many lie outside it. Two members have met in the star of their node, so such nodes are done."""
+    parts = members.groupBy("node", "component").agg(F.count(F.lit(1)).alias("n"))
+    nodes = parts.groupBy("node").agg(F.sum("n").alias("size"), F.max_by("component", F.struct("n", "component")).alias("major"), F.max("n").alias("most"))
+    return nodes.where("size > most and size > 2").select("node", "size", "major", (F.col("size") - F.col("most")).alias("minors"))
+
+
+@dataclass(frozen=True)
+class Sketches:
+    """Minwise signatures (id, signature). Similar sets agree in `least` places or more, but for a negligible chance."""
+
+    table: DataFrame
+    least: int
+    dtype: str = "u4"
+
+    def plausible(self, pairs: DataFrame) -> DataFrame:
+        """Those of `pairs` (a, b) that can be similar."""
+        least, dtype = self.least, self.dtype
+
+        def run(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    x, y = (_matrix(batch.column(c), dtype) for c in ("x", "y"))
+                    yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= least))
+
+        kind = pairs.schema["a"].dataType.simpleString()
+        both = pairs.join(self.table.select(F.col("id").alias("a"), F.col("signature").alias("x")), "a").join(
+            self.table.select(F.col("id").alias("b"), F.col("signature").alias("y")), "b")
+        return both.select("a", "b", "x", "y").mapInArrow(run, f"a {kind}, b {kind}")
+
+    def with_partner(self, rows: DataFrame) -> DataFrame:
+        """Those of `rows` (node, x, y, id, component, minor) that can be similar to one of another component on the other side of the
+        same (node, x, y)."""
+        least, dtype = self.least, self.dtype
+
+        def run(table: pa.Table) -> pa.Table:
+            signs, minor = _matrix(table.column("signature"), dtype), table.column("minor").to_numpy()
+            _, part = np.unique(np.array(table.column("component").to_pylist()), return_inverse=True)
+            found = np.zeros(len(signs), bool)
+            left = np.flatnonzero(~minor)
+            for i in np.flatnonzero(minor):
+                others = left[part[left] != part[i]]
+                near = others[(signs[others] == signs[i]).sum(axis=1) >= least]
+                found[near] = True
+                found[i] = len(near) > 0
+            return table.drop_columns(["signature"]).filter(pa.array(found))
+
+        return rows.join(self.table, "id").select(*rows.columns, "signature").groupBy("node", "x", "y").applyInArrow(run, rows.schema)
+
+
+def _matrix(column: pa.Array, dtype: str) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(len(column), -1)
+
+
+def compare_blocks(members: DataFrame, load_sets: Callable[[DataFrame], DataFrame], share: int, block: int = BLOCK,
+                   sketches: Sketches | None = None, sets_of: SetsOf = stored_sets) -> DataFrame:
+    """Links (a, b) between members (node, id, component, size, major, minors) of different components of a node, verified on sets.
+
+    All members of a node meet those outside its major component. Both sides are cut into blocks by hash, and a task sees one block
+    of each. Of all links between two components one is enough, so a pair that the task has already joined isn't compared. Sets
+    are read only for members that have a plausible partner."""
     kind = members.schema["id"].dataType.simpleString()
-    blocks = F.ceil(F.col("size") / block).cast("int")
-    own = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    slots = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(
-        F.least("own", j).alias("x"), F.greatest("own", j).alias("y")))
-    rows = own.select("node", "id", "component", F.explode(slots).alias("t")).select("node", "t.x", "t.y", "id", "component").join(sets, "id")
+    cells = {n: F.ceil(F.col(c) / block).cast("int") for n, c in (("nx", "size"), ("ny", "minors"))}
+    own = members.withColumns(cells).withColumns({n: F.pmod(F.xxhash64("id"), F.col(f"n{n}")).cast("int") for n in ("x", "y")})
+    left = own.select("node", "x", F.explode(F.sequence(F.lit(0), F.col("ny") - 1)).alias("y"), "id", "component", F.lit(False).alias("minor"))
+    right = own.where("component <> major").select("node", F.explode(F.sequence(F.lit(0), F.col("nx") - 1)).alias("x"), "y", "id", "component",
+                                                   F.lit(True).alias("minor"))
+    rows = left.unionByName(right)
+    if sketches:
+        rows = cut_lineage(sketches.with_partner(rows))
+    rows = rows.join(load_sets(rows.select("id").distinct()), "id")
 
     def compare(table: pa.Table) -> pa.Table:
-        ids, parts = table.column("id").to_pylist(), table.column("component").to_pylist()
-        have = [np.frombuffer(s.as_buffer(), np.uint64) for s in table.column("set")]
+        ids, parts, minor = (table.column(c).to_pylist() for c in ("id", "component", "minor"))
+        have = sets_of(table.column("set").combine_chunks())
         root = {p: p for p in parts}
 
         def top(p):
@@ -120,12 +190,9 @@ def compare_blocks(members: DataFrame, sets: DataFrame, share: int, block: int =
                 p = root[p]
             return p
 
-        order = sorted(range(len(ids)), key=lambda i: len(have[i]))
         found = []
-        for k, i in enumerate(order):
-            for j in order[k + 1:]:
-                if len(have[i]) * 100 < share * len(have[j]):
-                    break  # the rest is larger still
+        for i in (k for k, m in enumerate(minor) if m):
+            for j in (k for k, m in enumerate(minor) if not m):
                 p, q = top(parts[i]), top(parts[j])
                 if p != q and similar(have[i], have[j], share):
                     root[p] = q
@@ -138,41 +205,45 @@ def compare_blocks(members: DataFrame, sets: DataFrame, share: int, block: int =
 
 def link(members: DataFrame, load_sets: Callable[[DataFrame], DataFrame], share: int,
          split: Callable[[DataFrame, int], DataFrame | None] | None = None, small: int = BLOCK,
-         sketch: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+         sketches: Sketches | None = None, sets_of: SetsOf = stored_sets) -> DataFrame:
     """(node, component) of all items that have a link, from the members (node, id) of candidate nodes.
 
-    `load_sets(ids)` gives (id, set) for a table of distinct ids. `sketch(pairs)` may drop pairs that can't be similar before their
-    sets are read. `split(members, level)` may give the members of finer nodes for open nodes above `small`; None ends the splitting,
-    and what is left is compared in blocks."""
+    `load_sets(ids)` gives (id, set) for a table of distinct ids; `sets_of` makes sets of that column. `sketches` spare the reading of sets that can't be similar.
+    `split(members, level)` may give the members of finer nodes for open nodes with more than `small`^2 comparisons; None ends the
+    splitting, and what is left is compared in blocks."""
     spark = members.sparkSession
     kind = members.schema["id"].dataType.simpleString()
     edges = spark.createDataFrame([], f"a {kind}, b {kind}")
     components = spark.createDataFrame([], f"node {kind}, component {kind}")
-    level, current, left = 0, members, None
+
+    def merge(new: DataFrame) -> None:
+        nonlocal edges, components
+        new = cut_lineage(new)
+        if not new.isEmpty():
+            edges = edges.unionByName(new)
+            components = connected_components(edges)
+
+    level, current, left = 0, members.withColumn("component", F.col("id")), None
     while True:
-        stars = node_stars(current)
-        pairs = cut_lineage(sketch(stars) if sketch else stars)
+        stars = node_stars(current, small)
+        pairs = cut_lineage(sketches.plausible(stars) if sketches else stars)
         if not pairs.isEmpty():
-            edges = cut_lineage(edges.unionByName(verify(pairs, load_sets(_ids(pairs)), share)))
-            components = connected_components(edges)
-        marked = cut_lineage(with_components(current, components))
-        waiting = salted_join(marked, open_nodes(marked), "node", "id")
-        final = waiting.where(F.col("size") <= small)
-        finer = split(waiting.where(F.col("size") > small), level) if split else None
-        if finer is None:
-            final = waiting
+            merge(verify(pairs, load_sets(_ids(pairs)), share, sets_of))
+        marked = with_components(current.drop("component"), components)
+        waiting = cut_lineage(salted_join(marked, open_nodes(marked), "node", "id"))
+        many = F.col("size") * F.col("minors") > small * small
+        large = waiting.where(many)
+        finer = split(large, level) if split and not large.isEmpty() else None
+        final = waiting if finer is None else waiting.where(~many)
         left = final if left is None else left.unionByName(final.select(left.columns))
         if finer is None or finer.isEmpty():
             break
-        level, current = level + 1, finer
-    left = left.select("node", "id", "size")
-    rest = with_components(left, components)
-    still = open_nodes(rest).select("node")
-    rest = cut_lineage(salted_join(rest, still, "node", "id"))
-    if not rest.isEmpty():
-        more = compare_blocks(rest, load_sets(rest.select("id").distinct()), share)
-        edges = cut_lineage(edges.unionByName(more))
-        components = connected_components(edges)
+        level, current = level + 1, cut_lineage(with_components(finer, components))
+    if level:  # links found on finer nodes may have closed some
+        again = with_components(left.select("node", "id"), components)
+        left = cut_lineage(salted_join(again, open_nodes(again), "node", "id"))
+    if not left.isEmpty():
+        merge(compare_blocks(left, load_sets, share, sketches=sketches, sets_of=sets_of))
     return components
 
 
