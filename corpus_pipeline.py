@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamis.llm import linedup, neardup, packing, quality, secrets
+from tamis.llm.flat import free_name
 from tamis.session import cut_lineage
 
 
@@ -22,7 +23,8 @@ def _sized(docs: DataFrame) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the fertility bands reject go."""
-    return quality.judged(docs, "_verdict").where("_verdict.kept").drop("_verdict")
+    verdict = free_name(docs.columns, "_verdict")
+    return quality.judged(docs, verdict).where(f"{verdict}.kept").drop(verdict)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

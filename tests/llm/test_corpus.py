@@ -48,7 +48,7 @@ def test_open_nodes_are_compared_in_blocks(spark):
     members = spark.createDataFrame([(7, k) for k in sets], "node bigint, id bigint")
     got = {r.node: r.component for r in linking.link(members, lambda ids: table.join(ids, "id", "left_semi"), 75).collect()}
     assert got == {k: (k % 3 or 3) for k in range(1, 40)}
-    marked = members.withColumn("size", F.lit(40)).withColumn("component", F.col("id"))
+    marked = linking.salted_join(members.withColumn("component", F.col("id")), linking.open_nodes(members.withColumn("component", F.col("id"))), "node", "id")
     blocks = linking.compare_blocks(marked, lambda ids: table, 75, block=8)
     assert blocks.count() < 40 * 10
     found = {r.node: r.component for r in linking.connected_components(blocks).collect()}
@@ -146,7 +146,7 @@ def test_archives(spark, tmp_path):
     assert warc.read_warc(spark, folder, record_types=("revisit",)).count() == 3
     assert everything.where("record_type = 'revisit'").select("record_id").count() == 3
     assert [r.content_length for r in warc.read_warc(spark, folder, headers={"WARC-Target-URI": "http://big"}, columns=("content_length",)).collect()] == [
-        300_000 + 82]
+        300_000 + 83]
     pushed = warc.WarcReader({"path": folder}, ("record_id",))
     left = list(pushed.pushFilters([warc.EqualTo(("record_type",), "revisit"), warc.EqualTo(("content_length",), 3)]))
     assert len(left) == 1 and pushed.tests == [("record_type", frozenset(["revisit"]))]
