@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tamis.llm.flat import slices, text_bytes
 from tamis.llm.hashing import minwise, mix, unique_runs, word_shingles
-from tamis.llm.linking import SALTS, KeyFilter, link, salted_join
+from tamis.llm.linking import SALTS, KeyFilter, Sketches, link, salted_join
 from tamis.session import cut_lineage
 
 WORDS = 5
@@ -27,8 +27,8 @@ SHARE = 75
 PLACES = 128
 TREES = 8
 BRANCHES = 2
-DEPTH = 4
-SMALL = 128
+DEPTH = 3
+SMALL = 512
 #: A pair needs so many equal places of 128 to be read in full: 6 standard deviations below the mean of similarity 0.75.
 SKETCH_LEAST = 66
 
@@ -127,28 +127,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                                                     F.first("signature").alias("signature")))
     signatures = items.select("id", "signature")
 
-    def sketch(pairs: DataFrame) -> DataFrame:
-        def run(batches):
-            for batch in batches:
-                if batch.num_rows:
-                    x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, PLACES) for c in ("x", "y"))
-                    yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= SKETCH_LEAST))
-
-        both = pairs.join(signatures.select(F.col("id").alias("a"), F.col("signature").alias("x")), "a").join(
-            signatures.select(F.col("id").alias("b"), F.col("signature").alias("y")), "b")
-        return both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
-
     def split(members: DataFrame, level: int) -> DataFrame | None:
         if level + 1 >= depth:
             return None
         return cut_lineage(_shared_only(_grow(members.select("node", "id").join(signatures, "id"), False)))
 
     first = cut_lineage(_shared_only(_grow(signatures, True)))
-    components = link(first, lambda ids: shingle_sets(rows, ids, words), share, split, SMALL, sketch)
+    components = link(first, lambda ids: shingle_sets(rows, ids, words), share, split, SMALL, Sketches(signatures, SKETCH_LEAST))
     # from items back to documents: only sets with copies or links
     moved = items.join(components.select(F.col("node").alias("id"), "component"), "id", "left").where(
         "copies > 1 or component is not null").select("set_key", F.coalesce("component", "id").alias("component_id"))
-    out = salted_join(known.select("doc_id", "n_shingles", "set_key"), moved, "set_key", "doc_id", "left", SALTS)
-    whole = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    some = salted_join(known.where("set_key is not null").select("doc_id", "n_shingles", "set_key"), moved, "set_key", "doc_id", "left", SALTS)
+    whole = some.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).unionByName(
+        known.where("set_key is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     lost = found.where("doc_id is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"))
     return whole.unionByName(lost).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
