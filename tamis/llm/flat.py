@@ -126,6 +126,18 @@ class WordTable:
         return self.start[index], self.length[index]
 
 
+_holder = None
+
+
+def hold(owner) -> None:
+    """One vocabulary's word tables at a time in a worker: those of the one before are emptied, since a worker lives over many jobs."""
+    global _holder
+    if _holder is not owner:
+        for table in _holder.tables() if _holder is not None else ():
+            table.clear()
+        _holder = owner
+
+
 def spans_outside(body: np.ndarray, offsets: np.ndarray, gap: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Maximal runs of bytes not marked in `gap`, never across texts: (starts, ends, offsets of the runs by text)."""
     edge = np.zeros(len(body) + 1, bool)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tamis.llm.flat import WordTable, gather, slices, sums, text_bytes, token_file, words_of
+from tamis.llm.flat import WordTable, gather, hold, slices, sums, text_bytes, token_file, words_of
 from tamis.llm.merges import Merges
 
 MODEL = "piece_bpe_32k.model"
@@ -89,8 +89,12 @@ class PieceTokens:
             symbols[is_odd] = self.of_byte[np.frombuffer(b"".join(coded), np.uint8)]
         return symbols, lengths
 
+    def tables(self) -> tuple[WordTable, ...]:
+        return (self.table,)
+
     def encode(self, body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets of the ids by text)."""
+        hold(self)
         mark = SPACE.encode()
         if mark in body.tobytes():
             texts = [body[a:b].tobytes().replace(mark, b" ") for a, b in zip(offsets[:-1], offsets[1:], strict=True)]

@@ -15,7 +15,7 @@ from functools import lru_cache
 import numpy as np
 import regex
 
-from tamis.llm.flat import WordTable, gather, plain_words, sums, token_file, words_of
+from tamis.llm.flat import WordTable, gather, hold, plain_words, sums, token_file, words_of
 from tamis.llm.merges import Merges
 
 
@@ -107,11 +107,15 @@ class PartTokens:
             flat = np.concatenate(runs)
         return flat, counts
 
+    def tables(self) -> tuple[WordTable, ...]:
+        return self.table, self.words
+
     def parts(self, body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         raise NotImplementedError
 
     def encode(self, body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets of the ids by text)."""
+        hold(self)
         starts, ends, by_text = self.parts(body, offsets)
         at, lengths = self.table.look_up(words_of(body, starts, ends))
         return gather(self.table.flat, at, lengths), np.concatenate(([0], np.cumsum(sums(lengths, by_text))))
