@@ -225,7 +225,7 @@ def link(members: DataFrame, load_sets: Callable[[DataFrame], DataFrame], share:
 
     level, current, left = 0, members.withColumn("component", F.col("id")), None
     while True:
-        stars = node_stars(current, small)
+        stars = node_stars(current, small, PIVOTS if level == 0 else 0)
         pairs = cut_lineage(sketches.plausible(stars) if sketches else stars)
         if not pairs.isEmpty():
             merge(verify(pairs, load_sets(_ids(pairs)), share, sets_of))
