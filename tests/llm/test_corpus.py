@@ -6,6 +6,7 @@ import random
 import brute
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -129,6 +130,20 @@ def test_fertility_bands(spark):
     assert abs(got[1].entropy + (share * np.log2(share)).sum()) < 1e-9 and abs(got[1].chars_per_token - len(prose) / len(tokens)) < 1e-9
 
 
+def test_symbols_between_words(spark):
+    """Prose stays in every language; the same prose with a symbol after every word or every second word goes, long or short."""
+    draw, rows = random.Random(3), []
+    parts = "th er on an re he in ed nd ha at en es of or nt ea ti to it".split()
+    for n in (90, 400, 1500):
+        w = ["".join(draw.choice(parts) for _ in range(draw.randint(1, 4))) for _ in range(n)]
+        marked = [x + draw.choice(["###", "$$$", "%%%", "&&&", "***"]) for x in w]
+        table = [x + " |" * (k % 2) for k, x in enumerate(w)]
+        rows += [(len(rows) + k, " ".join(x), lang, k % 3 == 0) for k, (lang, x) in enumerate((g, x) for g in quality.LANGUAGES for x in (w, marked, table))]
+    got = {r.doc_id: r for r in quality.quality(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, good boolean")).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert {i: got[i].kept for i, *_ in rows} == {i: good for i, *_, good in rows}
+
+
 def test_archives(spark, tmp_path):
     same = "é" * 600
     rows = [(1, "http://a/1", same), (2, "http://a/2\r\nX: y", same), (3, None, None), (4, "", "short"), (5, "u", "short"), (6, "u", "z" * 999),
