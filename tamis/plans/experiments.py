@@ -19,6 +19,7 @@ from tamis.operators import metrics as M
 from tamis.operators import scoring as S
 from tamis.operators import splits as X
 from tamis.operators.bootstrap import group_bootstrap
+from tamis.operators.components import copy_groups
 from tamis.operators.neighbours import ReferenceSet
 from tamis.operators.ranks import hash_order
 from tamis.session import cut_lineage
@@ -47,61 +48,135 @@ def first_labels(rows: DataFrame, seeds: Sequence[int], sizes: Sequence[int]) ->
     return rows.select("item_id", "e").join(F.broadcast(top), "item_id").select("seed", F.col("k").cast("int").alias("k"), "item_id", "e", "class_idx")
 
 
+def training_pool(rows: DataFrame, held_out: DataFrame, other: int, folds: int, seed: str, tau: float = 0.98) -> tuple[DataFrame, DataFrame]:
+    """(lab, pool) of labelled rows with a column split. Copies are grouped over all rows; a group with a held-out row or two labels
+    goes. The pool is the field rows of known classes and all rows of class `other`, dealt into folds by copy group. The lab rows, which
+    every fold trains on, are the train rows of known classes without a copy in the pool."""
+    groups = cut_lineage(copy_groups(rows, tau))
+    outside = held_out.select("item_id", "class_idx")
+    free = cut_lineage(X.leakage_filter(rows.join(outside, "item_id", "left_anti"), outside, groups, "class_idx"))
+    pool = cut_lineage(X.group_kfold(free.where((F.col("split") == "field") | (F.col("class_idx") == other)), "copy_group", "class_idx", folds, seed))
+    lab = free.where((F.col("split") == "train") & (F.col("class_idx") != other)).join(pool.select("copy_group").distinct(), "copy_group", "left_anti")
+    return cut_lineage(lab), pool
+
+
+def loss_by_strength(pool: DataFrame, calib: DataFrame, heads: dict[float, dict[int, S.Head]]) -> DataFrame:
+    """(i, c, n, nll): mean loss of every strength over the pool rows, each by the head of its own fold, and the calibration rows by the
+    mean logits of the fold heads. One pass; a batch sends one sum per strength."""
+    grid = list(heads)
+    rows = pool.select("e", F.col("class_idx").cast("int").alias("y"), "fold").unionByName(
+        calib.select("e", F.col("class_idx").cast("int").alias("y"), F.lit(-1).alias("fold")))
+    shared = rows.sparkSession.sparkContext.broadcast([{f: (h.weights, h.bias) for f, h in heads[c].items()} for c in grid])
+
+    def partial(batches):
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            e, y, fold = matrix(b.column(0)), b.column(1).to_numpy(), b.column(2).to_numpy()
+            sums = []
+            for by_fold in shared.value:
+                total = 0.0
+                for f in np.unique(fold):
+                    at = fold == f
+                    used = [by_fold[f]] if f >= 0 else list(by_fold.values())
+                    z = sum(e[at] @ w.T + bias for w, bias in used) / len(used)
+                    peak = z.max(axis=1)
+                    total += float((peak + np.log(np.exp(z - peak[:, None]).sum(axis=1)) - z[np.arange(len(z)), y[at]]).sum())
+                sums.append(total)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(grid), dtype=np.int32)), pa.array(np.full(len(grid), len(y))), pa.array(sums)],
+                                             names=["i", "n", "s"])
+
+    per = rows.mapInArrow(partial, "i int, n bigint, s double").groupBy("i").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    return per.select("i", F.get(F.array(*[F.lit(float(c)) for c in grid]), F.col("i")).alias("c"), "n", (F.col("s") / F.col("n")).alias("nll"))
+
+
 @dataclass
 class FoldModels:
-    """Heads and reference rows by fold, and the scored rows of all folds, each by the head that hasn't seen it."""
+    """The chosen strength, heads and reference rows by fold, and the scored rows of all folds, each by the head that hasn't seen it."""
 
+    c: float
     heads: dict[int, S.Head]
     references: dict[int, DataFrame]
     out_of_fold: DataFrame
 
 
-def fold_models(lab: DataFrame, field: DataFrame, lab_reference: DataFrame, classes: Sequence[str], c: float, per_class: int,
-                folds: Sequence[int]) -> FoldModels:
-    """Fold f: head from the lab rows and the other field folds; reference from the fixed lab rows and `per_class` field rows of the
-    other folds. The scored rows are stored, so that every setting reads them."""
-    heads, references, out_of_fold = {}, {}, None
-    for f in folds:
-        rest = field.where(F.col("fold") != f)
-        heads[f] = FT.fit_head(lab.unionByName(rest), c, classes, other_weight=None, tol=1e-6)
-        references[f] = lab_reference.unionByName(X.sample_cap_per_class(rest, per_class, "class_idx", "item_id", f"fold{f}").select(
-            F.col("item_id").alias("ref_id"), "e"))
-        scored = S.score_against(field.where(F.col("fold") == f), heads[f], references[f])
+def fold_models(lab: DataFrame, pool: DataFrame, calib: DataFrame, lab_reference: DataFrame, classes: Sequence[str], grid: Sequence[float],
+                per_class: int, folds: int, other: int) -> FoldModels:
+    """Fold f: head from the lab rows and the other folds of the pool; reference from the fixed lab rows and `per_class` rows of each known
+    class of the other folds. The strength of the grid with the lowest out-of-fold and calibration loss is used, the first on ties.
+    The scored rows are stored, so that every setting reads them."""
+    columns, by_strength, references, out_of_fold = ["item_id", "e", "class_idx"], {}, {}, None
+    for f in range(folds):
+        train = lab.select(columns).unionByName(pool.where(F.col("fold") != f).select(columns)).persist()
+        for c in grid:
+            by_strength.setdefault(float(c), {})[f] = FT.fit_head(train, c, classes, other_weight=None, tol=1e-6)
+        train.unpersist()
+    c = loss_by_strength(pool, calib, by_strength).agg(F.min_by("c", F.struct("nll", "i"))).first()[0]
+    heads = by_strength[c]
+    for f in range(folds):
+        rest = pool.where((F.col("fold") != f) & (F.col("class_idx") != other))
+        references[f] = cut_lineage(lab_reference.unionByName(X.sample_cap_per_class(rest, per_class, "class_idx", "item_id", f"fold{f}").select(
+            F.col("item_id").alias("ref_id"), "e")))
+        scored = S.score_against(pool.where(F.col("fold") == f), heads[f], references[f])
         out_of_fold = scored if out_of_fold is None else out_of_fold.unionByName(scored)
-    return FoldModels(heads, references, cut_lineage(out_of_fold))
+    return FoldModels(c, heads, references, cut_lineage(out_of_fold))
 
 
-def evaluate_folds(models: FoldModels, calib: DataFrame, other: int | None, budget: float | None = 0.05, known_only: bool = True,
+def evaluate_folds(models: FoldModels, calib: DataFrame, other: int, budget: float | None = 0.05, known_only: bool = True,
                    target: float = C.TARGET_ACCURACY, least: int = C.MIN_ANSWERED) -> tuple[DataFrame, DataFrame]:
-    """(metrics per fold, scalars per fold) of the whole rule.
+    """(decided rows of all folds, scalars per fold) of the whole rule.
 
     Temperature, cutoff, threshold and the bias of the routed class come from the calibration rows and the out-of-fold rows of the
-    other folds; the rule is scored on the rows of its fold. `known_only`: the threshold is chosen on rows of known classes."""
-    routed = (other,) if other is not None else ()
-    out_of_fold, metrics, scalars = models.out_of_fold, None, []
+    other folds; the rule is applied to the rows of its fold. `known_only`: the threshold is chosen on rows of known classes."""
+    out_of_fold, decided, scalars = models.out_of_fold, None, []
+    known = F.col("class_idx") != other
+    keep = ["item_id", "class_idx", "fold", "logits", "distance"]
     for f, head in models.heads.items():
-        known = F.col("class_idx") != other if other is not None else F.lit(True)
         rest = out_of_fold.where(F.col("fold") != f)
-        bias = 0.0
-        if other is not None and budget is not None:
-            bias = C.other_bias(rest.where(known), other, budget).first()[0] or 0.0
+        bias = 0.0 if budget is None else C.other_bias(rest.where(known), other, budget).first()[0] or 0.0
         shift = head.bias.copy()
-        if other is not None:
-            shift[other] += bias
-        head = head.with_settings(bias=shift, routed=routed)
-        keep = ["item_id", "class_idx", "fold", "logits", "distance"]
-        pool = cut_lineage(S.score_against(calib, head, models.references[f]).select(*keep).unionByName(
+        shift[other] += bias
+        head = head.with_settings(bias=shift, routed=(other,))
+        pool = cut_lineage(S.score_against(calib, head, models.references[f]).withColumn("fold", F.lit(None).cast("int")).select(*keep).unionByName(
             _shifted(rest, other, bias).select(*keep)))
         head = head.with_settings(temperature=C.fit_temperature(pool, "class_idx"), cutoff=C.familiarity_cutoff(pool.where(known)))
         ready = S.decide(_probabilities(pool, head.temperature), head)
         mask = known if known_only else None
         head = head.with_settings(threshold=float(C.select_threshold(ready, "class_idx", target, least, mask=mask).first()[0]))
-        scalars.append((int(f), head.temperature, head.threshold, head.cutoff, float(bias)))
+        scalars.append((int(f), models.c, head.temperature, head.threshold, head.cutoff, float(bias)))
         test = S.decide(_probabilities(_shifted(out_of_fold.where(F.col("fold") == f), other, bias).select(*keep), head.temperature), head)
-        row = M.rule_metrics(test.where(known), by=["fold"])
-        metrics = row if metrics is None else metrics.unionByName(row)
-    table = out_of_fold.sparkSession.createDataFrame(scalars, "fold int, temperature double, threshold double, cutoff double, other_bias double")
-    return metrics, table
+        decided = test if decided is None else decided.unionByName(test)
+    table = out_of_fold.sparkSession.createDataFrame(
+        scalars, "fold int, c double, temperature double, threshold double, cutoff double, other_bias double")
+    return cut_lineage(decided), table
+
+
+def fold_table(decided: DataFrame, scalars: DataFrame, other: int) -> DataFrame:
+    """A row per fold: its scalars, the rule on known rows, out-of-scope rows (oos_), both together (mixed_), and how well confidence,
+    distance and the probability of `other` tell them apart (auroc_)."""
+    known, outside = decided.where(F.col("class_idx") != other), decided.where(F.col("class_idx") == other)
+    named = lambda df, prefix: df.select("fold", *[F.col(c).alias(prefix + c) for c in df.columns if c != "fold"])
+    out = scalars.join(M.rule_metrics(known, by=["fold"]), "fold", "left").join(named(M.out_of_scope_metrics(outside, by=["fold"]), "oos_"), "fold", "left")
+    mixed, areas = None, []
+    signals = {"confidence": -F.col("max_prob"), "distance": F.col("distance"), "other": F.get("probs", F.lit(other))}
+    for (f,) in scalars.select("fold").collect():  # one row per fold
+        rows = decided.where(F.col("fold") == f)
+        row = M.mixed_population(rows, F.col("class_idx") == other, F.col("class_idx")).select(F.lit(f).alias("fold"), "*")
+        mixed = row if mixed is None else mixed.unionByName(row)
+        areas.append((f, *[M.auroc(rows.withColumn("signal", s), "signal", F.col("class_idx") == other).first()["auroc"] for s in signals.values()]))
+    area = decided.sparkSession.createDataFrame(areas, "fold int, " + ", ".join(f"auroc_{s} double" for s in signals))
+    return out.join(named(mixed, "mixed_"), "fold", "left").join(area, "fold", "left")
+
+
+def with_summary(per_fold: DataFrame) -> DataFrame:
+    """The rows of the folds, then their mean and population sd; `part` is fold, mean or sd."""
+    names = [c for c in per_fold.columns if c != "fold"]
+    per_fold = cut_lineage(per_fold.select("fold", *[F.col(c).cast("double").alias(c) for c in names]))
+    runs = M.summarise_runs(per_fold, names)
+    out = per_fold.select(F.lit("fold").alias("part"), "*")
+    for part in ("mean", "sd"):
+        out = out.unionByName(runs.select(F.lit(part).alias("part"), F.lit(None).cast("int").alias("fold"), *[F.col(f"{c}_{part}").alias(c) for c in names]))
+    return out
 
 
 def _shifted(rows: DataFrame, other: int | None, bias: float) -> DataFrame:

@@ -120,3 +120,48 @@ def test_unknown_distances_mean_no_check(spark):
     nothing = N.ReferenceSet(np.zeros(0, np.int64), np.zeros((0, 4)))
     out = E.learning_outcomes(rows, head, nothing, "unit", "grp", (1, 2), (0,), ("prior",))
     assert out.where("reason = 'unfamiliar'").count() == 0 and out.count() > 0
+
+
+def test_training_pool_keeps_copies_together(spark):
+    """Copies share a fold; a group with a held-out row or two labels goes; no lab row has a copy in the pool."""
+    draw = np.random.default_rng(8)
+    base = draw.normal(size=(90, 24))
+    rows, group = [], {}
+    for i, v in enumerate(base):
+        split = ("train", "field", "field")[i % 3]
+        for k in range(1 + (i % 4 > 0) + (i % 4 > 2)):
+            item = i * 10 + k
+            label = (i % 3 if i % 7 else 2) if not (k == 1 and i % 11 == 0) else 1 - i % 2
+            # the copy of some lab rows is a field row
+            rows.append((item, (v + draw.normal(size=24) * 0.002).tolist(), int(label), "field" if k == 1 and i % 9 == 0 else split))
+            group[item] = i
+    table = spark.createDataFrame(rows, "item_id bigint, e array<double>, class_idx int, split string")
+    held = {r[0] for r in rows if r[3] == "field" and r[0] % 50 == 10}
+    lab, pool = E.training_pool(table, table.where(F.col("item_id").isin(*held)), 2, 5, "t")
+    lab, pool = [r.item_id for r in lab.collect()], {r.item_id: r.fold for r in pool.collect()}
+    labels = {}
+    for item, _, label, _ in rows:
+        labels.setdefault(group[item], set()).add(label)
+    banned = {group[i] for i in held} | {g for g, s in labels.items() if len(s) > 1}
+    free = [r for r in rows if group[r[0]] not in banned]
+    assert held and len(banned) > len(held)
+    assert set(pool) == {i for i, _, label, split in free if split == "field" or label == 2}
+    assert set(lab) == {i for i, _, label, split in free if split == "train" and label != 2 and group[i] not in {group[j] for j in pool}}
+    assert all(len({f for i, f in pool.items() if group[i] == g}) == 1 for g in {group[i] for i in pool}) and set(pool.values()) == set(range(5))
+
+
+def test_loss_by_strength(spark):
+    draw = np.random.default_rng(9)
+    heads = {c: {f: S.Head(("a", "b", "c"), draw.normal(size=(3, 6)), draw.normal(size=3)) for f in range(2)} for c in (0.1, 1.0, 3.0)}
+    e, y, fold = draw.normal(size=(40, 6)), draw.integers(0, 3, 40), [0] * 12 + [1] * 13 + [None] * 15
+    table = spark.createDataFrame([(a.tolist(), int(b), f) for a, b, f in zip(e, y, fold)], "e array<double>, class_idx int, fold int").repartition(3)
+    got = {r.c: (r.n, r.nll) for r in E.loss_by_strength(table.where("fold is not null"), table.where("fold is null"), heads).collect()}
+    for c, by in heads.items():
+        z = [np.mean([x @ h.weights.T + h.bias for h in (by.values() if f is None else [by[f]])], axis=0) for x, f in zip(e, fold)]
+        assert got[c][0] == 40 and abs(got[c][1] - np.mean([np.log(np.exp(v).sum()) - v[k] for v, k in zip(z, y)])) < 1e-9
+
+
+def test_summary_rows(spark):
+    table = spark.createDataFrame([(0, 1.0, 2), (1, 3.0, 4)], "fold int, a double, n int")
+    got = {(r.part, r.fold): (r.a, r.n) for r in E.with_summary(table).collect()}
+    assert got == {("fold", 0): (1.0, 2.0), ("fold", 1): (3.0, 4.0), ("mean", None): (2.0, 3.0), ("sd", None): (1.0, 1.0)}
