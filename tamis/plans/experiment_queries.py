@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from tamis.operators import fitting as FT
 from tamis.operators import metrics as M
-from tamis.operators import neighbours as N
 from tamis.operators import raters as RT
 from tamis.operators import scoring as S
 from tamis.operators import splits as X
@@ -102,14 +101,14 @@ def _update(spark, sf):
     head = head.with_settings(prior_strength=0.3, local_cutoff=0.62)
     labelled = W.items(spark, sf).where(f"split = 'calib' and class_idx <> {W.OTHER}")
     adapted = FT.adapt_head(head, labelled)
-    return rows, head, adapted, N.bounded_reference(labelled.select(F.col("item_id").alias("ref_id"), "e"))
+    return rows, head, adapted, labelled.select(F.col("item_id").alias("ref_id"), "e")
 
 
 @query("e06_out_of_scope_after_update")
 def e06(spark, sf):
     _, head, adapted, added = _update(spark, sf)
     out_rows = W.items(spark, sf).where(f"class_idx = {W.OTHER}")
-    return rounded(E.out_of_scope_after_update(out_rows, head, adapted, W.reference(spark, sf), added), 4)
+    return rounded(E.out_of_scope_after_update(out_rows, head, adapted, W.reference_rows(spark, sf), added), 4)
 
 
 @query("c16_update_diagnosis")
@@ -117,7 +116,7 @@ def c16(spark, sf):
     """Which half of an update moves the out-of-scope rows: the refit or the added rows."""
     _, head, adapted, added = _update(spark, sf)
     out_rows = W.items(spark, sf).where(f"class_idx = {W.OTHER}")
-    table = E.out_of_scope_after_update(out_rows, head, adapted, W.reference(spark, sf), added)
+    table = E.out_of_scope_after_update(out_rows, head, adapted, W.reference_rows(spark, sf), added)
     return rounded(table.where("variant in ('before', 'refit_only', 'rows_only')").select("variant", "n", "not_sure"), 4)
 
 

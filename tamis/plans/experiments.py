@@ -20,7 +20,7 @@ from tamis.operators import scoring as S
 from tamis.operators import splits as X
 from tamis.operators.bootstrap import group_bootstrap
 from tamis.operators.components import copy_groups
-from tamis.operators.neighbours import ReferenceSet
+from tamis.operators.neighbours import MAX_REFERENCE_ROWS, ReferenceSet
 from tamis.operators.ranks import hash_order
 from tamis.session import cut_lineage
 
@@ -320,17 +320,23 @@ def cross_source_accuracy(train: DataFrame, test: DataFrame, c: float, classes:
     return S.score(test, head).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("top") == F.col("class_idx")).cast("double")).alias("accuracy"))
 
 
-def out_of_scope_after_update(out_rows: DataFrame, head: S.Head, adapted: S.Head, reference: ReferenceSet, added: ReferenceSet) -> DataFrame:
+def out_of_scope_after_update(out_rows: DataFrame, head: S.Head, adapted: S.Head, reference: DataFrame, added: DataFrame,
+                              max_rows: int = MAX_REFERENCE_ROWS) -> DataFrame:
     """Routing of rows of no known class: before an update, after it under both familiarity rules, and with only one half of
-    the update (the refit alone, or the added rows alone)."""
-    joined = ReferenceSet(np.r_[reference.ids, added.ids], np.vstack([reference.unit, added.unit]))
+    the update (the refit alone, or the added rows alone). `reference` and `added` are tables (ref_id, e) of any size; their ids differ."""
+    joined = reference.select("ref_id", "e").unionByName(added.select("ref_id", "e"))
+    # the distances don't depend on the weights, so each reference is met once
     plain = {"local_cutoff": None}
-    variants = (("before", head.with_settings(**plain), reference, None), ("after", adapted, joined, added),
-                ("after_previous_rule", adapted.with_settings(**plain), joined, None),
-                ("refit_only", adapted.with_settings(**plain), reference, None), ("rows_only", head.with_settings(**plain), joined, None))
+    near = {"before": cut_lineage(S.score_against(out_rows, head, reference, max_rows=max_rows)),
+            "after": cut_lineage(S.score_against(out_rows, head, joined, added, max_rows=max_rows))}
+    variants = (("before", head.with_settings(**plain), "before"), ("after", adapted, "after"),
+                ("after_previous_rule", adapted.with_settings(**plain), "after"),
+                ("refit_only", adapted.with_settings(**plain), "before"), ("rows_only", head.with_settings(**plain), "after"))
     out = None
-    for name, h, ref, near in variants:
-        row = M.out_of_scope_metrics(S.decide(S.score(out_rows, h, ref, near), h)).select(F.lit(name).alias("variant"), "*")
+    for name, h, at in variants:
+        measured = near[at].select("item_id", "distance", "local_distance")
+        scored = S.score(out_rows, h).drop("distance", "local_distance").join(measured, "item_id")
+        row = M.out_of_scope_metrics(S.decide(scored, h)).select(F.lit(name).alias("variant"), "*")
         out = row if out is None else out.unionByName(row)
     return out
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tamis.functions.numeric import beta_cdf
 from tamis.operators import calibration as C
+from tamis.operators import metrics as M
 from tamis.operators import neighbours as N
 from tamis.operators import scoring as S
 from tamis.operators import similarity as SIM
@@ -165,3 +166,20 @@ def test_summary_rows(spark):
     table = spark.createDataFrame([(0, 1.0, 2), (1, 3.0, 4)], "fold int, a double, n int")
     got = {(r.part, r.fold): (r.a, r.n) for r in E.with_summary(table).collect()}
     assert got == {("fold", 0): (1.0, 2.0), ("fold", 1): (3.0, 4.0), ("mean", None): (2.0, 3.0), ("sd", None): (1.0, 1.0)}
+
+
+def test_added_rows_beyond_the_bound(spark):
+    """Added rows that no task may hold give the same routing as shipped ones, and no error."""
+    draw = np.random.default_rng(10)
+    out_rows, reference = table(spark, draw.normal(size=(30, 8))), table(spark, draw.normal(size=(40, 8)), "ref_id")
+    added = table(spark, draw.normal(size=(25, 8)), "ref_id").withColumn("ref_id", F.col("ref_id") + 1000)
+    head = S.Head(("a", "b", "c"), draw.normal(size=(3, 8)), np.zeros(3), threshold=0.4, k=3, cutoff=0.35, local_cutoff=0.3, routed=(2,))
+    adapted = head.with_settings(weights=draw.normal(size=(3, 8)))
+    whole = {r.variant: r for r in E.out_of_scope_after_update(out_rows, head, adapted, reference, added).collect()}
+    assert whole == {r.variant: r for r in E.out_of_scope_after_update(out_rows, head, adapted, reference, added, max_rows=10).collect()}
+    ref, more = N.bounded_reference(reference), N.bounded_reference(added)
+    both = N.ReferenceSet(np.r_[ref.ids, more.ids], np.vstack([ref.unit, more.unit]))
+    for name, h, r, near in (("before", head, ref, None), ("after", adapted, both, more), ("refit_only", adapted, ref, None), ("rows_only", head, both, None)):
+        h = h if near is not None else h.with_settings(local_cutoff=None)
+        want = M.out_of_scope_metrics(S.decide(S.score(out_rows, h, r, near), h)).first()
+        assert tuple(whole[name])[1:] == tuple(want)
