@@ -20,13 +20,14 @@ K = 10
 
 
 def sign_code(vector: Column) -> Column:
-    """64-bit code of an array: bit i is set where element i is positive. Elements beyond 64 are left out; a null element, a NaN or a
-    missing one leaves its bit unset; a null array has no code."""
+    """64-bit code of an array: bit i is set where element i is positive. A longer array ends the query with an error, since its code would be
+    that of a prefix; a null element, a NaN or a missing one leaves its bit unset; a null array has no code."""
     def bit(x, i):
         return F.when((i < BITS) & (x > 0) & ~F.isnan(x), F.expr("1L")).otherwise(F.lit(0).cast("long"))
 
-    return F.aggregate(F.transform(F.slice(vector, 1, BITS), lambda x, i: F.struct(bit(x.cast("double"), i).alias("b"), i.alias("i"))),
+    code = F.aggregate(F.transform(vector, lambda x, i: F.struct(bit(x.cast("double"), i).alias("b"), i.alias("i"))),
                        F.lit(0).cast("long"), lambda total, e: total.bitwiseOR(F.call_function("shiftleft", e["b"], e["i"])))
+    return F.when(F.size(vector) > BITS, F.raise_error(F.lit(f"vectors of more than {BITS} elements have no code here")).cast("long")).otherwise(code)
 
 
 def _masks(width: int, radius: int) -> Column:

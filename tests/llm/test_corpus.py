@@ -210,6 +210,13 @@ def test_few_codes(spark):
     assert codes.nearest_codes(table, table.limit(0), 3).count() == 0
 
 
+def test_vectors_longer_than_the_code(spark):
+    rows = spark.createDataFrame([(0, [1.0] * 64), (1, [1.0] * 65)], "id bigint, e array<double>").select("id", codes.sign_code(F.col("e")).alias("code"))
+    assert [r.code for r in rows.where("id = 0").collect()] == [-1]
+    with pytest.raises(Exception, match="more than 64 elements"):
+        rows.collect()
+
+
 def test_pipeline(spark, docs, corpus, tmp_path):
     """Each stage on its own input, then run() over written tables."""
     columns = ["doc_id", "text", "lang", "source", "n_chars"]
