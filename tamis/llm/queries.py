@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamis.llm import budget, codes, idfiles, linedup, neardup, packing, pieces, quality, secrets, warc
+from tamis.llm import budget, codes, hardneg, idfiles, lexical, linedup, mixing, neardup, packing, pieces, quality, secrets, warc
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -142,3 +142,67 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
        coalesce(spans, '') AS spans, coalesce(n_owned, 0) AS n_owned, coalesce(n_live, 0) AS n_live
 FROM t LEFT JOIN found USING (doc_id)
 """.format(assign=secrets.ASSIGN.replace("'", "''"))
+
+
+@_query
+def op11_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each document a mix of 150 % takes, with sources at target weights."""
+    return mixing.words_taken(mixing.mix(_table(spark, sf_dir, "documents")))
+
+
+ORACLES["op11_mixture"] = rf"""
+WITH z AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+  s AS (SELECT source, sum(size)::BIGINT AS source_size, [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM z GROUP BY 1),
+  a AS (SELECT *, 2 * source_size AS most, 2 * source_size / weight AS room FROM s),
+  l AS (SELECT *, (1.5::DOUBLE * (SELECT sum(source_size) FROM s) - coalesce(sum(most) OVER (ORDER BY room, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+             / sum(weight) OVER (ORDER BY room, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM a),
+  t AS (SELECT source, source_size, least(most::DOUBLE, weight * coalesce((SELECT arg_min(level, room) FROM l WHERE level <= room), 'inf'::DOUBLE)) AS target FROM l),
+  r AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, '')), doc_id, size ROWS UNBOUNDED PRECEDING) - size AS first FROM z),
+  q AS (SELECT doc_id, size, source_size, target, floor(target + 0.5)::BIGINT AS quota, first FROM r JOIN t ON r.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+       (greatest(0, least(size, quota - first)) + greatest(0, least(size, quota - source_size - first)))::BIGINT AS taken FROM q
+"""
+
+
+@_query
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector and its positives, among all vectors."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = hardneg.whole_vectors(_table(spark, sf_dir, "embeddings"), F.col("vec_id"), F.col("embedding"), label)
+    return hardneg.hard_negatives(rows, rows.where("id % 100 = 0"))
+
+
+ORACLES["op12_hard_negatives"] = """
+WITH e AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda v: floor(256 * v::DOUBLE)) AS x
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0),
+  s AS (SELECT a.id AS anchor_id, r.id, a.label = r.label AS alike, list_dot_product(a.x, r.x)::BIGINT AS score FROM e a JOIN e r ON a.id % 100 = 0 AND a.id <> r.id),
+  p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE alike QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+  n AS (SELECT anchor_id, positive_id, positive_score, id AS negative_id, score AS negative_score,
+               row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS rank
+        FROM p JOIN s USING (anchor_id) WHERE NOT alike AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
+
+
+@_query
+def op13_lexical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 best documents of every benchmark item, by term weights and length."""
+    return lexical.ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+_TERMS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                          '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+ORACLES["op13_lexical_topk"] = f"""
+WITH t AS (SELECT doc_id, unnest({_TERMS}) AS term FROM documents),
+  n AS (SELECT doc_id, count(*) AS n FROM t GROUP BY 1),
+  c AS (SELECT count(*) AS docs, sum(n)::BIGINT AS len FROM n),
+  f AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY 1, 2),
+  w AS (SELECT term, floor(1000 * ln((2 * (SELECT docs FROM c) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM f GROUP BY 1),
+  i AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY 1, 2),
+  m AS (SELECT doc_id, 25 + (75 * n * docs) // len AS m FROM n, c),
+  s AS (SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+        FROM i JOIN w USING (term) JOIN f USING (term) JOIN m USING (doc_id) GROUP BY 1, 2)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10
+"""
