@@ -254,7 +254,7 @@ def hard_negatives(rows: DataFrame, anchors: DataFrame, positives: int = POSITIV
     none = F.array().cast("array<bigint>")
     alike = cut_lineage(search(shards, anchor_blocks(blocked.withColumn("ends", none)), parts, positives, True, lanes))
     # windows in whole numbers, ceil(low * score / 100) to floor(high * score / 100), and empty ones up to their full count
-    ends = F.flatten(F.transform("p", lambda p: F.array(_floor_div(p["score"] * low + 99, 100), _floor_div(p["score"] * high, 100))))
+    ends = F.flatten(F.transform("p", lambda p: F.array(_percent(p["score"], low, 99), _percent(p["score"], high, 0))))
     empty = F.flatten(F.array_repeat(F.array(F.lit(1).cast("long"), F.lit(0).cast("long")), positives))
     with_windows = alike.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("rank", "score", "other_id"))).alias("p"))
     whole = wanted.join(with_windows, "key").withColumn("ends", F.slice(F.concat(ends, empty), 1, 2 * positives)).withColumn("pool", F.lit(0)).drop("p")
@@ -266,6 +266,7 @@ def hard_negatives(rows: DataFrame, anchors: DataFrame, positives: int = POSITIV
                                                            F.col("other_id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))
 
 
-def _floor_div(a: Column, b: int) -> Column:
-    """Whole division rounding down, for b > 0."""
-    return F.call_function("div", a - F.pmod(a, F.lit(b)), F.lit(b))
+def _percent(a: Column, share: int, more: int) -> Column:
+    """floor((share * a + more) / 100), without a product that could leave 64 bits."""
+    rest = F.pmod(a, F.lit(100))
+    return F.call_function("div", a - rest, F.lit(100)) * share + F.call_function("div", rest * share + more, F.lit(100))

@@ -145,7 +145,7 @@ def split_quotas(quotas: DataFrame, shards: int, seed: int = SEED) -> DataFrame:
     def room(first, last):
         return F.floor(F.col("all") * last / shards).cast("long") - F.floor(F.col("all") * first / shards).cast("long")
 
-    for _ in range((shards - 1).bit_length()):
+    for level in range((shards - 1).bit_length()):
         mid = F.ceil((F.col("lo") + F.col("hi")) / 2).cast("long")
         left = F.when(mid < F.col("hi"), _draw_left(F.col("quota"), room(F.col("lo"), mid), F.lit(seed), F.col("lo"), F.col("hi"))).otherwise(F.col("quota"))
         halves = nodes.withColumns({"left": left, "mid": mid})
@@ -153,7 +153,9 @@ def split_quotas(quotas: DataFrame, shards: int, seed: int = SEED) -> DataFrame:
             F.struct(F.col("lo").alias("lo"), F.col("mid").alias("hi"), F.col("left").alias("quota")),
             F.struct(F.col("mid").alias("lo"), F.col("hi").alias("hi"), F.zip_with("quota", "left", lambda q, x: q - x).alias("quota")))).otherwise(
                 F.array(F.struct(F.col("lo").alias("lo"), F.col("hi").alias("hi"), F.col("quota").alias("quota"))))
-        nodes = cut_lineage(halves.select("places", "all", F.explode(children).alias("c")).select("c.lo", "c.hi", "places", "c.quota", "all").repartition("lo"))
+        nodes = halves.select("places", "all", F.explode(children).alias("c")).select("c.lo", "c.hi", "places", "c.quota", "all")
+        if level % 5 == 4:  # deal the nodes to the tasks again
+            nodes = cut_lineage(nodes.repartition("lo"))
     shares = nodes.select(F.col("lo").alias("shard"), F.explode(F.arrays_zip(F.col("places").alias("place"), F.col("quota").alias("blocks"))).alias("s"))
     return shares.select("shard", "s.place", "s.blocks").where("blocks > 0")
 
