@@ -91,7 +91,8 @@ def beta_cdf(x: float | np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         bottom, top = -(10 * sd + 40 / p), 10 * sd + 40 / q
         # t as a distance from the mode on the logit scale, without loss where it lies close
         mode = p / (p + q)
-        step = np.log1p((t - mode) / mode) - np.log1p(np.maximum((mode - t) / (1 - mode), -1 + 1e-16))
+        far = t < mode / 2  # here the plain quotient loses nothing
+        step = np.where(far, np.log(t / mode), np.log1p(np.where(far, 0.0, (t - mode) / mode))) - np.log1p(np.maximum((mode - t) / (1 - mode), -1 + 1e-16))
         cut = np.clip(step, bottom, top)
         below, above = _mass(bottom, cut, p, q), _mass(cut, top, p, q)
         out[first:first + 512] = below / (below + above)

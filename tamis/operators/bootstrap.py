@@ -29,10 +29,9 @@ def _block_draws(sizes: np.ndarray, block: int, reps: int, seed: int) -> np.ndar
     return draws
 
 
-def group_bootstrap(df: DataFrame, group: str, measures: Mapping[str, tuple[Column, Column]], reps: int = 1000,
-                    seed: int = 11, interval: Sequence[float] = (0.025, 0.975)) -> DataFrame:
-    """(measure, value, low, high). Rows are first combined into one line per group; groups are cut by hash into blocks,
-    each block draws its own share and sends one line of sums per repetition."""
+def replicates(df: DataFrame, group: str, measures: Mapping[str, tuple[Column, Column]], reps: int = 1000, seed: int = 11) -> DataFrame:
+    """(rep, measure, v): each measure in every repetition; repetition 0 is the data itself. Rows are first combined into one line per
+    group; groups are cut by hash into blocks, each block draws its own share and sends one line of sums per repetition."""
     per = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"), *[c.alias(f"{k}_{m}") for m, (hit, base) in measures.items()
                                                                  for k, c in (("h", F.count_if(hit & base)), ("b", F.count_if(base)))])
     names = list(measures)
@@ -62,11 +61,35 @@ def group_bootstrap(df: DataFrame, group: str, measures: Mapping[str, tuple[Colu
 
     drawn = blocks.groupBy("block").applyInArrow(draw, "rep int, i int, x double").groupBy("rep", "i").agg(F.sum("x").alias("x"))
     label = F.get(F.array(*[F.lit(m) for m in names]), F.floor(F.col("i") / 2).cast("int"))
-    value = drawn.groupBy("rep", label.alias("measure")).agg(
+    return drawn.groupBy("rep", label.alias("measure")).agg(
         (F.max(F.when(F.col("i") % 2 == 0, F.col("x")))
          / F.nullif(F.max(F.when(F.col("i") % 2 == 1, F.col("x"))), F.lit(0.0))).alias("v"))
-    # repetition 0 is the data itself; the quantiles run over the fixed number of repetitions
-    return value.groupBy("measure").agg(
-        F.max(F.when(F.col("rep") == 0, F.col("v"))).alias("value"),
-        F.percentile(F.when(F.col("rep") > 0, F.col("v")), float(interval[0])).alias("low"),
-        F.percentile(F.when(F.col("rep") > 0, F.col("v")), float(interval[1])).alias("high"))
+
+
+def _bounds(value: DataFrame, by: Sequence[str], interval: Sequence[float], column: str = "v") -> DataFrame:
+    """Value and interval; the quantiles run over the fixed number of repetitions."""
+    own, drawn = F.when(F.col("rep") == 0, F.col(column)), F.when(F.col("rep") > 0, F.col(column))
+    return value.groupBy(*by).agg(F.max(own).alias("value"), F.percentile(drawn, float(interval[0])).alias("low"),
+                                  F.percentile(drawn, float(interval[1])).alias("high"))
+
+
+def group_bootstrap(df: DataFrame, group: str, measures: Mapping[str, tuple[Column, Column]], reps: int = 1000,
+                    seed: int = 11, interval: Sequence[float] = (0.025, 0.975)) -> DataFrame:
+    """(measure, value, low, high) over whole groups."""
+    return _bounds(replicates(df, group, measures, reps, seed), ["measure"], interval)
+
+
+def paired_bootstrap(df: DataFrame, model: str, names: tuple[str, str], group: str, measures: Mapping[str, tuple[Column, Column]], reps: int = 1000,
+                     seed: int = 11, interval: Sequence[float] = (0.025, 0.975)) -> DataFrame:
+    """(measure, first, second, difference, low, high): two models that decided the same rows, told apart by the column `model`.
+
+    Both are drawn together: a repetition takes the same groups for either model, so the interval is that of the difference
+    second - first and not of two independent samples. Equal decisions give a difference of exactly 0 in every repetition. A measure without a base in a
+    repetition leaves it out."""
+    own = {(i, m): (F.col(model) == name) & base for i, name in enumerate(names) for m, (_, base) in measures.items()}
+    both = {f"{i}:{m}": (measures[m][0], base) for (i, m), base in own.items()}
+    value = replicates(df, group, both, reps, seed).select("rep", F.split("measure", ":", 2).alias("p"), "v")
+    pair = value.groupBy("rep", F.col("p")[1].alias("measure")).agg(*[F.max(F.when(F.col("p")[0] == str(i), F.col("v"))).alias(f"v{i}") for i in (0, 1)])
+    found = _bounds(pair.withColumn("d", F.col("v1") - F.col("v0")), ["measure"], interval, "d").withColumnRenamed("value", "difference")
+    at_zero = pair.where("rep = 0").select("measure", F.col("v0").alias("first"), F.col("v1").alias("second"))
+    return at_zero.join(found, "measure").select("measure", "first", "second", "difference", "low", "high")

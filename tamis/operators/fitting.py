@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Generator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamis.functions.numeric import lists, matrix, softmax_rows
-from tamis.operators.calibration import nll_curve
 from tamis.operators.scoring import Head, score
 
 
@@ -46,47 +45,60 @@ def fit_head(df: DataFrame, c: float, classes: Sequence[str], vector: str = "e",
     return Head(tuple(classes), w, b)
 
 
-def minimise(objective: Callable[[np.ndarray], tuple[float, np.ndarray]], start: np.ndarray, tol: float = 1e-8,
-             max_iter: int = 2000, memory: int = 12) -> np.ndarray:
-    """Limited-memory quasi-Newton steps with a backtracking line search, for smooth convex objectives."""
+def descent(start: np.ndarray, tol: float = 1e-8, max_iter: int = 2000, memory: int = 12) -> Generator[np.ndarray, tuple[float, np.ndarray], np.ndarray]:
+    """Limited-memory quasi-Newton steps with a backtracking line search, for smooth convex objectives: yields the point to evaluate next, is
+    sent (value, gradient) and returns the minimum. It ends when the largest part of the gradient is below tol times the value (or tol),
+    or when the value has stopped to change."""
     x = start.copy()
-    value, grad = objective(x)
+    value, grad = yield x
     history: list[tuple[np.ndarray, np.ndarray, float]] = []
+    still = 0
     for _ in range(max_iter):
-        if np.abs(grad).max() < tol:
-            break
-        d, kept = -grad.copy(), []
+        if np.abs(grad).max() < tol * max(1.0, abs(value)) or still == 3:
+            return x
+        d, kept = -grad, []
         for s, y, rho in reversed(history):
             a = rho * (s @ d)
             kept.append(a)
-            d -= a * y
+            d = d - a * y
         if history:
             s, y, _ = history[-1]
-            d *= (s @ y) / (y @ y)
+            d = d * ((s @ y) / (y @ y))
         else:
-            d /= max(1.0, float(np.sqrt(grad @ grad)))
+            d = d / max(1.0, float(np.sqrt(grad @ grad)))
         for (s, y, rho), a in zip(history, reversed(kept)):
-            d += (a - rho * (y @ d)) * s
+            d = d + (a - rho * (y @ d)) * s
         slope = float(grad @ d)
         if slope >= 0:
             history, d = [], -grad
             slope = float(grad @ d)
         step = 1.0
-        for _ in range(40):
+        for _ in range(60):
             trial = x + step * d
-            new_value, new_grad = objective(trial)
+            new_value, new_grad = yield trial
             if new_value <= value + 1e-4 * step * slope + 1e-15 * abs(value):
                 break
             step *= 0.5
         else:
-            break
+            return x  # no step lowers the value any more
         s, y = trial - x, new_grad - grad
-        if s @ y > 1e-14:
+        if s @ y > 1e-14 * float(np.sqrt((s @ s) * (y @ y))):
             history = [*history, (s, y, 1.0 / float(s @ y))][-memory:]
+        still = still + 1 if abs(new_value - value) <= 1e-15 * abs(value) else 0
         x, value, grad = trial, new_value, new_grad
-    else:
-        raise RuntimeError(f"the fit has not converged in {max_iter} steps; raise max_iter or tol")
-    return x
+    raise RuntimeError(f"the fit has not converged in {max_iter} steps; raise max_iter or tol")
+
+
+def minimise(objective: Callable[[np.ndarray], tuple[float, np.ndarray]], start: np.ndarray, tol: float = 1e-8,
+             max_iter: int = 2000, memory: int = 12) -> np.ndarray:
+    """The minimum of one objective by `descent`."""
+    steps = descent(start, tol, max_iter, memory)
+    point = next(steps)
+    while True:
+        try:
+            point = steps.send(objective(point))
+        except StopIteration as end:
+            return end.value
 
 
 def _loss_sums(e: np.ndarray, y: np.ndarray, w: np.ndarray, b: np.ndarray, t: float) -> tuple[float, np.ndarray, np.ndarray]:
@@ -211,23 +223,6 @@ def local_only_rows(classes: Sequence[str], e: np.ndarray, y: np.ndarray, c: flo
     return w, b
 
 
-def select_c(train: DataFrame, grid: Sequence[float], classes: Sequence[str], fold: str = "fold", label: str = "class_idx",
-             vector: str = "e") -> DataFrame:
-    """(c, nll, chosen): mean out-of-fold loss for each strength; the lowest wins, the first on ties. One fit per strength
-    and fold; every fit is a distributed job."""
-    folds = sorted(r[0] for r in train.select(fold).distinct().collect())  # one row per fold
-    table = None
-    for i, c in enumerate(grid):
-        for f in folds:
-            head = fit_head(train.where(F.col(fold) != f), c, classes, vector, label)
-            part = nll_curve(score(train.where(F.col(fold) == f), head, vector=vector), label, [1.0])
-            row = part.select(F.lit(i).alias("i"), F.lit(float(c)).alias("c"), "n", (F.col("nll") * F.col("n")).alias("s"))
-            table = row if table is None else table.unionByName(row)
-    per = table.groupBy("i", "c").agg((F.sum("s") / F.sum("n")).alias("nll"))
-    best = per.agg(F.min_by("i", F.struct("nll", "i")).alias("best"))
-    return per.join(F.broadcast(best)).select("c", "nll", (F.col("i") == F.col("best")).alias("chosen"))
-
-
 def select_strength(train: DataFrame, check: DataFrame, start: Head, grid: Sequence[float], label: str = "class_idx",
                     vector: str = "e") -> DataFrame:
     """(strength, accuracy, chosen): accuracy of the refit on the check rows; the first maximum wins."""

@@ -125,17 +125,23 @@ def standard_measures(truth: Column, healthy: int = 0, target: int = 1) -> dict[
     }
 
 
-def auroc(df: DataFrame, score: str, positive: Column) -> DataFrame:
-    """Mann-Whitney area with ties counted half, one row (n_pos, n_neg, auroc). Rows are combined by score value first;
-    the prefix sums over the distinct values are range-partitioned."""
-    per = df.select(F.col(score).alias("_score"), positive.alias("_y")).where("_score is not null").groupBy("_score").agg(
+def auroc(df: DataFrame, score: str, positive: Column, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., n_pos, n_neg, auroc): Mann-Whitney area with ties counted half, one row, or one per value of `by`. Rows are combined by score
+    value first; the prefix sums over the distinct values are range-partitioned."""
+    per = df.select(*by, F.col(score).alias("_score"), positive.alias("_y")).where("_score is not null").groupBy(*by, "_score").agg(
         F.count_if("_y").alias("_p"), F.count_if(~F.col("_y")).alias("_q"))
-    run = ordered_prefix(per, "_score", "_score", {"_above": F.col("_q")}, rank="_rank")
+    key = "_score"
+    if by:  # one order over all: group by group, and in each by score; the sums of the groups before are taken off again
+        key = "_place"
+        per = per.withColumn(key, F.struct(*by, "_score"))
+    run = ordered_prefix(per, key, key, {"_above": F.col("_q")}, rank="_rank")
     # every positive beats the negatives below it and half of those at its value
-    area = F.sum(F.col("_p").cast("double") * (F.col("_above") - F.col("_q") / 2))
+    positives = F.col("_p").cast("double")
+    area = F.sum(positives * (F.col("_above") - F.col("_q") / 2))
     pos, neg = F.sum("_p"), F.sum("_q")
+    before = F.min(F.col("_above") - F.col("_q")) if by else F.lit(0)
     pairs = F.nullif(pos.cast("double") * neg.cast("double"), F.lit(0.0))
-    return run.agg(pos.alias("n_pos"), neg.alias("n_neg"), (1 - area / pairs).alias("auroc"))
+    return run.groupBy(*by).agg(pos.alias("n_pos"), neg.alias("n_neg"), (1 - (area - pos * before) / pairs).alias("auroc"))
 
 
 def risk_coverage(df: DataFrame, item_id: str, correct: Column, confidence: str = "max_prob") -> DataFrame:
@@ -173,11 +179,11 @@ def near_copy_summary(nearest: DataFrame, distance: str = "distance", threshold:
     return top.join(F.broadcast(mid))
 
 
-def mixed_population(decided: DataFrame, out_of_scope: Column, truth: Column, target: int = 1) -> DataFrame:
+def mixed_population(decided: DataFrame, out_of_scope: Column, truth: Column, target: int = 1, by: Sequence[str] = ()) -> DataFrame:
     """Known and out-of-scope rows together."""
     ans, top = F.col("answered"), F.col("top")
     called = ans & (top == target)
-    return decided.agg(
+    return decided.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), share(ans).alias("coverage"),
         (F.count_if(ans & (top == truth) & ~out_of_scope) / F.greatest(F.lit(1), F.count_if(ans))).alias("acc_answered"),
         (F.count_if(called & out_of_scope) / F.greatest(F.lit(1), F.count_if(called))).alias("flagged_out_of_scope"))

@@ -9,6 +9,7 @@ from tamis.operators import fitting as FT
 from tamis.operators import metrics as M
 from tamis.operators import scoring as S
 from tamis.operators import shrinkage as SH
+from tamis.operators import stacked as ST
 from tamis.operators.ranks import exact_quantiles
 from tamis.plans import views as W
 from tamis.plans.aggregate_queries import ROLLUP_SQL, centroid_distance, rounded
@@ -206,7 +207,7 @@ def c01(spark, sf):
 
 @query("c02_select_c")
 def c02(spark, sf):
-    return rounded(FT.select_c(_train(spark, sf), FT.STRENGTHS, W.CLASSES), 4)
+    return rounded(ST.select_c(_train(spark, sf), FT.STRENGTHS, W.CLASSES), 4)
 
 
 @query("c08_adapt_head")
@@ -224,12 +225,12 @@ def c09(spark, sf):
     """Heads from the first k reviewed rows of each seed alone; one task per seed and k, at most k rows each."""
     from tamis.plans.experiments import local_heads
 
-    return local_heads(W.items(spark, sf).where("split = 'calib'"), (1, 2, 3), (5, 20), W.CLASSES)
+    return local_heads(W.items(spark, sf).where("split = 'calib'"), (1, 2, 3, 4, 5), (10, 20, 50, 100, 200), W.CLASSES)
 
 
 @query("c10_select_lambda")
 def c10(spark, sf):
     rows = W.items(spark, sf).where("split = 'calib'")
-    return rounded(FT.select_strength(rows.where("fold < 3"), rows.where("fold >= 3"), W.head(spark, sf), [0.03, 0.3, 3.0]), 4)
+    return rounded(FT.select_strength(rows.where("fold < 3"), rows.where("fold >= 3"), W.head(spark, sf), [0.03, 0.1, 0.3, 1.0, 3.0]), 4)
 
 

@@ -9,7 +9,7 @@ from tamis.operators import metrics as M
 from tamis.operators import raters as RT
 from tamis.operators import scoring as S
 from tamis.operators import splits as X
-from tamis.operators.bootstrap import group_bootstrap
+from tamis.operators.bootstrap import group_bootstrap, paired_bootstrap
 from tamis.plans import experiments as E
 from tamis.plans import views as W
 from tamis.plans.aggregate_queries import cells, grouped, rounded
@@ -33,12 +33,18 @@ IN_USE = (0.05, True)
 FOLDS = 5
 
 
-def _models(spark, sf):
+def _rows(spark, sf):
+    """(all rows, lab, pool, calibration rows, fixed reference rows)."""
     rows = cut_lineage(W.items_aug(spark, sf).drop("fold"))
     # a tenth of the field rows stands for the sealed photos
     lab, pool = E.training_pool(rows, rows.where("split = 'field' and item_id % 50 = 49"), W.OTHER, FOLDS, "cv")
     calib = rows.where(f"split = 'calib' and class_idx <> {W.OTHER}")
     reference = S.stratified_reference(lab, W.REFERENCE_PER_CLASS, seed="ref", strict=False).select(F.col("item_id").alias("ref_id"), "e")
+    return rows, lab, pool, calib, reference
+
+
+def _models(spark, sf):
+    _, lab, pool, calib, reference = _rows(spark, sf)
     return E.fold_models(lab, pool, calib, reference, W.CLASSES, FT.STRENGTHS, W.REFERENCE_PER_CLASS, FOLDS, W.OTHER), calib
 
 
@@ -48,6 +54,22 @@ def e01(spark, sf):
     return rounded(E.with_summary(E.fold_table(decided, scalars, W.OTHER)), 4)
 
 
+@query("e01_final_rule")
+def e01_final(spark, sf):
+    """The head of all training rows with its scalars, and the rows of no known class: those of the folds under their fold's rule, the others under the final one."""
+    rows, lab, pool, calib, reference = _rows(spark, sf)
+    models = E.fold_models(lab, pool, calib, reference, W.CLASSES, FT.STRENGTHS, W.REFERENCE_PER_CLASS, FOLDS, W.OTHER)
+    decided, _ = E.evaluate_folds(models, calib, W.OTHER, *IN_USE)
+    head, stored = E.final_rule(models, lab, pool, calib, reference, W.REFERENCE_PER_CLASS, W.OTHER, *IN_USE)
+    outside = F.col("class_idx") == W.OTHER
+    rest = rows.where(outside).join(pool.select("item_id"), "item_id", "left_anti")
+    mixed = cut_lineage(E.decided_by_both(decided.where(outside), rest, head, stored))
+    part = F.explode(F.array(F.lit("all"), F.when(F.col("fold").isNull(), "final").otherwise("folds"))).alias("part")
+    table = M.out_of_scope_metrics(mixed.select("*", part), by=["part"])
+    return rounded(table.select("part", F.lit(models.c).alias("c"), F.lit(head.temperature).alias("temperature"), F.lit(head.threshold).alias("threshold"),
+                                F.lit(head.cutoff).alias("cutoff"), *[c for c in table.columns if c != "part"]), 4)
+
+
 @query("c17_tradeoff_table")
 def c17(spark, sf):
     """The same evaluation for every setting; the folds are fitted and scored once."""
@@ -70,23 +92,34 @@ def e02(spark, sf):
     pool = W.items_aug(spark, sf).where(f"split <> 'train' and class_idx <> {W.OTHER}").withColumn("unit", F.col("item_id") % 1000000).withColumn(
         "grp", F.concat_ws("-", F.col("class_idx").cast("string"), F.col("unit").cast("string")))
     return rounded(E.learning_curve(pool, head.with_settings(local_cutoff=0.62, prior_strength=0.3), W.reference(spark, sf), "unit", "grp",
-                                    (2000, 2001, 2002, 2003, 2004), (0, 10, 20, 50, 100)), 4)
+                                    (2000, 2001, 2002, 2003, 2004), (0, 10, 20, 50, 100, 200)), 4)
 
 
 @query("e03_external_test")
 def e03(spark, sf):
-    rows, head = W.scored(spark, sf)
-    out = None
-    for name, h in (("shipped", head), ("strict", head.with_settings(threshold=0.135))):
-        test = S.decide(rows.where("split <> 'train'"), h, exclusive=True).withColumn(
+    """Two fitted heads on rows that neither has seen: one of all train rows, one of those of two folds."""
+    base = W.items(spark, sf)
+    train, reference = base.where("split = 'train'"), W.reference(spark, sf)
+    settings = dict(threshold=0.13, cutoff=0.76, routed=(W.OTHER,))
+    test, out = None, None
+    for name, rows in (("shipped", train), ("lab_only", train.where("fold < 2"))):
+        head = FT.fit_head(rows, 0.1, W.CLASSES).with_settings(**settings)
+        part = S.decide(S.score(base.where("split <> 'train'"), head, reference), head, exclusive=True).withColumn("model", F.lit(name)).withColumn(
             "grp", F.concat_ws("-", F.col("class_idx").cast("string"), (F.col("item_id") % 7).cast("string")))
-        weighted, plain, interval = E.external_test(test, "grp", F.col("class_idx"), reps=1000)
+        test = part if test is None else test.unionByName(part)
+    test = cut_lineage(test)
+    for name in ("shipped", "lab_only"):
+        weighted, plain, interval = E.external_test(test.where(F.col("model") == name), "grp", F.col("class_idx"), reps=1000)
         pick = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("v")) for m in ("answered_share", "correct_of_answered", "target_named", "healthy_flagged")]))
         w = weighted.select(pick.alias("r")).select("r.measure", F.col("r.v").alias("weighted"))
         p = plain.select(pick.alias("r")).select("r.measure", F.col("r.v").alias("unweighted"))
         part = w.join(p, "measure").join(interval, "measure").select(F.lit(name).alias("model"), "measure", "weighted", "unweighted", "low", "high")
         out = part if out is None else out.unionByName(part)
-    return rounded(out)
+    measures = M.standard_measures(F.col("class_idx"))
+    short = {m: measures[m] for m in ("answered_share", "correct_of_answered", "target_named", "healthy_flagged")}
+    paired = paired_bootstrap(test, "model", ("shipped", "lab_only"), "grp", short)
+    return rounded(out.unionByName(paired.select(F.lit("lab_only - shipped").alias("model"), "measure", F.col("difference").alias("weighted"),
+                                                 F.lit(None).cast("double").alias("unweighted"), "low", "high")))
 
 
 @query("e05_cross_source")

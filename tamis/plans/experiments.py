@@ -18,11 +18,13 @@ from tamis.operators import fitting as FT
 from tamis.operators import metrics as M
 from tamis.operators import scoring as S
 from tamis.operators import splits as X
+from tamis.operators import stacked as ST
 from tamis.operators.bootstrap import group_bootstrap
 from tamis.operators.components import copy_groups
 from tamis.operators.neighbours import MAX_REFERENCE_ROWS, ReferenceSet
 from tamis.operators.ranks import hash_order
 from tamis.session import cut_lineage
+from tamis.sources.heads import build_reference, load_reference
 
 
 def local_heads(rows: DataFrame, seeds: Sequence[int], sizes: Sequence[int], classes: Sequence[str]) -> DataFrame:
@@ -60,36 +62,6 @@ def training_pool(rows: DataFrame, held_out: DataFrame, other: int, folds: int,
     return cut_lineage(lab), pool
 
 
-def loss_by_strength(pool: DataFrame, calib: DataFrame, heads: dict[float, dict[int, S.Head]]) -> DataFrame:
-    """(i, c, n, nll): mean loss of every strength over the pool rows, each by the head of its own fold, and the calibration rows by the
-    mean logits of the fold heads. One pass; a batch sends one sum per strength."""
-    grid = list(heads)
-    rows = pool.select("e", F.col("class_idx").cast("int").alias("y"), "fold").unionByName(
-        calib.select("e", F.col("class_idx").cast("int").alias("y"), F.lit(-1).alias("fold")))
-    shared = rows.sparkSession.sparkContext.broadcast([{f: (h.weights, h.bias) for f, h in heads[c].items()} for c in grid])
-
-    def partial(batches):
-        for b in batches:
-            if b.num_rows == 0:
-                continue
-            e, y, fold = matrix(b.column(0)), b.column(1).to_numpy(), b.column(2).to_numpy()
-            sums = []
-            for by_fold in shared.value:
-                total = 0.0
-                for f in np.unique(fold):
-                    at = fold == f
-                    used = [by_fold[f]] if f >= 0 else list(by_fold.values())
-                    z = sum(e[at] @ w.T + bias for w, bias in used) / len(used)
-                    peak = z.max(axis=1)
-                    total += float((peak + np.log(np.exp(z - peak[:, None]).sum(axis=1)) - z[np.arange(len(z)), y[at]]).sum())
-                sums.append(total)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(grid), dtype=np.int32)), pa.array(np.full(len(grid), len(y))), pa.array(sums)],
-                                             names=["i", "n", "s"])
-
-    per = rows.mapInArrow(partial, "i int, n bigint, s double").groupBy("i").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
-    return per.select("i", F.get(F.array(*[F.lit(float(c)) for c in grid]), F.col("i")).alias("c"), "n", (F.col("s") / F.col("n")).alias("nll"))
-
-
 @dataclass
 class FoldModels:
     """The chosen strength, heads and reference rows by fold, and the scored rows of all folds, each by the head that hasn't seen it."""
@@ -105,23 +77,28 @@ def fold_models(lab: DataFrame, pool: DataFrame, calib: DataFrame, lab_reference
     """Fold f: head from the lab rows and the other folds of the pool; reference from the fixed lab rows and `per_class` rows of each known
     class of the other folds. The strength of the grid with the lowest out-of-fold and calibration loss is used, the first on ties.
     The scored rows are stored, so that every setting reads them."""
-    columns, by_strength, references, out_of_fold = ["item_id", "e", "class_idx"], {}, {}, None
-    for f in range(folds):
-        train = lab.select(columns).unionByName(pool.where(F.col("fold") != f).select(columns)).persist()
-        for c in grid:
-            by_strength.setdefault(float(c), {})[f] = FT.fit_head(train, c, classes, other_weight=None, tol=1e-6)
-        train.unpersist()
-    c = loss_by_strength(pool, calib, by_strength).agg(F.min_by("c", F.struct("nll", "i"))).first()[0]
-    heads = by_strength[c]
+    by_strength = ST.fit_heads(_training(lab, pool), grid, classes, range(folds))
+    c = ST.loss_by_strength(pool, calib, by_strength).agg(F.min_by("c", F.struct("nll", "i"))).first()[0]
+    heads, references, out_of_fold = by_strength[c], {}, None
     for f in range(folds):
-        rest = pool.where((F.col("fold") != f) & (F.col("class_idx") != other))
-        references[f] = cut_lineage(lab_reference.unionByName(X.sample_cap_per_class(rest, per_class, "class_idx", "item_id", f"fold{f}").select(
-            F.col("item_id").alias("ref_id"), "e")))
+        references[f] = _reference(lab_reference, pool.where(F.col("fold") != f), per_class, other, f"fold{f}")
         scored = S.score_against(pool.where(F.col("fold") == f), heads[f], references[f])
         out_of_fold = scored if out_of_fold is None else out_of_fold.unionByName(scored)
     return FoldModels(c, heads, references, cut_lineage(out_of_fold))
 
 
+def _training(lab: DataFrame, pool: DataFrame) -> DataFrame:
+    """The lab rows, which have no fold and train every head, and the rows of the pool."""
+    return lab.select("e", "class_idx", F.lit(None).cast("int").alias("fold")).unionByName(pool.select("e", "class_idx", F.col("fold").cast("int").alias("fold")))
+
+
+def _reference(fixed: DataFrame, rows: DataFrame, per_class: int, other: int, seed: str) -> DataFrame:
+    """The fixed rows and `per_class` rows of each known class, as they are stored: int8 with one scale a row."""
+    some = X.sample_cap_per_class(rows.where(F.col("class_idx") != other), per_class, "class_idx", "item_id", seed)
+    stored = build_reference(fixed.unionByName(some.select(F.col("item_id").alias("ref_id"), "e")), "ref_id")
+    return load_reference(cut_lineage(stored)).select("ref_id", "e")
+
+
 def evaluate_folds(models: FoldModels, calib: DataFrame, other: int, budget: float | None = 0.05, known_only: bool = True,
                    target: float = C.TARGET_ACCURACY, least: int = C.MIN_ANSWERED) -> tuple[DataFrame, DataFrame]:
     """(decided rows of all folds, scalars per fold) of the whole rule.
@@ -129,43 +106,64 @@ def evaluate_folds(models: FoldModels, calib: DataFrame, other: int, budget: flo
     Temperature, cutoff, threshold and the bias of the routed class come from the calibration rows and the out-of-fold rows of the
     other folds; the rule is applied to the rows of its fold. `known_only`: the threshold is chosen on rows of known classes."""
     out_of_fold, decided, scalars = models.out_of_fold, None, []
-    known = F.col("class_idx") != other
-    keep = ["item_id", "class_idx", "fold", "logits", "distance"]
     for f, head in models.heads.items():
         rest = out_of_fold.where(F.col("fold") != f)
-        bias = 0.0 if budget is None else C.other_bias(rest.where(known), other, budget).first()[0] or 0.0
-        shift = head.bias.copy()
-        shift[other] += bias
-        head = head.with_settings(bias=shift, routed=(other,))
-        pool = cut_lineage(S.score_against(calib, head, models.references[f]).withColumn("fold", F.lit(None).cast("int")).select(*keep).unionByName(
-            _shifted(rest, other, bias).select(*keep)))
-        head = head.with_settings(temperature=C.fit_temperature(pool, "class_idx"), cutoff=C.familiarity_cutoff(pool.where(known)))
-        ready = S.decide(_probabilities(pool, head.temperature), head)
-        mask = known if known_only else None
-        head = head.with_settings(threshold=float(C.select_threshold(ready, "class_idx", target, least, mask=mask).first()[0]))
+        head, bias = _with_scalars(head, rest, calib, models.references[f], other, budget, known_only, target, least)
         scalars.append((int(f), models.c, head.temperature, head.threshold, head.cutoff, float(bias)))
-        test = S.decide(_probabilities(_shifted(out_of_fold.where(F.col("fold") == f), other, bias).select(*keep), head.temperature), head)
+        test = S.decide(_probabilities(_shifted(out_of_fold.where(F.col("fold") == f), other, bias).select(*_SCORED), head.temperature), head)
         decided = test if decided is None else decided.unionByName(test)
     table = out_of_fold.sparkSession.createDataFrame(
         scalars, "fold int, c double, temperature double, threshold double, cutoff double, other_bias double")
     return cut_lineage(decided), table
 
 
+_SCORED = ["item_id", "class_idx", "fold", "logits", "distance"]
+
+
+def _with_scalars(head: S.Head, rest: DataFrame, calib: DataFrame, reference: DataFrame, other: int, budget: float | None, known_only: bool,
+                  target: float, least: int) -> tuple[S.Head, float]:
+    """The head with temperature, cutoff, threshold and the bias of the routed class, from scored rows `rest` and the calibration rows."""
+    known = F.col("class_idx") != other
+    bias = 0.0 if budget is None else C.other_bias(rest.where(known), other, budget).first()[0] or 0.0
+    shift = head.bias.copy()
+    shift[other] += bias
+    head = head.with_settings(bias=shift, routed=(other,))
+    pool = cut_lineage(S.score_against(calib, head, reference).withColumn("fold", F.lit(None).cast("int")).select(*_SCORED).unionByName(
+        _shifted(rest, other, bias).select(*_SCORED)))
+    head = head.with_settings(temperature=C.fit_temperature(pool, "class_idx"), cutoff=C.familiarity_cutoff(pool.where(known)))
+    ready = S.decide(_probabilities(pool, head.temperature), head)
+    chosen = C.select_threshold(ready, "class_idx", target, least, mask=known if known_only else None).first()[0]
+    return head.with_settings(threshold=float(chosen)), float(bias)
+
+
+def final_rule(models: FoldModels, lab: DataFrame, pool: DataFrame, calib: DataFrame, lab_reference: DataFrame, per_class: int, other: int,
+               budget: float | None = 0.05, known_only: bool = True, target: float = C.TARGET_ACCURACY, least: int = C.MIN_ANSWERED) -> tuple[S.Head, DataFrame]:
+    """(head, reference) that are shipped: the head of all training rows at the chosen strength, started from a fold's head, with scalars from the
+    calibration rows and all out-of-fold rows, and the stored reference of all of them."""
+    some = next(iter(models.heads.values()))
+    head = ST.fit_heads(_training(lab, pool), [models.c], some.classes, [None], start={None: some})[models.c][None]
+    reference = _reference(lab_reference, pool, per_class, other, "final")
+    return _with_scalars(head, models.out_of_fold, calib, reference, other, budget, known_only, target, least)[0], reference
+
+
+def decided_by_both(decided: DataFrame, rest: DataFrame, head: S.Head, reference: DataFrame) -> DataFrame:
+    """Rows of the folds, each decided with the scalars of its fold, and rows outside them decided by the final head: no row meets a head that has seen it."""
+    scored = S.score_against(rest, head, reference).withColumn("fold", F.lit(None).cast("int")).select(*_SCORED)
+    return decided.unionByName(S.decide(_probabilities(scored, head.temperature), head))
+
+
 def fold_table(decided: DataFrame, scalars: DataFrame, other: int) -> DataFrame:
     """A row per fold: its scalars, the rule on known rows, out-of-scope rows (oos_), both together (mixed_), and how well confidence,
     distance and the probability of `other` tell them apart (auroc_)."""
     known, outside = decided.where(F.col("class_idx") != other), decided.where(F.col("class_idx") == other)
     named = lambda df, prefix: df.select("fold", *[F.col(c).alias(prefix + c) for c in df.columns if c != "fold"])
     out = scalars.join(M.rule_metrics(known, by=["fold"]), "fold", "left").join(named(M.out_of_scope_metrics(outside, by=["fold"]), "oos_"), "fold", "left")
-    mixed, areas = None, []
-    signals = {"confidence": -F.col("max_prob"), "distance": F.col("distance"), "other": F.get("probs", F.lit(other))}
-    for (f,) in scalars.select("fold").collect():  # one row per fold
-        rows = decided.where(F.col("fold") == f)
-        row = M.mixed_population(rows, F.col("class_idx") == other, F.col("class_idx")).select(F.lit(f).alias("fold"), "*")
-        mixed = row if mixed is None else mixed.unionByName(row)
-        areas.append((f, *[M.auroc(rows.withColumn("signal", s), "signal", F.col("class_idx") == other).first()["auroc"] for s in signals.values()]))
-    area = decided.sparkSession.createDataFrame(areas, "fold int, " + ", ".join(f"auroc_{s} double" for s in signals))
-    return out.join(named(mixed, "mixed_"), "fold", "left").join(area, "fold", "left")
+    mixed = M.mixed_population(decided, F.col("class_idx") == other, F.col("class_idx"), by=["fold"])
+    out = out.join(named(mixed, "mixed_"), "fold", "left")
+    for name, signal in {"confidence": -F.col("max_prob"), "distance": F.col("distance"), "other": F.get("probs", F.lit(other))}.items():
+        area = M.auroc(decided.withColumn("signal", signal), "signal", F.col("class_idx") == other, by=["fold"])
+        out = out.join(area.select("fold", F.col("auroc").alias(f"auroc_{name}")), "fold", "left")
+    return out
 
 
 def with_summary(per_fold: DataFrame) -> DataFrame:
@@ -251,7 +249,7 @@ def learning_outcomes(rows: DataFrame, head: S.Head, reference: ReferenceSet, un
     near = {int(s): unit_rows(e_all[seed_of == s]) if (seed_of == s).any() else np.zeros((0, head.weights.shape[1])) for s in seeds}
     spark = rows.sparkSession
     fitted = {(r.seed, r.k, r.method): (np.array(r.w).reshape(head.weights.shape), np.array(r.b))
-              for r in curve_heads(spark.createDataFrame(picked.to_pandas(), labelled.schema), head, seeds, sizes, methods).collect()}
+              for r in curve_heads(spark.createDataFrame(picked), head, seeds, sizes, methods).collect()}
     shared = spark.sparkContext.broadcast((fitted, near, reference.unit, head))
     test = split.where(~F.col("in_pool")).select("seed", "item_id", F.col(group).cast("string").alias("grp"), "class_idx", "e")
 

@@ -54,8 +54,11 @@ def test_pairs_are_complete(spark, tau, sizes):
     s = cosines(v)
     want = {(a, b): (len(rep[tuple(v[a])]), len(rep[tuple(v[b])])) for x, a in enumerate(keep) for b in keep[x + 1:] if s[a, b] > tau}
     got = SIM.similarity_self_join(frame(spark, v), tau, **sizes).collect()
+    # a row (a, a) stands for the pairs among the copies of a
+    want |= {(m[0], m[0]): (len(m), len(m)) for m in rep.values() if len(m) > 1}
     assert len(got) == len(want)
     assert {(r.a, r.b): (r.copies_a, r.copies_b) for r in got} == want
+    assert all(r.similarity == 1.0 for r in got if r.a == r.b)
 
 
 @pytest.mark.parametrize("tau", [0.6, 0.95])

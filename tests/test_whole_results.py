@@ -16,6 +16,7 @@ from tamis.operators import neighbours as N
 from tamis.operators import scoring as S
 from tamis.operators import similarity as SIM
 from tamis.operators import splits as X
+from tamis.operators import stacked as ST
 from tamis.plans import experiments as E
 from tamis.session import scratch_path
 from tamis.sources import exports
@@ -156,7 +157,7 @@ def test_loss_by_strength(spark):
     heads = {c: {f: S.Head(("a", "b", "c"), draw.normal(size=(3, 6)), draw.normal(size=3)) for f in range(2)} for c in (0.1, 1.0, 3.0)}
     e, y, fold = draw.normal(size=(40, 6)), draw.integers(0, 3, 40), [0] * 12 + [1] * 13 + [None] * 15
     table = spark.createDataFrame([(a.tolist(), int(b), f) for a, b, f in zip(e, y, fold)], "e array<double>, class_idx int, fold int").repartition(3)
-    got = {r.c: (r.n, r.nll) for r in E.loss_by_strength(table.where("fold is not null"), table.where("fold is null"), heads).collect()}
+    got = {r.c: (r.n, r.nll) for r in ST.loss_by_strength(table.where("fold is not null"), table.where("fold is null"), heads).collect()}
     for c, by in heads.items():
         z = [np.mean([x @ h.weights.T + h.bias for h in (by.values() if f is None else [by[f]])], axis=0) for x, f in zip(e, fold)]
         assert got[c][0] == 40 and abs(got[c][1] - np.mean([np.log(np.exp(v).sum()) - v[k] for v, k in zip(z, y)])) < 1e-9
