@@ -77,7 +77,7 @@ def fold_models(lab: DataFrame, pool: DataFrame, calib: DataFrame, lab_reference
     """Fold f: head from the lab rows and the other folds of the pool; reference from the fixed lab rows and `per_class` rows of each known
     class of the other folds. The strength of the grid with the lowest out-of-fold and calibration loss is used, the first on ties.
     The scored rows are stored, so that every setting reads them."""
-    by_strength = ST.fit_heads(_training(lab, pool), grid, classes, range(folds))
+    by_strength = ST.fit_heads(_training(lab, pool), grid, classes, range(folds), tol=1e-6)
     c = ST.loss_by_strength(pool, calib, by_strength).agg(F.min_by("c", F.struct("nll", "i"))).first()[0]
     heads, references, out_of_fold = by_strength[c], {}, None
     for f in range(folds):
