@@ -14,13 +14,12 @@ labels are dealt to pools by hash and a pool is cut into shards by row hash, so
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tamis.llm.lanes import CELL, LANES, meet, number_matrix, packed, parts_of_pools, size_of, unpack
 from tamis.llm.toplists import TopLists
 from tamis.session import cut_lineage
 
@@ -30,7 +29,6 @@ LOW, HIGH = 30, 90
 SCALE = 256
 SHARD_ROWS = 2048
 BLOCK_ANCHORS = 8192
-LANES = 16
 MAX_POOLS = 4096
 BATCH = 64
 FIRST_DEPTH = 16
@@ -48,72 +46,33 @@ def whole_vectors(rows: DataFrame, row_id: Column, vector: Column, label: Column
     return fit.select("id", "label", F.transform("v", lambda v: F.floor(v * scale)).alias("x")).distinct()
 
 
-def _size(values: np.ndarray) -> int:
-    return max(int(values.max()), -int(values.min())) if values.size else 0
-
-
-def _pack(values: np.ndarray) -> bytes:
-    """Whole numbers in as few bytes each as they need, with the kind in front."""
-    top = _size(values)
-    kind = "<i2" if top < 1 << 15 else "<i4" if top < 1 << 31 else "<i8"
-    return kind.encode() + np.ascontiguousarray(values.astype(kind)).tobytes()
-
-
-def _unpack(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, data[:3].decode(), offset=3).astype(np.int64)
-
-
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    """A list column as a matrix; shorter rows are filled with zeros."""
-    lists = column.combine_chunks()
-    lengths = np.diff(lists.offsets.to_numpy())
-    out = np.zeros((len(lengths), int(lengths.max(initial=0))), np.int64)
-    out[np.arange(out.shape[1]) < lengths[:, None]] = lists.flatten().to_numpy()
-    return out
-
-
-_CELL = "pool int, block int, kind int, shard int, rows int, keys binary, ids binary, labels binary, x binary, more binary"
-
-
-def _packed(table: pa.Table, kind: int, more: np.ndarray) -> dict:
-    matrix = _matrix(table.column("x"))
-    return {"kind": kind, "rows": len(matrix), "keys": table.column("key").to_numpy().astype("<i8").tobytes(), "ids": _pack(table.column("id").to_numpy()),
-            "labels": _pack(table.column("label").to_numpy()), "x": _pack(matrix), "more": _pack(more)}
-
-
-def _one_row(values: dict) -> pa.Table:
-    kinds = {"int": pa.int32(), "binary": pa.binary()}
-    names = [part.split() for part in _CELL.split(", ")]
-    return pa.table({n: pa.array([values[n]], kinds[k]) for n, k in names})
-
-
 def sorted_lists(rows: DataFrame) -> DataFrame:
     """One row per shard of (pool, shard, key, id, label, x): its rows and, by dimension, their places in ascending order."""
 
     def build(table: pa.Table) -> pa.Table:
-        order = np.argsort(_matrix(table.column("x")).T, axis=1, kind="stable")
-        return _one_row(_packed(table, 1, order) | {"pool": table["pool"][0].as_py(), "shard": table["shard"][0].as_py(), "block": 0})
+        x = number_matrix(table.column("x"))
+        return packed(table, True, x, np.argsort(x.T, axis=1, kind="stable"))
 
-    return rows.groupBy("pool", "shard").applyInArrow(build, _CELL)
+    return rows.groupBy("pool", "shard").applyInArrow(build, CELL)
 
 
 def anchor_blocks(rows: DataFrame) -> DataFrame:
     """One row per block of (pool, block, key, id, label, x, ends): its anchors and the lower and upper ends of their windows."""
 
     def build(table: pa.Table) -> pa.Table:
-        return _one_row(_packed(table, 0, _matrix(table.column("ends"))) | {"pool": table["pool"][0].as_py(), "block": table["block"][0].as_py(), "shard": 0})
+        return packed(table, False, number_matrix(table.column("x")), number_matrix(table.column("ends")))
 
-    return rows.groupBy("pool", "block").applyInArrow(build, _CELL)
+    return rows.groupBy("pool", "block").applyInArrow(build, CELL)
 
 
 class _Shard:
     """The rows of a shard and its lists."""
 
     def __init__(self, row: dict, dims: int):
-        self.ids, self.labels = _unpack(row["ids"]), _unpack(row["labels"])
+        self.ids, self.labels = unpack(row["ids"]), unpack(row["labels"])
         n = row["rows"]
-        x = _unpack(row["x"]).reshape(n, -1)
-        order = _unpack(row["more"]).reshape(-1, n)
+        x = unpack(row["x"]).reshape(n, -1)
+        order = unpack(row["more"]).reshape(-1, n)
         self.values = np.zeros((n, max(dims, x.shape[1])), np.int64)  # a shorter vector is filled with zeros
         self.values[:, :x.shape[1]] = x
         self.order = np.concatenate((order, np.tile(np.arange(n), (self.values.shape[1] - len(order), 1))))
@@ -126,9 +85,9 @@ class WindowSearch:
     def __init__(self, row: dict, k: int, same: bool):
         self.same, n = same, row["rows"]
         self.keys = np.frombuffer(row["keys"], "<i8")
-        self.ids, self.labels = _unpack(row["ids"]), _unpack(row["labels"])
-        self.x = _unpack(row["x"]).reshape(n, -1)
-        ends = _unpack(row["more"]).reshape(n, -1)
+        self.ids, self.labels = unpack(row["ids"]), unpack(row["labels"])
+        self.x = unpack(row["x"]).reshape(n, -1)
+        ends = unpack(row["more"]).reshape(n, -1)
         self.windows = ends.shape[1] // 2 if not same else 1
         lowest, highest = np.iinfo(np.int64).min, np.iinfo(np.int64).max
         self.low = np.full((n, 1), lowest) if same else ends[:, ::2]
@@ -141,11 +100,12 @@ class WindowSearch:
         least = self.best.least().reshape(-1, self.windows)[rows]
         return np.where(self.low[rows] > self.high[rows], np.iinfo(np.int64).max, np.maximum(least, self.low[rows]))
 
-    def scan(self, shard: _Shard) -> None:
+    def scan(self, row: dict) -> None:
+        shard = _Shard(row, self.x.shape[1])
         width = shard.values.shape[1]
         x = np.zeros((len(self.x), width), np.int64)
         x[:, :self.x.shape[1]] = self.x
-        most = _size(x) * _size(shard.values) * width
+        most = size_of(x) * size_of(shard.values) * width
         kind = np.float64 if most < _EXACT else np.int64  # both give whole numbers
         values, ordered, x = shard.values.astype(kind), shard.sorted.astype(kind), x.astype(kind)
         for first in range(0, len(x), BATCH):
@@ -186,42 +146,9 @@ class WindowSearch:
                                            pa.array(score), pa.array(other)], ["key", "anchor_id", "window", "score", "other_id"])
 
 
-def _numbered(counts: dict[int, int], spark) -> DataFrame:
-    return F.broadcast(spark.createDataFrame(list(counts.items()), "pool int, parts int"))
-
-
-def search(shards: DataFrame, blocks: DataFrame, parts: dict[int, int], k: int, same: bool, lanes: int = LANES) -> DataFrame:
-    """(key, anchor_id, window, rank, score, other_id): the k best rows of each window, from `sorted_lists` and `anchor_blocks`; `parts` has the number of
-    blocks of each pool, at most MAX_POOLS of them."""
-    spark = shards.sparkSession
-    number = _numbered(parts, spark)
-    of_shards = (shards.drop("block").join(number, "pool").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-                 .withColumn("lane", F.pmod("shard", F.lit(lanes))))
-    of_blocks = blocks.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
-    columns = ["lane", *[part.split()[0] for part in _CELL.split(", ")]]
-    cell = ["pool", "block", "lane"]
-    # as many parts as the session asks for: their work is in the arithmetic and not in their bytes
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = of_shards.select(columns).unionByName(of_blocks.select(columns)).repartition(tasks, *cell).sortWithinPartitions(*cell, "kind", "shard")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, current = None, None
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                place = tuple(row[c] for c in cell)
-                if place != at:
-                    if current is not None:
-                        yield current.result()
-                    at, current = place, None
-                if row["kind"] == 0:
-                    current = WindowSearch(row, k, same)
-                elif current is not None:
-                    current.scan(_Shard(row, current.x.shape[1]))
-        if current is not None:
-            yield current.result()
-
-    found = dealt.mapInArrow(run, "key bigint, anchor_id bigint, window int, score bigint, other_id bigint")
+def search(shards: DataFrame, blocks: DataFrame, parts: dict[int, int] | int, k: int, same: bool, lanes: int = LANES) -> DataFrame:
+    """(key, anchor_id, window, rank, score, other_id): the k best rows of each window, from `sorted_lists` and `anchor_blocks`."""
+    found = meet(shards, blocks, parts, lambda row: WindowSearch(row, k, same), "key bigint, anchor_id bigint, window int, score bigint, other_id bigint", lanes)
     best = Window.partitionBy("key", "anchor_id", "window").orderBy(F.desc("score"), "other_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
@@ -245,7 +172,7 @@ def hard_negatives(rows: DataFrame, anchors: DataFrame, positives: int = POSITIV
     def cut(df: DataFrame, size: int, name: str) -> tuple[DataFrame, dict[int, int]]:
         """Each pool cut by hash into parts of about `size` rows, numbered within the pool; at most MAX_POOLS counts come to the driver."""
         counts = {r["pool"]: -(-r["count"] // size) for r in df.groupBy("pool").count().collect()}
-        return df.join(_numbered(counts, spark), "pool").withColumn(name, F.pmod("key", "parts").cast("int")).drop("parts"), counts
+        return df.join(parts_of_pools(spark, counts), "pool").withColumn(name, F.pmod("key", "parts").cast("int")).drop("parts"), counts
 
     stored, _ = cut(pooled(rows), shard_rows, "shard")
     shards = cut_lineage(sorted_lists(stored))
@@ -260,7 +187,7 @@ def hard_negatives(rows: DataFrame, anchors: DataFrame, positives: int = POSITIV
     whole = wanted.join(with_windows, "key").withColumn("ends", F.slice(F.concat(ends, empty), 1, 2 * positives)).withColumn("pool", F.lit(0)).drop("p")
     number = max(1, -(-whole.count() // block_anchors))
     blocks = anchor_blocks(whole.withColumn("block", F.pmod("key", F.lit(number)).cast("int")))
-    found = search(shards.withColumn("pool", F.lit(0)), blocks, {0: number}, negatives, False, lanes)
+    found = search(shards.withColumn("pool", F.lit(0)), blocks, number, negatives, False, lanes)
     of_window = alike.select("key", (F.col("rank") - 1).alias("window"), F.col("other_id").alias("positive_id"), F.col("score").alias("positive_score"))
     return found.join(of_window, ["key", "window"]).select("anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"),
                                                            F.col("other_id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))

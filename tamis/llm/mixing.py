@@ -24,7 +24,7 @@ PERCENT = 150
 MOST = 2
 BLOCK_WORDS = 1 << 14
 SHARD_WORDS = 1 << 24
-RANGE_ROWS = 50_000
+RANGE_ROWS = 8192
 SEED = 11
 WORD = r"[^\x20\x09-\x0D]+"
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tamis.llm import codes, linedup, linking, neardup, quality, secrets, warc
 from tamis.llm.flat import token_file
+from tamis.llm.lanes import pack
 
 
 def plain(corpus):
@@ -185,38 +186,50 @@ def test_foreign_archive(spark, tmp_path):
     assert sorted((r.record_type, bytes(r.payload)) for r in rows) == sorted([("warcinfo", b"software: x\r\n"), ("resource", b"\r\n\r\nraw"), ("metadata", b"")] * 3)
 
 
-@pytest.mark.parametrize("segments", [None, 4, 8])
-def test_nearest_codes(spark, segments):
+@pytest.mark.parametrize("width", [None, 8, 16])
+@pytest.mark.parametrize("bits", [64, 256, 70])
+def test_nearest_codes(spark, width, bits):
     draw = np.random.default_rng(4)
-    vectors = draw.normal(size=(300, 64))
+    vectors = draw.normal(size=(300, bits))
     vectors[50:80] = vectors[50]  # equal codes
-    vectors[80:90] = vectors[50] + draw.normal(size=(10, 64)) * 0.3
-    rows = [(int(i), [float(x) for x in v]) for i, v in enumerate(vectors)] + [(300, None), (301, [float("nan")] * 64), (302, [1.0] * 3), (0, [float(x) for x in vectors[0]])]
+    vectors[80:90] = vectors[50] + draw.normal(size=(10, bits)) * 0.3
+    rows = [(int(i), [float(x) for x in v]) for i, v in enumerate(vectors)] + [(300, None), (301, [float("nan")] * bits), (302, [1.0] * 3), (303, [None, 1.0]), (304, []),
+                                                                            (0, [float(x) for x in vectors[0]])]
     table = spark.createDataFrame(rows, "id bigint, e array<double>").select("id", codes.sign_code(F.col("e")).alias("code"))
-    bits = {i: sum(1 << k for k, x in enumerate(v or []) if x > 0) for i, v in rows if v is not None}
+    signs = {i: sum(1 << k for k, x in enumerate(v) if x is not None and x > 0) for i, v in rows if v is not None}
     got = {}
-    for r in codes.nearest_codes(table, table.where("id % 25 = 0"), 12, segments).collect():
+    for r in codes.nearest_codes(table, table.where("id % 25 = 0"), 12, width, shard_rows=70, block_queries=5, lanes=3).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.distance, r.id))
-    for q in [i for i in bits if i % 25 == 0]:
-        best = sorted(((bits[q] ^ b).bit_count(), i) for i, b in bits.items() if i != q)[:12]
+    assert set(got) == {i for i in signs if i % 25 == 0}
+    for q in got:
+        best = sorted(((signs[q] ^ b).bit_count(), i) for i, b in signs.items() if i != q)[:12]
         assert sorted(got[q]) == [(k + 1, d, i) for k, (d, i) in enumerate(best)]
 
 
+def test_radii_stop_at_the_kth_distance():
+    """Where the neighbours are near, few rows are verified and few values probed; a later shard without a nearer row ends at once."""
+    draw = np.random.default_rng(6)
+    n = 20_000
+    base = draw.integers(-(1 << 63), 1 << 63, (n, 1), dtype=np.int64)
+    base[:15] = base[0] ^ (1 << np.arange(15)[:, None])
+    shard = {"rows": n, "ids": pack(np.arange(n)), "x": pack(base)}
+    search = codes.CodeSearch({"rows": 1, "ids": pack(np.array([-1])), "x": pack(base[:1] ^ 1)}, 10)
+    search.scan(shard)
+    assert (-search.best.scores <= 2).all() and search.verified < n // 20 and search.probes <= 4 * 17
+    assert search.best.ids[0].tolist() == sorted(range(n), key=lambda i: (int(base[i, 0] ^ base[0, 0] ^ 1).bit_count() if base[i, 0] ^ base[0, 0] ^ 1 >= 0 else 64, i))[:10]
+    probes = search.probes
+    search.scan({"rows": n, "ids": pack(np.arange(n, 2 * n)), "x": pack(draw.integers(-(1 << 63), 1 << 63, (n, 1), dtype=np.int64))})
+    assert search.probes - probes <= 4 * 17
+
+
 def test_few_codes(spark):
-    table = spark.createDataFrame([(0, 5), (1, 7), (2, -1)], "id bigint, code bigint")
+    table = spark.createDataFrame([(0, [5]), (1, [7]), (2, [-1])], "id bigint, code array<bigint>")
     got = sorted((r.query_id, r.rank, r.id, r.distance) for r in codes.nearest_codes(table, table.where("id = 0"), 10).collect())
     assert got == [(0, 1, 1, 1), (0, 2, 2, 62)]
     assert codes.nearest_codes(table.limit(0), table, 3).count() == 0
     assert codes.nearest_codes(table, table.limit(0), 3).count() == 0
 
 
-def test_vectors_longer_than_the_code(spark):
-    rows = spark.createDataFrame([(0, [1.0] * 64), (1, [1.0] * 65)], "id bigint, e array<double>").select("id", codes.sign_code(F.col("e")).alias("code"))
-    assert [r.code for r in rows.where("id = 0").collect()] == [-1]
-    with pytest.raises(Exception, match="more than 64 elements"):
-        rows.collect()
-
-
 def test_pipeline(spark, docs, corpus, tmp_path):
     """Each stage on its own input, then run() over written tables."""
     columns = ["doc_id", "text", "lang", "source", "n_chars"]

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tamis.llm import hardneg
+from tamis.llm.lanes import pack
 from tamis.llm.toplists import NONE, TopLists
 
 
@@ -76,18 +77,16 @@ def test_lists_end_early():
     n = 2000
     x = np.column_stack((draw.integers(0, 10_000, n), draw.integers(0, 3, n)))
     order = np.argsort(x.T, axis=1, kind="stable")
-    shard = hardneg._Shard({"rows": n, "ids": hardneg._pack(np.arange(n)), "labels": hardneg._pack(np.zeros(n, np.int64)), "x": hardneg._pack(x),
-                            "more": hardneg._pack(order)}, 2)
-    search = hardneg.WindowSearch({"rows": 1, "keys": np.zeros(1, "<i8").tobytes(), "ids": hardneg._pack(np.array([-1])), "labels": hardneg._pack(np.array([0])),
-                                   "x": hardneg._pack(np.array([[50, 1]])), "more": hardneg._pack(np.zeros((1, 0), np.int64))}, 5, True)
+    shard = {"rows": n, "ids": pack(np.arange(n)), "labels": pack(np.zeros(n, np.int64)), "x": pack(x), "more": pack(order)}
+    search = hardneg.WindowSearch({"rows": 1, "keys": np.zeros(1, "<i8").tobytes(), "ids": pack(np.array([-1])), "labels": pack(np.array([0])),
+                                   "x": pack(np.array([[50, 1]])), "more": pack(np.zeros((1, 0), np.int64))}, 5, True)
     search.scan(shard)
     score = x @ [50, 1]
     best = np.lexsort((np.arange(n), -score))[:5]
     assert search.best.ids[0].tolist() == best.tolist() and search.scored < n // 4
     scored = search.scored
-    low = hardneg._Shard({"rows": 10, "ids": hardneg._pack(np.arange(10)), "labels": hardneg._pack(np.zeros(10, np.int64)), "x": hardneg._pack(np.ones((10, 2), np.int64)),
-                          "more": hardneg._pack(np.tile(np.arange(10), (2, 1)))}, 2)
-    search.scan(low)
+    search.scan({"rows": 10, "ids": pack(np.arange(10)), "labels": pack(np.zeros(10, np.int64)), "x": pack(np.ones((10, 2), np.int64)),
+                 "more": pack(np.tile(np.arange(10), (2, 1)))})
     assert search.scored == scored  # the tops of its lists are below the fifth score
 
 
