@@ -223,8 +223,9 @@ class PrefixCounts(WordTokens):
     def _compute(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         texts = [p.decode("utf-8", "replace") for p in parts]
         normal = [self.normal(t) if not t.isascii() else t for t in texts]
+        strange = self.letters.other(texts)
         odd = {i: self.values_of_odd(t) for i, (t, m) in enumerate(zip(texts, normal, strict=True))
-               if "\0" in t or "<|" in t and any(s in t for s in self.vocabulary.special)
+               if "\0" in t or strange and strange.search(t) or "<|" in t and any(s in t for s in self.vocabulary.special)
                or not t.isascii() and (len(t) != len(m) or not unicodedata.is_normalized("NFC", t) or _SPACES.search(t))}
         for i in odd:
             normal[i] = ""

@@ -13,9 +13,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4 << 20
-CACHE_WORDS = 600_000
-CACHE_VALUES = 8_000_000
+SLICE_BYTES = 2 << 20
+CACHE_WORDS = 300_000
+CACHE_BYTES = 12 << 20
+CACHE_VALUES = 4_000_000
 
 
 def token_file(name: str) -> str:
@@ -61,6 +62,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", max_bytes: int
             last = max(first + 1, int(np.searchsorted(ends, base + max_bytes, "right")))
             yield batch.slice(first, last - first)
             first = last
+    pa.default_memory_pool().release_unused()  # a worker lives on beside those of other stages
 
 
 def gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -93,12 +95,13 @@ class WordTable:
     `compute(words)` gives (flat values, lengths) for a list of distinct words (bytes)."""
 
     def __init__(self, compute: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], dtype=np.int32,
-                 max_words: int = CACHE_WORDS, max_values: int = CACHE_VALUES):
-        self.compute, self.dtype, self.max_words, self.max_values = compute, dtype, max_words, max_values
+                 max_words: int = CACHE_WORDS, max_values: int = CACHE_VALUES, max_bytes: int = CACHE_BYTES):
+        self.compute, self.dtype, self.max_words, self.max_values, self.max_bytes = compute, dtype, max_words, max_values, max_bytes
         self.clear()
 
     def clear(self) -> None:
         self.slot: dict[bytes, int] = {}
+        self.bytes = 0
         self.flat, self.start, self.length = np.zeros(0, self.dtype), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def look_up(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -107,13 +110,14 @@ class WordTable:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         coded = words.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        if len(self.slot) + len(distinct) > self.max_words + len(distinct) // 2 or len(self.flat) > self.max_values:
+        if len(self.slot) + len(distinct) > self.max_words + len(distinct) // 2 or len(self.flat) > self.max_values or self.bytes > self.max_bytes:
             self.clear()
         slot = self.slot
         at = np.fromiter((slot.get(w, -1) for w in distinct), np.int64, len(distinct))
         missing = np.flatnonzero(at < 0)
         if len(missing):
             new = [distinct[i] for i in missing]
+            self.bytes += sum(map(len, new))
             values, lengths = self.compute(new)
             ends = np.cumsum(lengths)
             base, first = len(self.flat), len(self.start)

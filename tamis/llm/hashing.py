@@ -3,24 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
-from tamis.llm.flat import plain_words
+from tamis.llm.flat import plain_words, words_of
 
-_BASE = np.uint64(0xD6E8FEB86659FD93)
-_BACK = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
 _WEIGHTS = np.random.default_rng(20240307).integers(1 << 62, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_power_cache: dict[int, np.ndarray] = {}
-
-
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    kept = _power_cache.get(int(base))
-    if kept is None or len(kept) <= n:
-        kept = np.full(max(n + 1, 1 << 16), base, np.uint64)
-        kept[0] = 1
-        kept = np.multiply.accumulate(kept)
-        if n < 1 << 23:  # a very long text doesn't stay in the cache
-            _power_cache[int(base)] = kept
-    return kept[:n + 1]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -31,10 +18,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of the bytes of each span: equal bytes, equal hash."""
-    n = len(body)
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((body.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, n)[:n])))
-    return mix((total[ends] - total[starts]) * _powers(_BACK, n)[starts] + (ends - starts).astype(np.uint64))
+    """64-bit hash (xxh3) of the bytes of each span, spans in order and apart from each other. A word that occurs often is hashed once."""
+    coded = words_of(body, starts, ends).dictionary_encode()
+    distinct = coded.dictionary.to_pylist()
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64, len(distinct))[coded.indices.to_numpy()]
 
 
 def windows(values: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

@@ -2,7 +2,8 @@
 
 A text is cut only where no token can cross, so the ids of the parts, joined, are the ids of the text. The distinct parts of a
 slice are split into the vocabulary's own words, and the distinct words go through the merge rounds of `merges`. Parts that hold
-a special string or a NUL are left to the tokenizers library. Both ways give the ids of the library.
+a special string, a NUL, or a character that the tokenizers library's Unicode tables treat otherwise are left to that library. Both ways give
+the ids of the library.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import json
 import os
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -60,6 +62,44 @@ class Vocabulary:
         return self.merges.run(*self.symbols(words)) if words else (np.zeros(0, np.int32), np.zeros(0, np.int64))
 
 
+_SAME, _OTHER = 1, 2
+_WHITE = regex.compile(r"\p{White_Space}")
+
+
+class Letters:
+    """Characters that the tokenizers library splits, lower-cases or composes in another way than `pattern` and `normal` do here, since its
+    Unicode tables are of another version. A character beyond ASCII is compared once in a worker, between letters and marks."""
+
+    def __init__(self, library, pattern: regex.Pattern, normal: Callable[[str], str]):
+        self.library, self.pattern, self.normal = library, pattern, normal
+        self.known = np.zeros(0x110000, np.uint8)
+        self.known[:128] = _SAME
+
+    def _learn(self, points: np.ndarray) -> None:
+        text = "".join(f"a{chr(c)}:" for c in points)
+        spans: list[list] = [[set() for _ in points] for _ in range(2)]
+        for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(text):
+            spans[0][a // 3].add((a % 3, b - a))
+        for m in self.pattern.finditer(text):
+            if not m.group().isspace() or self.library.normalizer is None:
+                spans[1][m.start() // 3].add((m.start() % 3, m.end() - m.start()))
+        same = np.array([a == b for a, b in zip(*spans, strict=True)], bool)
+        if self.library.normalizer is not None:
+            around = "\0".join(f"{chr(c)}:a{chr(c)}\u0316" for c in points)
+            theirs, ours = self.library.normalizer.normalize_str(around).split("\0"), _WHITE.sub(" ", self.normal(around)).split("\0")
+            same &= np.array([a == b for a, b in zip(theirs, ours, strict=True)], bool)
+        self.known[points] = np.where(same, _SAME, _OTHER)
+
+    def other(self, texts: list[str]) -> regex.Pattern | None:
+        """A pattern of those in the texts, or None."""
+        points = np.unique(np.frombuffer("".join(t for t in texts if not t.isascii()).encode("utf-32-le", "replace"), np.uint32))
+        new = points[self.known[points] == 0]
+        for first in range(0, len(new), 10_000):
+            self._learn(new[first:first + 10_000])
+        found = points[self.known[points] == _OTHER]
+        return regex.compile("[" + "".join(regex.escape(chr(c)) for c in found) + "]") if len(found) else None
+
+
 class PartTokens:
     """Values of whole texts from those of their words; here the values are token ids."""
 
@@ -73,6 +113,7 @@ class PartTokens:
         self.path = path
         self.library = Tokenizer.from_file(token_file(path))
         self.vocabulary = Vocabulary(path)
+        self.letters = Letters(self.library, self.pattern, self.normal)
         self.words = WordTable(self.values_of_words, self.dtype)
         self.table = WordTable(self._compute, self.dtype)
 
@@ -83,13 +124,14 @@ class PartTokens:
         return self.vocabulary.encode(words)
 
     def values_of_odd(self, part: str) -> list[int]:
-        """Values of a part with a special string or a NUL."""
+        """Values of a part with a special string, a NUL or a character of `Letters.other`."""
         return self.library.encode(part, add_special_tokens=False).ids
 
     def _compute(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         texts = [p.decode("utf-8", "replace") for p in parts]
+        strange = self.letters.other(texts)
         odd = {i: self.values_of_odd(t) for i, t in enumerate(texts)
-               if "\0" in t or "<|" in t and any(s in t for s in self.vocabulary.special)}
+               if "\0" in t or "<|" in t and any(s in t for s in self.vocabulary.special) or strange and strange.search(t)}
         for i in odd:
             texts[i] = ""
         found = self.pattern.findall(self.normal("\0".join(texts)))

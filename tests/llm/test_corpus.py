@@ -115,6 +115,16 @@ def test_quality(docs, corpus, no_docs):
     assert both.columns == [*docs.columns, "verdict"] and both.count() == len(corpus)
 
 
+def test_long_words_and_lines_that_differ(spark):
+    """A Thue-Morse word over two letters and its complement are different lines and words; plain polynomials modulo 2^64 take them for equal."""
+    signs = [bin(i).count("1") % 2 for i in range(2048)]
+    one, two = "".join("ab"[s] for s in signs), "".join("ba"[s] for s in signs)
+    rows = [(1, f"{one}\n{two}\n{one}"), (2, f"w x {one} y z"), (3, f"w x {two} y z")]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("lang", F.lit("en"))
+    assert {r.doc_id: r.n_dup_lines for r in quality.quality(table).collect()} == {1: 1, 2: 0, 3: 0}
+    assert {r.doc_id: r.component_id for r in neardup.near_duplicates(table).collect()} == {1: 1, 2: 2, 3: 3}
+
+
 def test_fertility_bands(spark):
     """Prose in its language is kept; text that the vocabulary takes apart isn't."""
     prose = ("The committee met in the morning to discuss how the new library should be built and who would pay for it. Several members "

@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tamis.llm import budget, idfiles, packing, pieces, tokens
-from tamis.llm.flat import slices, text_bytes, token_file
+from tamis.llm.flat import slices, text_bytes, token_file, words_of
 
 ALPHABET = list("aabcdeeéñ ü \n\t.,'\"!?019中字　 ́▁<|>xyzAKİßΣ😀\x1c\x00") + ["<|endoftext|>", " the", "ing", "'s", "'re", "tion", "--", "  "]
 TEXTS = [t for t in ODD if t] + ["a" * 500, "ab" * 300, "\n" * 30]
@@ -58,6 +58,25 @@ def test_decoding_any_ids(model):
     assert [body[a:b].tobytes().decode() for a, b in zip(out[:-1], out[1:])] == [model.decode(x) for x in lists]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_every_code_point(library, name):
+    """Each code point between letters and marks gives the ids, and the counts, of the library."""
+    coder = (tokens.byte_tokens if name.startswith("byte") else tokens.word_tokens)()
+    # planes 4 to 16 hold no assigned letters: every 101st there
+    points = [c for c in (*range(128, 0x40000), *range(0x40000, 0x110000, 101)) if not 0xD800 <= c < 0xE000]
+    texts = [" ".join(f"a:{chr(c)}b" for c in points[k:k + 50]) for k in range(0, len(points), 50)]
+    for first in range(0, len(texts), 2000):
+        some = texts[first:first + 2000]
+        want = [e.ids for e in library[name].encode_batch(some, add_special_tokens=False)]
+        assert encoded(coder, some) == want
+        if name.startswith("word"):
+            prefixes = budget.prefix_counts()
+            body, offsets = text_bytes(pa.array(some, pa.string()))
+            starts, ends, by_text = prefixes.parts(body, offsets)
+            at, size = prefixes.table.look_up(words_of(body, starts, ends))
+            assert np.add.reduceat(prefixes.table.flat[at + size - 1], by_text[:-1]).tolist() == [len(x) for x in want]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(max_size=30), min_size=1, max_size=8))
 def test_all_encoders_on_any_text(texts):
