@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamis.operators.similarity import BLOCK_ROWS, CELL_ROWS, MAX_PIVOTS, connected_blocks, copy_map
-from tamis.session import cut_lineage
+from tamis.session import cut_lineage, next_table
 
 
 def _star_step(edges: DataFrame) -> DataFrame:
@@ -32,7 +32,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if row is None or row.n == 0 or (row.n, row.x) == mark:
             break
         mark = (row.n, row.x)
-        current = cut_lineage(_star_step(current))
+        current = next_table(current, _star_step(current))
     else:
         raise RuntimeError("components did not settle; raise max_rounds")
     roots = current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

@@ -67,4 +67,24 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     inference costs more than the work itself."""
     path = scratch_path(df.sparkSession, "cut")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._tamis_path = path
+    return table
+
+
+def give_back(*tables: DataFrame | None) -> None:
+    """Delete tables of `cut_lineage` that nothing reads any more; other frames are left alone."""
+    for table in tables:
+        path = getattr(table, "_tamis_path", None)
+        if path:
+            jvm = table.sparkSession._jvm
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+            table._tamis_path = None
+
+
+def next_table(old: DataFrame, df: DataFrame) -> DataFrame:
+    """`df`, made from `old`, as a table; `old` is deleted then."""
+    table = cut_lineage(df)
+    give_back(old)
+    return table
