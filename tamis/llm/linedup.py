@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from tamis.llm.flat import free_name, slices
 from tamis.llm.hashing import minwise, mix, unique_runs, windows
 from tamis.llm.linking import KeyFilter, Sketches, link, salted_join
+from tamis.llm.neardup import text_hash
 from tamis.session import cut_lineage
 
 CHARACTERS = 5
@@ -61,30 +62,31 @@ def shingle_sets(lines: pa.Array) -> list[np.ndarray]:
 
 
 def line_places(docs: DataFrame) -> DataFrame:
-    """(doc_id, line, id) of (doc_id, text): one row per line that isn't blank."""
+    """(doc_id, text_hash, line, id) of (doc_id, text_hash, text): one row per line that isn't blank."""
 
     def run(batches):
         for part in slices(batches):
             found = [(row, number, _name(line)) for row, number, line in _lines(part.column("text"))]
             rows, numbers, names = zip(*found, strict=True) if found else ((), (), ())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(numbers, pa.int32()),
-                                              pa.array(names, pa.int64())], ["doc_id", "line", "id"])
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(at), part.column("text_hash").take(at), pa.array(numbers, pa.int32()),
+                                              pa.array(names, pa.int64())], ["doc_id", "text_hash", "line", "id"])
 
-    return docs.mapInArrow(run, "doc_id bigint, line int, id bigint")
+    return docs.mapInArrow(run, "doc_id bigint, text_hash bigint, line int, id bigint")
 
 
 def line_items(docs: DataFrame) -> DataFrame:
-    """(doc_id, line, id, copies, signature) of (doc_id, text): one row per distinct line of a slice of texts, at its first place there by
-    (doc_id, line). The signature has the low 16 bits of BANDS x ROWS minwise values."""
+    """(doc_id, text_hash, line, id, copies, signature) of (doc_id, text_hash, text): one row per distinct line of a slice of texts, at its first place
+    there by (doc_id, text_hash, line). The signature has the low 16 bits of BANDS x ROWS minwise values."""
 
     def run(batches):
         for part in slices(batches):
-            ids = part.column("doc_id").to_pylist()
+            ids, kinds = part.column("doc_id").to_pylist(), part.column("text_hash").to_pylist()
             first: dict[int, tuple] = {}  # by name: place, with null ids first
             count: dict[int, int] = {}
             text: dict[int, bytes] = {}
             for row, number, line in _lines(part.column("text")):
-                name, place = _name(line), (ids[row] is not None, ids[row] or 0, number)
+                name, place = _name(line), (ids[row] is not None, ids[row] or 0, kinds[row], number)
                 if name not in first:
                     first[name], count[name], text[name] = place, 1, line
                 else:
@@ -95,11 +97,12 @@ def line_items(docs: DataFrame) -> DataFrame:
             tokens = minwise(*_shingles(list(text.values())), BANDS * ROWS).astype(np.uint16)
             signs = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * BANDS * ROWS), len(first), [None, pa.py_buffer(tokens)])
             yield pa.RecordBatch.from_arrays([
-                pa.array([p[1] if p[0] else None for p in first.values()], pa.int64()), pa.array([p[2] for p in first.values()], pa.int32()),
+                pa.array([p[1] if p[0] else None for p in first.values()], pa.int64()), pa.array([p[2] for p in first.values()], pa.int64()),
+                pa.array([p[3] for p in first.values()], pa.int32()),
                 pa.array(list(first), pa.int64()), pa.array(list(count.values()), pa.int64()), signs.cast(pa.binary())],
-                ["doc_id", "line", "id", "copies", "signature"])
+                ["doc_id", "text_hash", "line", "id", "copies", "signature"])
 
-    return docs.mapInArrow(run, "doc_id bigint, line int, id bigint, copies bigint, signature binary")
+    return docs.mapInArrow(run, "doc_id bigint, text_hash bigint, line int, id bigint, copies bigint, signature binary")
 
 
 def line_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -120,13 +123,14 @@ def line_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def line_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", share: int = SHARE) -> DataFrame:
-    """(doc_id, line, component_id, kept) of every line that isn't blank, lines numbered from 0 within a text.
+    """(doc_id, text_hash, line, component_id, kept) of every line that isn't blank, lines numbered from 0 within a text.
 
     Lines linked by a Jaccard similarity of at least share / 100, directly or over others, have one component_id, the smallest name
     of its lines; `kept` is true for the first by (doc_id, line), null ids first. Null and empty texts have no lines. Rows with a
-    repeated id and text are repeated in the result, each line of them with the same decision. Other columns are left out."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    place = F.struct("doc_id", "line")
+    repeated id and text are repeated in the result, each line of them with the same decision; the texts of one id are told apart by text_hash.
+    Other columns are left out."""
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("text_hash", text_hash("text"))
+    place = F.struct("doc_id", "text_hash", "line")
     # one row per distinct line; a line of a third of all rows is combined before the shuffle
     items = cut_lineage(line_items(rows).groupBy("id").agg(F.min(place).alias("first"), F.sum("copies").alias("copies"),
                                                            F.first("signature").alias("signature")))
@@ -139,7 +143,7 @@ def line_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sha
     moved = salted_join(linked.select("id", "component"), first, "component", "id").select("id", "component", "first").unionByName(
         named.where("component is null and copies > 1").select("id", F.col("id").alias("component"), "first"))
     out = salted_join(line_places(rows), cut_lineage(moved), "id", "doc_id", "left")
-    return out.select("doc_id", "line", F.coalesce("component", "id").alias("component_id"),
+    return out.select("doc_id", "text_hash", "line", F.coalesce("component", "id").alias("component_id"),
                       (F.col("first").isNull() | F.col("first").eqNullSafe(place)).alias("kept"))
 
 
@@ -175,9 +179,9 @@ def _band_rows(items: DataFrame, wanted: KeyFilter | None) -> DataFrame:
 def without_repeats(docs: DataFrame, groups: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """`docs` without the lines that `groups` (from `line_groups`) doesn't keep. A document whose every line with content goes is left
     out: all of it stands elsewhere. Documents that lose no line stay as they are, rows with a null id as well."""
-    key, gone = free_name(docs.columns, "_doc"), free_name(docs.columns, "_gone")
-    lost = groups.where("not kept and doc_id is not null").groupBy(F.col("doc_id").alias(key)).agg(F.collect_set("line").alias(gone))
-    rows = docs.join(lost, F.col(doc_id) == F.col(key), "left")
+    key, kind, gone = (free_name(docs.columns, n) for n in ("_doc", "_kind", "_gone"))
+    lost = groups.where("not kept and doc_id is not null").groupBy(F.col("doc_id").alias(key), F.col("text_hash").alias(kind)).agg(F.collect_set("line").alias(gone))
+    rows = docs.join(lost, (F.col(doc_id) == F.col(key)) & (text_hash(text) == F.col(kind)), "left")
     rest = F.array_join(F.filter(F.split(F.col(text), "\n", -1), lambda x, i: ~F.array_contains(gone, i)), "\n")
     cut = rows.withColumn(text, F.when(F.col(gone).isNull(), F.col(text)).otherwise(rest))
     return cut.where(F.col(gone).isNull() | F.col(text).rlike("[^\\x20\\x09-\\x0D]")).select(docs.columns)

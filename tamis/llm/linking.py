@@ -3,7 +3,10 @@
 A node is a group of items that share a key. Comparing all pairs of a node would grow with the square of its size, so a node is
 first compared with its smallest member (a large one with a few more), and what links is merged into components. A node whose
 members all lie in one component can add nothing. In the nodes that are left, only members outside the node's major component
-are compared with the others, in blocks of bounded size and inside tasks; pairs are never listed.
+count: they are compared with a few other members drawn anew, as long as that closes nodes, and what remains is compared with all others
+in blocks of bounded size and inside tasks. Nodes with the same open members are one node. Pairs are never listed.
+
+Candidate nodes may come in stages (trees, say): what one stage has linked needs no comparison in the next.
 """
 
 from __future__ import annotations
@@ -18,11 +21,13 @@ from pyspark.sql import functions as F
 
 from tamis.llm.hashing import overlap
 from tamis.operators.components import connected_components
-from tamis.session import cut_lineage
+from tamis.session import cut_lineage, give_back, next_table
 
 FILTER_BITS = 1 << 25
 BLOCK = 256
 PIVOTS = 3
+TURNS = 4
+FEW = 64  # members outside the major components that go to the blocks at once
 SetsOf = Callable[[pa.Array], list[np.ndarray]]
 SALTS = 16
 _BUCKET = 32768  # bits of one row that bitmap_construct_agg makes
@@ -114,6 +119,27 @@ def open_nodes(members: DataFrame) -> DataFrame:
     return nodes.where("size > most and size > 2").select("node", "size", "major", (F.col("size") - F.col("most")).alias("minors"))
 
 
+def open_members(members: DataFrame, components: DataFrame) -> DataFrame:
+    """The members (node, id) of open nodes with component, size, major and minors, as a table. Of nodes with the same members one is kept."""
+    marked = with_components(members.select("node", "id"), components)
+    waiting = cut_lineage(salted_join(marked, open_nodes(marked), "node", "id"))
+    same = waiting.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.sum(F.xxhash64("id", F.lit(1)).cast("decimal(38)")).alias("y"))
+    kept = same.groupBy("n", "x", "y").agg(F.min("node").alias("node")).select("node")
+    return next_table(waiting, salted_join(waiting, kept, "node", "id", salts=4))
+
+
+def minor_stars(waiting: DataFrame, turn: int, pivots: int = PIVOTS) -> DataFrame:
+    """Distinct (a, b), a > b: the members of open nodes outside the major component, each with members of it and one of the others, drawn by hash
+    for this turn."""
+    row, outside = F.struct("id", "component"), F.col("component") != F.col("major")
+    drawn = [F.min_by(F.when(~outside, row), F.when(~outside, F.xxhash64("id", F.lit(turn * 10 + k)))).alias(f"m{k}") for k in range(pivots)]
+    drawn.append(F.min_by(F.when(outside, row), F.when(outside, F.xxhash64("id", F.lit(turn * 10 + 9)))).alias("m9"))
+    stars = waiting.groupBy("node").agg(*drawn).select("node", F.array_distinct(F.array(*[f"m{k}" for k in (*range(pivots), 9)])).alias("pivots"))
+    pairs = salted_join(waiting.where(outside).select("node", "id", "component"), stars, "node", "id").select("id", "component", F.explode("pivots").alias("p")).where(
+        "component <> p.component")
+    return pairs.select(F.greatest("id", "p.id").alias("a"), F.least("id", "p.id").alias("b")).distinct()
+
+
 @dataclass(frozen=True)
 class Sketches:
     """Minwise signatures (id, signature). Similar sets agree in `least` places or more, but for a negligible chance."""
@@ -203,45 +229,57 @@ def compare_blocks(members: DataFrame, load_sets: Callable[[DataFrame], DataFram
     return rows.groupBy("node", "x", "y").applyInArrow(compare, f"a {kind}, b {kind}")
 
 
-def link(members: DataFrame, load_sets: Callable[[DataFrame], DataFrame], share: int,
+def link(members: DataFrame | list[DataFrame], load_sets: Callable[[DataFrame], DataFrame], share: int,
          split: Callable[[DataFrame, int], DataFrame | None] | None = None, small: int = BLOCK,
          sketches: Sketches | None = None, sets_of: SetsOf = stored_sets) -> DataFrame:
-    """(node, component) of all items that have a link, from the members (node, id) of candidate nodes.
+    """(node, component) of all items that have a link, from the members (node, id) of candidate nodes, in one or more stages.
 
     `load_sets(ids)` gives (id, set) for a table of distinct ids; `sets_of` makes sets of that column. `sketches` spare the reading of sets that can't be similar.
     `split(members, level)` may give the members of finer nodes for open nodes with more than `small`^2 comparisons; None ends the
     splitting, and what is left is compared in blocks."""
-    spark = members.sparkSession
-    kind = members.schema["id"].dataType.simpleString()
+    stages = members if isinstance(members, list) else [members]
+    spark = stages[0].sparkSession
+    kind = stages[0].schema["id"].dataType.simpleString()
     edges = spark.createDataFrame([], f"a {kind}, b {kind}")
     components = spark.createDataFrame([], f"node {kind}, component {kind}")
 
-    def merge(new: DataFrame) -> None:
+    def merge(new: DataFrame) -> bool:
         nonlocal edges, components
         new = cut_lineage(new)
-        if not new.isEmpty():
-            edges = edges.unionByName(new)
-            components = connected_components(edges)
+        if new.isEmpty():
+            return False
+        edges = edges.unionByName(new)
+        components = connected_components(edges)
+        return True
 
-    level, current, left = 0, members.withColumn("component", F.col("id")), None
-    while True:
-        stars = node_stars(current, small, PIVOTS if level == 0 else 0)
+    def compare(stars: DataFrame) -> bool:
         pairs = cut_lineage(sketches.plausible(stars) if sketches else stars)
-        if not pairs.isEmpty():
-            merge(verify(pairs, load_sets(_ids(pairs)), share, sets_of))
-        marked = with_components(current.drop("component"), components)
-        waiting = cut_lineage(salted_join(marked, open_nodes(marked), "node", "id"))
-        many = F.col("size") * F.col("minors") > small * small
-        large = waiting.where(many)
-        finer = split(large, level) if split and not large.isEmpty() else None
-        final = waiting if finer is None else waiting.where(~many)
-        left = final if left is None else left.unionByName(final.select(left.columns))
-        if finer is None or finer.isEmpty():
-            break
-        level, current = level + 1, cut_lineage(with_components(finer, components))
-    if level:  # links found on finer nodes may have closed some
-        again = with_components(left.select("node", "id"), components)
-        left = cut_lineage(salted_join(again, open_nodes(again), "node", "id"))
+        linked = not pairs.isEmpty() and merge(verify(pairs, load_sets(_ids(pairs)), share, sets_of))
+        give_back(pairs)
+        return linked
+
+    left = None
+    for stage in stages:
+        level, current = 0, with_components(stage, components)
+        while True:
+            compare(node_stars(current, small, PIVOTS if level == 0 else 0))
+            waiting = open_members(current, components)
+            before = None
+            for turn in range(TURNS):
+                outside = waiting.where("component <> major").count()
+                if outside <= FEW or before is not None and outside > 0.8 * before or not compare(minor_stars(waiting, turn)):
+                    break
+                before = outside
+                waiting = next_table(waiting, open_members(waiting, components))
+            many = F.col("size") * F.col("minors") > small * small
+            large = waiting.where(many)
+            finer = split(large, level) if split and not large.isEmpty() else None
+            final = waiting if finer is None else waiting.where(~many)
+            left = final if left is None else left.unionByName(final.select(left.columns))
+            if finer is None or finer.isEmpty():
+                break
+            level, current = level + 1, cut_lineage(with_components(finer, components))
+    left = open_members(left, components)  # links found on finer nodes and in later stages may have closed some
     if not left.isEmpty():
         merge(compare_blocks(left, load_sets, share, sketches=sketches, sets_of=sets_of))
     return components

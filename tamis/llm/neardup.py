@@ -5,7 +5,10 @@ minwise signature of 128 tokens. The join grows trees: at a node, one random cho
 all its members, and a member goes to one child for each chosen place, named by its token there. Two sets of similarity s
 agree in a place with probability s, so they share a child with 1 - (1 - s)^BRANCHES, and at any depth of one tree with at
 least 0.88 for s = 0.75; TREES independent trees leave a chance of about 3e-8 to miss a pair. Nodes of at most SMALL members are
-compared exhaustively; larger ones branch again down to DEPTH. All links are confirmed on the full sets (`linking`).
+compared exhaustively; larger ones branch again until they are small, or no longer get smaller. The first tree is worked off before the others, which
+find most of their nodes closed then. All links are confirmed on the full sets (`linking`).
+
+Documents are told apart by id and text, so an id with several texts is several documents.
 """
 
 from __future__ import annotations
@@ -27,33 +30,39 @@ SHARE = 75
 PLACES = 128
 TREES = 8
 BRANCHES = 2
-DEPTH = 3
 SMALL = 512
-#: A pair needs so many equal places of 128 to be read in full: 6 standard deviations below the mean of similarity 0.75.
+#: Levels beyond which a node that is still large goes to the blocks: at similarity 0.75 a chain of so many shared tokens is an equal set.
+DEEPEST = 40
+#: A pair needs so many equal places of 128 to be read in full: 6 standard deviations below the mean of similarity 0.75. The sketch has one byte of each
+#: token, so that other sets agree in a place with 1/256, in half a place of 128 on average; equal tokens always agree.
 SKETCH_LEAST = 66
 
 
 def shingle_items(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, n_shingles, set_key, signature) of (doc_id, text): the size of the set, a 128-bit digest of it (null for an empty
-    set) and its signature."""
+    """(doc_id, text_hash, n_shingles, set_key, signature, sketch) of (doc_id, text_hash, text): the size of the set, a 128-bit digest of it (null for an
+    empty set), its signature and the lowest byte of each token."""
 
     def run(batches):
         for part in slices(batches):
             hashes, at = unique_runs(*word_shingles(*text_bytes(part.column("text")), words))
             tokens = minwise(hashes, at, PLACES)
-            raw = hashes.tobytes()
-            keys = [hashlib.blake2b(raw[8 * a:8 * b], digest_size=16).digest() if b > a else None
-                    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            sign = [t.tobytes() if k is not None else None for t, k in zip(tokens, keys, strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(at)), pa.array(keys, pa.binary()),
-                                              pa.array(sign, pa.binary())], ["doc_id", "n_shingles", "set_key", "signature"])
+            keys = _set_keys(hashes, at)
+            sign, sketch = ([t.tobytes() if k is not None else None for t, k in zip(x, keys, strict=True)] for x in (tokens, tokens.astype(np.uint8)))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(np.diff(at)), pa.array(keys, pa.binary()),
+                                              pa.array(sign, pa.binary()), pa.array(sketch, pa.binary())],
+                                             ["doc_id", "text_hash", "n_shingles", "set_key", "signature", "sketch"])
+
+    return docs.mapInArrow(run, "doc_id bigint, text_hash bigint, n_shingles bigint, set_key binary, signature binary, sketch binary")
+
 
-    return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, set_key binary, signature binary")
+def _set_keys(hashes: np.ndarray, at: np.ndarray) -> list[bytes | None]:
+    raw = hashes.tobytes()
+    return [hashlib.blake2b(raw[8 * a:8 * b], digest_size=16).digest() if b > a else None for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame, words: int = WORDS) -> DataFrame:
-    """(id, set) of the documents (doc_id, text) named in `ids`: the sorted hashes of the set, read again from the whole text."""
-    wanted = KeyFilter(ids, "id")
+    """(id, set) for `ids` (id, doc_id, text_hash) from (doc_id, text_hash, text): the sorted hashes of the set, read again from the whole text."""
+    wanted = KeyFilter(ids, "doc_id")
     shared, passes = wanted.shared, wanted.passes
 
     def run(batches):
@@ -62,11 +71,12 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, words: int = WORDS) -> DataFra
             for part in slices(iter([chosen])):
                 hashes, at = unique_runs(*word_shingles(*text_bytes(part.column("text")), words))
                 raw = hashes.tobytes()
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([raw[8 * a:8 * b] for a, b in zip(
-                    at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())], ["id", "set"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array([raw[8 * a:8 * b] for a, b in zip(
+                    at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())], ["doc_id", "text_hash", "set"])
 
     some = docs.where("doc_id is not null").withColumn("place", wanted.column("doc_id"))
-    return some.mapInArrow(run, "id bigint, set binary").join(ids.hint("shuffle_hash"), "id", "left_semi").dropDuplicates(["id"])
+    read = some.mapInArrow(run, "doc_id bigint, text_hash bigint, set binary")
+    return read.join(ids.hint("shuffle_hash"), ["doc_id", "text_hash"]).select("id", "set").dropDuplicates(["id"])
 
 
 def _children(signatures: np.ndarray, nodes: np.ndarray, branches: int) -> np.ndarray:
@@ -79,8 +89,8 @@ def _children(signatures: np.ndarray, nodes: np.ndarray, branches: int) -> np.nd
     return out
 
 
-def _grow(rows: DataFrame, from_root: bool, trees: int = TREES, branches: int = BRANCHES) -> DataFrame:
-    """(node, id) of the children of (id, signature[, node])."""
+def _grow(rows: DataFrame, trees: range | None, branches: int = BRANCHES) -> DataFrame:
+    """(node, id) of the children of (id, signature, node), or of the roots of `trees` for (id, signature)."""
 
     def run(batches):
         for batch in batches:
@@ -89,9 +99,9 @@ def _grow(rows: DataFrame, from_root: bool, trees: int = TREES, branches: int =
                 continue
             flat = b"".join(batch.column("signature").to_pylist())
             signatures = np.frombuffer(flat, np.uint32).reshape(n, PLACES)
-            if from_root:
+            if trees is not None:
                 keys = np.concatenate([_children(signatures, np.full(n, mix(np.array([t + 1], np.uint64))[0]), branches)
-                                       for t in range(trees)], axis=1)
+                                       for t in trees], axis=1)
             else:
                 keys = _children(signatures, batch.column("node").to_numpy().view(np.uint64), branches)
             ids = np.repeat(batch.column("id").to_numpy(), keys.shape[1])
@@ -106,39 +116,59 @@ def _shared_only(members: DataFrame) -> DataFrame:
     return salted_join(members, sizes, "node", "id", salts=4).distinct()
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, share: int = SHARE,
-                    depth: int = DEPTH) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept): documents linked by 100 * intersection >= share * union, directly or over others,
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, share: int = SHARE) -> DataFrame:
+    """(doc_id, text_hash, n_shingles, component_id, kept): documents linked by 100 * intersection >= share * union, directly or over others,
     have the smallest of their ids as component; that one is kept.
 
     A null or empty text, or one without words, has an empty set and no links; one with fewer than `words` words is one shingle.
-    Rows with a null id come back with a null component and are kept. A repeated id comes back as one row: equal rows are
-    one document; with different texts the first set by digest stands for the id. Other columns are left out."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    found = cut_lineage(shingle_items(rows, words))
-    known = found.where("doc_id is not null")
-    twice = known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    if not twice.isEmpty():
-        again = known.join(twice.select("doc_id"), "doc_id", "left_semi").orderBy("doc_id", "set_key").groupBy("doc_id").agg(
-            F.min(F.struct("set_key", "n_shingles", "signature")).alias("s")).select("doc_id", "s.n_shingles", "s.set_key", "s.signature")
-        known = cut_lineage(known.join(twice.select("doc_id"), "doc_id", "left_anti").unionByName(again))
+    Rows with a null id come back with a null component and are kept. Equal rows (id, text) are one row of the result; an id
+    with several texts has a row for each, told apart by text_hash, and one of them is kept in each component. Other columns are left out."""
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("text_hash", text_hash("text"))
+    found = cut_lineage(shingle_items(rows.select("doc_id", "text_hash", "text"), words))
+    known = found.where("doc_id is not null").select("doc_id", "text_hash", "n_shingles", "set_key", "signature", "sketch")
     sets = known.where("set_key is not null")
-    items = cut_lineage(sets.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"),
-                                                    F.first("signature").alias("signature")))
+    own = F.struct("doc_id", "text_hash")
+    items = cut_lineage(sets.groupBy("set_key").agg(F.min(own).alias("own"), F.count(F.lit(1)).alias("copies"), F.first("signature").alias("signature"),
+                                                    F.first("sketch").alias("sketch")).withColumn("id", F.col("own.doc_id")))
+    # an item is named by its document; where that has several texts, the others are named by a hash
+    again = items.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("own.text_hash").alias("first")).where("n > 1").select("id", "first")
+    if not again.isEmpty():
+        other = F.col("first").isNotNull() & (F.col("first") != F.col("own.text_hash"))
+        items = cut_lineage(items.join(again, "id", "left").withColumn("id", F.when(other, F.xxhash64("own")).otherwise(F.col("id"))).drop("first"))
     signatures = items.select("id", "signature")
+    names = items.select("id", "own.doc_id", "own.text_hash")
 
     def split(members: DataFrame, level: int) -> DataFrame | None:
-        if level + 1 >= depth:
+        """Children of the nodes, as long as that makes them smaller."""
+        if level + 1 >= DEEPEST:
             return None
-        return cut_lineage(_shared_only(_grow(members.select("node", "id").join(signatures, "id"), False)))
+        finer = cut_lineage(_shared_only(_grow(members.select("node", "id").join(signatures, "id"), None)))
+        largest = [t.groupBy("node").count().agg(F.max("count")).first()[0] or 0 for t in (members, finer)]
+        return finer if largest[1] < 0.9 * largest[0] or largest[1] <= SMALL else None
 
-    first = cut_lineage(_shared_only(_grow(signatures, True)))
-    components = link(first, lambda ids: shingle_sets(rows, ids, words), share, split, SMALL, Sketches(signatures, SKETCH_LEAST))
+    trees = [cut_lineage(_shared_only(_grow(signatures, t))) for t in (range(1), range(1, TREES))]
+    components = link(trees, lambda ids: shingle_sets(rows, names.join(ids, "id", "left_semi"), words), share, split, SMALL,
+                      Sketches(items.select("id", F.col("sketch").alias("signature")), SKETCH_LEAST, "u1"))
     # from items back to documents: only sets with copies or links
-    moved = items.join(components.select(F.col("node").alias("id"), "component"), "id", "left").where(
-        "copies > 1 or component is not null").select("set_key", F.coalesce("component", "id").alias("component_id"))
-    some = salted_join(known.where("set_key is not null").select("doc_id", "n_shingles", "set_key"), moved, "set_key", "doc_id", "left", SALTS)
-    whole = some.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).unionByName(
-        known.where("set_key is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
-    lost = found.where("doc_id is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"))
-    return whole.unionByName(lost).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    named = items.select("set_key", "id", "own", "copies").join(components.select(F.col("node").alias("id"), "component"), "id", "left").where(
+        "copies > 1 or component is not null").withColumn("component", F.coalesce("component", "id"))
+    keepers = named.groupBy("component").agg(F.min("own").alias("keeper"))
+    moved = salted_join(named.select("set_key", "component"), keepers, "component", "set_key").select("set_key", "keeper")
+    linked = salted_join(sets.select("doc_id", "text_hash", "n_shingles", "set_key"), moved, "set_key", "doc_id", "left", SALTS)
+    whole = linked.select("doc_id", "text_hash", "n_shingles", F.coalesce("keeper.doc_id", "doc_id").alias("component_id"),
+                          (F.col("keeper").isNull() | (F.col("keeper") == own)).alias("kept"))
+    alone = known.where("set_key is null").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
+    lost = found.where("doc_id is null").select("doc_id", "text_hash", "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
+    # equal rows (id, text) come once; rows with a null id are documents of their own
+    return whole.unionByName(alone).dropDuplicates(["doc_id", "text_hash"]).unionByName(lost)
+
+
+def text_hash(text: str):
+    """Tells the texts of one id apart; a null text is a text of its own."""
+    return F.xxhash64(F.coalesce(text, F.lit("")), F.col(text).isNull())
+
+
+def without_copies(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """`docs` without the documents that `found` (from `near_duplicates`) doesn't keep; of equal rows (id, text) all stay or all go."""
+    gone = found.where("not kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text"))
+    return docs.join(gone, (F.col(doc_id).cast("long") == F.col("_id")) & (text_hash(text) == F.col("_text")), "left_anti").select(docs.columns)
