@@ -60,13 +60,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write `df` as a table in the shared folder and read it back, so that a lost executor does not replay a whole loop.
 
     A written table also drops the constraints that a checkpointed plan carries along; over many rounds of a loop their
     inference costs more than the work itself."""
     path = scratch_path(df.sparkSession, "cut")
-    df.write.parquet(path)
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEAN, None)
+    conf.set(_CLEAN, "true")  # nothing reads the shuffles of this write again; a long loop would leave all of them on the disks
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(_CLEAN, before) if before is not None else conf.unset(_CLEAN)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table._tamis_path = path
     return table
