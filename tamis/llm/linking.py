@@ -26,7 +26,7 @@ from tamis.session import cut_lineage, give_back, next_table
 FILTER_BITS = 1 << 25
 BLOCK = 256
 PIVOTS = 3
-TURNS = 4
+TURNS = 2
 FEW = 64  # members outside the major components that go to the blocks at once
 SetsOf = Callable[[pa.Array], list[np.ndarray]]
 SALTS = 16

@@ -5,7 +5,7 @@ minwise signature of 128 tokens. The join grows trees: at a node, one random cho
 all its members, and a member goes to one child for each chosen place, named by its token there. Two sets of similarity s
 agree in a place with probability s, so they share a child with 1 - (1 - s)^BRANCHES, and at any depth of one tree with at
 least 0.88 for s = 0.75; TREES independent trees leave a chance of about 3e-8 to miss a pair. Nodes of at most SMALL members are
-compared exhaustively; larger ones branch again until they are small, or no longer get smaller. The first tree is worked off before the others, which
+compared exhaustively; larger ones branch again until they are small, or no longer get half as large. The first tree is worked off before the others, which
 find most of their nodes closed then. All links are confirmed on the full sets (`linking`).
 
 Documents are told apart by id and text, so an id with several texts is several documents.
@@ -139,12 +139,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     names = items.select("id", "own.doc_id", "own.text_hash")
 
     def split(members: DataFrame, level: int) -> DataFrame | None:
-        """Children of the nodes, as long as that makes them smaller."""
+        """Children of the nodes, as long as that halves the largest; near copies share most tokens, and their nodes go to the blocks."""
         if level + 1 >= DEEPEST:
             return None
         finer = cut_lineage(_shared_only(_grow(members.select("node", "id").join(signatures, "id"), None)))
         largest = [t.groupBy("node").count().agg(F.max("count")).first()[0] or 0 for t in (members, finer)]
-        return finer if largest[1] < 0.9 * largest[0] or largest[1] <= SMALL else None
+        return finer if 2 * largest[1] <= largest[0] or largest[1] <= SMALL else None
 
     trees = [cut_lineage(_shared_only(_grow(signatures, t))) for t in (range(1), range(1, TREES))]
     components = link(trees, lambda ids: shingle_sets(rows, names.join(ids, "id", "left_semi"), words), share, split, SMALL,
