@@ -1,12 +1,74 @@
-"""Connected components of an edge table by alternating star contraction (Kiveris et al., SoCC 2014)."""
+"""Connected components of an edge table: forests inside tasks, then alternating star contraction (Kiveris et al., SoCC 2014)."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamis.operators.similarity import BLOCK_ROWS, CELL_ROWS, MAX_PIVOTS, connected_blocks, copy_map
-from tamis.session import cut_lineage, next_table
+from tamis.session import cut_lineage, give_back, next_table
+
+#: Edges that a task joins at once.
+CHUNK = 50_000
+
+
+def smallest_reachable(a: np.ndarray, b: np.ndarray, nodes: int) -> np.ndarray:
+    """For each of `nodes` nodes the smallest one it reaches over the edges (a, b)."""
+    least = np.arange(nodes)
+    while True:
+        x, y = least[a], least[b]
+        apart = x != y
+        if not apart.any():
+            return least
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(least, np.maximum(x, y), np.minimum(x, y))
+        while True:
+            up = least[least]
+            if np.array_equal(up, least):
+                break
+            least = up
+
+
+def _forest(chunk: pa.Table) -> pa.RecordBatch:
+    both = pa.concat_arrays([c for name in "uv" for c in chunk.column(name).chunks])
+    coded = both.dictionary_encode()
+    order = pc.sort_indices(coded.dictionary)
+    values = coded.dictionary.take(order)
+    rank = np.empty(len(order), np.int64)
+    rank[order.to_numpy()] = np.arange(len(order))
+    at = rank[coded.indices.to_numpy()]
+    least = smallest_reachable(at[:chunk.num_rows], at[chunk.num_rows:], len(values))
+    below = np.flatnonzero(least != np.arange(len(values)))
+    return pa.RecordBatch.from_arrays([values.take(pa.array(below)), values.take(pa.array(least[below]))], ["u", "v"])
+
+
+def _forests(edges: DataFrame, chunk: int) -> DataFrame:
+    """Stars (u, v), u > v, that join the same nodes as each `chunk` of edges (u, v) of a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= chunk:
+                yield _forest(pa.Table.from_batches(held))
+                held, rows = [], 0
+        if rows:
+            yield _forest(pa.Table.from_batches(held))
+
+    return edges.mapInArrow(run, edges.schema)
+
+
+def _settled(stars: DataFrame) -> bool:
+    """Whether each node hangs on one node that hangs on none."""
+    sides = stars.select(F.col("u").alias("n"), F.lit(1).alias("up")).unionByName(stars.select(F.col("v").alias("n"), F.lit(0).alias("up")))
+    ends = sides.groupBy("n").agg(F.sum("up").alias("ups"), F.min("up").alias("least"))
+    return ends.where("ups > 1 or (ups = 1 and least = 0)").isEmpty()
 
 
 def _star_step(edges: DataFrame) -> DataFrame:
@@ -22,21 +84,29 @@ def _star_step(edges: DataFrame) -> DataFrame:
     return moved.unionByName(kept).distinct()
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, component) for every node of the undirected edges (a, b); the component is its smallest node."""
-    current = cut_lineage(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-                          .distinct())
-    mark = None
+def connected_components(edges: DataFrame, max_rounds: int = 60, rows: int | None = None, roots: bool = True, chunk: int = CHUNK) -> DataFrame:
+    """(node, component) for every node of the undirected edges (a, b); the component is its smallest node.
+
+    `rows`: the number of edges, where the caller has them in a table already. Without `roots` a component's smallest node has no row."""
+    pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    stored = None
+    if rows is None:
+        pairs = stored = cut_lineage(pairs)
+        rows = stored.count()
+    # tasks of about one chunk each; a table of many chunks needs the stars below
+    current = cut_lineage(_forests(pairs.coalesce(max(1, -(-rows // chunk))), chunk))
+    give_back(stored)
     for _ in range(max_rounds):
-        row = current.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-        if row is None or row.n == 0 or (row.n, row.x) == mark:
+        if _settled(current):
             break
-        mark = (row.n, row.x)
         current = next_table(current, _star_step(current))
     else:
         raise RuntimeError("components did not settle; raise max_rounds")
-    roots = current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    found = current.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    if not roots:
+        found._tamis_path = current._tamis_path
+        return found
+    return found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())
 
 
 def copy_groups(df: DataFrame, tau: float, item_id: str = "item_id", vector: str = "e", strict: bool = True,

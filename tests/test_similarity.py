@@ -3,6 +3,7 @@ group of copies that holds a third of all rows."""
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tamis.operators import components as CC
 from tamis.operators import linkage as LK
@@ -71,11 +72,31 @@ def test_copy_groups_are_the_components(spark, tau):
     assert got == {i: int(c) for i, c in enumerate(components(s))}
 
 
-def test_long_chain_and_star(spark):
+@pytest.mark.parametrize("chunk", [7, 1000])
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+def test_long_chain_and_star(spark, chunk, kind):
     chain = [(i, i + 1) for i in range(60)]
     star = [(1000, 1001 + i) for i in range(200)]
-    got = {r.node: r.component for r in CC.connected_components(spark.createDataFrame(chain + star, "a bigint, b bigint")).collect()}
-    assert got == {**{i: 0 for i in range(61)}, **{1000 + i: 1000 for i in range(201)}}
+    edges = spark.createDataFrame(chain + star + star[:9] + [(5, 5)], "a bigint, b bigint").select(*[F.lpad(c, 4, "0").cast(kind).alias(c) for c in "ab"])
+    want = {**{i: 0 for i in range(61)}, **{1000 + i: 1000 for i in range(201)}}
+    got = CC.connected_components(edges, chunk=chunk).collect()
+    assert len(got) == len(want) and {int(r.node): int(r.component) for r in got} == want
+    below = CC.connected_components(edges, rows=edges.count(), roots=False, chunk=chunk).collect()
+    assert {int(r.node): int(r.component) for r in below} == {k: v for k, v in want.items() if k != v}
+
+
+def test_random_edges_in_chunks(spark):
+    rng = np.random.default_rng(11)
+    a, b = rng.integers(0, 900, (2, 700))
+    matrix = np.zeros((900, 900), bool)
+    matrix[a, b] = matrix[b, a] = True
+    want = components(matrix)
+    edges = spark.createDataFrame(list(zip(a.tolist(), b.tolist(), strict=True)), "a bigint, b bigint")
+    for chunk in (20, 300, 5000):
+        got = {r.node: r.component for r in CC.connected_components(edges, chunk=chunk).collect()}
+        assert got == {n: int(want[n]) for n in {x for x, y in zip(a.tolist(), b.tolist(), strict=True) if x != y} | {
+            y for x, y in zip(a.tolist(), b.tolist(), strict=True) if x != y}}
+    assert CC.connected_components(edges.limit(0)).count() == 0
 
 
 @pytest.mark.parametrize("tau", [0.7, 0.95])
