@@ -87,3 +87,12 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
         return 0
     at = np.minimum(np.searchsorted(b, a), len(b) - 1)
     return int((b[at] == a).sum())
+
+
+def overlaps(a: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """`overlap` of one array with each of several."""
+    if not len(a) or not others:
+        return np.zeros(len(others), np.int64)
+    flat, ends = np.concatenate(others), np.cumsum([0, *map(len, others)])
+    at = np.minimum(np.searchsorted(a, flat), len(a) - 1)
+    return np.diff(np.concatenate(([0], np.cumsum(a[at] == flat)))[ends])

@@ -19,12 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamis.llm.hashing import overlap
+from tamis.llm.hashing import overlap, overlaps
 from tamis.operators.components import connected_components
 from tamis.session import cut_lineage, give_back, next_table
 
 FILTER_BITS = 1 << 25
 BLOCK = 256
+STEP = 32  # sets that one is compared with at once
 PIVOTS = 3
 TURNS = 2
 FEW = 64  # members outside the major components that go to the blocks at once
@@ -106,7 +107,7 @@ def node_stars(members: DataFrame, small: int, pivots: int = PIVOTS) -> DataFram
 
 
 def with_components(members: DataFrame, components: DataFrame) -> DataFrame:
-    """members with the component of each id; an id without links is its own."""
+    """members with the component of each id; an id without links, or without a row, is its own."""
     return members.join(components.select(F.col("node").alias("id"), "component"), "id", "left").withColumn(
         "component", F.coalesce("component", "id"))
 
@@ -165,22 +166,26 @@ class Sketches:
 
     def with_partner(self, rows: DataFrame) -> DataFrame:
         """Those of `rows` (node, x, y, id, component, minor) that can be similar to one of another component on the other side of the
-        same (node, x, y)."""
+        same (node, x, y). `at` numbers the others of a cell, `near` has a bit for each of them that a minor one can be similar to."""
         least, dtype = self.least, self.dtype
 
         def run(table: pa.Table) -> pa.Table:
             signs, minor = _matrix(table.column("signature"), dtype), table.column("minor").to_numpy()
             _, part = np.unique(np.array(table.column("component").to_pylist()), return_inverse=True)
-            found = np.zeros(len(signs), bool)
-            left = np.flatnonzero(~minor)
-            for i in np.flatnonzero(minor):
-                others = left[part[left] != part[i]]
-                near = others[(signs[others] == signs[i]).sum(axis=1) >= least]
-                found[near] = True
-                found[i] = len(near) > 0
-            return table.drop_columns(["signature"]).filter(pa.array(found))
-
-        return rows.join(self.table, "id").select(*rows.columns, "signature").groupBy("node", "x", "y").applyInArrow(run, rows.schema)
+            left, right = np.flatnonzero(~minor), np.flatnonzero(minor)
+            near = np.array([(signs[left] == signs[i]).sum(axis=1) >= least for i in right], bool).reshape(len(right), len(left))
+            near &= part[right][:, None] != part[left]
+            found, at, bits = np.zeros(len(signs), bool), np.zeros(len(signs), np.int32), [None] * len(signs)
+            found[left], found[right] = near.any(axis=0), near.any(axis=1)
+            near = near[:, found[left]]
+            at[left[found[left]]] = np.arange(near.shape[1])
+            for i, x in zip(right.tolist(), np.packbits(near, axis=1), strict=True):
+                bits[i] = x.tobytes()
+            out = table.drop_columns(["signature"]).append_column("at", pa.array(at)).append_column("near", pa.array(bits, pa.binary()))
+            return out.filter(pa.array(found))
+
+        fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+        return rows.join(self.table, "id").select(*rows.columns, "signature").groupBy("node", "x", "y").applyInArrow(run, f"{fields}, at int, near binary")
 
 
 def _matrix(column: pa.Array, dtype: str) -> np.ndarray:
@@ -206,23 +211,26 @@ def compare_blocks(members: DataFrame, load_sets: Callable[[DataFrame], DataFram
     rows = rows.join(load_sets(rows.select("id").distinct()), "id")
 
     def compare(table: pa.Table) -> pa.Table:
-        ids, parts, minor = (table.column(c).to_pylist() for c in ("id", "component", "minor"))
+        ids, minor = table.column("id").to_pylist(), table.column("minor").to_numpy()
+        _, part = np.unique(np.array(table.column("component").to_pylist()), return_inverse=True)
         have = sets_of(table.column("set").combine_chunks())
-        root = {p: p for p in parts}
-
-        def top(p):
-            while root[p] != p:
-                root[p] = root[root[p]]
-                p = root[p]
-            return p
-
+        left, right = np.flatnonzero(~minor), np.flatnonzero(minor)
+        near = np.ones((len(right), len(left)), bool)
+        if "near" in table.column_names and near.size:
+            bits = np.frombuffer(b"".join(table.column("near").take(pa.array(right)).to_pylist()), np.uint8)
+            near = np.unpackbits(bits.reshape(len(right), -1), axis=1)[:, table.column("at").to_numpy()[left]].astype(bool)
+        sizes = np.fromiter(map(len, have), np.int64, len(have))
         found = []
-        for i in (k for k, m in enumerate(minor) if m):
-            for j in (k for k, m in enumerate(minor) if not m):
-                p, q = top(parts[i]), top(parts[j])
-                if p != q and similar(have[i], have[j], share):
-                    root[p] = q
-                    found.append((ids[i], ids[j]))
+        for row, i in enumerate(right.tolist()):
+            size = sizes[left]
+            waiting = left[near[row] & (np.minimum(size, sizes[i]) * 100 >= share * np.maximum(size, sizes[i]))]
+            while len(waiting := waiting[part[waiting] != part[i]]):
+                some, waiting = waiting[:STEP], waiting[STEP:]
+                both = overlaps(have[i], [have[j] for j in some])
+                for j in some[(both > 0) & (100 * both >= share * (sizes[some] + sizes[i] - both))].tolist():
+                    if part[j] != part[i]:
+                        part[part == part[j]] = part[i]
+                        found.append((ids[i], ids[j]))
         return pa.table({"a": pa.array([a for a, _ in found], table.schema.field("id").type),
                          "b": pa.array([b for _, b in found], table.schema.field("id").type)})
 
@@ -240,17 +248,20 @@ def link(members: DataFrame | list[DataFrame], load_sets: Callable[[DataFrame],
     stages = members if isinstance(members, list) else [members]
     spark = stages[0].sparkSession
     kind = stages[0].schema["id"].dataType.simpleString()
-    edges = spark.createDataFrame([], f"a {kind}, b {kind}")
-    components = spark.createDataFrame([], f"node {kind}, component {kind}")
+    components, joined = spark.createDataFrame([], f"node {kind}, component {kind}"), 0  # without the smallest nodes of components
 
     def merge(new: DataFrame) -> bool:
-        nonlocal edges, components
+        nonlocal components, joined
         new = cut_lineage(new)
-        if new.isEmpty():
-            return False
-        edges = edges.unionByName(new)
-        components = connected_components(edges)
-        return True
+        links = new.count()
+        if links:
+            before = components
+            stars = before.select(F.col("node").alias("a"), F.col("component").alias("b"))  # what is joined is one edge a node
+            components = connected_components(stars.unionByName(new), rows=joined + links, roots=False)
+            joined = components.count()
+            give_back(before)
+        give_back(new)
+        return links > 0
 
     def compare(stars: DataFrame) -> bool:
         pairs = cut_lineage(sketches.plausible(stars) if sketches else stars)
@@ -260,9 +271,9 @@ def link(members: DataFrame | list[DataFrame], load_sets: Callable[[DataFrame],
 
     left = None
     for stage in stages:
-        level, current = 0, with_components(stage, components)
+        level, current = 0, stage
         while True:
-            compare(node_stars(current, small, PIVOTS if level == 0 else 0))
+            compare(node_stars(with_components(current, components), small, PIVOTS if level == 0 else 0))
             waiting = open_members(current, components)
             before = None
             for turn in range(TURNS):
@@ -278,11 +289,11 @@ def link(members: DataFrame | list[DataFrame], load_sets: Callable[[DataFrame],
             left = final if left is None else left.unionByName(final.select(left.columns))
             if finer is None or finer.isEmpty():
                 break
-            level, current = level + 1, cut_lineage(with_components(finer, components))
+            level, current = level + 1, finer
     left = open_members(left, components)  # links found on finer nodes and in later stages may have closed some
     if not left.isEmpty():
         merge(compare_blocks(left, load_sets, share, sketches=sketches, sets_of=sets_of))
-    return components
+    return components.unionByName(components.select(F.col("component").alias("node"), "component").distinct())
 
 
 def _ids(pairs: DataFrame) -> DataFrame:
