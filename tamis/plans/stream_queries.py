@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tamis.functions import decisions as D
 from tamis.operators import review as R
 from tamis.plans import views as W
 from tamis.plans.aggregate_queries import CLASSES
 from tamis.plans.registry import query
 from tamis.session import scratch_path
 from tamis.streaming import jobs as J
+from tamis.streaming import state as S
+from tamis.streaming.keyed import KeyedTable
 
 
 @query("t01_stream_score_route", W.with_views("decided", "SELECT item_id, top::INT AS top, answered, reason FROM decided"))
@@ -25,16 +28,21 @@ def t01(spark, sf):
 @query("t02_stream_queue_backlog", W.with_views("finals", """SELECT count(*) FILTER (WHERE in_queue) AS waiting, count(officer_label) AS reviewed,
   count(*) FILTER (WHERE officer_label IN ('healthy', 'rust', 'other')) AS labelled FROM finals"""))
 def t02(spark, sf):
-    """Every photo arrives unlabelled; its label, when there is one, arrives later as a second record of the same key."""
-    photos = W.photos(spark, sf).select("photo_id", "not_sure", "spot_check", "disputed", "officer_label", F.unix_seconds("created").alias("seq"))
+    """Every photo arrives unlabelled; its label, when there is one, arrives later as a second record of the same key. The counts are
+    the sum of one line of changes per batch."""
+    photos = W.photos(spark, sf).select("photo_id", "not_sure", "spot_check", "disputed", "officer_label", F.col("created").alias("at"))
     first = photos.withColumn("officer_label", F.lit(None).cast("string"))
-    second = photos.where("officer_label is not null").withColumn("seq", F.col("seq") + 40 * 86400)
-    changes = first.unionByName(second)
-    stream = J.arrivals(changes, "seq")
+    second = photos.where("officer_label is not null").withColumn("at", F.col("at") + F.expr("interval 40 days"))
+    label = F.col("officer_label")
+    flags = {"waiting": D.in_queue(F.col("not_sure"), F.col("spot_check"), F.col("disputed"), label),
+             "reviewed": label.isNotNull(), "labelled": label.isin(*CLASSES)}
+    # the replayed files come in no fixed order, so the hold spans the years of the table
+    changes = S.count_changes(J.arrivals(first.unionByName(second), "at"), "photo_id", "at", label, label.isNotNull(), flags, "10000 days")
     out = scratch_path(spark, "log")
-    J.run_batches(stream, J.batch_log(out), scratch_path(spark, "cp"), "append")
-    log = spark.read.schema(changes.schema).parquet(out)
-    return R.queue_stats(J.latest_by_key(log, "photo_id", "seq", "photo_id"), CLASSES)
+    sums = [F.coalesce(F.sum(n), F.lit(0)).cast("bigint").alias(n) for n in flags]
+    with S.state_store(spark):
+        J.run_batches(changes, lambda df, i: J.batch_log(out)(df.agg(*sums), i), scratch_path(spark, "cp"), "append")
+    return spark.read.schema("waiting bigint, reviewed bigint, labelled bigint").parquet(out).agg(*sums)
 
 
 _WINDOWS = """AND b AS (SELECT grp, time_bucket(INTERVAL 7 DAY, ts, TIMESTAMP '1970-01-01') AS start, flagged FROM ev)
@@ -55,12 +63,9 @@ def t03(spark, sf):
   PARTITION BY grp ORDER BY date_trunc('hour', ts) DESC, event_id) AS rn FROM ev) WHERE rn = 1"""))
 def t04(spark, sf):
     ev = W.ev(spark, sf).select("grp", "event_id", "event_type", F.unix_seconds(F.date_trunc("hour", "ts")).alias("stamp"))
-    stream = J.arrivals(ev, "event_id")
-    out = scratch_path(spark, "latest")
-    newest = J.latest_submission(stream, "grp", "stamp", "event_id").select("_r.*")
-    J.run_batches(newest, J.batch_log(out), scratch_path(spark, "cp"))
-    log = spark.read.schema(ev.schema.add("batch_id", "integer")).parquet(out)
-    return J.latest_by_key(log, "grp", "batch_id", "event_id").select("grp", "event_id", "event_type")
+    newest = KeyedTable(scratch_path(spark, "latest"), ev.schema, ["grp"], ["stamp", "-event_id"], buckets=8, pages=1)
+    J.run_batches(J.arrivals(ev, "event_id"), newest.sink(), scratch_path(spark, "cp"), "append")
+    return newest.rows(spark).select("grp", "event_id", "event_type")
 
 
 @query("t05_stream_corrections_merge", W.with_views("ev", "SELECT DISTINCT grp, event_type, date_trunc('hour', ts)::TIMESTAMP AS created FROM ev"))
@@ -68,23 +73,21 @@ def t05(spark, sf):
     """The same records arrive twice; each is kept once."""
     ev = W.ev(spark, sf).select("grp", "event_type", F.date_trunc("hour", "ts").alias("created"), "event_id")
     twice = ev.unionByName(ev.withColumn("event_id", F.col("event_id") + 1_000_000_000))
-    stream = J.arrivals(twice, "event_id")
-    out = scratch_path(spark, "corrections")
-    J.run_batches(stream, J.merge_once(spark, twice.schema, ["grp", "event_type", "created"], out), scratch_path(spark, "cp"), "append")
-    return spark.read.schema("grp bigint, event_type string, created timestamp").parquet(out).select("grp", "event_type", "created")
+    kept = KeyedTable(scratch_path(spark, "corrections"), twice.schema, ["grp", "event_type", "created"], buckets=8)
+    J.run_batches(J.arrivals(twice, "event_id"), kept.sink(), scratch_path(spark, "cp"), "append")
+    return kept.rows(spark).select("grp", "event_type", "created")
 
 
 @query("t06_late_labels", W.with_views("finals", """SELECT final_label, count(*) AS n FROM finals GROUP BY 1"""))
 def t06(spark, sf):
-    """Labels that arrive long after their photo still count: photos and labels are two logs joined by key on read."""
+    """Labels that arrive long after their photo still count: photos and labels are two keyed tables joined on read."""
     photos = W.photos(spark, sf).select("photo_id", "not_sure", "disputed", "label", F.col("created").alias("ts"))
     labels = W.photos(spark, sf).where("officer_label is not null").select(
         "photo_id", "officer_label", (F.col("created") + F.expr("interval 400 days")).alias("ts"))
     kept = []
-    for rows in (photos, labels):
-        stream = J.arrivals(rows, "ts")
-        out = scratch_path(spark, "log")
-        J.run_batches(stream, J.batch_log(out), scratch_path(spark, "cp"), "append")
-        kept.append(spark.read.schema(rows.schema).parquet(out))
-    newest = J.latest_by_key(kept[1], "photo_id", "ts", "photo_id").select("photo_id", "officer_label")
-    return R.with_final_label(kept[0].join(newest, "photo_id", "left")).groupBy("final_label").agg(F.count(F.lit(1)).alias("n"))
+    for rows, order in ((photos, []), (labels, ["ts", "officer_label"])):
+        table = KeyedTable(scratch_path(spark, "table"), rows.schema, ["photo_id"], order, buckets=8)
+        J.run_batches(J.arrivals(rows, "ts"), table.sink(), scratch_path(spark, "cp"), "append")
+        kept.append(table.rows(spark))
+    joined = kept[0].join(kept[1].select("photo_id", "officer_label"), "photo_id", "left")
+    return R.with_final_label(joined).groupBy("final_label").agg(F.count(F.lit(1)).alias("n"))
