@@ -55,6 +55,31 @@ def lgamma(x: np.ndarray) -> np.ndarray:
     return (z - 0.5) * np.log(z) - z + 0.5 * np.log(2 * np.pi) + series - shift
 
 
+def digamma(x: np.ndarray) -> np.ndarray:
+    """Derivative of ln Γ for x > 0: shift above 10, then the derivative of the Stirling series."""
+    z, shift = _raised(x, lambda v: 1.0 / v)
+    r = 1.0 / (z * z)
+    return np.log(z) - 0.5 / z - r * (1 / 12 - r * (1 / 120 - r * (1 / 252 - r * (1 / 240 - r / 132)))) - shift
+
+
+def trigamma(x: np.ndarray) -> np.ndarray:
+    """Second derivative of ln Γ for x > 0."""
+    z, shift = _raised(x, lambda v: 1.0 / (v * v))
+    r = 1.0 / (z * z)
+    return 1.0 / z + r / 2 + r / z * (1 / 6 - r * (1 / 30 - r * (1 / 42 - r * (1 / 30 - r * 5 / 66)))) + shift
+
+
+def _raised(x: np.ndarray, term) -> tuple[np.ndarray, np.ndarray]:
+    """x raised by whole steps to 10 or more, and the sum of `term` over the steps left behind."""
+    z = np.array(x, dtype=np.float64)
+    total = np.zeros_like(z)
+    for _ in range(10):
+        low = z < 10
+        total = total + np.where(low, term(np.where(low, z, 1.0)), 0.0)
+        z = np.where(low, z + 1.0, z)
+    return z, total
+
+
 _PANELS, _POINTS = 32, 16
 
 

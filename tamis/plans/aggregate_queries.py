@@ -9,6 +9,7 @@ from tamis.functions import vectors as V
 from tamis.operators import components as CC
 from tamis.operators import metrics as M
 from tamis.operators import neighbours as N
+from tamis.operators import priors as PR
 from tamis.operators import raters as RT
 from tamis.operators import review as R
 from tamis.operators import scoring as S
@@ -394,6 +395,52 @@ def a27(spark, sf):
     return parts[0].unionByName(parts[1])
 
 
+def backtest_rounds(spark, sf):
+    """Line numbers stand for rounds and suppliers for groups."""
+    return W.table(spark, sf, "lineitem").groupBy(F.col("l_linenumber").alias("round"), F.col("l_suppkey").alias("grp")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("l_returnflag") == "R").alias("x"), (F.avg("l_quantity") > 26).alias("truth"))
+
+
+BACKTEST_SQL = """WITH g AS (SELECT l_linenumber AS round, l_suppkey AS grp, count(*) AS n,
+    count(*) FILTER (WHERE l_returnflag = 'R') AS x, avg(l_quantity) > 26 AS truth FROM lineitem GROUP BY 1, 2),
+  a AS (SELECT i, exp(-3 + i * 0.1::DOUBLE) AS al FROM range(0, 91) r(i)), b AS (SELECT j, exp(-3 + j * 0.1::DOUBLE) AS be FROM range(0, 101) r(j)),
+  cx AS (SELECT round, x AS v, count(*) AS c FROM g GROUP BY 1, 2), cy AS (SELECT round, n - x AS v, count(*) AS c FROM g GROUP BY 1, 2),
+  cn AS (SELECT round, n AS v, count(*) AS c FROM g GROUP BY 1, 2),
+  fa AS (SELECT round, i, al, sum(c * (lgamma(v + al) - lgamma(al))) AS s FROM cx, a GROUP BY 1, 2, 3),
+  fb AS (SELECT round, j, be, sum(c * (lgamma(v + be) - lgamma(be))) AS s FROM cy, b GROUP BY 1, 2, 3),
+  fn AS (SELECT round, i, j, sum(c * (lgamma(v + al + be) - lgamma(al + be))) AS s FROM cn, a, b GROUP BY 1, 2, 3),
+  best AS (SELECT round, al, be FROM fn JOIN fa USING (round, i) JOIN fb USING (round, j)
+    QUALIFY row_number() OVER (PARTITION BY round ORDER BY round(fa.s + fb.s - fn.s, 9) DESC, i, j) = 1),
+  post AS (SELECT g.*, x + al * least(1, 50 / (al + be)) AS pa, n - x + be * least(1, 50 / (al + be)) AS pb FROM g JOIN best USING (round)),
+  m AS (SELECT DISTINCT pa, pb FROM post),
+  above AS (SELECT pa, pb, sum(exp((pa - 1) * ln(0.25 + 0.75 * (i + 0.5) / 4000) + (pb - 1) * ln(0.75 - 0.75 * (i + 0.5) / 4000)
+    + lgamma(pa + pb) - lgamma(pa) - lgamma(pb))) * 0.75 / 4000 AS p FROM m, range(0, 4000) r(i) GROUP BY 1, 2),
+  r AS (SELECT *, x / n AS raw, round(p, 4) AS adj FROM post JOIN above USING (pa, pb)),
+  o AS (SELECT *, row_number() OVER (PARTITION BY round ORDER BY raw DESC, grp) AS r1, row_number() OVER (PARTITION BY round ORDER BY adj DESC, grp) AS r2 FROM r),
+  t AS (SELECT 'raw' AS rule, round, count(*) FILTER (WHERE raw > 0.25 AND NOT truth) AS false_alarms, count(*) FILTER (WHERE raw <= 0.25 AND truth) AS missed,
+    count(*) FILTER (WHERE r1 <= 5 AND truth) AS top_hits FROM o GROUP BY 2
+  UNION ALL SELECT 'adjusted', round, count(*) FILTER (WHERE adj > 0.5 AND NOT truth), count(*) FILTER (WHERE adj <= 0.5 AND truth),
+    count(*) FILTER (WHERE r2 <= 5 AND truth) FROM o GROUP BY 2)"""
+
+
+@query("a27_posterior_backtest", BACKTEST_SQL + " SELECT * FROM t")
+def a27_posterior(spark, sf):
+    """Raw and posterior rule per round, each round with its own prior from the grid."""
+    return PR.posterior_backtest(backtest_rounds(spark, sf), "truth", "grp", grid=True, places=4)
+
+
+@query("a27_mean_backtest", BACKTEST_SQL + """ SELECT rule, count(*) AS rounds, round(avg(false_alarms), 6) AS false_alarms, round(avg(missed), 6) AS missed,
+  round(avg(top_hits), 6) AS top_hits FROM t GROUP BY 1""")
+def a27_mean(spark, sf):
+    return rounded(PR.mean_backtest(PR.posterior_backtest(backtest_rounds(spark, sf), "truth", "grp", grid=True, places=4)))
+
+
+@query("a27_fitted_backtest")
+def a27_fitted(spark, sf):
+    """The same with priors by Newton steps."""
+    return rounded(PR.mean_backtest(PR.posterior_backtest(backtest_rounds(spark, sf), "truth", "grp")))
+
+
 @query("a28_near_copy_summary", W.with_views("unit_aug", """AND m AS (SELECT a.item_id, max(list_dot_product(a.u, b.u)) AS c FROM unit_aug a CROSS JOIN unit_aug b
     WHERE a.split <> 'train' AND b.split = 'train' GROUP BY 1)
   SELECT round(max(c), 6) AS max_cosine, count(*) FILTER (WHERE c > 0.98) AS n_copies, count(*) AS n, round(quantile_cont(c, 0.5), 6) AS median_cosine FROM m"""))

@@ -8,6 +8,7 @@ from tamis.operators import calibration as C
 from tamis.operators import fitting as FT
 from tamis.operators import metrics as M
 from tamis.operators import scoring as S
+from tamis.operators import priors as PR
 from tamis.operators import shrinkage as SH
 from tamis.operators import stacked as ST
 from tamis.operators.ranks import exact_quantiles
@@ -100,6 +101,14 @@ def c11_events(spark, sf):
     return rounded(SH.beta_binomial_prior(g).select("alpha", "beta", "capped"))
 
 
+@query("c11_prior_continuous")
+def c11_continuous(spark, sf):
+    """The prior by Newton steps, uncapped, over the event groups of each month; no grid, so no SQL."""
+    ev = W.ev(spark, sf).withColumn("month", F.date_trunc("month", "ts"))
+    g = ev.groupBy("month", "grp").agg(F.count(F.lit(1)).alias("n"), F.count_if("flagged").alias("x"))
+    return rounded(PR.fitted_priors(g, ["month"], cap=None).drop("gradient"))
+
+
 POSTERIOR_SQL = """, post AS (SELECT {key}, n, x, alpha + x AS pa, beta + n - x AS pb FROM {g} CROSS JOIN prior WHERE n > 0),
   m AS (SELECT DISTINCT pa, pb FROM post),
   dens AS (SELECT pa, pb, i, exp((pa - 1) * ln(0.25 + 0.75 * (i + 0.5) / 4000) + (pb - 1) * ln(1 - 0.25 - 0.75 * (i + 0.5) / 4000) + lgamma(pa + pb) - lgamma(pa) - lgamma(pb)) AS d
