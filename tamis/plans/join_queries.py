@@ -12,6 +12,7 @@ from tamis.operators import review as R
 from tamis.operators import scoring as S
 from tamis.operators import similarity as SIM
 from tamis.operators import validation as VAL
+from tamis.operators.mentions import mentions, whole_words
 from tamis.plans import views as W
 from tamis.plans.registry import query
 
@@ -224,6 +225,17 @@ def mentions_join(spark, sf):
     return words.join(keys, "key").select("doc_id", "key")
 
 
+@query("j18_phrases", r"""WITH b AS (SELECT item_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}_]+'), lambda w: w <> '') AS w FROM benchmark),
+  k AS (SELECT DISTINCT array_to_string(w[1:item_id % 4 + 1], ' ') AS key, len(w[1:item_id % 4 + 1]) AS l FROM b WHERE len(w) > 0),
+  d AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}_]+'), lambda w: w <> '') AS w FROM documents),
+  r AS (SELECT doc_id, l, unnest(list_transform(range(1, len(w) - l + 2), lambda i: array_to_string(w[i:i + l - 1], ' '))) AS key FROM d, (SELECT DISTINCT l FROM k))
+  SELECT doc_id, key, count(*) AS n FROM r JOIN k USING (key, l) GROUP BY 1, 2""")
+def phrases(spark, sf):
+    """Texts linked to keys of one to four words: the first words of each benchmark item."""
+    first = W.table(spark, sf, "benchmark").select(F.array_join(F.slice(whole_words(F.col("text")), F.lit(1), (F.col("item_id") % 4 + 1).cast("int")), " ").alias("key"))
+    return mentions(W.table(spark, sf, "documents"), first)
+
+
 @query("j19_changed_keys", """WITH o AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'good' ELSE 'poor' END AS v FROM labels WHERE doc_id % 11 <> 0),
   n AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 'poor' ELSE 'good' END AS v FROM labels WHERE doc_id % 7 <> 0)
   SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, o.v AS old_value, n.v AS new_value FROM o FULL JOIN n ON o.doc_id = n.doc_id
