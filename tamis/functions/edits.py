@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import IntegerType
 
-GROUP_PAIRS = 512
+GROUP_PAIRS = 4096
 GROUP_SYMBOLS = 1 << 21  # symbols of a group, a longer pair is a group of its own
 FIRST_BAND = 16
 _ONE, _ALL = np.uint64(1), np.uint64(0xFFFFFFFFFFFFFFFF)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tamis.functions import text as T
 from tamis.functions import vectors as V
+from tamis.functions.edits import list_distance
 from tamis.operators import components as CC
 from tamis.operators import metrics as M
 from tamis.operators import neighbours as N
@@ -277,7 +278,7 @@ def spread_pairs(spark, sf):
 def error_rates(pairs):
     """Character and word errors per pair."""
     return pairs.select(F.levenshtein("ref", "hyp").alias("ce"), F.length("ref").alias("cl"),
-                        T.word_distance(T.words(F.col("ref")), T.words(F.col("hyp"))).alias("we"), F.size(T.words(F.col("ref"))).alias("wl"))
+                        list_distance(T.words(F.col("ref")), T.words(F.col("hyp"))).alias("we"), F.size(T.words(F.col("ref"))).alias("wl"))
 
 
 @query("a19_character_errors", W.with_views("pairs", """SELECT conv_id, count(*) AS n, sum(length(ref))::BIGINT AS n_chars,
