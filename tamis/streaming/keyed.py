@@ -34,6 +34,11 @@ class Merged:
     applied: bool = True
 
 
+def _seen(rows: DataFrame, of: Column) -> set:
+    """The distinct values, combined inside tasks and then in one; for values that are buckets or parts, never keys."""
+    return set(rows.agg(F.collect_set(of)).first()[0])
+
+
 class KeyedTable:
     """The table at `path`. Of several rows of a key the largest by the SQL expressions in `order` stays (null is smallest); on a
     tie, and without an order, the stored row does, and within a batch the same one in every run. Null keys are equal. One writer at a time.
@@ -71,7 +76,7 @@ class KeyedTable:
         if batch_id <= done.get(stream, -1):
             return Merged(versions[-1], 0, 0, 0, applied=False)
         fresh = cut_lineage(self._placed(self._best(batch.select(*self.schema.names).withColumn("_stored", F.lit(False)))))
-        touched = {r[0] for r in fresh.select(BUCKET).distinct().collect()}
+        touched = _seen(fresh, F.col(BUCKET))
         near = {p for p in parts if p[0] in touched}
         replaced = self._met(fresh, near)
         for bucket in touched:
@@ -122,7 +127,7 @@ class KeyedTable:
         byte = F.conv(F.hex(F.substring("bits", F.floor(F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
         hit = F.expr("shiftright(_byte, _bit % 8) & 1") == 1
         found = asked.select(BUCKET, "_page", "_bit").join(maps, [BUCKET, "_page"]).withColumn("_byte", byte).where(hit)
-        return {(r[0], r[1]) for r in found.select(BUCKET, "version").distinct().collect()}
+        return {(r[0], r[1]) for r in _seen(found, F.struct(BUCKET, "version"))}
 
     def _read(self, spark: SparkSession, parts: set[Part]) -> DataFrame:
         if not parts:
@@ -142,7 +147,7 @@ class KeyedTable:
         rows.write.mode("overwrite").partitionBy(BUCKET).option("maxRecordsPerFile", 5_000_000).parquet(data)
         stored = self._placed(spark.read.schema(T.StructType([f for f in self.schema if f.name in self.keys])).parquet(f"{data}/{BUCKET}=*"))
         maps = stored.groupBy(BUCKET, "_page").agg(F.bitmap_construct_agg(F.col("_bit").cast("bigint")).alias("bits"))
-        maps.withColumn("version", F.lit(version).cast("bigint")).repartition(BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(
+        maps.withColumn("version", F.lit(version).cast("bigint")).write.mode("overwrite").partitionBy(BUCKET).parquet(
             f"{self.path}/keys/of={version}")
 
     def _commit(self, spark: SparkSession, parts: set[Part], done: dict[str, int], version: int) -> None:
