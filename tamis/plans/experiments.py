@@ -21,7 +21,7 @@ from tamis.operators import splits as X
 from tamis.operators import stacked as ST
 from tamis.operators.bootstrap import group_bootstrap
 from tamis.operators.components import copy_groups
-from tamis.operators.neighbours import MAX_REFERENCE_ROWS, ReferenceSet
+from tamis.operators.neighbours import MAX_REFERENCE_ROWS, ReferenceSet, largest
 from tamis.operators.ranks import hash_order
 from tamis.session import cut_lineage
 from tamis.sources.heads import build_reference, load_reference
@@ -202,11 +202,6 @@ def _probabilities(rows: DataFrame, temperature: float) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def largest(s: np.ndarray, k: int) -> np.ndarray:
-    """The k largest entries of each row, all where there are fewer."""
-    return s if s.shape[1] <= k else np.partition(s, s.shape[1] - k, axis=1)[:, -k:]
-
-
 def curve_heads(labelled: DataFrame, head: S.Head, seeds: Sequence[int], sizes: Sequence[int], methods: Sequence[str]) -> DataFrame:
     """(seed, k, method, w, b): the refit of every case from the first k of the labels (seed, place, e, y) of its seed, one task a case."""
     cases = [(int(s), int(k), m) for s in seeds for k in sizes for m in methods]

@@ -1,7 +1,10 @@
 """Similarity joins, copy groups, linkage and neighbours against brute force, with cells and blocks forced small and a
 group of copies that holds a third of all rows."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -166,6 +169,56 @@ def test_fewer_reference_rows_than_k(spark):
     assert empty.count() == 30 and empty.where("distance is not null").count() == 0
 
 
+@pytest.mark.parametrize("k", [1, 5, 30])
+def test_reference_tiles_give_the_same_neighbours(monkeypatch, k):
+    monkeypatch.setattr(N, "REFERENCE_TILE", 16)
+    v = vectors(seed=8)
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    s = np.round(u @ u.T, 12)
+    g = np.arange(len(v)) % 9
+    s[g[:, None] == g[None, :]] = -np.inf
+    row, col, value = N._nearest(u, u, k, g, g)
+    assert (np.bincount(row, minlength=len(v)) == k).all()
+    np.testing.assert_allclose(value.reshape(len(v), k), -np.sort(-s, axis=1)[:, :k], atol=1e-11)
+    np.testing.assert_allclose(N.distances(v, u, k), 1 - np.sort(u @ u.T, axis=1)[:, -k:].mean(axis=1), atol=1e-12)
+    low = value.reshape(len(v), k)[:, -1]
+    kept = N._nearest(u, u, k, g, g, low)
+    assert kept[0].tolist() == row.tolist() and kept[1].tolist() == col.tolist()
+
+
+def test_equal_neighbours_come_by_place(monkeypatch):
+    monkeypatch.setattr(N, "REFERENCE_TILE", 4)
+    same = np.tile(np.eye(3)[[0]], (20, 1))
+    row, col, _ = N._nearest(np.eye(3)[[0, 1]], same, 3)
+    assert row.tolist() == [0, 0, 0, 1, 1, 1] and col.tolist() == [0, 1, 2, 0, 1, 2]
+
+
+def test_memory_of_a_search_is_bounded():
+    """A task multiplies tiles: its memory doesn't grow with the reference."""
+    rng = np.random.default_rng(9)
+    q, ref = rng.normal(size=(1024, 4)), rng.normal(size=(60_000, 4))
+    for search in (lambda: N.distances(q, ref, 10), lambda: N._nearest(q, ref, 10, np.arange(1024), np.arange(60_000))):
+        tracemalloc.start()
+        search()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 250e6  # one product with all rows has 490 MB
+
+
+def test_copies_for_blocks_are_sent_in_bounded_batches():
+    """A batch that needs all blocks of a large reference isn't copied at once."""
+    n, cells = 5_000, np.arange(100)
+    parts = {c: 5 for c in range(100)}
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(np.arange(n, dtype=np.int32) % 100), pa.array(np.zeros(n, np.int32)), pa.array(np.arange(n)),
+         pa.array([[1.0]] * n), pa.nulls(n, pa.string()), pa.nulls(n, pa.float64())], names=["cell", "part", "id", "v", "grp", "low"])
+    total = 0
+    for b in N._copies(batch, lambda b: (cells, np.ones((b.num_rows, 100), bool)), parts):
+        assert b.num_rows <= N.SEND_ROWS
+        total += b.num_rows
+    assert total == n * 499  # every block but the one of the first pass
+
+
 def average_linkage(s, cut):
     groups = [[i] for i in range(len(s))]
     while len(groups) > 1:
