@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -113,7 +114,7 @@ class WordTable:
         if len(self.slot) + len(distinct) > self.max_words + len(distinct) // 2 or len(self.flat) > self.max_values or self.bytes > self.max_bytes:
             self.clear()
         slot = self.slot
-        at = np.fromiter((slot.get(w, -1) for w in distinct), np.int64, len(distinct))
+        at = np.fromiter(map(slot.get, distinct, repeat(-1)), np.int64, len(distinct))
         missing = np.flatnonzero(at < 0)
         if len(missing):
             new = [distinct[i] for i in missing]

@@ -15,6 +15,8 @@ from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 from tamis.llm.flat import WordTable, gather, hold, plain_words, sums, token_file, words_of
@@ -130,14 +132,16 @@ class PartTokens:
     def _compute(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         texts = [p.decode("utf-8", "replace") for p in parts]
         strange = self.letters.other(texts)
+        whole = "".join(texts)  # most slices have none of these, and are looked through once
         odd = {i: self.values_of_odd(t) for i, t in enumerate(texts)
-               if "\0" in t or "<|" in t and any(s in t for s in self.vocabulary.special) or strange and strange.search(t)}
+               if "\0" in t or "<|" in t and any(s in t for s in self.vocabulary.special) or strange and strange.search(t)
+               } if strange or "\0" in whole or "<|" in whole else {}
         for i in odd:
             texts[i] = ""
         found = self.pattern.findall(self.normal("\0".join(texts)))
-        ends = np.fromiter((w == "\0" for w in found), bool, len(found))
-        words = [w for w in found if w != "\0"]
-        at, lengths = self.words.look_up(_binary([w.encode() for w in words]))
+        words = _binary(found)
+        ends = pc.equal(words, b"\0").to_numpy(zero_copy_only=False)
+        at, lengths = self.words.look_up(words.filter(pa.array(~ends)))
         flat = gather(self.words.flat, at, lengths)
         part_of = np.cumsum(ends)[~ends]
         counts = np.bincount(part_of, lengths, len(texts)).astype(np.int64)
@@ -163,10 +167,8 @@ class PartTokens:
         return gather(self.table.flat, at, lengths), np.concatenate(([0], np.cumsum(sums(lengths, by_text))))
 
 
-def _binary(words: list[bytes]):
-    import pyarrow as pa
-
-    return pa.array(words, pa.binary())
+def _binary(words: list[str]) -> pa.Array:
+    return pa.array(words, pa.string()).cast(pa.binary())
 
 
 _LOW = np.arange(256) <= 32  # white space and control bytes
