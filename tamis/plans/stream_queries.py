@@ -37,7 +37,8 @@ def t02(spark, sf):
     flags = {"waiting": D.in_queue(F.col("not_sure"), F.col("spot_check"), F.col("disputed"), label),
              "reviewed": label.isNotNull(), "labelled": label.isin(*CLASSES)}
     # the replayed files come in no fixed order, so the hold spans the years of the table
-    changes = S.count_changes(J.arrivals(first.unionByName(second), "at"), "photo_id", "at", label, label.isNotNull(), flags, "10000 days")
+    changes = S.count_changes(J.arrivals(first.unionByName(second), "at"), "photo_id", "at", label, label.isNotNull(), flags, "10000 days",
+                              buckets=photos.count() // 256 + 1)
     out = scratch_path(spark, "log")
     sums = [F.coalesce(F.sum(n), F.lit(0)).cast("bigint").alias(n) for n in flags]
     with S.state_store(spark):

@@ -46,3 +46,35 @@ def test_closed_entries_go(spark, tmp_path):
     assert run(spark, tmp_path, rows, 3, "2 days") == (7, 5)  # the closed ones stay counted
     kept = spark.read.format("statestore").option("stateVarName", "entry").load(str(tmp_path / "cp"))
     assert sorted(r[0] for r in kept.select("key.k").collect()) == [5, *range(100, 106)]
+
+
+def test_a_value_of_the_store_holds_many_keys(spark, tmp_path):
+    start = datetime(2024, 1, 1)
+    rows = [(10**6 + i, start + timedelta(seconds=i), None) for i in range(20_000)]
+    rows += [(10**6 + i, start + timedelta(days=1, seconds=i), "x") for i in range(0, 20_000, 4)]
+    rows += [(None, start, None), (42, start, None), (-7, start, "x")]
+    assert run(spark, tmp_path, rows, 1, "1000 days") == (15_002, 5_001)
+    kept = spark.read.format("statestore").option("stateVarName", "entry").load(str(tmp_path / "cp"))
+    entries = F.from_json("value.entries", "array<array<string>>")
+    n, keys, most = kept.agg(F.count(F.lit(1)), F.sum(F.size(entries)), F.max(F.size(entries))).first()
+    assert n <= S.BUCKETS and keys == 20_003 and most < 40
+
+
+def test_a_bucket_keeps_what_is_not_due(spark, tmp_path):
+    """Keys of one bucket go one by one; what closes and opens again in time stays, and a text key is told from a null one."""
+    folder, start = tmp_path / "in", datetime(2024, 1, 1)
+    schema = "k string, at timestamp, label string"
+    steps = [[("a", 0, "x"), ("b", 1, "x"), ("c", 0, "x"), ("null", 0, None), (None, 0, None)], [("c", 1, None), ("far", 2, None)], [("far", 4, None)]]
+    spark.createDataFrame([], schema).write.parquet(str(folder))
+    stream = J.read_stream(spark, str(folder), spark.createDataFrame([], schema).schema)
+    flags, out, left = {"open": F.expr("label IS NULL"), "done": F.expr("label = 'x'")}, [], []
+    changes = S.count_changes(stream, "k", "at", F.col("label"), F.expr("label IS NOT NULL"), flags, "36 hours", buckets=1)
+    for step in steps:
+        rows = [(k, start + timedelta(days=d), label) for k, d, label in step]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(folder))
+        with S.state_store(spark):
+            J.run_batches(changes, lambda df, _: out.extend(df.collect()), str(tmp_path / "cp"), "append")
+        kept = spark.read.format("statestore").option("stateVarName", "entry").load(str(tmp_path / "cp"))
+        left.append({k for r in kept.select(F.from_json("value.entries", "array<array<string>>").alias("e")).collect() for k in (e[0] for e in r.e)})
+    assert left == [{"a", "b", "c", "null", None}, {"b", "c", "null", None, "far"}, {"c", "null", None, "far"}]
+    assert (sum(r.open for r in out), sum(r.done for r in out)) == (4, 2)  # a and b stay counted
