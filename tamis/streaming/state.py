@@ -13,6 +13,7 @@ from pyspark.sql.types import DataType, IntegralType
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 BUCKETS = 4096
+NO_STAMP = -(1 << 63)  # older than all others
 
 
 class _Latest(StatefulProcessor):
@@ -32,7 +33,7 @@ class _Latest(StatefulProcessor):
         return (old[0], {e[0]: e[1:] for e in json.loads(old[1])}) if old is not None else (None, {})
 
     def _store(self, entries: dict) -> int | None:
-        due = min((_due(e) for e in entries.values() if e[2][0] == "1"), default=None)
+        due = min((d for e in entries.values() if (d := _due(e)) is not None), default=None)
         self.entry.update((due, json.dumps([[k, *e] for k, e in entries.items()], separators=(",", ":"))))
         return due
 
@@ -41,7 +42,7 @@ class _Latest(StatefulProcessor):
         change, new = [0] * len(self.flags), False
         for r in rows:
             name, at, tie, marks = json.loads(r[2])
-            entry, old = [int(at), tie, marks], entries.get(name)
+            entry, old = [NO_STAMP if at is None else int(at), tie, marks], entries.get(name)
             if old is not None and old[:2] >= entry[:2]:
                 continue
             entries[name], new = entry, True
@@ -60,7 +61,7 @@ class _Latest(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         passed = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs() - 1)  # a timer ends below the watermark
-        entries = {k: e for k, e in self._stored()[1].items() if e[2][0] == "0" or _due(e) > passed}
+        entries = {k: e for k, e in self._stored()[1].items() if (d := _due(e)) is None or d > passed}
         if not entries:
             self.entry.clear()
         elif (due := self._store(entries)) is not None:
@@ -71,8 +72,9 @@ class _Latest(StatefulProcessor):
         pass
 
 
-def _due(entry: Sequence) -> int:
-    return entry[0] // 1000 + 1
+def _due(entry: Sequence) -> int | None:
+    """When an entry can go; never while it is open or without a stamp."""
+    return entry[0] // 1000 + 1 if entry[2][0] == "1" and entry[0] != NO_STAMP else None
 
 
 def _bucket(key: Column, kind: DataType, buckets: int) -> Column:
@@ -93,8 +95,8 @@ def count_changes(stream: DataFrame, key: str, stamp: str, tie: Column, closed:
     fixed for the life of a checkpoint.
 
     Open entries are kept for good. A closed one is forgotten `hold` behind the newest stamp; a change that arrives later than that
-    against the stamps already seen is late and left out, so `hold` is the longest delay that still counts. Null stamps are refused by
-    the watermark; null flags count as false. Start it with `state_store(spark)`."""
+    against the stamps already seen is late and left out, so `hold` is the longest delay that still counts. Null stamps are the
+    oldest, never late and kept; null flags count as false. Start it with `state_store(spark)`."""
     mark = F.concat(*[F.when(F.coalesce(c, F.lit(False)), "1").otherwise("0") for c in (closed, *flags.values())])
     entries = stream.withWatermark(stamp, hold).select(
         _bucket(F.col(key), stream.schema[key].dataType, buckets).alias(key), F.col(stamp),  # one text a row: each column costs Python as much

@@ -78,3 +78,11 @@ def test_a_bucket_keeps_what_is_not_due(spark, tmp_path):
         left.append({k for r in kept.select(F.from_json("value.entries", "array<array<string>>").alias("e")).collect() for k in (e[0] for e in r.e)})
     assert left == [{"a", "b", "c", "null", None}, {"b", "c", "null", None, "far"}, {"c", "null", None, "far"}]
     assert (sum(r.open for r in out), sum(r.done for r in out)) == (4, 2)  # a and b stay counted
+
+
+def test_null_stamps_are_the_oldest_and_stay(spark, tmp_path):
+    start = datetime(2024, 1, 1)
+    rows = [(1, None, None), (1, None, "x"), (2, None, "x"), (2, start, None), (3, None, None), (4, start, "x"), (4, None, None), (5, None, "x")]
+    assert run(spark, tmp_path, rows + [(9, start + timedelta(days=90), None)], 1, "2 days") == (3, 3)
+    kept = spark.read.format("statestore").option("stateVarName", "entry").load(str(tmp_path / "cp"))
+    assert sorted(r[0] for r in kept.select("key.k").collect()) == [1, 2, 3, 5, 9]
