@@ -90,6 +90,11 @@ def words_of(body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array
     return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(packed))])
 
 
+def objects(words: pa.Array) -> list[bytes]:
+    """The words of a binary array without nulls, many times faster than by to_pylist."""
+    return words.to_numpy(zero_copy_only=False).tolist()
+
+
 class WordTable:
     """Values of distinct words, kept by a Python worker from one slice to the next and emptied when the bound is reached.
 
@@ -110,7 +115,7 @@ class WordTable:
         if not len(words):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         coded = words.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
+        distinct = objects(coded.dictionary)
         if len(self.slot) + len(distinct) > self.max_words + len(distinct) // 2 or len(self.flat) > self.max_values or self.bytes > self.max_bytes:
             self.clear()
         slot = self.slot

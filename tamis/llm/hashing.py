@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-from tamis.llm.flat import plain_words, words_of
+from tamis.llm.flat import objects, plain_words, words_of
 
 _WEIGHTS = np.random.default_rng(20240307).integers(1 << 62, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -20,7 +20,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def span_hashes(body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hash (xxh3) of the bytes of each span, spans in order and apart from each other. A word that occurs often is hashed once."""
     coded = words_of(body, starts, ends).dictionary_encode()
-    distinct = coded.dictionary.to_pylist()
+    distinct = objects(coded.dictionary)
     return np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64, len(distinct))[coded.indices.to_numpy()]
 
 

@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tamis.llm import budget, idfiles, packing, pieces, tokens
+from tamis.llm import budget, flat, idfiles, packing, pieces, tokens
 from tamis.llm.flat import slices, text_bytes, token_file, words_of
 
 ALPHABET = list("aabcdeeéñ ü \n\t.,'\"!?019中字　 ́▁<|>xyzAKİßΣ😀\x1c\x00") + ["<|endoftext|>", " the", "ing", "'s", "'re", "tion", "--", "  "]
@@ -94,6 +94,11 @@ def test_byte_pairs_equal_the_library(library):
         assert encoded(coder, texts) == [e.ids for e in library[name].encode_batch(texts, add_special_tokens=False)]
 
 
+def test_objects_are_the_words_of_any_bytes():
+    words = [b"", b"a", b"\x00", b"\xff\x00b", "é".encode()]
+    assert flat.objects(pa.array([b"cut", *words], pa.binary())[1:]) == words
+
+
 def test_slices_lose_no_row():
     batch = pa.RecordBatch.from_pydict({"text": ["a" * 10, None, "", "b" * 50, "c"], "k": list(range(5))})
     parts = list(slices(iter([batch, batch.slice(0, 0)]), max_bytes=12))
