@@ -94,7 +94,8 @@ class Letters:
 
     def other(self, texts: list[str]) -> regex.Pattern | None:
         """A pattern of those in the texts, or None."""
-        points = np.unique(np.frombuffer("".join(t for t in texts if not t.isascii()).encode("utf-32-le", "replace"), np.uint32))
+        points = np.frombuffer("".join(t for t in texts if not t.isascii()).encode("utf-32-le", "replace"), np.uint32)
+        points = np.unique(points[points >= 128])
         new = points[self.known[points] == 0]
         for first in range(0, len(new), 10_000):
             self._learn(new[first:first + 10_000])
@@ -130,21 +131,23 @@ class PartTokens:
         return self.library.encode(part, add_special_tokens=False).ids
 
     def _compute(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        texts = [p.decode("utf-8", "replace") for p in parts]
-        strange = self.letters.other(texts)
-        whole = "".join(texts)  # most slices have none of these, and are looked through once
-        odd = {i: self.values_of_odd(t) for i, t in enumerate(texts)
-               if "\0" in t or "<|" in t and any(s in t for s in self.vocabulary.special) or strange and strange.search(t)
-               } if strange or "\0" in whole or "<|" in whole else {}
-        for i in odd:
-            texts[i] = ""
-        found = self.pattern.findall(self.normal("\0".join(texts)))
+        whole = b"\0".join(parts).decode("utf-8", "replace")  # most slices have nothing odd, and are looked through once
+        strange = self.letters.other([whole])
+        odd = {}
+        if strange or whole.count("\0") >= len(parts) or "<|" in whole:
+            texts = [p.decode("utf-8", "replace") for p in parts]
+            odd = {i: self.values_of_odd(t) for i, t in enumerate(texts)
+                   if "\0" in t or "<|" in t and any(s in t for s in self.vocabulary.special) or strange and strange.search(t)}
+            for i in odd:
+                texts[i] = ""
+            whole = "\0".join(texts)
+        found = self.pattern.findall(self.normal(whole))
         words = _binary(found)
         ends = pc.equal(words, b"\0").to_numpy(zero_copy_only=False)
         at, lengths = self.words.look_up(words.filter(pa.array(~ends)))
         flat = gather(self.words.flat, at, lengths)
         part_of = np.cumsum(ends)[~ends]
-        counts = np.bincount(part_of, lengths, len(texts)).astype(np.int64)
+        counts = np.bincount(part_of, lengths, len(parts)).astype(np.int64)
         if odd:
             runs = np.split(flat, np.cumsum(counts)[:-1])
             for i, ids in odd.items():
