@@ -6,8 +6,10 @@ a Python object for each, so that the cost of a word that occurs often is one in
 
 from __future__ import annotations
 
+import ctypes
 import os
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
@@ -63,7 +65,24 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", max_bytes: int
             last = max(first + 1, int(np.searchsorted(ends, base + max_bytes, "right")))
             yield batch.slice(first, last - first)
             first = last
-    pa.default_memory_pool().release_unused()  # a worker lives on beside those of other stages
+    rest()
+
+
+@lru_cache(maxsize=1)
+def _trim() -> Callable[[int], int] | None:
+    """glibc's malloc_trim, where there is one."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError, TypeError):
+        return None
+
+
+def rest() -> None:
+    """Give memory that a task has freed back to the system: a worker lives on, idle, beside those of other stages."""
+    pa.default_memory_pool().release_unused()
+    trim = _trim()
+    if trim is not None:
+        trim(0)
 
 
 def gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -29,9 +29,15 @@ def build_session(app: str = "tamis", master: str | None = None, shuffle_partiti
     return ship_package(builder.getOrCreate())
 
 
+_BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
+
+
 def ship_package(spark: SparkSession) -> SparkSession:
-    """Hand this package to the executors once per context, so that jobs started from any folder find it."""
+    """Hand this package to the executors once per context, so that jobs started from any folder find it. Arrow batches are bounded
+    by bytes as well, unless the caller has set that: 10,000 whole texts are held by the JVM and by a worker at once, many times over."""
     context = spark.sparkContext
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, BATCH_BYTES)
     if not getattr(context, "_tamis_shipped", False):
         home = Path(__file__).resolve().parent
         packed = Path(tempfile.mkdtemp(prefix="tamis-code-")) / "tamis-code.zip"  # the driver serves it from here

@@ -99,6 +99,16 @@ def test_objects_are_the_words_of_any_bytes():
     assert flat.objects(pa.array([b"cut", *words], pa.binary())[1:]) == words
 
 
+def test_batches_are_bounded_by_bytes(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"bytes": [batch.nbytes]})
+
+    rows = spark.range(0, 40, 1, 1).selectExpr("id", "repeat('word ', 200000) text")
+    got = [r.bytes for r in rows.mapInArrow(sizes, "bytes long").collect()]
+    assert sum(got) > 40_000_000 and max(got) < 8_000_000
+
+
 def test_slices_lose_no_row():
     batch = pa.RecordBatch.from_pydict({"text": ["a" * 10, None, "", "b" * 50, "c"], "k": list(range(5))})
     parts = list(slices(iter([batch, batch.slice(0, 0)]), max_bytes=12))
