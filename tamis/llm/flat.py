@@ -114,6 +114,13 @@ def objects(words: pa.Array) -> list[bytes]:
     return words.to_numpy(zero_copy_only=False).tolist()
 
 
+def matrix(column: pa.Array | pa.ChunkedArray, dtype) -> np.ndarray:
+    """Binary values of one length, without nulls, as the rows of a matrix."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return text_bytes(column)[0].view(dtype).reshape(len(column), -1)
+
+
 class WordTable:
     """Values of distinct words, kept by a Python worker from one slice to the next and emptied when the bound is reached.
 

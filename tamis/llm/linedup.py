@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamis.llm.flat import free_name, slices
+from tamis.llm.flat import free_name, matrix, slices
 from tamis.llm.hashing import minwise, mix, unique_runs, windows
 from tamis.llm.linking import KeyFilter, Sketches, link, salted_join
 from tamis.llm.neardup import text_hash
@@ -162,7 +162,7 @@ def _band_rows(items: DataFrame, wanted: KeyFilter | None) -> DataFrame:
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                tokens = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint16).reshape(-1, BANDS, ROWS).astype(np.uint64)
+                tokens = matrix(batch.column("signature"), np.uint16).reshape(-1, BANDS, ROWS).astype(np.uint64)
                 keys = np.zeros(tokens.shape[:2], np.uint64) + np.arange(BANDS, dtype=np.uint64)
                 for r in range(ROWS):
                     keys = keys << np.uint64(1) ^ mix(tokens[:, :, r] + np.uint64(r << 16 | 1 << 32))

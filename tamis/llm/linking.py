@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tamis.llm.flat import matrix
 from tamis.llm.hashing import overlap, overlaps
 from tamis.operators.components import connected_components
 from tamis.session import cut_lineage, give_back, next_table
@@ -156,7 +157,7 @@ class Sketches:
         def run(batches):
             for batch in batches:
                 if batch.num_rows:
-                    x, y = (_matrix(batch.column(c), dtype) for c in ("x", "y"))
+                    x, y = (matrix(batch.column(c), dtype) for c in ("x", "y"))
                     yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= least))
 
         kind = pairs.schema["a"].dataType.simpleString()
@@ -170,10 +171,11 @@ class Sketches:
         least, dtype = self.least, self.dtype
 
         def run(table: pa.Table) -> pa.Table:
-            signs, minor = _matrix(table.column("signature"), dtype), table.column("minor").to_numpy()
-            _, part = np.unique(np.array(table.column("component").to_pylist()), return_inverse=True)
+            signs, minor = matrix(table.column("signature"), dtype), table.column("minor").to_numpy()
+            _, part = np.unique(table.column("component").to_numpy(), return_inverse=True)
             left, right = np.flatnonzero(~minor), np.flatnonzero(minor)
-            near = np.array([(signs[left] == signs[i]).sum(axis=1) >= least for i in right], bool).reshape(len(right), len(left))
+            others = signs[left]
+            near = np.array([np.count_nonzero(others == signs[i], axis=1) >= least for i in right], bool).reshape(len(right), len(left))
             near &= part[right][:, None] != part[left]
             found, at, bits = np.zeros(len(signs), bool), np.zeros(len(signs), np.int32), [None] * len(signs)
             found[left], found[right] = near.any(axis=0), near.any(axis=1)
@@ -188,10 +190,6 @@ class Sketches:
         return rows.join(self.table, "id").select(*rows.columns, "signature").groupBy("node", "x", "y").applyInArrow(run, f"{fields}, at int, near binary")
 
 
-def _matrix(column: pa.Array, dtype: str) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(len(column), -1)
-
-
 def compare_blocks(members: DataFrame, load_sets: Callable[[DataFrame], DataFrame], share: int, block: int = BLOCK,
                    sketches: Sketches | None = None, sets_of: SetsOf = stored_sets) -> DataFrame:
     """Links (a, b) between members (node, id, component, size, major, minors) of different components of a node, verified on sets.
@@ -212,13 +210,12 @@ def compare_blocks(members: DataFrame, load_sets: Callable[[DataFrame], DataFram
 
     def compare(table: pa.Table) -> pa.Table:
         ids, minor = table.column("id").to_pylist(), table.column("minor").to_numpy()
-        _, part = np.unique(np.array(table.column("component").to_pylist()), return_inverse=True)
+        _, part = np.unique(table.column("component").to_numpy(), return_inverse=True)
         have = sets_of(table.column("set").combine_chunks())
         left, right = np.flatnonzero(~minor), np.flatnonzero(minor)
         near = np.ones((len(right), len(left)), bool)
         if "near" in table.column_names and near.size:
-            bits = np.frombuffer(b"".join(table.column("near").take(pa.array(right)).to_pylist()), np.uint8)
-            near = np.unpackbits(bits.reshape(len(right), -1), axis=1)[:, table.column("at").to_numpy()[left]].astype(bool)
+            near = np.unpackbits(matrix(table.column("near").take(pa.array(right)), np.uint8), axis=1)[:, table.column("at").to_numpy()[left]].astype(bool)
         sizes = np.fromiter(map(len, have), np.int64, len(have))
         found = []
         for row, i in enumerate(right.tolist()):

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamis.llm.flat import slices, text_bytes
+from tamis.llm.flat import matrix, slices, text_bytes
 from tamis.llm.hashing import minwise, mix, unique_runs, word_shingles
 from tamis.llm.linking import SALTS, KeyFilter, Sketches, link, salted_join
 from tamis.session import cut_lineage
@@ -97,8 +97,7 @@ def _grow(rows: DataFrame, trees: range | None, branches: int = BRANCHES) -> Dat
             n = batch.num_rows
             if not n:
                 continue
-            flat = b"".join(batch.column("signature").to_pylist())
-            signatures = np.frombuffer(flat, np.uint32).reshape(n, PLACES)
+            signatures = matrix(batch.column("signature"), np.uint32)
             if trees is not None:
                 keys = np.concatenate([_children(signatures, np.full(n, mix(np.array([t + 1], np.uint64))[0]), branches)
                                        for t in trees], axis=1)

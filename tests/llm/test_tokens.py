@@ -99,6 +99,13 @@ def test_objects_are_the_words_of_any_bytes():
     assert flat.objects(pa.array([b"cut", *words], pa.binary())[1:]) == words
 
 
+def test_matrix_of_equal_binaries():
+    rows = [bytes([k, 0, 255 - k, 7]) for k in range(9)]
+    column = pa.chunked_array([pa.array([b"cut!", *rows[:4]], pa.binary())[1:], pa.array(rows[4:], pa.binary())])
+    assert flat.matrix(column, np.uint16).tolist() == np.frombuffer(b"".join(rows), np.uint16).reshape(9, 2).tolist()
+    assert flat.matrix(column.chunk(0), "u1").tolist() == [list(r) for r in rows[:4]]
+
+
 def test_batches_are_bounded_by_bytes(spark):
     def sizes(batches):
         for batch in batches:
