@@ -5,6 +5,7 @@ first compared with its smallest member (a large one with a few more), and what
 members all lie in one component can add nothing. In the nodes that are left, only members outside the node's major component
 count: they are compared with a few other members drawn anew, as long as that closes nodes, and what remains is compared with all others
 in blocks of bounded size and inside tasks. Nodes with the same open members are one node. Pairs are never listed.
+Small blocks share a call, since a call for each would cost more than the comparison.
 
 Candidate nodes may come in stages (trees, say): what one stage has linked needs no comparison in the next.
 """
@@ -26,6 +27,7 @@ from tamis.session import cut_lineage, give_back, next_table
 
 FILTER_BITS = 1 << 25
 BLOCK = 256
+SKETCH_BLOCK = 2048  # sketches are short and of one length, so blocks of them can be larger than those of sets
 STEP = 32  # sets that one is compared with at once
 PIVOTS = 3
 TURNS = 2
@@ -165,29 +167,52 @@ class Sketches:
             self.table.select(F.col("id").alias("b"), F.col("signature").alias("y")), "b")
         return both.select("a", "b", "x", "y").mapInArrow(run, f"a {kind}, b {kind}")
 
-    def with_partner(self, rows: DataFrame) -> DataFrame:
-        """Those of `rows` (node, x, y, id, component, minor) that can be similar to one of another component on the other side of the
-        same (node, x, y). `at` numbers the others of a cell, `near` has a bit for each of them that a minor one can be similar to."""
+    def with_partner(self, rows: DataFrame, calls: int, block: int) -> DataFrame:
+        """Those of `rows` (node, x, y, id, component, minor, signature) that can be similar to one of another component on the other side of
+        the same (node, x, y), in smaller cells (u, v) of at most `block` on a side and `n` rows. `at` numbers the others of a cell, `near` has
+        a bit for each of them that a minor one can be similar to."""
         least, dtype = self.least, self.dtype
 
         def run(table: pa.Table) -> pa.Table:
             signs, minor = matrix(table.column("signature"), dtype), table.column("minor").to_numpy()
             _, part = np.unique(table.column("component").to_numpy(), return_inverse=True)
-            left, right = np.flatnonzero(~minor), np.flatnonzero(minor)
-            others = signs[left]
-            near = np.array([np.count_nonzero(others == signs[i], axis=1) >= least for i in right], bool).reshape(len(right), len(left))
-            near &= part[right][:, None] != part[left]
-            found, at, bits = np.zeros(len(signs), bool), np.zeros(len(signs), np.int32), [None] * len(signs)
-            found[left], found[right] = near.any(axis=0), near.any(axis=1)
-            near = near[:, found[left]]
-            at[left[found[left]]] = np.arange(near.shape[1])
-            for i, x in zip(right.tolist(), np.packbits(near, axis=1), strict=True):
-                bits[i] = x.tobytes()
-            out = table.drop_columns(["signature"]).append_column("at", pa.array(at)).append_column("near", pa.array(bits, pa.binary()))
-            return out.filter(pa.array(found))
-
-        fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
-        return rows.join(self.table, "id").select(*rows.columns, "signature").groupBy("node", "x", "y").applyInArrow(run, f"{fields}, at int, near binary")
+            counts = np.min_scalar_type(signs.shape[1])
+            rows, places, bits = [], [], []
+            for cell in _cells(table, ["node", "x", "y"]):
+                left, right = cell[~minor[cell]], cell[minor[cell]]
+                others = np.ascontiguousarray(signs[left].T)
+                near = np.zeros((len(right), len(left)), bool)
+                for k, i in enumerate(right.tolist()):
+                    near[k] = np.add.reduce((others == signs[i][:, None]).view(np.uint8), axis=0, dtype=counts) >= least
+                    near[k] &= part[left] != part[i]
+                l, r = np.flatnonzero(near.any(axis=0)), np.flatnonzero(near.any(axis=1))
+                for u in range(0, len(l), block):
+                    for v in range(0, len(r), block):
+                        some = near[np.ix_(r[v:v + block], l[u:u + block])]
+                        p, q = np.flatnonzero(some.any(axis=0)), np.flatnonzero(some.any(axis=1))
+                        if not len(p):
+                            continue
+                        rows += [left[l[u + p]], right[r[v + q]]]
+                        places.append(np.zeros((len(p) + len(q), 4), np.int32) + np.array([u, v, 0, len(p) + len(q)], np.int32))
+                        places[-1][:len(p), 2] = np.arange(len(p))
+                        bits += [None] * len(p) + [x.tobytes() for x in np.packbits(some[np.ix_(q, p)], axis=1)]
+            at = np.concatenate(places) if places else np.zeros((0, 4), np.int32)
+            out = table.drop_columns(["signature", "call"]).take(pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64)))
+            for k, name in enumerate(["u", "v", "at", "n"]):
+                out = out.append_column(name, pa.array(at[:, k]))
+            return out.append_column("near", pa.array(bits, pa.binary()))
+
+        fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "signature")
+        return rows.withColumn("call", F.pmod(F.xxhash64("node", "x", "y"), F.lit(calls))).groupBy("call").applyInArrow(
+            run, f"{fields}, u int, v int, at int, n int, near binary")
+
+
+def _cells(table: pa.Table, keys: list[str]) -> list[np.ndarray]:
+    """The row numbers of each cell, a cell being the rows with the same keys."""
+    columns = [np.unique(table.column(k).to_numpy(), return_inverse=True)[1] for k in keys]
+    order = np.lexsort(columns)
+    changes = np.any([np.diff(c[order]) != 0 for c in columns], axis=0)
+    return np.split(order, np.flatnonzero(changes) + 1)
 
 
 def compare_blocks(members: DataFrame, load_sets: Callable[[DataFrame], DataFrame], share: int, block: int = BLOCK,
@@ -198,50 +223,59 @@ def compare_blocks(members: DataFrame, load_sets: Callable[[DataFrame], DataFram
     of each. Of all links between two components one is enough, so a pair that the task has already joined isn't compared. Sets
     are read only for members that have a plausible partner."""
     kind = members.schema["id"].dataType.simpleString()
-    cells = {n: F.ceil(F.col(c) / block).cast("int") for n, c in (("nx", "size"), ("ny", "minors"))}
+    side, keys = (max(block, SKETCH_BLOCK), ["node", "x", "y", "u", "v"]) if sketches else (block, ["node", "x", "y"])
+    cells = {n: F.ceil(F.col(c) / side).cast("int") for n, c in (("nx", "size"), ("ny", "minors"))}
     own = members.withColumns(cells).withColumns({n: F.pmod(F.xxhash64("id"), F.col(f"n{n}")).cast("int") for n in ("x", "y")})
-    left = own.select("node", "x", F.explode(F.sequence(F.lit(0), F.col("ny") - 1)).alias("y"), "id", "component", F.lit(False).alias("minor"))
-    right = own.where("component <> major").select("node", F.explode(F.sequence(F.lit(0), F.col("nx") - 1)).alias("x"), "y", "id", "component",
-                                                   F.lit(True).alias("minor"))
-    rows = left.unionByName(right)
+    if sketches:  # before the rows are repeated for the blocks
+        own = own.join(sketches.table, "id")
+    left = F.transform(F.sequence(F.lit(0), F.col("ny") - 1), lambda y: F.struct("x", y.alias("y"), F.lit(False).alias("minor")))
+    right = F.transform(F.sequence(F.lit(0), F.col("nx") - 1), lambda x: F.struct(x.alias("x"), "y", F.lit(True).alias("minor")))
+    both = F.when(F.col("component") != F.col("major"), F.concat(left, right)).otherwise(left)
+    rows = own.select("node", "id", "component", *(["signature"] if sketches else []), F.explode(both).alias("cell")).select("node", "cell.*", "id", "component", *(
+        ["signature"] if sketches else []))
     if sketches:
-        rows = cut_lineage(sketches.with_partner(rows))
+        rows = cut_lineage(sketches.with_partner(rows, members.count() // SKETCH_BLOCK + 1, block))
+        few = F.pmod(F.xxhash64(*keys), F.lit(rows.count() // block + 1))
+        rows = rows.withColumn("call", F.when(F.col("n") * 4 > block, F.xxhash64(*keys)).otherwise(few))  # sets of a large cell alone
+    else:
+        rows = rows.withColumn("call", F.xxhash64(*keys))
     rows = rows.join(load_sets(rows.select("id").distinct()), "id")
 
     def compare(table: pa.Table) -> pa.Table:
         ids, minor = table.column("id").to_pylist(), table.column("minor").to_numpy()
         _, part = np.unique(table.column("component").to_numpy(), return_inverse=True)
         have = sets_of(table.column("set").combine_chunks())
-        left, right = np.flatnonzero(~minor), np.flatnonzero(minor)
-        near = np.ones((len(right), len(left)), bool)
-        if "near" in table.column_names and near.size:
-            near = np.unpackbits(matrix(table.column("near").take(pa.array(right)), np.uint8), axis=1)[:, table.column("at").to_numpy()[left]].astype(bool)
         sizes = np.fromiter(map(len, have), np.int64, len(have))
         found = []
-        for row, i in enumerate(right.tolist()):
-            size = sizes[left]
-            waiting = left[near[row] & (np.minimum(size, sizes[i]) * 100 >= share * np.maximum(size, sizes[i]))]
-            while len(waiting := waiting[part[waiting] != part[i]]):
-                some, waiting = waiting[:STEP], waiting[STEP:]
-                both = overlaps(have[i], [have[j] for j in some])
-                for j in some[(both > 0) & (100 * both >= share * (sizes[some] + sizes[i] - both))].tolist():
-                    if part[j] != part[i]:
-                        part[part == part[j]] = part[i]
-                        found.append((ids[i], ids[j]))
+        for cell in _cells(table, keys):
+            left, right = cell[~minor[cell]], cell[minor[cell]]
+            near = np.ones((len(right), len(left)), bool)
+            if "near" in table.column_names and near.size:
+                near = np.unpackbits(matrix(table.column("near").take(pa.array(right)), np.uint8), axis=1)[:, table.column("at").to_numpy()[left]].astype(bool)
+            for row, i in enumerate(right.tolist()):
+                size = sizes[left]
+                waiting = left[near[row] & (np.minimum(size, sizes[i]) * 100 >= share * np.maximum(size, sizes[i]))]
+                while len(waiting := waiting[part[waiting] != part[i]]):
+                    some, waiting = waiting[:STEP], waiting[STEP:]
+                    both = overlaps(have[i], [have[j] for j in some])
+                    for j in some[(both > 0) & (100 * both >= share * (sizes[some] + sizes[i] - both))].tolist():
+                        if part[j] != part[i]:
+                            part[part == part[j]] = part[i]
+                            found.append((ids[i], ids[j]))
         return pa.table({"a": pa.array([a for a, _ in found], table.schema.field("id").type),
                          "b": pa.array([b for _, b in found], table.schema.field("id").type)})
 
-    return rows.groupBy("node", "x", "y").applyInArrow(compare, f"a {kind}, b {kind}")
+    return rows.groupBy("call").applyInArrow(compare, f"a {kind}, b {kind}")
 
 
 def link(members: DataFrame | list[DataFrame], load_sets: Callable[[DataFrame], DataFrame], share: int,
-         split: Callable[[DataFrame, int], DataFrame | None] | None = None, small: int = BLOCK,
+         split: Callable[[DataFrame], DataFrame | None] | None = None, small: int = BLOCK,
          sketches: Sketches | None = None, sets_of: SetsOf = stored_sets) -> DataFrame:
     """(node, component) of all items that have a link, from the members (node, id) of candidate nodes, in one or more stages.
 
     `load_sets(ids)` gives (id, set) for a table of distinct ids; `sets_of` makes sets of that column. `sketches` spare the reading of sets that can't be similar.
-    `split(members, level)` may give the members of finer nodes for open nodes with more than `small`^2 comparisons; None ends the
-    splitting, and what is left is compared in blocks."""
+    `split(members)` may give the members of finer nodes in place of open nodes with more than `small`^2 comparisons, or None; a node that it can't
+    split it gives back. What is left is compared in blocks."""
     stages = members if isinstance(members, list) else [members]
     spark = stages[0].sparkSession
     kind = stages[0].schema["id"].dataType.simpleString()
@@ -266,27 +300,27 @@ def link(members: DataFrame | list[DataFrame], load_sets: Callable[[DataFrame],
         give_back(pairs)
         return linked
 
+    def settle(members: DataFrame, pivots: int = PIVOTS, turns: int = TURNS) -> DataFrame:
+        compare(node_stars(with_components(members, components), small, pivots))
+        waiting = open_members(members, components)
+        before = None
+        for turn in range(turns):
+            outside = waiting.where("component <> major").count()
+            if outside <= FEW or before is not None and outside > 0.8 * before or not compare(minor_stars(waiting, turn)):
+                break
+            before = outside
+            waiting = next_table(waiting, open_members(waiting, components))
+        return waiting
+
     left = None
     for stage in stages:
-        level, current = 0, stage
-        while True:
-            compare(node_stars(with_components(current, components), small, PIVOTS if level == 0 else 0))
-            waiting = open_members(current, components)
-            before = None
-            for turn in range(TURNS):
-                outside = waiting.where("component <> major").count()
-                if outside <= FEW or before is not None and outside > 0.8 * before or not compare(minor_stars(waiting, turn)):
-                    break
-                before = outside
-                waiting = next_table(waiting, open_members(waiting, components))
-            many = F.col("size") * F.col("minors") > small * small
-            large = waiting.where(many)
-            finer = split(large, level) if split and not large.isEmpty() else None
-            final = waiting if finer is None else waiting.where(~many)
-            left = final if left is None else left.unionByName(final.select(left.columns))
-            if finer is None or finer.isEmpty():
-                break
-            level, current = level + 1, finer
+        waiting = settle(stage)
+        many = F.col("size") * F.col("minors") > small * small
+        large = waiting.where(many)
+        finer = split(large) if split and not large.isEmpty() else None
+        parts = [waiting] if finer is None else [waiting.where(~many), settle(finer, 0, 0)]
+        for part in parts:
+            left = part if left is None else left.unionByName(part.select(left.columns))
     left = open_members(left, components)  # links found on finer nodes and in later stages may have closed some
     if not left.isEmpty():
         merge(compare_blocks(left, load_sets, share, sketches=sketches, sets_of=sets_of))

@@ -5,7 +5,7 @@ minwise signature of 128 tokens. The join grows trees: at a node, one random cho
 all its members, and a member goes to one child for each chosen place, named by its token there. Two sets of similarity s
 agree in a place with probability s, so they share a child with 1 - (1 - s)^BRANCHES, and at any depth of one tree with at
 least 0.88 for s = 0.75; TREES independent trees leave a chance of about 3e-8 to miss a pair. Nodes of at most SMALL members are
-compared exhaustively; larger ones branch again until they are small, or no longer get half as large. The first tree is worked off before the others, which
+compared exhaustively; larger ones branch again until they are small, or until that no longer halves a node's comparisons. The first tree is worked off before the others, which
 find most of their nodes closed then. All links are confirmed on the full sets (`linking`).
 
 Documents are told apart by id and text, so an id with several texts is several documents.
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tamis.llm.flat import matrix, slices, text_bytes
 from tamis.llm.hashing import minwise, mix, unique_runs, word_shingles
 from tamis.llm.linking import SALTS, KeyFilter, Sketches, link, salted_join
-from tamis.session import cut_lineage
+from tamis.session import cut_lineage, give_back
 
 WORDS = 5
 SHARE = 75
@@ -90,7 +90,7 @@ def _children(signatures: np.ndarray, nodes: np.ndarray, branches: int) -> np.nd
 
 
 def _grow(rows: DataFrame, trees: range | None, branches: int = BRANCHES) -> DataFrame:
-    """(node, id) of the children of (id, signature, node), or of the roots of `trees` for (id, signature)."""
+    """(node, id, parent) of the children of (id, signature, node), or (node, id) of the roots of `trees` for (id, signature)."""
 
     def run(batches):
         for batch in batches:
@@ -102,11 +102,13 @@ def _grow(rows: DataFrame, trees: range | None, branches: int = BRANCHES) -> Dat
                 keys = np.concatenate([_children(signatures, np.full(n, mix(np.array([t + 1], np.uint64))[0]), branches)
                                        for t in trees], axis=1)
             else:
-                keys = _children(signatures, batch.column("node").to_numpy().view(np.uint64), branches)
+                nodes = batch.column("node").to_numpy()
+                keys = _children(signatures, nodes.view(np.uint64), branches)
             ids = np.repeat(batch.column("id").to_numpy(), keys.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(ids)], ["node", "id"])
+            more = [] if trees is not None else [pa.array(np.repeat(nodes, keys.shape[1]))]
+            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(ids), *more], ["node", "id", "parent"][:2 + len(more)])
 
-    return rows.mapInArrow(run, "node bigint, id bigint")
+    return rows.mapInArrow(run, "node bigint, id bigint" + (", parent bigint" if trees is None else ""))
 
 
 def _shared_only(members: DataFrame) -> DataFrame:
@@ -137,13 +139,28 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     signatures = items.select("id", "signature")
     names = items.select("id", "own.doc_id", "own.text_hash")
 
-    def split(members: DataFrame, level: int) -> DataFrame | None:
-        """Children of the nodes, as long as that halves the largest; near copies share most tokens, and their nodes go to the blocks."""
-        if level + 1 >= DEEPEST:
-            return None
-        finer = cut_lineage(_shared_only(_grow(members.select("node", "id").join(signatures, "id"), None)))
-        largest = [t.groupBy("node").count().agg(F.max("count")).first()[0] or 0 for t in (members, finer)]
-        return finer if 2 * largest[1] <= largest[0] or largest[1] <= SMALL else None
+    def split(members: DataFrame) -> DataFrame | None:
+        """Descendants in place of each node, as long as those of a level halve its comparisons; near copies share most tokens, and their nodes stay."""
+        done, current = None, members.select("node", "id")
+        for _ in range(DEEPEST):
+            children = cut_lineage(_grow(current.join(signatures, "id"), None))
+            sizes = children.groupBy("parent", "node").agg(F.count(F.lit(1)).alias("n"))
+            size = F.col("n").cast("double")
+            work = sizes.groupBy("parent").agg(F.sum(F.when(F.col("n") > 1, size * size).otherwise(0.0)).alias("work")).join(
+                current.groupBy(F.col("node").alias("parent")).agg(F.count(F.lit(1)).cast("double").alias("whole")), "parent")
+            halved = cut_lineage(work.where("2 * work <= whole * whole").select("parent"))
+            if halved.isEmpty():
+                break
+            # a node above SMALL stays where its children save too little, or branches again
+            kept = salted_join(current, halved.withColumnRenamed("parent", "node"), "node", "id", "left_anti", salts=4)
+            finer = salted_join(children, sizes.join(halved, "parent").where("n > 1").select("node", "n"), "node", "id", salts=4)
+            settled = finer.where(F.col("n") <= SMALL).select("node", "id").unionByName(kept)
+            done = cut_lineage(settled if done is None else done.unionByName(settled))
+            current = cut_lineage(finer.where(F.col("n") > SMALL).select("node", "id"))
+            give_back(children, halved)
+            if current.isEmpty():
+                return done
+        return done.unionByName(current) if done is not None else None
 
     trees = [cut_lineage(_shared_only(_grow(signatures, t))) for t in (range(1), range(1, TREES))]
     components = link(trees, lambda ids: shingle_sets(rows, names.join(ids, "id", "left_semi"), words), share, split, SMALL,

@@ -78,6 +78,41 @@ def test_a_large_group_of_near_copies_is_not_copied_by_blocks(spark, monkeypatch
     assert sizes[300] <= 8 * max(sizes[100], 100)
 
 
+def test_a_line_in_all_documents_makes_no_rows_by_the_square(spark, monkeypatch):
+    """Different documents that share a line lie in large nodes; these branch on, and what is joined for the blocks has a row per member."""
+    joined, monkey = [], linking.Sketches.with_partner
+
+    def counted(self, rows, *a):
+        joined.append(rows.count())
+        return monkey(self, rows, *a)
+
+    monkeypatch.setattr(linking.Sketches, "with_partner", counted)
+    monkeypatch.setattr(linking, "FEW", 0)
+    monkeypatch.setattr(neardup, "SMALL", 16)
+    draw = random.Random(8)
+    word = lambda: "".join(draw.choice("abcdefghij") for _ in range(7))
+    line = [word() for _ in range(20)]
+    made = [(i, " ".join(line + [word() for _ in range(30)])) for i in range(600)]
+    made += [(1000 + i, t + " more") for i, t in made[::50]]
+    got = neardup.near_duplicates(spark.createDataFrame(made, "doc_id bigint, text string"))
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got.collect()} == brute.near_duplicates(made)
+    assert sum(joined) <= 8 * len(made)
+
+
+def test_blocks_of_sketches_lose_no_link(spark, monkeypatch):
+    """Blocks of sketches above one block of sets, several nodes in a call, and a member on both sides."""
+    monkeypatch.setattr(linking, "SKETCH_BLOCK", 24)
+    draw = random.Random(6)
+    sets = {k: set(range(k % 5 * 100, k % 5 * 100 + 40)) - {k % 5 * 100 + draw.randrange(40)} for k in range(90)}
+    raw = [(k, bytearray(np.array(sorted(s), np.uint64).tobytes()), bytearray([k % 5 + 1] * 8)) for k, s in sets.items()]
+    table = spark.createDataFrame(raw, "id bigint, set binary, signature binary")
+    members = spark.createDataFrame([(k % 2, k) for k in sets] + [(2, k) for k in range(10)], "node bigint, id bigint")
+    marked = linking.open_members(members, spark.createDataFrame([], "node bigint, component bigint"))
+    blocks = linking.compare_blocks(marked, lambda ids: table.select("id", "set"), 75, 8, linking.Sketches(table.select("id", "signature"), 8, "u1"))
+    got = {r.node: r.component for r in linking.connected_components(blocks).collect()}
+    assert got == {k: k % 5 for k in sets}
+
+
 def test_near_duplicates_of_nothing(no_docs):
     assert neardup.near_duplicates(no_docs).count() == 0
 
